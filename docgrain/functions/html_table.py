@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,11 +87,24 @@ def read_cells(html: str | None) -> list[tuple]:
 
 
 def _cell_function() -> Callable[[Column], Column]:
-    names = ["row_no", "col_no", "row_span", "col_span", "text", "is_header"]
-
-    @F.pandas_udf(CELL_DDL)
-    def table_cells(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: [dict(zip(names, cell)) for cell in read_cells(h)])
+    """Arrow in, Arrow out: the cells of a batch are laid out as flat columns plus offsets."""
+    columns = [
+        ("row_no", pa.int32()), ("col_no", pa.int32()), ("row_span", pa.int32()),
+        ("col_span", pa.int32()), ("text", pa.string()), ("is_header", pa.bool_()),
+    ]
+
+    @F.arrow_udf(CELL_DDL)
+    def table_cells(html: pa.Array) -> pa.Array:
+        offsets, flat = [0], []
+        for h in html.to_pylist():
+            flat.extend(read_cells(h))
+            offsets.append(len(flat))
+        values = list(zip(*flat)) or [()] * len(columns)
+        cells = pa.StructArray.from_arrays(
+            [pa.array(v, t) for v, (_, t) in zip(values, columns)],
+            names=[name for name, _ in columns],
+        )
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cells)
 
     return table_cells
 

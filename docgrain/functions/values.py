@@ -21,27 +21,42 @@ def as_variant(c: Column) -> Column:
     return F.try_parse_json(c)
 
 
+# First word of a VARIANT schema -> kind of value.
+_KINDS = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "BIGINT": "number",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+}
+
+
 def kind(v: Column) -> Column:
-    """'object', 'array', 'string', 'boolean', 'null' or 'number' of a VARIANT value."""
-    name = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | name.isin("VOID"), "null")
-        .when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .otherwise("number")
-    )
+    """'object', 'array', 'string', 'boolean', 'number' or 'null' of a VARIANT value."""
+    table = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    word = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.coalesce(F.try_element_at(table, word), F.lit("null"))
+
+
+def is_container(v: Column) -> Column:
+    """Object or list. Looks at the top level only, where the schema would walk the whole value."""
+    members = F.try_variant_get(v, "$", "array<variant>")
+    entries = F.try_variant_get(v, "$", "map<string,variant>")
+    return members.isNotNull() | entries.isNotNull()
+
+
+def is_object_text(c: Column) -> Column:
+    """JSON text of an object, told by its first character."""
+    return F.coalesce(F.ltrim(c).startswith("{"), F.lit(False))
 
 
 def scalar_text(v: Column) -> Column:
     """Leaf value as text, booleans capitalised; null for containers and JSON null."""
     text = F.try_variant_get(v, "$", "string")
-    shape = kind(v)
-    return (
-        F.when(shape == "boolean", F.initcap(text))
-        .when(shape.isin("string", "number"), text)
-    )
+    flag = F.try_variant_get(v, "$", "boolean").isNotNull() & text.isin("true", "false")
+    return F.when(~is_container(v), F.when(flag & (kind(v) == "boolean"), F.initcap(text)).otherwise(text))
 
 
 def _json_path(path: Column) -> Column:

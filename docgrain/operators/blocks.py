@@ -6,7 +6,7 @@ therefore stays inside its row; shuffles appear only where rows of different doc
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -329,9 +329,10 @@ def _table_texts(htmls: Column) -> Column:
             rows.setdefault(row, []).append(text.replace("\n", " "))
         return "\n".join(f"| {' | '.join(rows[r])} |" for r in sorted(rows))
 
-    @F.pandas_udf("array<string>")
-    def render(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda hs: None if hs is None else [lines(h) for h in hs])
+    @F.arrow_udf("array<string>")
+    def render(batch: pa.Array) -> pa.Array:
+        texts = [None if hs is None else [lines(h) for h in hs] for hs in batch.to_pylist()]
+        return pa.array(texts, pa.list_(pa.string()))
 
     return render(htmls)
 

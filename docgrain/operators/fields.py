@@ -11,17 +11,20 @@ from ..functions.values import contains_pattern, kind, scalar_text
 
 
 def _step(rows: DataFrame) -> DataFrame:
-    """Open every container row one level; leaves are not part of the input."""
+    """Open every container row one level; leaves (and empty containers) pass through."""
     tvf = rows.sparkSession.tvf
-    opened = rows.lateralJoin(tvf.variant_explode(F.col("v").outer()))
+    opened = rows.lateralJoin(tvf.variant_explode_outer(F.col("v").outer()))
     place = (
-        F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        F.when(F.col("pos").isNull(), F.col("path"))
+        .when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         .when(F.col("path") == "", F.col("key"))
         .otherwise(F.concat("path", F.lit("."), F.col("key")))
     )
     keys = [c for c in rows.columns if c not in ("path", "v", "ord")]
-    spot = F.array_append("ord", F.col("pos"))
-    return opened.select(*keys, spot.alias("ord"), place.alias("path"), F.col("value").alias("v"))
+    spot = F.when(F.col("pos").isNull(), F.col("ord")).otherwise(F.array_append("ord", F.col("pos")))
+    return opened.select(
+        *keys, spot.alias("ord"), place.alias("path"), F.coalesce("value", "v").alias("v")
+    )
 
 
 def flatten_scalars(df: DataFrame, col: str, keys: list[str], depth: int = 4) -> DataFrame:
@@ -29,8 +32,9 @@ def flatten_scalars(df: DataFrame, col: str, keys: list[str], depth: int = 4) ->
 
     Paths use ``a.b`` for objects and ``items[0].q`` for lists. Null leaves and empty containers
     give no row. ``ord`` is the position of the leaf on every level; objects are read in key
-    order. ``depth`` is the number of levels the data has (a typed record: 3); the plan is a
-    chain of explodes in the scan's own stage, without shuffle. Deeper data fails loudly.
+    order. ``depth`` is the number of levels the data has (a typed record: 3); the plan is one
+    chain of explodes in the scan's own stage, without shuffle. Data that nests deeper than
+    ``depth`` stops the job instead of losing leaves.
     """
     rows = df.select(
         *keys,
@@ -38,14 +42,16 @@ def flatten_scalars(df: DataFrame, col: str, keys: list[str], depth: int = 4) ->
         F.lit("").alias("path"),
         F.col(col).alias("v"),
     )
-    out = None
     for _ in range(depth):
-        rows = _step(rows.filter(kind(F.col("v")).isin("object", "array")))
-        found = rows.select(*keys, "ord", "path", scalar_text(F.col("v")).alias("value")).filter(
-            "value IS NOT NULL"
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+        rows = _step(rows)
+    deeper = F.coalesce(
+        F.size(F.try_variant_get("v", "$", "array<variant>")) > 0,
+        F.size(F.try_variant_get("v", "$", "map<string,variant>")) > 0,
+        F.lit(False),
+    )
+    message = F.concat(F.lit("nested deeper than the given depth: "), "path")
+    value = F.when(deeper, F.raise_error(message)).otherwise(scalar_text(F.col("v")))
+    return rows.select(*keys, "ord", "path", value.alias("value")).filter("value IS NOT NULL")
 
 
 def flatten_field_keys(df: DataFrame, col: str, keys: list[str], depth: int = 4) -> DataFrame:

@@ -18,8 +18,9 @@ def split_row_number(
     """``row_number() over (partition by keys order by order)`` without one task per key.
 
     ``bucket`` must follow the order (never decrease along it, or never increase with
-    ``descending``). Rows are numbered inside (keys, bucket); the rows of earlier buckets are
-    added from a table of bucket sizes, which is all that is ever gathered per key.
+    ``descending``); keys and bucket must not be null. Rows are numbered inside (keys, bucket); the
+    rows of earlier buckets are added from a table of bucket sizes, which is all that is ever
+    gathered per key.
     """
     part = "__bucket"
     tagged = df.withColumn(part, bucket)
@@ -31,9 +32,9 @@ def split_row_number(
         F.col(part).alias("__part"),
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
     )
-    same = F.col(part).eqNullSafe(F.col("__part"))
+    same = F.col(part) == F.col("__part")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        same = same & (F.col(k) == F.col(f"__{k}"))
     inside = F.row_number().over(W.partitionBy(*keys, part).orderBy(*order))
     return (
         tagged.withColumn("__inside", inside)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,11 +116,11 @@ def overlay_json(payload: Column, edits: Column) -> Column:
     are not objects are replaced by objects; a path with an empty step is an error.
     """
 
-    @F.pandas_udf("string")
-    def fold(base: pd.Series, changes: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def fold(base: pa.Array, changes: pa.Array) -> pa.Array:
         out = []
-        for text, steps in zip(base, changes):
-            if steps is None or len(steps) == 0:
+        for text, steps in zip(base.to_pylist(), changes.to_pylist()):
+            if not steps:
                 out.append(text)
                 continue
             view = json.loads(text) if text else {}
@@ -128,7 +128,7 @@ def overlay_json(payload: Column, edits: Column) -> Column:
                 raw = step["value"]
                 _place(view, step["path"], None if raw is None else json.loads(raw))
             out.append(json.dumps(view, ensure_ascii=False, separators=(",", ":")))
-        return pd.Series(out, dtype="object")
+        return pa.array(out, pa.string())
 
     return fold(payload, edits)
 

@@ -8,7 +8,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..functions.values import as_variant
 from ..operators import blocks as B
-from .registry import BLOCKS_CTE, LINES_CTE, PER_PAGE, lines, page_blocks, query, strip_sql, table
+from .registry import BLOCKS_CTE, LINES_CTE, PER_PAGE, lines, page_blocks, query, spread, strip_sql, table
 
 
 @query(
@@ -21,7 +21,7 @@ FROM pages
 )
 def strip_html_pages(spark, sf):
     html = F.col("html")
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages"), "page_id").select(
         "page_id",
         X.strip_html(html).alias("text"),
         F.length(X.anchor_text(html)).alias("anchor_chars"),
@@ -37,7 +37,7 @@ SELECT page_id, CAST(item_ord AS INT) AS item_ord, {strip_sql('x')} AS text FROM
 """,
 )
 def list_items_pages(spark, sf):
-    return B.list_items(table(spark, sf, "pages"), "html", ["page_id"])
+    return B.list_items(spread(table(spark, sf, "pages"), "page_id"), "html", ["page_id"])
 
 
 @query(
@@ -77,7 +77,8 @@ def order_tables(spark, sf):
         F.lit('">'), "o_orderstatus", F.lit("</td><td> "), F.col("o_custkey").cast("string"),
         F.lit(" </td><th>a<br>b</th></tr><tr><td>x &amp; y</td><td></td></tr></table>"),
     )
-    return table(spark, sf, "orders").select("o_orderkey", html.alias("html"))
+    orders = spread(table(spark, sf, "orders"), "o_orderkey")
+    return orders.select("o_orderkey", html.alias("html"))
 
 
 @query(
@@ -246,7 +247,7 @@ extra AS (SELECT doc_id, lang, n, n_chars, 2 AS page_no FROM d WHERE lang = 'fr'
 a AS (SELECT * FROM p UNION ALL SELECT * FROM extra)
 SELECT doc_id, CAST(page_no AS INT) AS page_no,
        CASE WHEN lang = 'en' AND page_no = 1 THEN CAST(n_chars + 1 AS DOUBLE) WHEN lang = 'fr' AND page_no = 2 THEN 300.0 ELSE 612.0 END AS width,
-       CASE WHEN lang = 'en' AND page_no = 1 THEN 500.0 WHEN lang = 'fr' AND page_no = 2 THEN 400.0 ELSE 792.0 END AS height
+       CAST(CASE WHEN lang = 'en' AND page_no = 1 THEN 500 WHEN lang = 'fr' AND page_no = 2 THEN 400 ELSE 792 END AS DOUBLE) AS height
 FROM a
 """,
 )

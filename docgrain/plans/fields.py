@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..functions import values as V
 from ..operators import anchors as A
 from ..operators import fields as O
-from .registry import LINES_CTE, norm_sql, query, table
+from .registry import LINES_CTE, norm_sql, query, spread, table
 
 # ---- flattening --------------------------------------------------------------------------------------
 
@@ -31,7 +31,8 @@ def order_records(spark, sf):
         F.lit(None).cast("string").alias("remark"),
     )
     text = F.to_json(record, {"ignoreNullFields": "false"})
-    return table(spark, sf, "orders").select("o_orderkey", V.as_variant(text).alias("extracted"))
+    orders = spread(table(spark, sf, "orders"), "o_orderkey")
+    return orders.select("o_orderkey", V.as_variant(text).alias("extracted"))
 
 
 LEAVES_SQL = """
@@ -146,7 +147,8 @@ def _records(spark, sf):
             F.floor(i / LINES_PER_PAGE).cast("int").alias("page"),
         ),
     )
-    return table(spark, sf, "documents").select("doc_id", fields.alias("fields"), blocks.alias("blocks"))
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    return docs.select("doc_id", fields.alias("fields"), blocks.alias("blocks"))
 
 
 def _block_table(spark, sf):

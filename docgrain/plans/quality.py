@@ -10,7 +10,7 @@ from ..functions.values import as_variant
 from ..operators import evaluate as E
 from ..operators import metrics as M
 from ..operators import routing as C
-from .registry import query, table
+from .registry import query, spread, table
 
 # ---- document types --------------------------------------------------------------------------------
 
@@ -40,7 +40,7 @@ types AS (SELECT doc_id, source, lang, CASE WHEN len(ts) = 0 THEN ['delivery_ord
 
 
 def _detected(spark, sf):
-    return C.detect_types(table(spark, sf, "documents"), "text", WORDS)
+    return C.detect_types(spread(table(spark, sf, "documents"), "doc_id"), "text", WORDS)
 
 
 @query(
@@ -118,7 +118,7 @@ def build_requests(spark, sf):
     f"WITH {TYPES_CTE} SELECT doc_id, ts[1] AS answer FROM types",
 )
 def run_model_batch(spark, sf):
-    requests = table(spark, sf, "documents").select("doc_id", "text")
+    requests = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
     return C.run_model_batch(requests, C.keyword_client("text", WORDS)).select("doc_id", "answer")
 
 
@@ -159,7 +159,7 @@ def refine_eligibility(spark, sf):
     "normalized_match",
     """
 WITH p AS (SELECT doc_id, CASE WHEN source = 'src0' THEN NULL ELSE text END AS a,
-                  CASE WHEN source IN ('src0', 'src1') THEN NULL WHEN lang = 'en' THEN ' ' || replace(upper(text), ' ', '  ') ELSE text || '.' END AS b
+                  CASE WHEN source IN ('src0', 'src1') THEN NULL WHEN lang = 'en' THEN ' ' || replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ', '  ') ELSE text || '.' END AS b
            FROM documents)
 SELECT doc_id, trim(regexp_replace(lower(a), '\\s+', ' ', 'g')) IS NOT DISTINCT FROM trim(regexp_replace(lower(b), '\\s+', ' ', 'g')) AS is_match
 FROM p
@@ -167,7 +167,8 @@ FROM p
 )
 def normalized_match(spark, sf):
     src = F.col("source")
-    spaced = F.concat(F.lit(" "), F.replace(F.upper("text"), F.lit(" "), F.lit("  ")))
+    capitals = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    spaced = F.concat(F.lit(" "), F.replace(capitals, F.lit(" "), F.lit("  ")))
     a = F.when(src != "src0", F.col("text"))
     b = F.when(
         ~src.isin("src0", "src1"),
@@ -403,7 +404,7 @@ def log_lines(spark, sf):
     """
 SELECT CASE event_type WHEN 'purchase' THEN 'POST' ELSE 'GET' END AS method, '/' || event_type AS path, count(*) AS n,
        round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms,
-       round(quantile_cont(value, 0.99), 6) AS p99_ms, CASE event_type WHEN 'error' THEN 1.0 ELSE 0.0 END AS error_share
+       round(quantile_cont(value, 0.99), 6) AS p99_ms, CAST(CASE event_type WHEN 'error' THEN 1 ELSE 0 END AS DOUBLE) AS error_share
 FROM events WHERE event_type <> 'signup' GROUP BY event_type
 """,
 )

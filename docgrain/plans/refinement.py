@@ -355,7 +355,7 @@ def norm_box(spark, sf):
     "first_page_dims",
     """
 SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey + 1 AS DOUBLE) ELSE 595.44 END AS page_w,
-       CASE WHEN o_orderstatus = 'F' THEN 800.0 ELSE 842.04 END AS page_h
+       CAST(CASE WHEN o_orderstatus = 'F' THEN 800.0 ELSE 842.04 END AS DOUBLE) AS page_h
 FROM orders
 """,
 )

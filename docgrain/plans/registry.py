@@ -27,6 +27,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table kept in fewer splits than there are cores, hashed over all cores.
+
+    For work that is heavy per row (HTML, text). A table with enough splits is left as it is, so
+    at scale nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, key)
+
+
 # ---- events as field reviews: a user is a run, an event type a field ---------------------------
 
 
@@ -92,9 +103,8 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("section_hierarchy"),
         )
 
-    return table(spark, sf, "pages").select(
-        "page_id", "url", F.transform(elements, block).alias("blocks")
-    )
+    pages = spread(table(spark, sf, "pages"), "page_id")
+    return pages.select("page_id", "url", F.transform(elements, block).alias("blocks"))
 
 
 # The same blocks as a DuckDB common table expression: page_id, ord, html, block_type, page.
@@ -134,6 +144,7 @@ ln AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    return docs.select(
         "doc_id", "n_chars", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )

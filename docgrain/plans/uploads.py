@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..sources import payloads, uploads
-from .registry import BLOCKS_CTE, page_blocks, query, table
+from .registry import BLOCKS_CTE, page_blocks, query, spread, table
 
 
 def _uploads(spark, sf):
@@ -245,7 +245,7 @@ def ocr_payload(spark, sf):
 
 def invoice_json(spark, sf):
     """Orders as invoice records; open ones carry a wrong type, pending ones an unknown key."""
-    orders = table(spark, sf, "orders")
+    orders = spread(table(spark, sf, "orders"), "o_orderkey")
     item = F.struct(
         F.col("o_orderpriority").alias("description"),
         F.col("o_orderkey").cast("string").alias("quantity"),

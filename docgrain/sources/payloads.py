@@ -2,86 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import as_variant, kind
+from ..functions.values import is_object_text, kind
 from ..schemas import OCR_DDL, RECORDS
 
 
 def parse_ocr_payload(df: DataFrame, col: str, name: str = "ocr") -> DataFrame:
     """Add ``name`` = struct(blocks, page_info, metadata); null unless the text is an object."""
-    is_object = kind(as_variant(F.col(col))) == "object"
-    return df.withColumn(name, F.when(is_object, F.from_json(F.col(col), OCR_DDL)))
-
-
-def _is_not(wanted: str) -> Callable[[Column], Column]:
-    return lambda v: kind(v) != wanted
-
-
-def _named(prefix: str) -> Callable[[Column], Column]:
-    return lambda k: F.concat(F.lit(prefix), k)
+    return df.withColumn(
+        name, F.when(is_object_text(F.col(col)), F.from_json(F.col(col), OCR_DDL))
+    )
 
 
-def _shape_errors(v: Column, schema: T.StructType, prefix: str = "") -> list[Column]:
-    """One nullable message per rule that a strict record of this shape can break."""
-    checks = []
+def _shape_table(schema: T.StructType) -> tuple[Column, Column]:
+    """Literal maps: field -> 'text', 'texts' or 'rows', and list of rows -> its cell names."""
+    shapes, cells = [], [F.lit(""), F.array().cast("array<string>")]
     for f in schema.fields:
-        value = F.try_variant_get(v, f"$.{f.name}", "variant")
-        shape = kind(value)
-        label = prefix + f.name
+        shape = "text"
         if isinstance(f.dataType, T.ArrayType):
-            members = F.try_variant_get(value, "$", "array<variant>")
-            wanted = "object" if isinstance(f.dataType.elementType, T.StructType) else "string"
-            # An absent list is an empty list; an explicit null is not a list.
-            absent = value.isNull()
-            bad = ~absent & ((shape != "array") | F.exists(members, _is_not(wanted)))
-        else:
-            bad = ~shape.isin("string", "null")
-        checks.append(F.when(bad, F.lit(f"type:{label}")))
-    return checks
+            element = f.dataType.elementType
+            shape = "rows" if isinstance(element, T.StructType) else "texts"
+            if shape == "rows":
+                cells += [F.lit(f.name), F.array(*[F.lit(n) for n in element.fieldNames()])]
+        shapes += [F.lit(f.name), F.lit(shape)]
+    return F.create_map(*shapes), F.create_map(*cells)
 
 
 def record_errors(json_col: Column, schema: T.StructType) -> Column:
-    """Sorted array of the rules a JSON record breaks: unknown keys and wrong types."""
-    v = as_variant(json_col)
-    allowed = F.array(*[F.lit(n) for n in schema.fieldNames()])
-    unknown = F.transform(
-        F.array_except(F.coalesce(F.json_object_keys(json_col), F.array()), allowed),
-        _named("unknown:"),
-    )
-    nested = []
-    for f in schema.fields:
-        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            inner = F.array(*[F.lit(n) for n in f.dataType.elementType.fieldNames()])
-            rows = F.from_json(
-                F.get_json_object(json_col, f"$.{f.name}"), "array<map<string,variant>>"
-            )
-            keys = F.array_distinct(F.flatten(F.transform(rows, lambda r: F.map_keys(r))))
-            nested.append(
-                F.transform(
-                    F.coalesce(F.array_except(keys, inner), F.array()),
-                    _named(f"unknown:{f.name}."),
-                )
-            )
-            bad_cell = F.exists(
-                rows,
-                lambda r: F.exists(
-                    F.map_values(r), lambda c: ~kind(c).isin("string", "null")
-                ),
-            )
-            nested.append(
-                F.when(bad_cell, F.array(F.lit(f"type:{f.name}.*"))).otherwise(F.array())
+    """Sorted array of the rules a JSON record breaks: unknown keys and wrong types.
+
+    Text is a string or null. A list may be absent but not null; it holds strings, or rows of
+    known cells that are strings or null. The record is parsed once and its entries are checked
+    one by one.
+    """
+    shapes, cells = _shape_table(schema)
+    none = F.array().cast("array<string>")
+
+    def is_text(v: Column) -> Column:
+        return kind(v) == "string"
+
+    def is_cell(v: Column) -> Column:
+        return kind(v).isin("string", "null")
+
+    def check(e: Column) -> Column:
+        key, v = e["key"], e["value"]
+        shape = F.try_element_at(shapes, key)
+        wrong = F.array(F.concat(F.lit("type:"), key))
+        members = F.try_variant_get(v, "$", "array<variant>")
+        rows = F.try_variant_get(v, "$", "array<map<string,variant>>")
+        no_row = F.exists(rows, lambda r: r.isNull())
+        names = F.array_distinct(F.flatten(F.transform(rows, lambda r: F.map_keys(r))))
+        strange = F.transform(
+            F.array_except(names, F.try_element_at(cells, key)),
+            lambda n: F.concat(F.lit("unknown:"), key, F.lit("."), n),
+        )
+        bad_cell = F.exists(rows, lambda r: F.exists(F.map_values(r), lambda c: ~is_cell(c)))
+        row_errors = F.concat(
+            strange, F.when(bad_cell, F.array(F.concat(F.lit("type:"), key, F.lit(".*")))).otherwise(none)
+        )
+        return (
+            F.when(shape.isNull(), F.array(F.concat(F.lit("unknown:"), key)))
+            .when(shape == "text", F.when(is_cell(v), none).otherwise(wrong))
+            .when(
+                shape == "texts",
+                F.when(F.forall(members, is_text), none).otherwise(wrong),
             )
-    typed = F.array_compact(F.array(*_shape_errors(v, schema)))
-    shape_ok = kind(v) == "object"
-    all_errors = F.array_sort(F.concat(unknown, typed, *nested))
-    return F.when(F.coalesce(shape_ok, F.lit(False)), all_errors).otherwise(
-        F.array(F.lit("not an object"))
-    )
+            .otherwise(F.when(rows.isNull() | no_row, wrong).otherwise(row_errors))
+        )
+
+    entries = F.map_entries(F.from_json(json_col, "map<string,variant>"))
+    errors = F.array_sort(F.flatten(F.transform(entries, check)))
+    return F.coalesce(errors, F.array(F.lit("not an object")))
 
 
 def typed_record(json_col: Column, schema: T.StructType) -> Column:
