@@ -53,8 +53,11 @@ def anchors_in_payload(
     if page_no is not None:
         usable = F.filter(usable, lambda b: F.coalesce(b["page"], F.lit(-1)) == page_no - 1)
     # explode keeps the prepared block array a computed column; inlined into the comparison it
-    # would be computed again for every field.
-    rows = df.select(*keys, usable.alias("__b"), F.explode(_needles(F.col(fields))).alias("__f"))
+    # would be computed again for every field. The outer form keeps the optimizer from adding a
+    # size check that computes the fields twice; documents without fields drop out at the end.
+    rows = df.select(
+        *keys, usable.alias("__b"), F.explode_outer(_needles(F.col(fields))).alias("__f")
+    )
     needle = F.col("__f.needle")
     best = F.array_min(
         F.transform(
@@ -90,11 +93,12 @@ def anchors_over_tables(
         usable = usable.filter(F.coalesce("page", F.lit(-1)) == page_no - 1)
     usable = usable.select(key, "ord", "block_id", hay.alias("hay")).filter("hay <> ''")
     needles = runs.select(key, _needles(F.col(fields)).alias("needles"))
+    touched = F.filter("needles", lambda f: _touches(f["needle"], F.col("hay")))
     hits = usable.join(needles, key).select(
         key,
-        F.explode(F.filter("needles", lambda f: _touches(f["needle"], F.col("hay")))).alias("f"),
+        F.explode_outer(touched).alias("f"),
         F.struct(F.length("hay").alias("n"), "ord", "block_id").alias("cand"),
-    )
+    ).filter("f IS NOT NULL")
     best = hits.groupBy(key, "f.path").agg(
         F.min("f.ord").alias("field_ord"), F.min("cand").alias("cand")
     )

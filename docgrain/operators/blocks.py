@@ -22,7 +22,7 @@ STRUCTURED = ["SectionHeader", "Table", "Picture", "ListGroup"]
 
 def explode_blocks(runs: DataFrame, blocks: str, keys: list[str]) -> DataFrame:
     """One row per block with its position ``ord``; documents without blocks give none."""
-    rows = runs.select(*keys, F.posexplode(blocks).alias("ord", "b"))
+    rows = _unroll(runs, F.col(blocks), keys, "ord", "b")
     return rows.select(
         *keys,
         "ord",
@@ -37,14 +37,29 @@ def explode_blocks(runs: DataFrame, blocks: str, keys: list[str]) -> DataFrame:
     )
 
 
+def _unroll(df: DataFrame, array: Column, keep: list, position: str, item: str) -> DataFrame:
+    """``posexplode`` of a costly array.
+
+    Outer, then filtered: for the plain form the optimizer adds a size check below the explode,
+    which computes the array a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, item))
+    return rows.filter(F.col(position).isNotNull())
+
+
 def html_table_cells(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row per table cell with the size of its table; empty tables give none."""
     tables = df.select(*keys, H.html_cells(F.col(html)).alias("cells"))
-    sized = tables.select(
-        *keys,
-        H.table_rows(F.col("cells")).alias("num_rows"),
-        H.table_cols(F.col("cells")).alias("num_cols"),
-        F.posexplode("cells").alias("cell_ord", "c"),
+    sized = _unroll(
+        tables,
+        F.col("cells"),
+        [
+            *keys,
+            H.table_rows(F.col("cells")).alias("num_rows"),
+            H.table_cols(F.col("cells")).alias("num_cols"),
+        ],
+        "cell_ord",
+        "c",
     )
     c = F.col("c")
     return sized.select(
@@ -64,7 +79,7 @@ def html_table_cells(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
 
 def list_items(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row per ``<li>`` with its position and stripped text."""
-    return df.select(*keys, F.posexplode(X.list_items(F.col(html))).alias("item_ord", "text"))
+    return _unroll(df, X.list_items(F.col(html)), keys, "item_ord", "text")
 
 
 # ---- pages -------------------------------------------------------------------------------------
@@ -259,9 +274,7 @@ def document_items(blocks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataF
         F.col("block_type") == "ListGroup", F.transform(X.list_items(F.col("html")), entry)
     )
     all_items = F.concat(F.array(head), F.coalesce(entries, F.array()))
-    items = typed.filter(~bad).select(
-        *keys, "ord", "level", F.posexplode(all_items).alias("item_ord", "i")
-    )
+    items = _unroll(typed.filter(~bad), all_items, [*keys, "ord", "level"], "item_ord", "i")
     return (
         items.select(
             *keys, "ord", "item_ord", "i.kind", "i.label", "level",
@@ -389,13 +402,9 @@ def line_term_hits(lines: DataFrame, terms: list[str], keys: list[str]) -> DataF
     lowered = F.lower(F.coalesce("text", F.lit("")))
     wanted = F.array(*[F.lit(t) for t in terms])
     found = F.filter(wanted, lambda t: F.contains(lowered, F.lower(t)))
-    return lines.select(
-        *keys,
-        "line_no",
-        F.explode(found).alias("term"),
-        F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence"),
-        "text",
-    )
+    rounded = F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence")
+    hits = _unroll(lines, found, [*keys, "line_no", rounded, "text"], "__p", "term")
+    return hits.select(*keys, "line_no", "term", "confidence", "text")
 
 
 def first_term_lines(lines: DataFrame, terms: list[str], keys: list[str]) -> DataFrame:

@@ -156,20 +156,25 @@ def page_split(
 
     A row finds its page under its own path or, for an unwrapped list of one, under ``path[0]``.
     """
-    pages = field_pages.select(*keys, "path", "page_no")
-    exact = pages.withColumnRenamed("page_no", "own_page")
-    first = pages.filter(F.col("path").endswith("[0]")).select(
-        *keys,
-        F.expr("left(path, length(path) - 3)").alias("path"),
-        F.col("page_no").alias("first_page"),
+    # Each page is filed under its path and, less firmly, under the path without a final [0].
+    bare = F.when(F.col("path").endswith("[0]"), F.expr("left(path, length(path) - 3)"))
+    filed = F.array_compact(
+        F.array(
+            F.struct(F.col("path").alias("p"), F.lit(1).alias("firm")),
+            F.when(bare.isNotNull(), F.struct(bare.alias("p"), F.lit(0).alias("firm"))),
+        )
+    )
+    pages = (
+        field_pages.select(*keys, "page_no", F.explode(filed).alias("at"))
+        .groupBy(*keys, F.col("at.p").alias("path"))
+        .agg(F.max_by("page_no", "at.firm").alias("__page"))
     )
-    found = F.coalesce("own_page", "first_page")
+    found = F.col("__page")
     return (
-        scalars.join(exact, [*keys, "path"], "left")
-        .join(first, [*keys, "path"], "left")
+        scalars.join(pages, [*keys, "path"], "left")
         .withColumn(
             "placement",
             F.when(found.isNull(), "document").when(found == page_no, "page").otherwise("hidden"),
         )
-        .drop("own_page", "first_page")
+        .drop("__page")
     )

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.text import blank_to_null
-from ..functions.values import as_variant, kind
+from ..functions.values import kind
 from ..schemas import A4_PAGE, CONFIDENCE_FLOOR, PATCH_DDL, PATCH_KEYS, PATCH_OPS
+from ..session import stage
 from .ranking import split_row_number
 
 # Patch positions per ranking bucket: the most rows of one run that one task numbers.
@@ -31,10 +32,14 @@ def parse_patches(df: DataFrame, col: str, key: str = "run_id") -> tuple[DataFra
     One bad entry (unknown key, unknown op, missing reason, confidence missing or outside 0..1)
     refuses the whole list.
     """
-    v = as_variant(F.col(col))
-    raw = F.from_json(F.col(col), "array<map<string,variant>>")
     allowed = F.array(*[F.lit(k) for k in PATCH_KEYS])
-    typed = F.from_json(F.col(col), PATCH_DDL)
+    parsed = df.select(
+        key,
+        F.ltrim(F.col(col)).startswith("[").alias("is_list"),
+        F.from_json(F.col(col), "array<map<string,string>>").alias("raw"),
+        F.from_json(F.col(col), PATCH_DDL).alias("typed"),
+    )
+    raw, typed = F.col("raw"), F.col("typed")
     unknown = F.exists(raw, lambda p: F.size(F.array_except(F.map_keys(p), allowed)) > 0)
     bad_value = F.exists(
         typed,
@@ -43,17 +48,18 @@ def parse_patches(df: DataFrame, col: str, key: str = "run_id") -> tuple[DataFra
         | ~F.coalesce(p["confidence"].between(0.0, 1.0), F.lit(False)),
     )
     reason = (
-        F.when(~F.coalesce(kind(v) == "array", F.lit(False)), "not a list")
+        F.when(~F.coalesce("is_list", F.lit(False)), "not a list")
         .when(raw.isNull() | typed.isNull(), "malformed entry")
         .when(F.coalesce(unknown, F.lit(True)), "unknown key")
         .when(F.coalesce(bad_value, F.lit(True)), "invalid value")
     )
-    judged = df.select(key, typed.alias("p"), reason.alias("reject_reason"))
-    rows = judged.filter("reject_reason IS NULL").select(
-        key, F.posexplode("p").alias("patch_ord", "x")
-    )
+    # A refused list explodes to one empty row; a filter before the explode would parse twice.
+    rows = parsed.select(
+        key, F.posexplode_outer(F.when(reason.isNull(), typed)).alias("patch_ord", "x")
+    ).filter("patch_ord IS NOT NULL")
     good = rows.select(key, F.col("patch_ord").cast("long").alias("patch_ord"), "x.*")
-    return good, judged.filter("reject_reason IS NOT NULL").select(key, "reject_reason")
+    refused = parsed.select(key, reason.alias("reject_reason")).filter("reject_reason IS NOT NULL")
+    return good, refused
 
 
 def confidence_gate(
@@ -163,11 +169,13 @@ def apply_patches(
 ) -> Patched:
     """Apply all patches of all runs at once, with the full audit trail.
 
+    The judged patches feed every output, so they are computed once and staged.
+
     The order inside a run is carried by ``patch_ord``: the last assignment of a field wins,
     moves of one fragment chain, additions are numbered in order. A run with a patch that breaks
     the contract gives no output in ``quarantine`` mode and stops the job in ``fail`` mode.
     """
-    judged = _judge(patches, fragment_index(fragments), runs, floor)
+    judged = stage(_judge(patches, fragment_index(fragments), runs, floor), "judged-patches")
     broken = judged.filter("outcome = 'violation'")
     if mode == "fail":
         message = F.concat(

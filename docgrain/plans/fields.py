@@ -152,7 +152,7 @@ def _records(spark, sf):
 
 
 def _block_table(spark, sf):
-    return _records(spark, sf).select("doc_id", F.posexplode("blocks").alias("ord", "b")).select(
+    return _records(spark, sf).select("doc_id", F.posexplode_outer("blocks").alias("ord", "b")).select(
         "doc_id", "ord", F.col("b.id").alias("block_id"), "b.html", "b.markdown", "b.page"
     )
 

@@ -174,7 +174,8 @@ def normalized_match(spark, sf):
         ~src.isin("src0", "src1"),
         F.when(F.col("lang") == "en", spaced).otherwise(F.concat("text", F.lit("."))),
     )
-    return table(spark, sf, "documents").select("doc_id", V.normalized_match(a, b).alias("is_match"))
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    return docs.select("doc_id", V.normalized_match(a, b).alias("is_match"))
 
 
 @query(
@@ -222,7 +223,7 @@ def _cases(spark, sf):
         F.when(st == "F", F.array(key)).otherwise(F.array(key, F.upper(pr))),
         F.when(st == "O", items(key, key)).otherwise(items(key)),
     )
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders"), "o_orderkey").select(
         "o_orderkey", "o_orderpriority", want.alias("expected"),
         F.when(F.col("o_orderpriority") != "1-URGENT", got).alias("actual"),
     )

@@ -1,7 +1,7 @@
 """Refinement patches over fragments.
 
-An order is an extraction run. Its finished line items are the OCR fragments, its open line items
-are the patches a refinement pass proposed; ``l_discount`` gives the confidence.
+A document is an extraction run and its text lines are the OCR fragments. A refinement pass
+proposed one patch per line; the wording of the line decides which.
 """
 
 from __future__ import annotations
@@ -12,72 +12,61 @@ from ..functions import geometry as G
 from ..functions.values import as_variant
 from ..operators import metrics as M
 from ..operators import refine as P
-from ..operators.ranking import split_row_number
-from .registry import query, table
-
-ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-
-
-def _numbered(spark, sf, status):
-    rows = table(spark, sf, "lineitem").filter(F.col("l_linestatus") == status)
-    ranked = split_row_number(
-        rows, ["l_orderkey"], [F.col(c) for c in ORDER], F.col("l_linenumber"), name="rn"
-    )
-    return ranked.withColumn("run_id", F.col("l_orderkey")).withColumn("ord", F.col("rn") - 1)
+from .registry import LINES_CTE, lines, query, spread, table
 
 
 def fragments(spark, sf):
-    n, q = F.col("l_linenumber"), F.col("l_quantity")
-    return _numbered(spark, sf, "F").select(
-        "run_id",
-        F.col("ord").alias("frag_ord"),
-        F.concat(F.lit("#/texts/"), n.cast("string")).alias("self_ref"),
+    n, size = F.col("line_no"), F.length("line")
+    return lines(spark, sf).select(
+        F.col("doc_id").alias("run_id"),
+        n.cast("long").alias("frag_ord"),
+        # Lines of equal length share a reference, so the later one takes it over.
+        F.concat(F.lit("#/texts/"), size.cast("string")).alias("self_ref"),
         F.lit(None).cast("string").alias("id"),
-        F.col("l_returnflag").alias("text"),
-        G.box(n, q, n + 10, q + 5).alias("bbox"),
+        F.col("line").alias("text"),
+        G.box(n, size, n + 10, size + 5).alias("bbox"),
         F.lit("ocr").alias("source"),
         F.lit(None).cast("double").alias("confidence"),
     )
 
 
 def patches(spark, sf):
-    n, q, tax, flag = (F.col(c) for c in ("l_linenumber", "l_quantity", "l_tax", "l_returnflag"))
+    line, n, size = F.col("line"), F.col("line_no"), F.length("line")
+    first = F.substring(line, 1, 1)
     op = (
-        F.when(flag == "A", "assign")
-        .when(flag == "N", "add")
-        .when(q <= 25, "move")
-        .otherwise("reject")
+        F.when(first < "C", "assign").when(first < "L", "move").when(first < "T", "reject")
+        .otherwise("add")
+    )
+    target = (
+        F.when(size > 200, F.concat(F.lit("#/texts/"), size.cast("string")))
+        .when(size > 100, F.concat(F.lit("f"), (n + 1).cast("string")))
+        .otherwise(F.concat(F.lit("#/texts/"), (size + 1).cast("string")))
     )
-    by_ref = tax <= 0.04
     x0 = n * 10
-    right = F.when(tax == 0.04, x0 - 1).otherwise(x0 + 50)
-    norm = F.array(x0, q.cast("int"), right, q.cast("int") + 100)
+    right = F.when(F.contains(line, F.lit("|")), x0 - 1).otherwise(x0 + 50)
+    normed = F.contains(line, F.lit("th"))
     boxed = op.isin("add", "move")
-    return _numbered(spark, sf, "O").select(
-        "run_id",
-        F.col("ord").alias("patch_ord"),
+    return lines(spark, sf).select(
+        F.col("doc_id").alias("run_id"),
+        n.cast("long").alias("patch_ord"),
         op.alias("op"),
-        F.when(op != "add", F.when(by_ref, F.concat(F.lit("#/texts/"), n.cast("string"))).otherwise(
-            F.concat(F.lit("f"), (n - 1).cast("string"))
-        )).alias("fragment_id"),
-        F.when(tax > 0, F.concat(F.lit("k"), n.cast("string")))
-        .when(op == "assign", F.lit("k0"))
-        .alias("field_key"),
-        F.when(boxed & ~by_ref, G.box(q, n, q + 5, n + 7)).alias("new_bbox"),
-        F.when(boxed & by_ref, norm).alias("box_2d"),
-        F.when((op == "add") & (tax < 0.08), F.col("l_shipdate").cast("date").cast("string")).alias("new_text"),
+        F.when(op != "add", target).alias("fragment_id"),
+        F.when(size >= 20, F.concat(F.lit("k"), F.substring(line, 2, 1))).alias("field_key"),
+        F.when(boxed & ~normed, G.box(size, n, size + 5, n + 7)).alias("new_bbox"),
+        F.when(boxed & normed, F.array(x0, size, right, size + 100)).alias("box_2d"),
+        F.when((op == "add") & ~F.contains(line, F.lit("#")), line).alias("new_text"),
         F.lit("seen").alias("reason"),
-        (F.col("l_discount") * 10).alias("confidence"),
+        F.when(F.contains(line, F.lit(",")), 0.9).when(size > 60, 0.5).otherwise(0.3).alias("confidence"),
     )
 
 
 def run_sizes(spark, sf):
-    st = F.col("o_orderstatus")
-    return table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("run_id"),
-        F.when(st == "F", F.lit(600.0)).alias("page_w"),
-        F.when(st == "F", F.lit(800.0)).alias("page_h"),
-        F.when(st == "P", F.lit(3)).alias("n_refined"),
+    lang = F.col("lang")
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("run_id"),
+        F.when(lang == "en", F.lit(600.0)).alias("page_w"),
+        F.when(lang == "en", F.lit(800.0)).alias("page_h"),
+        F.when(lang == "fr", F.lit(3)).alias("n_refined"),
     )
 
 
@@ -85,39 +74,40 @@ def patched(spark, sf):
     return P.apply_patches(fragments(spark, sf), patches(spark, sf), run_sizes(spark, sf))
 
 
-_RN = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORDER)}) - 1"
 PATCH_CTE = f"""
+{LINES_CTE},
 fr AS (
-  SELECT l_orderkey AS run_id, {_RN} AS frag_ord, '#/texts/' || l_linenumber AS self_ref, l_returnflag AS text,
-         CAST(l_linenumber AS DOUBLE) AS l, l_quantity AS t, CAST(l_linenumber + 10 AS DOUBLE) AS r, l_quantity + 5 AS b
-  FROM lineitem WHERE l_linestatus = 'F'),
+  SELECT doc_id AS run_id, line_no AS frag_ord, '#/texts/' || length(line) AS self_ref, line AS text,
+         CAST(line_no AS DOUBLE) AS l, CAST(length(line) AS DOUBLE) AS t, CAST(line_no + 10 AS DOUBLE) AS r, CAST(length(line) + 5 AS DOUBLE) AS b
+  FROM ln),
 p0 AS (
-  SELECT l_orderkey AS run_id, {_RN} AS patch_ord, l_linenumber AS n, l_quantity AS q, l_tax AS tax, l_shipdate,
-         CASE l_returnflag WHEN 'A' THEN 'assign' WHEN 'N' THEN 'add'
-              ELSE CASE WHEN l_quantity <= 25 THEN 'move' ELSE 'reject' END END AS op, l_discount * 10 AS confidence
-  FROM lineitem WHERE l_linestatus = 'O'),
+  SELECT doc_id AS run_id, line_no AS patch_ord, line, line_no AS n, length(line) AS q, contains(line, 'th') AS normed,
+         CASE WHEN substr(line, 1, 1) < 'C' THEN 'assign' WHEN substr(line, 1, 1) < 'L' THEN 'move'
+              WHEN substr(line, 1, 1) < 'T' THEN 'reject' ELSE 'add' END AS op,
+         CASE WHEN contains(line, ',') THEN 0.9::DOUBLE WHEN length(line) > 60 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence
+  FROM ln),
 p1 AS (
-  SELECT *, CASE WHEN op = 'add' THEN NULL WHEN tax <= 0.04 THEN '#/texts/' || n ELSE 'f' || (n - 1) END AS fragment_id,
-         CASE WHEN tax > 0 THEN 'k' || n WHEN op = 'assign' THEN 'k0' END AS field_key,
-         CASE WHEN op = 'add' AND tax < 0.08 THEN strftime(l_shipdate, '%Y-%m-%d') END AS new_text
+  SELECT *, CASE WHEN op = 'add' THEN NULL WHEN q > 200 THEN '#/texts/' || q WHEN q > 100 THEN 'f' || (n + 1) ELSE '#/texts/' || (q + 1) END AS fragment_id,
+         CASE WHEN q >= 20 THEN 'k' || substr(line, 2, 1) END AS field_key,
+         CASE WHEN op = 'add' AND NOT contains(line, '#') THEN line END AS new_text
   FROM p0),
 idx AS (
   SELECT run_id, alias, max(frag_ord) AS frag_ord
   FROM (SELECT run_id, frag_ord, self_ref AS alias FROM fr UNION ALL SELECT run_id, frag_ord, 'f' || frag_ord FROM fr)
   GROUP BY ALL),
-sz AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 600.0 ELSE 595.44 END::DOUBLE AS w,
-              CASE WHEN o_orderstatus = 'F' THEN 800.0 ELSE 842.04 END::DOUBLE AS h,
-              CASE WHEN o_orderstatus = 'P' THEN 3 ELSE 0 END AS prior FROM orders),
+sz AS (SELECT doc_id AS run_id, CASE WHEN lang = 'en' THEN 600.0 ELSE 595.44 END::DOUBLE AS w,
+              CASE WHEN lang = 'en' THEN 800.0 ELSE 842.04 END::DOUBLE AS h, CASE WHEN lang = 'fr' THEN 3 ELSE 0 END AS prior FROM documents),
 p2 AS (
-  SELECT p1.*, i.frag_ord, coalesce(w, 595.44::DOUBLE) AS w, coalesce(h, 842.04::DOUBLE) AS h, coalesce(prior, 0) AS prior,
-         op IN ('add', 'move') AND tax = 0.04 AS no_box,
-         CASE WHEN tax <= 0.04 THEN n * 10 * (coalesce(w, 595.44::DOUBLE) / 1000) ELSE q END AS l,
-         CASE WHEN tax <= 0.04 THEN q * (coalesce(h, 842.04::DOUBLE) / 1000) ELSE n END AS t,
-         CASE WHEN tax <= 0.04 THEN (n * 10 + 50) * (coalesce(w, 595.44::DOUBLE) / 1000) ELSE q + 5 END AS r,
-         CASE WHEN tax <= 0.04 THEN (q + 100) * (coalesce(h, 842.04::DOUBLE) / 1000) ELSE n + 7 END AS b
+  SELECT p1.*, i.frag_ord, prior,
+         op IN ('add', 'move') AND normed AND contains(line, '|') AS no_box,
+         CASE WHEN normed THEN n * 10 * (w / 1000) ELSE q END AS l,
+         CASE WHEN normed THEN q * (h / 1000) ELSE n END AS t,
+         CASE WHEN normed THEN (n * 10 + 50) * (w / 1000) ELSE q + 5 END AS r,
+         CASE WHEN normed THEN (q + 100) * (h / 1000) ELSE n + 7 END AS b
   FROM p1 LEFT JOIN idx i ON i.run_id = p1.run_id AND i.alias = p1.fragment_id LEFT JOIN sz ON sz.run_id = p1.run_id),
 jd AS (
   SELECT *, CASE WHEN confidence < 0.5 THEN 'low'
+                 WHEN op = 'assign' AND field_key IS NULL THEN 'violation'
                  WHEN op = 'add' AND (new_text IS NULL OR no_box) THEN 'violation'
                  WHEN op <> 'add' AND frag_ord IS NULL THEN 'orphan'
                  WHEN op = 'move' AND no_box THEN 'violation' ELSE 'applied' END AS outcome
@@ -250,9 +240,9 @@ def visible_fragments(spark, sf):
 
 @query(
     "confidence_gate",
-    """
-SELECT l_orderkey AS run_id, count(*) FILTER (l_discount * 10 >= 0.5) AS n_pass, count(*) FILTER (l_discount * 10 < 0.5) AS n_low
-FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1
+    f"""
+WITH {PATCH_CTE}
+SELECT run_id, count(*) FILTER (confidence >= 0.5) AS n_pass, count(*) FILTER (confidence < 0.5) AS n_low FROM p0 GROUP BY 1
 """,
 )
 def confidence_gate(spark, sf):
@@ -317,7 +307,7 @@ def _patch_lists(spark, sf):
     )
     text = F.to_json(F.array(head, tail))
     whole = F.when((st == "O") & (pr == "1-URGENT"), F.concat(F.lit('{"patches":'), text, F.lit("}")))
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("run_id"), F.coalesce(whole, text).alias("patches")
     )
 

@@ -146,5 +146,5 @@ ln AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents"), "doc_id")
     return docs.select(
-        "doc_id", "n_chars", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+        "doc_id", "n_chars", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits the partitions of a hot join key at run time; every join in the package has a
 # side that is unique on its key, which is the case AQE can split.
@@ -39,3 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A path of its own under :func:`shared_dir` for one run of one job."""
     return f"{shared_dir(spark)}/docgrain/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For a result that several outputs start from: it is computed once, lost executors do not
+    lose it, and each output reads only the columns it needs.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
