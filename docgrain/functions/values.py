@@ -53,10 +53,16 @@ def is_object_text(c: Column) -> Column:
 
 
 def scalar_text(v: Column) -> Column:
-    """Leaf value as text, booleans capitalised; null for containers and JSON null."""
+    """Leaf value as text, booleans capitalised; null for containers and JSON null.
+
+    The costly look at the type is only taken where the text could be a container or a boolean.
+    """
     text = F.try_variant_get(v, "$", "string")
-    flag = F.try_variant_get(v, "$", "boolean").isNotNull() & text.isin("true", "false")
-    return F.when(~is_container(v), F.when(flag & (kind(v) == "boolean"), F.initcap(text)).otherwise(text))
+    return (
+        F.when(F.substring(text, 1, 1).isin("{", "[") & is_container(v), None)
+        .when(text.isin("true", "false") & (kind(v) == "boolean"), F.initcap(text))
+        .otherwise(text)
+    )
 
 
 def _json_path(path: Column) -> Column:

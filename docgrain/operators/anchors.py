@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import anchor_text, block_id_page, norm_key
+from ..functions.barrier import compute_once, unroll
+from ..functions.text import anchor_text, blank_to_null, block_id_page, norm_key
 
 MIN_NEEDLE = 2  # shorter keys match almost anything
 
@@ -67,15 +68,8 @@ def anchors_in_payload(
             ),
         )
     )
-    return (
-        rows.select(
-            *keys,
-            F.col("__f.ord").alias("field_ord"),
-            F.col("__f.path").alias("path"),
-            best.getField("id").alias("block_id"),
-        )
-        .filter("block_id IS NOT NULL")
-    )
+    kept = [*keys, F.col("__f.ord").alias("field_ord"), F.col("__f.path").alias("path")]
+    return compute_once(rows, kept, best.getField("id"), "block_id")
 
 
 def anchors_over_tables(
@@ -91,14 +85,11 @@ def anchors_over_tables(
     usable = blocks.filter("block_id IS NOT NULL AND block_id <> ''")
     if page_no is not None:
         usable = usable.filter(F.coalesce("page", F.lit(-1)) == page_no - 1)
-    usable = usable.select(key, "ord", "block_id", hay.alias("hay")).filter("hay <> ''")
+    usable = compute_once(usable, [key, "ord", "block_id"], blank_to_null(hay), "hay")
     needles = runs.select(key, _needles(F.col(fields)).alias("needles"))
     touched = F.filter("needles", lambda f: _touches(f["needle"], F.col("hay")))
-    hits = usable.join(needles, key).select(
-        key,
-        F.explode_outer(touched).alias("f"),
-        F.struct(F.length("hay").alias("n"), "ord", "block_id").alias("cand"),
-    ).filter("f IS NOT NULL")
+    cand = F.struct(F.length("hay").alias("n"), "ord", "block_id").alias("cand")
+    hits = unroll(usable.join(needles, key), touched, [key, cand], "__p", "f")
     best = hits.groupBy(key, "f.path").agg(
         F.min("f.ord").alias("field_ord"), F.min("cand").alias("cand")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import html_table as H
 from ..functions import text as X
+from ..functions.barrier import unroll
 from ..functions.values import kind
 from ..schemas import LETTER_PAGE
 
@@ -22,7 +23,7 @@ STRUCTURED = ["SectionHeader", "Table", "Picture", "ListGroup"]
 
 def explode_blocks(runs: DataFrame, blocks: str, keys: list[str]) -> DataFrame:
     """One row per block with its position ``ord``; documents without blocks give none."""
-    rows = _unroll(runs, F.col(blocks), keys, "ord", "b")
+    rows = unroll(runs, F.col(blocks), keys, "ord", "b")
     return rows.select(
         *keys,
         "ord",
@@ -37,20 +38,10 @@ def explode_blocks(runs: DataFrame, blocks: str, keys: list[str]) -> DataFrame:
     )
 
 
-def _unroll(df: DataFrame, array: Column, keep: list, position: str, item: str) -> DataFrame:
-    """``posexplode`` of a costly array.
-
-    Outer, then filtered: for the plain form the optimizer adds a size check below the explode,
-    which computes the array a second time.
-    """
-    rows = df.select(*keep, F.posexplode_outer(array).alias(position, item))
-    return rows.filter(F.col(position).isNotNull())
-
-
 def html_table_cells(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row per table cell with the size of its table; empty tables give none."""
     tables = df.select(*keys, H.html_cells(F.col(html)).alias("cells"))
-    sized = _unroll(
+    sized = unroll(
         tables,
         F.col("cells"),
         [
@@ -79,7 +70,7 @@ def html_table_cells(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
 
 def list_items(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row per ``<li>`` with its position and stripped text."""
-    return _unroll(df, X.list_items(F.col(html)), keys, "item_ord", "text")
+    return unroll(df, X.list_items(F.col(html)), keys, "item_ord", "text")
 
 
 # ---- pages -------------------------------------------------------------------------------------
@@ -274,7 +265,7 @@ def document_items(blocks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataF
         F.col("block_type") == "ListGroup", F.transform(X.list_items(F.col("html")), entry)
     )
     all_items = F.concat(F.array(head), F.coalesce(entries, F.array()))
-    items = _unroll(typed.filter(~bad), all_items, [*keys, "ord", "level"], "item_ord", "i")
+    items = unroll(typed.filter(~bad), all_items, [*keys, "ord", "level"], "item_ord", "i")
     return (
         items.select(
             *keys, "ord", "item_ord", "i.kind", "i.label", "level",
@@ -403,7 +394,7 @@ def line_term_hits(lines: DataFrame, terms: list[str], keys: list[str]) -> DataF
     wanted = F.array(*[F.lit(t) for t in terms])
     found = F.filter(wanted, lambda t: F.contains(lowered, F.lower(t)))
     rounded = F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence")
-    hits = _unroll(lines, found, [*keys, "line_no", rounded, "text"], "__p", "term")
+    hits = unroll(lines, found, [*keys, "line_no", rounded, "text"], "__p", "term")
     return hits.select(*keys, "line_no", "term", "confidence", "text")
 
 

@@ -7,7 +7,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import contains_pattern, kind, scalar_text
+from ..functions.barrier import compute_once, holds
+from ..functions.values import contains_pattern, is_container, kind, scalar_text
 
 
 def _step(rows: DataFrame) -> DataFrame:
@@ -44,14 +45,11 @@ def flatten_scalars(df: DataFrame, col: str, keys: list[str], depth: int = 4) ->
     )
     for _ in range(depth):
         rows = _step(rows)
-    deeper = F.coalesce(
-        F.size(F.try_variant_get("v", "$", "array<variant>")) > 0,
-        F.size(F.try_variant_get("v", "$", "map<string,variant>")) > 0,
-        F.lit(False),
-    )
+    text = F.try_variant_get("v", "$", "string")
+    deeper = F.substring(text, 1, 1).isin("{", "[") & (F.length(text) > 2) & is_container(F.col("v"))
     message = F.concat(F.lit("nested deeper than the given depth: "), "path")
     value = F.when(deeper, F.raise_error(message)).otherwise(scalar_text(F.col("v")))
-    return rows.select(*keys, "ord", "path", value.alias("value")).filter("value IS NOT NULL")
+    return compute_once(rows, [*keys, "ord", "path"], value, "value")
 
 
 def flatten_field_keys(df: DataFrame, col: str, keys: list[str], depth: int = 4) -> DataFrame:
@@ -146,7 +144,7 @@ def split_extraction(df: DataFrame, col: str, keys: list[str]) -> tuple[DataFram
 
 def payload_contains(df: DataFrame, col: str, pattern: Any) -> DataFrame:
     """Rows whose VARIANT contains the pattern (objects by key, lists by element)."""
-    return df.filter(contains_pattern(F.col(col), pattern))
+    return df.filter(holds(F.col(col), lambda v: contains_pattern(v, pattern)))
 
 
 def page_split(

@@ -6,27 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def split_row_number(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    bucket: Column,
     name: str = "rn",
-    descending: bool = False,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without one task per key.
 
-    ``bucket`` must follow the order (never decrease along it, or never increase with
-    ``descending``); keys and bucket must not be null. Rows are numbered inside (keys, bucket); the
-    rows of earlier buckets are added from a table of bucket sizes, which is all that is ever
-    gathered per key.
+    Rows are numbered inside (keys, bucket); the rows of earlier buckets are added from a table of
+    bucket sizes, which is all that is ever gathered per key. Keys must not be null.
+
+    Buckets follow the order. Without ``bucket`` they are the partitions of a range shuffle over
+    keys and order: sampled from the data, so even, and as many per key at most as there are
+    partitions. Their numbers are frozen by staging the rows. ``bucket`` names a cheaper split
+    where the order column itself has one, such as the hundred-thousands of a position.
     """
     part = "__bucket"
-    tagged = df.withColumn(part, bucket)
-    by_bucket = F.col(part).desc() if descending else F.col(part).asc()
+    if bucket is None:
+        ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+        tagged = stage(ranged.withColumn(part, F.spark_partition_id()), "ranked")
+    else:
+        tagged = df.withColumn(part, bucket)
     sizes = tagged.groupBy(*keys, part).agg(F.count("*").alias("__n"))
-    earlier = W.partitionBy(*keys).orderBy(by_bucket).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         F.col(part).alias("__part"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.barrier import compute_once, unroll
 from ..functions.text import blank_to_null
 from ..functions.values import kind
 from ..schemas import A4_PAGE, CONFIDENCE_FLOOR, PATCH_DDL, PATCH_KEYS, PATCH_OPS
@@ -53,12 +54,9 @@ def parse_patches(df: DataFrame, col: str, key: str = "run_id") -> tuple[DataFra
         .when(F.coalesce(unknown, F.lit(True)), "unknown key")
         .when(F.coalesce(bad_value, F.lit(True)), "invalid value")
     )
-    # A refused list explodes to one empty row; a filter before the explode would parse twice.
-    rows = parsed.select(
-        key, F.posexplode_outer(F.when(reason.isNull(), typed)).alias("patch_ord", "x")
-    ).filter("patch_ord IS NOT NULL")
+    rows = unroll(parsed, F.when(reason.isNull(), typed), [key], "patch_ord", "x")
     good = rows.select(key, F.col("patch_ord").cast("long").alias("patch_ord"), "x.*")
-    refused = parsed.select(key, reason.alias("reject_reason")).filter("reject_reason IS NOT NULL")
+    refused = compute_once(parsed, [key], reason, "reject_reason")
     return good, refused
 
 
@@ -217,8 +215,8 @@ def _added(adds: DataFrame, runs: DataFrame) -> DataFrame:
         adds,
         ["run_id"],
         [F.col("patch_ord").asc()],
-        F.floor(F.col("patch_ord") / ORD_BUCKET),
         name="add_no",
+        bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
     )
     prior = runs.select("run_id", F.coalesce("n_refined", F.lit(0)).cast("long").alias("__prior"))
     number = F.coalesce("__prior", F.lit(0)) + F.col("add_no") - 1
@@ -250,8 +248,8 @@ def _moved(moves: DataFrame, fragments: DataFrame) -> DataFrame:
         moves,
         keys,
         [F.col("patch_ord").asc()],
-        F.floor(F.col("patch_ord") / ORD_BUCKET),
         name="move_no",
+        bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
     )
     earlier = numbered.select(
         *keys, (F.col("move_no") + 1).alias("move_no"), F.col("bbox").alias("__prev")

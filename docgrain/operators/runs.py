@@ -65,15 +65,9 @@ def current_violations(runs: DataFrame, key: str) -> DataFrame:
 def run_history(
     runs: DataFrame, key: str = "document_id", row_id: str = "extraction_run_id"
 ) -> DataFrame:
-    """Runs numbered newest first per key. Months split the history of a busy key."""
-    return split_row_number(
-        runs,
-        [key],
-        [F.col("created_at").desc(), F.col(row_id).desc()],
-        F.date_trunc("month", "created_at"),
-        name="run_rank",
-        descending=True,
-    )
+    """Runs numbered newest first per key."""
+    newest = [F.col("created_at").desc(), F.col(row_id).desc()]
+    return split_row_number(runs, [key], newest, name="run_rank")
 
 
 def page_request(page: int, size: int) -> tuple[int, int]:

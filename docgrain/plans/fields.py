@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..functions.barrier import unroll
 from ..operators import anchors as A
 from ..operators import fields as O
 from .registry import LINES_CTE, norm_sql, query, spread, table
@@ -250,7 +251,7 @@ def typed_leaves(spark, sf):
 
     records = parse_extracted(invoice_json(spark, sf), "extracted", "invoice")
     leaves = V.record_leaves(F.col("record"), RECORDS["invoice"])
-    return records.filter("record IS NOT NULL").select("o_orderkey", F.inline(leaves)).drop("ord")
+    return unroll(records, leaves, ["o_orderkey"], "ord", "leaf").select("o_orderkey", "leaf.path", "leaf.value")
 
 
 # ---- values -------------------------------------------------------------------------------------------

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators import ingest
-from ..sources import payloads, uploads
-from .registry import BLOCKS_CTE, page_blocks, query, spread, table
+from ..session import work_path
+from ..sources import payloads, tables, uploads
+from .registry import BLOCKS_CTE, page_blocks, query, reviews, spread, table
 
 
 def _uploads(spark, sf):
@@ -265,6 +267,100 @@ def invoice_json(spark, sf):
     )
 
 
+@query("scan_uploads")
+def scan_uploads(spark, sf):
+    """The table files themselves as uploads: name, type and size, without reading a byte."""
+    return uploads.scan_uploads(spark, sf, "*.parquet").select("filename", "mime_type", "size_bytes")
+
+
+@query(
+    "blob_table",
+    "SELECT source || '/' || doc_id AS key, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents",
+)
+def blob_table(spark, sf):
+    """Documents written as a blob table in hash shards and read back."""
+    path = work_path(spark, "blobs")
+    store = table(spark, sf, "documents").select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("key"),
+        F.col("text").cast("binary").alias("content"),
+    )
+    uploads.write_blobs(store, path)
+    return uploads.read_blobs(spark, path).select(
+        "key", F.octet_length("content").cast("long").alias("n_bytes")
+    )
+
+
+@query(
+    "stored_reviews",
+    """
+SELECT event_id AS field_review_id, user_id AS extraction_run_id, event_type AS field_path,
+       CAST(value AS VARCHAR) AS edited_value, ts AS created_at FROM events
+""",
+)
+def stored_reviews(spark, sf):
+    """Reviews written as a table version and read back."""
+    root = work_path(spark, "tables")
+    tables.write_table(reviews(spark, sf), root, "field_review")
+    return tables.read_table(spark, root, "field_review").select(
+        "field_review_id", "extraction_run_id", "field_path", "edited_value", "created_at"
+    )
+
+
+@query(
+    "eval_cases",
+    """
+SELECT o_orderpriority AS dataset, 'case-' || o_orderkey AS "case", o_orderkey || '.pdf' AS pdf_path,
+       'INV-' || o_orderkey AS invoice_number, o_orderstatus AS status
+FROM orders WHERE o_orderstatus = 'F'
+""",
+)
+def eval_cases(spark, sf):
+    """Evaluation cases written as JSON lines, loaded, and typed strictly."""
+    path = work_path(spark, "cases")
+    records = invoice_json(spark, sf)
+    orders = table(spark, sf, "orders").join(records, "o_orderkey")
+    key = F.col("o_orderkey").cast("string")
+    orders.select(
+        F.col("o_orderpriority").alias("dataset"),
+        F.concat(F.lit("case-"), key).alias("case"),
+        F.struct(F.concat(key, F.lit(".pdf")).alias("pdf_path")).alias("inputs"),
+        F.col("extracted").alias("expected_output"),
+        F.struct(F.col("o_orderstatus").alias("status")).alias("metadata"),
+    ).write.json(path)
+    cases = payloads.parse_extracted(tables.load_eval_cases(spark, path), "expected", "invoice")
+    return cases.filter("record IS NOT NULL").select(
+        "dataset", "case", "pdf_path", F.col("record.invoice_number").alias("invoice_number"), "status"
+    )
+
+
+@query(
+    "refinement_truth",
+    """
+SELECT o_orderkey AS extraction_run_id, 1 AS page_no, 'total' AS field_key, o_orderstatus AS fragment_id, CAST(o_custkey AS DOUBLE) AS l FROM orders
+UNION ALL SELECT o_orderkey, 1, 'terms', o_orderpriority, CAST(0 AS DOUBLE) FROM orders
+""",
+)
+def refinement_truth(spark, sf):
+    """Per-page truth written as JSON lines and loaded as a long table."""
+    path = work_path(spark, "truth")
+
+    def field(fragment, left):
+        zero = F.lit(0.0)
+        return F.struct(F.col(fragment).alias("fragment_id"), G.box(left, zero, zero, zero).alias("bbox"))
+
+    table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("extraction_run_id"),
+        F.lit(1).alias("page_no"),
+        F.create_map(
+            F.lit("total"), field("o_orderstatus", F.col("o_custkey")),
+            F.lit("terms"), field("o_orderpriority", F.lit(0)),
+        ).alias("fields"),
+    ).write.json(path)
+    return tables.load_refinement_truth(spark, path).select(
+        "extraction_run_id", "page_no", "field_key", "fragment_id", F.col("bbox.l").alias("l")
+    )
+
+
 @query(
     "strict_records",
     """

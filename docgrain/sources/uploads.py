@@ -109,11 +109,14 @@ def shard(key: Column) -> Column:
     return F.substring(F.sha2(key, 256), 1, 2)
 
 
-def write_blobs(store: DataFrame, path: str) -> None:
-    """Hash-cluster on the shard, so each task writes whole shard folders."""
+def write_blobs(store: DataFrame, path: str, files_per_shard: int = 1) -> None:
+    """Cluster on the shard, so that a shard folder is written by ``files_per_shard`` tasks.
+
+    256 shards: raise ``files_per_shard`` until one file of one shard is a size to handle.
+    """
     (
         store.withColumn("shard", shard(F.col("key")))
-        .repartition("shard", F.pmod(F.xxhash64("key"), F.lit(16)))
+        .repartition("shard", F.pmod(F.xxhash64("key"), F.lit(files_per_shard)))
         .write.mode("errorifexists")
         .partitionBy("shard")
         .parquet(path)
