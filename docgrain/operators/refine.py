@@ -171,20 +171,15 @@ def apply_patches(
 
     The order inside a run is carried by ``patch_ord``: the last assignment of a field wins,
     moves of one fragment chain, additions are numbered in order. A run with a patch that breaks
-    the contract gives no output in ``quarantine`` mode and stops the job in ``fail`` mode.
+    the contract gives no output in ``quarantine`` mode; ``fail`` mode raises at the first one.
     """
     judged = stage(_judge(patches, fragment_index(fragments), runs, floor), "judged-patches")
     broken = judged.filter("outcome = 'violation'")
     if mode == "fail":
-        message = F.concat(
-            F.lit("patch contract violated in run "), F.col("run_id").cast("string")
-        )
-        judged = judged.withColumn(
-            "outcome",
-            F.when(F.col("outcome") == "violation", F.raise_error(message)).otherwise(
-                F.col("outcome")
-            ),
-        )
+        for row in broken.select("run_id", "patch_ord", "op").head(1):
+            raise ValueError(
+                f"patch contract violated: run {row.run_id}, patch {row.patch_ord} ({row.op})"
+            )
     else:
         bad_runs = broken.select("run_id").distinct()
         judged = judged.join(bad_runs, "run_id", "left_anti")

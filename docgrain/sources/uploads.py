@@ -11,7 +11,10 @@ UPLOAD_DDL = "filename string, mime_type string, size_bytes long, content binary
 
 
 def scan_uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per file below ``path`` whose name matches ``glob``."""
+    """One row per file below ``path`` whose name matches ``glob``; empty files give none.
+
+    A job that does not select ``content`` reads the listing only.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
