@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,11 +19,10 @@ CELL_DDL = (
 )
 
 
-class _CellReader(HTMLParser):
-    """Collects placed cells. ``taken`` holds (first col, end col, first free row) per cell."""
+class _Grid:
+    """Places cells. ``taken`` holds (first col, end col, first free row) per cell still in reach."""
 
     def __init__(self) -> None:
-        super().__init__()
         self.placed: list[tuple] = []
         self.taken: list[tuple[int, int, int]] = []
         self.row = -1
@@ -30,22 +30,20 @@ class _CellReader(HTMLParser):
         self.open_cell: tuple | None = None
         self.words: list[str] = []
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attrs: dict) -> None:
         if tag == "tr":
             self.row += 1
         elif tag in ("td", "th"):
-            spans = dict(attrs)
-            down = int(spans.get("rowspan") or 1)
-            across = int(spans.get("colspan") or 1)
+            down, across = int(attrs.get("rowspan") or 1), int(attrs.get("colspan") or 1)
             self.open_cell, self.words = (tag == "th", down, across), []
         elif tag == "br" and self.open_cell:
             self.words.append("\n")
 
-    def handle_data(self, data):
+    def text(self, data: str) -> None:
         if self.open_cell:
             self.words.append(data)
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag not in ("td", "th") or not self.open_cell:
             return
         header, down, across = self.open_cell
@@ -67,6 +65,56 @@ class _CellReader(HTMLParser):
         return col
 
 
+class _AnyHtml(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__()
+        self.grid = _Grid()
+
+    def handle_starttag(self, tag, attrs):
+        self.grid.start(tag, dict(attrs))
+
+    def handle_endtag(self, tag):
+        self.grid.end(tag)
+
+    def handle_data(self, data):
+        self.grid.text(data)
+
+
+# Markup an OCR engine writes: tags with quoted attributes, and text. Anything else (comments,
+# scripts, bare ampersands in attributes, stray brackets) goes through the full parser.
+_TOKEN = re.compile(
+    r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z][a-zA-Z-]*="[^"&<>]*")*)\s*(/?)>|([^<]+)"""
+)
+_ATTR = re.compile(r"([a-zA-Z-]+)=\"([^\"]*)\"")
+_RAW_TEXT = {
+    "script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript",
+    "plaintext",
+}
+
+
+def _plain_markup(html: str) -> _Grid | None:
+    """Cells of simple markup, or None if the full parser has to look at it."""
+    grid, at = _Grid(), 0
+    for m in _TOKEN.finditer(html):
+        if m.start() != at:
+            return None
+        at = m.end()
+        closing, tag, attrs, empty, text = m.groups()
+        if text is not None:
+            grid.text(unescape(text) if "&" in text else text)
+            continue
+        tag = tag.lower()
+        if tag in _RAW_TEXT:
+            return None
+        if closing:
+            grid.end(tag)
+        else:
+            grid.start(tag, {k.lower(): v for k, v in _ATTR.findall(attrs)} if attrs else {})
+            if empty:
+                grid.end(tag)
+    return grid if at == len(html) else None
+
+
 def _plain(html: str) -> str:
     text = re.sub(r"<[^>]+>", " ", html)
     for entity, char in ENTITIES:
@@ -74,16 +122,23 @@ def _plain(html: str) -> str:
     return " ".join(text.split())
 
 
+def parse_any(html: str) -> _Grid:
+    parser = _AnyHtml()
+    parser.feed(html)
+    return parser.grid
+
+
 def read_cells(html: str | None) -> list[tuple]:
     """Cells of one HTML table; unreadable spans give one cell with the stripped text."""
     if not html:
         return []
-    reader = _CellReader()
     try:
-        reader.feed(html)
+        grid = _plain_markup(html)
+        if grid is None:
+            grid = parse_any(html)
     except Exception:  # any unreadable table keeps its text
         return [(0, 0, 1, 1, _plain(html), None)]
-    return reader.placed
+    return grid.placed
 
 
 def _cell_function() -> Callable[[Column], Column]:

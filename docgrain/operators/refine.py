@@ -10,7 +10,7 @@ runs       run_id, page_w, page_h, n_refined  (one row per run; sizes and count
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,20 +136,6 @@ def _judge(patches: DataFrame, index: DataFrame, runs: DataFrame, floor: float)
     return found.withColumn("outcome", outcome).drop("alias")
 
 
-@dataclass
-class Patched:
-    """Everything one refinement pass leaves behind, as long tables."""
-
-    fragments: DataFrame
-    assignments: DataFrame
-    rejected: DataFrame
-    added: DataFrame
-    moved: DataFrame
-    low: DataFrame
-    orphans: DataFrame
-    violations: DataFrame
-
-
 def contract_violations(
     patches: DataFrame, fragments: DataFrame, runs: DataFrame, floor: float = CONFIDENCE_FLOOR
 ) -> DataFrame:
@@ -175,56 +161,77 @@ def apply_patches(
     """
     judged = stage(_judge(patches, fragment_index(fragments), runs, floor), "judged-patches")
     broken = judged.filter("outcome = 'violation'")
-    if mode == "fail":
-        for row in broken.select("run_id", "patch_ord", "op").head(1):
-            raise ValueError(
-                f"patch contract violated: run {row.run_id}, patch {row.patch_ord} ({row.op})"
-            )
-    else:
+    first = broken.select("run_id", "patch_ord", "op").head(1)
+    if first and mode == "fail":
+        row = first[0]
+        raise ValueError(
+            f"patch contract violated: run {row.run_id}, patch {row.patch_ord} ({row.op})"
+        )
+    if first:
         bad_runs = broken.select("run_id").distinct()
-        judged = judged.join(bad_runs, "run_id", "left_anti")
+        judged = stage(judged.join(bad_runs, "run_id", "left_anti"), "kept-patches")
         fragments = fragments.join(bad_runs, "run_id", "left_anti")
-    applied = judged.filter("outcome = 'applied'")
+    return Patched(judged, broken.select(*patches.columns), fragments, runs, prior_assignments)
 
-    added = _added(applied.filter("op = 'add'"), runs)
-    moved = _moved(applied.filter("op = 'move'"), fragments)
-    assignments = _assignments(applied.filter("op = 'assign'"), added, prior_assignments)
-    rejected = applied.filter("op = 'reject'").select(
-        "run_id", "patch_ord", "fragment_id", "frag_ord", "confidence", "reason"
-    )
-    raw = patches.columns
-    return Patched(
-        fragments=_patched_fragments(fragments, moved, added),
-        assignments=assignments,
-        rejected=rejected,
-        added=added,
-        moved=moved,
-        low=judged.filter("outcome = 'low'").select(*raw),
-        orphans=judged.filter("outcome = 'orphan'").select(*raw),
-        violations=broken.select(*raw),
-    )
 
+class Patched:
+    """Everything one refinement pass leaves behind, as long tables computed on demand.
 
-def _added(adds: DataFrame, runs: DataFrame) -> DataFrame:
-    numbered = split_row_number(
-        adds,
-        ["run_id"],
-        [F.col("patch_ord").asc()],
-        name="add_no",
-        bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
-    )
-    prior = runs.select("run_id", F.coalesce("n_refined", F.lit(0)).cast("long").alias("__prior"))
-    number = F.coalesce("__prior", F.lit(0)) + F.col("add_no") - 1
-    return (
-        numbered.join(prior, "run_id", "left")
-        .withColumn("refined_no", number)
-        .select(
+    Additions and moves feed other outputs as well, so they are staged when first asked for.
+    """
+
+    def __init__(
+        self,
+        judged: DataFrame,
+        violations: DataFrame,
+        fragments: DataFrame,
+        runs: DataFrame,
+        prior: DataFrame | None,
+    ) -> None:
+        self.violations = violations
+        self._raw = violations.columns
+        self._judged, self._base, self._runs, self._prior = judged, fragments, runs, prior
+
+    def _applied(self, op: str) -> DataFrame:
+        return self._judged.filter((F.col("outcome") == "applied") & (F.col("op") == op))
+
+    def _set_aside(self, outcome: str) -> DataFrame:
+        return self._judged.filter(F.col("outcome") == outcome).select(*self._raw)
+
+    @cached_property
+    def low(self) -> DataFrame:
+        """Patches below the confidence floor: recorded, not applied."""
+        return self._set_aside("low")
+
+    @cached_property
+    def orphans(self) -> DataFrame:
+        """Patches whose fragment does not exist: recorded, not applied."""
+        return self._set_aside("orphan")
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        """Fragments flagged as artifacts; the fragments themselves stay."""
+        return self._applied("reject").select(
+            "run_id", "patch_ord", "fragment_id", "frag_ord", "confidence", "reason"
+        )
+
+    @cached_property
+    def added(self) -> DataFrame:
+        """New fragments, numbered after those the run already had."""
+        numbered = split_row_number(
+            self._applied("add"),
+            ["run_id"],
+            [F.col("patch_ord").asc()],
+            name="add_no",
+            bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
+        )
+        prior = self._runs.select("run_id", F.col("n_refined").cast("long").alias("__prior"))
+        number = F.coalesce("__prior", F.lit(0)) + F.col("add_no") - 1
+        rows = numbered.join(prior, "run_id", "left").select(
             "run_id",
             "patch_ord",
-            "refined_no",
-            F.concat(F.lit("#/refined-texts/"), F.col("refined_no").cast("string")).alias(
-                "fragment_id"
-            ),
+            "add_no",
+            F.concat(F.lit("#/refined-texts/"), number.cast("string")).alias("fragment_id"),
             "field_key",
             F.col("new_text").alias("text"),
             "bbox",
@@ -232,82 +239,83 @@ def _added(adds: DataFrame, runs: DataFrame) -> DataFrame:
             "confidence",
             "reason",
         )
-    )
-
-
-def _moved(moves: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Moves with the box before and after. A fragment's next move starts where the last ended:
-    moves are numbered per fragment and each looks up its predecessor by number."""
-    keys = ["run_id", "frag_ord"]
-    numbered = split_row_number(
-        moves,
-        keys,
-        [F.col("patch_ord").asc()],
-        name="move_no",
-        bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
-    )
-    earlier = numbered.select(
-        *keys, (F.col("move_no") + 1).alias("move_no"), F.col("bbox").alias("__prev")
-    )
-    origin = fragments.select(*keys, F.col("bbox").alias("__origin"))
-    return (
-        numbered.join(earlier, [*keys, "move_no"], "left")
-        .join(origin, keys, "left")
-        .select(
-            *keys,
-            "patch_ord",
-            "move_no",
-            "fragment_id",
-            F.when(F.col("move_no") > 1, F.col("__prev"))
-            .otherwise(F.col("__origin"))
-            .alias("before"),
-            F.col("bbox").alias("after"),
-            "confidence",
-            "reason",
+        return stage(rows, "added-fragments")
+
+    @cached_property
+    def moved(self) -> DataFrame:
+        """Moves with the box before and after. A fragment's next move starts where the last one
+        ended: moves are numbered per fragment and each looks up its predecessor by number."""
+        keys = ["run_id", "frag_ord"]
+        numbered = stage(
+            split_row_number(
+                self._applied("move"),
+                keys,
+                [F.col("patch_ord").asc()],
+                name="move_no",
+                bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
+            ).select(*keys, "move_no", "patch_ord", "fragment_id", "bbox", "confidence", "reason"),
+            "numbered-moves",
+        )
+        earlier = numbered.select(
+            *keys, (F.col("move_no") + 1).alias("move_no"), F.col("bbox").alias("__prev")
+        )
+        origin = self._base.select(*keys, F.col("bbox").alias("__origin"))
+        rows = (
+            numbered.join(earlier, [*keys, "move_no"], "left")
+            .join(origin, keys, "left")
+            .select(
+                *keys,
+                "patch_ord",
+                "move_no",
+                "fragment_id",
+                F.when(F.col("move_no") > 1, F.col("__prev"))
+                .otherwise(F.col("__origin"))
+                .alias("before"),
+                F.col("bbox").alias("after"),
+                "confidence",
+                "reason",
+            )
+        )
+        return stage(rows, "moved-fragments")
+
+    @cached_property
+    def assignments(self) -> DataFrame:
+        """Fragment of each field: the last assignment or addition that names the field."""
+        columns = ["run_id", "patch_ord", "field_key", "fragment_id", "confidence", "reason"]
+        rows = self._applied("assign").select(*columns).unionByName(
+            self.added.filter("field_key IS NOT NULL AND field_key <> ''").select(*columns)
+        )
+        if self._prior is not None:
+            before = self._prior.withColumn("patch_ord", F.lit(-1).cast("long"))
+            rows = rows.unionByName(before.select(*columns))
+        value = F.struct("fragment_id", "confidence", "reason", "patch_ord")
+        return (
+            rows.groupBy("run_id", "field_key")
+            .agg(F.max_by(value, "patch_ord").alias("a"))
+            .select("run_id", "field_key", "a.*")
         )
-    )
-
-
-def _assignments(assigns: DataFrame, added: DataFrame, prior: DataFrame | None) -> DataFrame:
-    columns = ["run_id", "patch_ord", "field_key", "fragment_id", "confidence", "reason"]
-    rows = assigns.select(*columns).unionByName(
-        added.filter("field_key IS NOT NULL AND field_key <> ''").select(*columns)
-    )
-    if prior is not None:
-        rows = rows.unionByName(prior.withColumn("patch_ord", F.lit(-1).cast("long")).select(*columns))
-    value = F.struct("fragment_id", "confidence", "reason", "patch_ord")
-    return (
-        rows.groupBy("run_id", "field_key")
-        .agg(F.max_by(value, "patch_ord").alias("a"))
-        .select("run_id", "field_key", "a.*")
-    )
-
 
-def _patched_fragments(fragments: DataFrame, moved: DataFrame, added: DataFrame) -> DataFrame:
-    last = moved.groupBy("run_id", "frag_ord").agg(
-        F.max_by("after", "move_no").alias("__after")
-    )
-    kept = (
-        fragments.join(last, ["run_id", "frag_ord"], "left")
-        .withColumn("bbox", F.coalesce("__after", "bbox"))
-        .select("run_id", "frag_ord", "self_ref", "text", "bbox", "source", "confidence")
-    )
-    sizes = fragments.groupBy("run_id").agg((F.max("frag_ord") + 1).alias("__n"))
-    offset = added.groupBy("run_id").agg(F.min("refined_no").alias("__first"))
-    fresh = (
-        added.join(sizes, "run_id", "left")
-        .join(offset, "run_id", "left")
-        .select(
+    @cached_property
+    def fragments(self) -> DataFrame:
+        """Fragments after the pass: moved boxes in place, additions after the last position."""
+        columns = ["run_id", "frag_ord", "self_ref", "text", "bbox", "source", "confidence"]
+        last = self.moved.groupBy("run_id", "frag_ord").agg(
+            F.max_by("after", "move_no").alias("__after")
+        )
+        kept = self._base.join(last, ["run_id", "frag_ord"], "left").withColumn(
+            "bbox", F.coalesce("__after", "bbox")
+        )
+        sizes = self._base.groupBy("run_id").agg((F.max("frag_ord") + 1).alias("__n"))
+        fresh = self.added.join(sizes, "run_id", "left").select(
             "run_id",
-            (F.coalesce("__n", F.lit(0)) + F.col("refined_no") - F.col("__first")).alias("frag_ord"),
+            (F.coalesce("__n", F.lit(0)) + F.col("add_no") - 1).alias("frag_ord"),
             F.col("fragment_id").alias("self_ref"),
             "text",
             "bbox",
             F.lit("vlm").alias("source"),
             "confidence",
         )
-    )
-    return kept.unionByName(fresh)
+        return kept.select(*columns).unionByName(fresh)
 
 
 def visible_fragments(fragments: DataFrame, rejected: DataFrame) -> DataFrame:

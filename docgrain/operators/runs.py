@@ -15,13 +15,15 @@ def append_runs(runs: DataFrame, new: DataFrame, key: str, row_id: str) -> DataF
     Old history passes through untouched: only the rows that are current today meet the keys of
     the new runs.
     """
-    touched = new.select(key).distinct()
-    current = runs.filter("is_current")
-    demoted = current.join(touched, key, "left_semi").withColumn("is_current", F.lit(False))
-    kept = current.join(touched, key, "left_anti")
+    touched = new.select(key).distinct().withColumn("__touched", F.lit(True))
+    current = (
+        runs.filter("is_current")
+        .join(touched, key, "left")
+        .withColumn("is_current", F.col("__touched").isNull())
+        .drop("__touched")
+    )
     added = mark_latest(new, key, row_id)
-    history = runs.filter("NOT is_current")
-    out = history.unionByName(kept).unionByName(demoted)
+    out = runs.filter("NOT is_current").unionByName(current)
     return out.unionByName(added, allowMissingColumns=True)
 
 

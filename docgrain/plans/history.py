@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as H
 from ..operators.ranking import mark_latest
+from ..session import stage
 from .registry import query, runs, table
 
 
@@ -27,7 +28,9 @@ def current_runs(spark, sf):
 def _appended(spark, sf):
     """Finished orders are the stored history, all others arrive now."""
     rows = runs(spark, sf)
-    stored = mark_latest(rows.filter("doc_type = 'F'"), "document_id", "extraction_run_id")
+    stored = stage(
+        mark_latest(rows.filter("doc_type = 'F'"), "document_id", "extraction_run_id"), "history"
+    )
     new = rows.filter("doc_type <> 'F'")
     documents = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("document_id"),
@@ -83,7 +86,9 @@ def append_refinements(spark, sf):
     unique = turns.withColumn(
         "row_id", F.col("extraction_run_id") * 100000 + F.col("refinement_run_id")
     )
-    stored = mark_latest(unique.filter("role <> 'assistant'"), "extraction_run_id", "row_id")
+    stored = stage(
+        mark_latest(unique.filter("role <> 'assistant'"), "extraction_run_id", "row_id"), "history"
+    )
     new = unique.filter("role = 'assistant'")
     out = H.append_runs(stored, new, "extraction_run_id", "row_id")
     return out.select("extraction_run_id", "refinement_run_id", "is_current")

@@ -105,8 +105,11 @@ def _order_runs(spark, sf):
     orders excepted, so that some customers have runs but no current one."""
     from ..operators.ranking import mark_latest
 
-    rows = runs(spark, sf).join(
-        _payload_runs(spark, sf).select("extraction_run_id", "extracted"), "extraction_run_id"
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("extraction_run_id"),
+        F.col("o_custkey").alias("document_id"),
+        F.col("o_orderstatus").alias("doc_type"),
+        F.to_json(F.struct(F.col("o_orderstatus").alias("status"))).alias("extracted"),
     )
     marked = mark_latest(rows, "document_id", "extraction_run_id")
     return marked.withColumn("is_current", F.col("is_current") & (F.col("doc_type") != "F"))

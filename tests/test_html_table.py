@@ -1,7 +1,7 @@
 import random
 
 
-from docgrain.functions.html_table import read_cells
+from docgrain.functions.html_table import _plain_markup, parse_any, read_cells
 from docgrain.operators.blocks import document_text, html_table_cells
 
 
@@ -42,6 +42,24 @@ def test_random_spans():
         assert read_cells(render(rows)) == naive(rows)
 
 
+def test_both_parsers_agree():
+    rng = random.Random(5)
+    bits = [
+        "<tr>", "</tr>", "<td>", "</td>", '<th colspan="2">', "</th>", '<TD ROWSPAN="2" class="x">', "text ",
+        "a &amp; b", "&lt;", "<br>", "<br/>", "<td/>", "<b>", "</b>", "&nbsp;x", "<!-- c -->", "1 < 2", "<td rowspan=2>",
+        "<script>var a='<td>';</script>", "&copy", "<td colspan='3'>", "<>", "</ td>",
+    ]
+    plain = 0
+    for _ in range(2000):
+        simple = rng.random() < 0.5
+        html = "".join(rng.choices(bits[:16] if simple else bits, k=rng.randint(1, 14)))
+        grid = _plain_markup(html)
+        if grid is not None:
+            plain += 1
+            assert grid.placed == parse_any(html).placed, html
+    assert plain > 500
+
+
 def test_edges():
     assert read_cells(None) == [] and read_cells("") == [] and read_cells("<p>x</p>") == []
     assert read_cells('<tr><td rowspan="x">a &amp; b</td></tr>') == [(0, 0, 1, 1, "a & b", None)]
