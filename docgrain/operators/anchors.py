@@ -37,7 +37,7 @@ def anchors_in_payload(
     """Anchors where a row holds both the fields and the blocks of one document.
 
     ``fields`` is array<struct<ord,path,value>>, ``blocks`` the payload's block array. No
-    shuffle: the fields are exploded and each is compared with the blocks of its own row.
+    shuffle: each field is compared with the blocks of its own row, and only anchors leave it.
     """
     usable = F.filter(
         F.transform(
@@ -53,23 +53,27 @@ def anchors_in_payload(
     )
     if page_no is not None:
         usable = F.filter(usable, lambda b: F.coalesce(b["page"], F.lit(-1)) == page_no - 1)
-    # explode keeps the prepared block array a computed column; inlined into the comparison it
-    # would be computed again for every field. The outer form keeps the optimizer from adding a
-    # size check that computes the fields twice; documents without fields drop out at the end.
-    rows = df.select(
-        *keys, usable.alias("__b"), F.explode_outer(_needles(F.col(fields))).alias("__f")
-    )
-    needle = F.col("__f.needle")
-    best = F.array_min(
-        F.transform(
-            F.filter("__b", lambda b: _touches(needle, b["hay"])),
+    # Both prepared arrays pass an explode, which keeps them computed columns; inlined into the
+    # comparison they would be computed again for every pair.
+    both = F.struct(usable.alias("blocks"), _needles(F.col(fields)).alias("needles"))
+    rows = compute_once(df, keys, both, "__x")
+
+    def anchor(f: Column) -> Column:
+        touched = F.filter("__x.blocks", lambda b: _touches(f["needle"], b["hay"]))
+        ranked = F.transform(
+            touched,
             lambda b: F.struct(
                 F.length(b["hay"]).alias("n"), b["ord"].alias("o"), b["id"].alias("id")
             ),
         )
-    )
-    kept = [*keys, F.col("__f.ord").alias("field_ord"), F.col("__f.path").alias("path")]
-    return compute_once(rows, kept, best.getField("id"), "block_id")
+        return F.struct(
+            f["ord"].alias("field_ord"),
+            f["path"].alias("path"),
+            F.array_min(ranked).getField("id").alias("block_id"),
+        )
+
+    found = unroll(rows, F.transform("__x.needles", anchor), keys, "__p", "a")
+    return found.filter("a.block_id IS NOT NULL").select(*keys, "a.*")
 
 
 def anchors_over_tables(

@@ -137,6 +137,8 @@ def page_sizes(df: DataFrame, page_info: str, pages: str, keys: list[str]) -> Da
         ),
     )
     # A list may name a page twice; the later entry counts, so later ones are found first.
+    numbers = F.transform("__known", lambda p: p["page_no"])
+    repeated = F.size(F.array_distinct(numbers)) < F.size(numbers)
     last = F.filter(
         "__known",
         lambda p, i: ~F.exists(
@@ -144,7 +146,8 @@ def page_sizes(df: DataFrame, page_info: str, pages: str, keys: list[str]) -> Da
             lambda q: q["page_no"] == p["page_no"],
         ),
     )
-    return known.select(*keys, F.inline(F.concat(last, missing)))
+    sizes = F.concat(F.when(repeated, last).otherwise(F.col("__known")), missing)
+    return known.select(*keys, F.inline(sizes))
 
 
 _SIZES = "array<struct<page_no:int,width:double,height:double>>"

@@ -111,6 +111,12 @@ def page_lookup(pages: DataFrame, document_id: object, page_no: int) -> DataFram
     return pages.filter((F.col("document_id") == document_id) & (F.col("page_no") == page_no))
 
 
+def pages_for(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """Pages of many lookups (document_id, page_no) at once."""
+    keys = ["document_id", "page_no"]
+    return pages.join(requests.select(*keys).distinct(), keys, "left_semi")
+
+
 def list_pages(pages: DataFrame, document_id: object) -> DataFrame:
     return pages.filter(F.col("document_id") == document_id).orderBy("page_no")
 
@@ -119,6 +125,11 @@ def run_by_id(runs: DataFrame, run_id: int) -> DataFrame:
     return runs.filter(F.col("extraction_run_id") == run_id)
 
 
+def runs_for(runs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Runs of many ids (extraction_run_id) at once."""
+    return runs.join(ids.select("extraction_run_id").distinct(), "extraction_run_id", "left_semi")
+
+
 def effective_scaffold(runs: DataFrame, refinements: DataFrame) -> DataFrame:
     """Scaffold shown for each run: that of its current refinement, else its own."""
     refined = refinements.filter("is_current").select("extraction_run_id", "scaffold_out")

@@ -167,19 +167,33 @@ def document_detail(spark, sf):
 
 @query(
     "page_lookup",
-    f"WITH {PAGES_SQL} SELECT document_id, page_no, width_px FROM pg WHERE document_id = 5979 OR (document_id = 7 AND page_no = 3)",
+    f"""
+WITH {PAGES_SQL}
+SELECT document_id, page_no, width_px FROM pg JOIN orders ON o_orderkey = document_id
+ AND page_no = CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 3 END
+""",
 )
 def page_lookup(spark, sf):
-    pages = _pages(spark, sf)
-    return H.list_pages(pages, 5979).unionByName(H.page_lookup(pages, 7, 3))
+    """One page of every order: the first of finished ones, the third of others."""
+    asked = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("document_id"),
+        F.when(F.col("o_orderstatus") == "F", 1).otherwise(3).alias("page_no"),
+    )
+    return H.pages_for(_pages(spark, sf), asked)
 
 
 @query(
-    "run_by_id",
-    "SELECT o_orderkey AS extraction_run_id, o_custkey AS document_id, o_orderpriority AS llm_model FROM orders WHERE o_orderkey = 77",
+    "run_lookup",
+    """
+SELECT o_orderkey AS extraction_run_id, o_custkey AS document_id, o_orderpriority AS llm_model
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+""",
 )
-def run_by_id(spark, sf):
-    return H.run_by_id(runs(spark, sf), 77).select("extraction_run_id", "document_id", "llm_model")
+def run_lookup(spark, sf):
+    ids = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("extraction_run_id")
+    )
+    return H.runs_for(runs(spark, sf), ids).select("extraction_run_id", "document_id", "llm_model")
 
 
 @query(

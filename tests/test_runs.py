@@ -77,6 +77,17 @@ def test_mark_latest_moves_no_hot_rows(spark):
     assert out.count() == 1000
 
 
+def test_lookups(spark):
+    pages = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "document_id string, page_no int")
+    assert H.page_lookup(pages, "a", 2).count() == 1
+    assert [r.page_no for r in H.list_pages(pages, "a").collect()] == [1, 2]
+    asked = spark.createDataFrame([("b", 1), ("b", 1), ("z", 1)], "document_id string, page_no int")
+    assert [r.document_id for r in H.pages_for(pages, asked).collect()] == ["b"]
+    runs = spark.createDataFrame([("a", 1), ("b", 2)], "document_id string, extraction_run_id long")
+    assert H.run_by_id(runs, 2).first().document_id == "b"
+    assert H.runs_for(runs, runs.filter("document_id = 'a'")).count() == 1
+
+
 def test_listing(spark):
     day = dt.datetime(2024, 1, 1)
     docs = spark.createDataFrame([(i, day + dt.timedelta(days=i // 2)) for i in range(25)], "document_id long, created_at timestamp")
