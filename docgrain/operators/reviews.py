@@ -137,8 +137,8 @@ def extracted_view(runs: DataFrame, reviews: DataFrame) -> DataFrame:
     """Runs with ``view``: the extracted record under its latest edits.
 
     Edits of one run are applied in the order in which their fields were first reviewed. At most
-    one edit per field reaches the run's row, where the result is one record as well. Records of
-    runs without edits do not go through Python.
+    one edit per field reaches the run's row, where the result is one record as well. Runs
+    without edits do not go through Python.
     """
     per_run = (
         latest_reviews(reviews)
@@ -158,13 +158,12 @@ def extracted_view(runs: DataFrame, reviews: DataFrame) -> DataFrame:
     steps = F.transform(
         "edits", lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value"))
     )
-    edited = overlay_json(F.when(F.col("edits").isNotNull(), F.col("extracted")), steps)
-    return (
-        runs.join(per_run, "extraction_run_id", "left")
-        .withColumn("__edited", edited)
-        .withColumn("view", F.coalesce("__edited", "extracted"))
-        .drop("edits", "__edited")
+    edited = runs.join(per_run, "extraction_run_id").withColumn(
+        "view", overlay_json(F.col("extracted"), steps)
     )
+    touched = reviews.select("extraction_run_id").distinct()
+    untouched = runs.join(touched, "extraction_run_id", "left_anti")
+    return edited.drop("edits").unionByName(untouched.withColumn("view", F.col("extracted")))
 
 
 def delete_review(reviews: DataFrame, runs: DataFrame, requests: DataFrame) -> DataFrame:
