@@ -17,10 +17,6 @@ from ..functions.barrier import unroll
 from ..functions.values import kind
 from ..schemas import LETTER_PAGE
 
-# Block types that do not become a plain text item.
-STRUCTURED = ["SectionHeader", "Table", "Picture", "ListGroup"]
-
-
 def explode_blocks(runs: DataFrame, blocks: str, keys: list[str]) -> DataFrame:
     """One row per block with its position ``ord``; documents without blocks give none."""
     rows = unroll(runs, F.col(blocks), keys, "ord", "b")

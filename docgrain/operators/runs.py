@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import DEFAULT_PAGE_SIZE, DOC_STATUSES, DOC_TYPES, PAGE_SIZES
+from ..schemas import DEFAULT_PAGE_SIZE, DOC_STATUSES, DOC_TYPES, PAGE_SIZES, PAYLOAD_VERSION
 from .ranking import latest_per_key, mark_latest, split_row_number
 
 
@@ -30,7 +30,12 @@ def append_runs(runs: DataFrame, new: DataFrame, key: str, row_id: str) -> DataF
 def append_extraction_run(
     runs: DataFrame, new: DataFrame, documents: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Append extraction runs and set doc_type and status of the documents they belong to."""
+    """Append extraction runs and set doc_type and status of the documents they belong to.
+
+    New runs that name no payload version get the present one.
+    """
+    if "schema_version" in runs.columns and "schema_version" not in new.columns:
+        new = new.withColumn("schema_version", F.lit(PAYLOAD_VERSION))
     out = append_runs(runs, new, "document_id", "extraction_run_id")
     last = latest_per_key(
         new.select("document_id", "extraction_run_id", F.col("doc_type").alias("new_type")),
@@ -48,6 +53,7 @@ def append_extraction_run(
 
 
 def append_refinement_run(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """Append refinement runs; per extraction run the last inserted one becomes current."""
     return append_runs(runs, new, "extraction_run_id", "refinement_run_id")
 
 

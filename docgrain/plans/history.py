@@ -90,8 +90,12 @@ def append_refinements(spark, sf):
         mark_latest(unique.filter("role <> 'assistant'"), "extraction_run_id", "row_id"), "history"
     )
     new = unique.filter("role = 'assistant'")
-    out = H.append_runs(stored, new, "extraction_run_id", "row_id")
-    return out.select("extraction_run_id", "refinement_run_id", "is_current")
+    # The turn number restarts in every conversation, so the id has to name both.
+    out = H.append_refinement_run(
+        stored.withColumn("turn", F.col("refinement_run_id")).withColumn("refinement_run_id", F.col("row_id")),
+        new.withColumn("turn", F.col("refinement_run_id")).withColumn("refinement_run_id", F.col("row_id")),
+    )
+    return out.select("extraction_run_id", F.col("turn").alias("refinement_run_id"), "is_current")
 
 
 @query(

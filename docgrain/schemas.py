@@ -110,8 +110,6 @@ RECORDS: dict[str, T.StructType] = {
 }
 
 # ---- nested shapes ------------------------------------------------------------------------
-BBOX = T.StructType([T.StructField(side, T.DoubleType()) for side in ("l", "t", "r", "b")])
-
 BLOCK_DDL = (
     "struct<id:string,block_type:string,html:string,markdown:string,page:int,"
     "polygon:array<array<double>>,bbox:array<double>,section_hierarchy:map<string,string>>"

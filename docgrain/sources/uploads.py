@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import media_type
 
-UPLOAD_DDL = "filename string, mime_type string, size_bytes long, content binary"
-
-
 def scan_uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row per file below ``path`` whose name matches ``glob``; empty files give none.
 

@@ -26,6 +26,9 @@ def test_append_is_idempotent_in_effect(spark):
         "a": ("invoice", "extracted"), "b": ("invoice", "extracted"),
     }
     assert H.current_violations(runs, "document_id").count() == 0
+    versioned = runs.withColumn("schema_version", F.lit("old"))
+    grown, _ = H.append_extraction_run(versioned, spark.createDataFrame([("b", 9, "invoice", None)], RUN), docs)
+    assert grown.filter("extraction_run_id = 9").first().schema_version == "extraction.v1"
     again, _ = H.append_extraction_run(runs, empty, docs)
     assert flags(again) == flags(runs)
     assert {r.extraction_run_id for r in H.current_runs(runs).collect()} == {3, 4}
