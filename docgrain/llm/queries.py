@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, mixing, sharding, simhash
+from . import contamination, langid, mixing, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op1_langid(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
 
+@query("op3_substrings")
+def op3_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.kept_digest(substrings.remove_repeats(table(spark, sf, "documents")))
+
+
 @query("op4_contamination")
 def op4_contamination(spark: SparkSession, sf: str) -> DataFrame:
     found = contamination.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
