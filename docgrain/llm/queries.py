@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, mixing, sharding, simhash, substrings
+from . import contamination, langid, lm_scoring, mixing, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,6 +54,11 @@ def op8_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_order(table(spark, sf, "documents"))
 
 
+@query("op9_lm_scores")
+def op9_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf, "documents"))
+
+
 @query("op10_shards")
 def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf, "documents"))
