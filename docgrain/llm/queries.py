@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, lm_scoring, mixing, sharding, simhash, substrings
+from . import contamination, langid, lm_scoring, mixing, sharding, simhash, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,26 @@ def op1_langid(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
 
+TOP_K_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op2_topk", TOP_K_SQL)
+def op2_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf, "embeddings"))
+
+
 @query("op3_substrings")
 def op3_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.kept_digest(substrings.remove_repeats(table(spark, sf, "documents")))
