@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, lm_scoring, mixing, sharding, simhash, substrings, topk
+from ..session import work_path
+from . import contamination, langid, lm_scoring, mixing, sharding, simhash, substrings, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,6 +70,13 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf, "documents"))
 
 
+@query("op7_warc")
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
 @query("op8_mix")
 def op8_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_order(table(spark, sf, "documents"))
