@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import work_path
-from . import contamination, langid, lm_scoring, mixing, sharding, simhash, substrings, topk, warc
+from ..session import stage, work_path
+from . import contamination, langid, lm_scoring, mixing, rollups, sharding, simhash, substrings, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,6 +66,45 @@ def op4_contamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.contamination_digest(found)
 
 
+TOKEN_SQL = """
+WITH counted AS (
+  SELECT doc_id, source, lang, min(doc_id) OVER (PARTITION BY text) AS first_id,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS words,
+         coalesce(len(regexp_extract_all(text, '[0-9A-Za-z]+|[^\\x00-\\x7F]')), 0) AS alnum
+  FROM documents),
+versions AS (
+  SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM counted WHERE doc_id = first_id
+  UNION ALL SELECT source, lang, 'alnum-1', alnum FROM counted WHERE doc_id = first_id)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens
+FROM versions GROUP BY ALL
+"""
+
+
+@query("op5_token_counts", TOKEN_SQL)
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals after four batches: all documents with counts estimated from their length; the counts
+    revised to exact ones, under a replayed id; a second tokenizer version; exact copies deleted."""
+    docs = table(spark, sf, "documents")
+    counts = [rollups.pattern_counts(F.col("text"), p).alias(v) for v, p in rollups.PATTERNS.items()]
+    counted = stage(docs.select("doc_id", "source", "lang", F.sha1("text").alias("h"), (F.coalesce("n_chars", F.lit(0)) / 6).cast("long").alias("guess"), *counts), "token-counts")
+
+    def version(rows: DataFrame, name: str, column: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(column).alias("tokens"))
+
+    firsts = counted.groupBy(F.col("h").alias("of")).agg(F.min("doc_id").alias("first_id"))
+    copies = counted.join(firsts, F.col("h").eqNullSafe(F.col("of"))).filter("doc_id <> first_id")
+    store = rollups.TokenRollup(spark, work_path(spark, "token-totals"))
+    store.commit("load", rollups.inserts(version(counted, "words-1", "guess")))
+    exact = rollups.revisions(version(counted, "words-1", "guess"), version(counted, "words-1", "words-1"))
+    store.commit("exact", exact)
+    store.compact()
+    store.commit("exact", exact)
+    store.commit("second-tokenizer", rollups.inserts(version(counted, "alnum-1", "alnum-1")))
+    gone = version(copies, "words-1", "words-1").union(version(copies, "alnum-1", "alnum-1"))
+    store.commit("copies", rollups.deletes(gone))
+    return store.totals()
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf, "documents"))
