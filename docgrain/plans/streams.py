@@ -9,9 +9,12 @@ from ..streaming import jobs as J
 from .registry import query, table
 
 
+FILES = 1000  # input files per micro-batch; results do not depend on it
+
+
 def _stream(spark, sf, name):
     schema = table(spark, sf, name).schema
-    return J.watch(spark, f"{sf}/{name}.parquet", schema)
+    return J.watch(spark, f"{sf}/{name}.parquet", schema, FILES)
 
 
 def _finish(job):
@@ -37,12 +40,15 @@ def stream_dedupe(spark, sf):
         F.col("doc_id").alias("upload_ord"), F.col("text").cast("binary").alias("content")
     )
     _finish(J.stream_ingest(uploads, root))
-    return spark.read.parquet(f"{root}/data").select("sha256", "upload_ord", "blob_key")
+    return J.uploads_from_stream(spark, root, uploads.schema)
 
 
 @query(
     "stream_dedupe_horizon",
-    "SELECT DISTINCT sha256(event_type || props) AS sha256 FROM events",
+    """
+SELECT sha256(event_type || props) AS sha256, min(event_id) AS upload_ord, arg_min(ts, event_id) AS created_at
+FROM events GROUP BY 1
+""",
 )
 def stream_dedupe_horizon(spark, sf):
     root = work_path(spark, "stream-horizon")
@@ -51,8 +57,8 @@ def stream_dedupe_horizon(spark, sf):
         F.concat("event_type", "props").cast("binary").alias("content"),
         _clock("ts").alias("created_at"),
     )
-    _finish(J.stream_ingest(uploads, root, horizon="1 hour"))
-    return spark.read.parquet(f"{root}/data").select("sha256")
+    _finish(J.stream_ingest(uploads, root))
+    return J.uploads_from_stream(spark, root, uploads.schema).drop("blob_key")
 
 
 @query(
@@ -73,6 +79,46 @@ def stream_current(spark, sf):
     return J.current_from_stream(spark, root, runs.schema)
 
 
+@query(
+    "stream_current_documents",
+    """
+WITH c AS (SELECT o_custkey AS document_id, arg_max(o_orderstatus, o_orderkey) AS doc_type FROM orders GROUP BY 1)
+SELECT c_custkey AS document_id, c.doc_type, CASE WHEN c.document_id IS NULL THEN 'uploaded' ELSE 'extracted' END AS status
+FROM customer LEFT JOIN c ON c.document_id = c_custkey
+""",
+)
+def stream_current_documents(spark, sf):
+    root = work_path(spark, "stream-current-documents")
+    runs = _stream(spark, sf, "orders").select(
+        F.col("o_custkey").alias("document_id"),
+        F.col("o_orderkey").alias("extraction_run_id"),
+        F.col("o_orderstatus").alias("doc_type"),
+    )
+    _finish(J.stream_current_runs(runs, root))
+    documents = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("document_id"),
+        F.lit(None).cast("string").alias("doc_type"),
+        F.lit("uploaded").alias("status"),
+    )
+    return J.documents_after_runs(documents, J.current_from_stream(spark, root, runs.schema))
+
+
+@query(
+    "stream_current_flags",
+    """
+SELECT o_orderkey AS extraction_run_id, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS is_current FROM orders
+""",
+)
+def stream_current_flags(spark, sf):
+    root = work_path(spark, "stream-current-flags")
+    runs = _stream(spark, sf, "orders").select(
+        F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("extraction_run_id")
+    )
+    _finish(J.stream_current_runs(runs, root))
+    history = table(spark, sf, "orders").select(F.col("o_orderkey").alias("extraction_run_id"))
+    return J.flag_current(history, J.current_from_stream(spark, root, runs.schema))
+
+
 @query(
     "stream_latest",
     """
@@ -108,7 +154,7 @@ def _timing(spark, sf, root, **options):
     ).otherwise("user signed up")
     log = _stream(spark, sf, "events").select(_clock("ts").alias("ts"), line.alias("line"))
     _finish(J.stream_request_timing(log, root, **options))
-    return J.timing_from_stream(spark, root).select(
+    return J.timing_from_stream(spark, root, "gap" in options).select(
         "window_start", "window_end", "method", "path", "n", F.round("total_ms", 2).alias("total_ms"), "errors"
     )
 
@@ -138,3 +184,14 @@ def stream_timing_sliding(spark, sf):
     )
 
 
+@query(
+    "stream_timing_sessions",
+    f"""
+WITH r AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens
+           FROM events WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS no FROM r)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, {ROUTE_SQL} FROM s GROUP BY event_type, no
+""",
+)
+def stream_timing_sessions(spark, sf):
+    return _timing(spark, sf, work_path(spark, "stream-sessions"), gap="30 minutes")

@@ -1,12 +1,15 @@
 """The four streaming jobs. Each owns a root folder with its checkpoint and its output, so a
-restarted job continues where it stopped and a replayed micro-batch rewrites only its own folder.
+restarted job continues where it stopped and a replayed micro-batch rewrites only its own part.
+
+No job holds state or a watermark: each micro-batch is folded to what its result needs, and the
+folded parts are merged by :class:`.segments.Segments`. The result is that of a batch job over all
+rows, whatever the number of micro-batches and the order in which rows arrive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.metrics import parse_request_log
 from ..operators.ranking import latest_per_key
 from ..sources.uploads import document_key
+from .segments import Fold, Segments
 
 
 def watch(spark: SparkSession, path: str, schema: T.StructType | str, files: int = 1000) -> DataFrame:
@@ -31,115 +35,147 @@ def watch(spark: SparkSession, path: str, schema: T.StructType | str, files: int
     return reader.parquet(path)
 
 
-def _start(
-    stream: DataFrame,
-    root: str,
-    write: Callable[[DataFrame, int], None],
-    mode: str = "append",
-    continuous: bool = False,
-) -> StreamingQuery:
-    writer = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .foreachBatch(write)
+def _start(stream: DataFrame, root: str, fold: Fold, continuous: bool) -> StreamingQuery:
+    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(
+        lambda batch, number: Segments(batch.sparkSession, root, fold).append(batch, number)
     )
     if continuous:
         return writer.trigger(processingTime="30 seconds").start()
     return writer.trigger(availableNow=True).start()
 
 
-def _save(df: DataFrame, root: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/data/batch={batch}")
-
+# ---- ingest ------------------------------------------------------------------------------------
 
-def read_back(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """All micro-batches written so far, with their number in ``batch``."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(full).parquet(f"{root}/data")
 
+def _first_uploads(rows: DataFrame) -> DataFrame:
+    meta = [c for c in rows.columns if c != "sha256"]
+    first = rows.groupBy("sha256").agg(F.min_by(F.struct(*meta), "upload_ord").alias("u"))
+    return first.select("sha256", "u.*")
 
-# ---- ingest ------------------------------------------------------------------------------------
 
+def stream_ingest(uploads: DataFrame, root: str, continuous: bool = False) -> StreamingQuery:
+    """Store each content once as uploads arrive, under its first upload.
 
-def stream_ingest(
-    uploads: DataFrame, root: str, horizon: str | None = None, continuous: bool = False
-) -> StreamingQuery:
-    """Store each content once as uploads arrive.
-
-    ``uploads``: upload_ord, filename, content, created_at. Copies inside a micro-batch are reduced
-    to the first upload; copies of earlier micro-batches are dropped by an anti-join on the hash,
-    however late they come. With ``horizon``, resends within that time are already dropped from
-    watermark-bounded state, which keeps them out of the anti-join.
+    ``uploads``: upload_ord, content and what else to carry. Only hashes and metadata are kept.
+    A copy that arrives later is folded away, however late; one with a smaller ``upload_ord``
+    takes the place of the first.
     """
     hashed = uploads.withColumn("sha256", F.sha2("content", 256)).drop("content")
-    if horizon:
-        hashed = hashed.withWatermark("created_at", horizon).dropDuplicatesWithinWatermark(
-            ["sha256"]
-        )
-    meta = [c for c in hashed.columns if c != "sha256"]
+    return _start(hashed, root, _first_uploads, continuous)
 
-    def write(batch: DataFrame, number: int) -> None:
-        first = (
-            batch.groupBy("sha256")
-            .agg(F.min_by(F.struct(*meta), "upload_ord").alias("u"))
-            .select("sha256", "u.*", document_key(F.col("sha256")).alias("blob_key"))
-        )
-        if number > 0:
-            stored = read_back(batch.sparkSession, root, first.select("sha256").schema)
-            earlier = stored.filter(F.col("batch") < number).select("sha256")
-            first = first.join(earlier, "sha256", "left_anti")
-        _save(first, root, number)
 
-    return _start(hashed, root, write, continuous=continuous)
+def uploads_from_stream(spark: SparkSession, root: str, uploads: T.StructType) -> DataFrame:
+    """Stored contents: sha256, the metadata of the first upload, blob_key."""
+    meta = [f for f in uploads.fields if f.name != "content"]
+    schema = T.StructType([T.StructField("sha256", T.StringType()), *meta])
+    rows = Segments(spark, root, _first_uploads).read(schema)
+    return rows.withColumn("blob_key", document_key(F.col("sha256")))
 
 
 # ---- current runs -------------------------------------------------------------------------------
 
 
+def _newest_runs(rows: DataFrame) -> DataFrame:
+    return latest_per_key(rows, ["document_id"], ["extraction_run_id"])
+
+
 def stream_current_runs(runs: DataFrame, root: str, continuous: bool = False) -> StreamingQuery:
     """Keep the newest run per document while runs arrive in any order.
 
-    ``runs``: document_id, extraction_run_id and what else to carry. Each micro-batch writes its
-    newest run per document; nothing is held in state.
+    ``runs``: document_id, extraction_run_id and what else to carry.
     """
+    return _start(runs, root, _newest_runs, continuous)
 
-    def write(batch: DataFrame, number: int) -> None:
-        _save(latest_per_key(batch, ["document_id"], ["extraction_run_id"]), root, number)
 
-    return _start(runs, root, write, continuous=continuous)
+def current_from_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The current run of each document."""
+    return Segments(spark, root, _newest_runs).read(schema)
 
 
-def current_from_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    rows = read_back(spark, root, schema).drop("batch")
-    return latest_per_key(rows, ["document_id"], ["extraction_run_id"])
+def flag_current(runs: DataFrame, current: DataFrame) -> DataFrame:
+    """Run history with ``is_current`` as the stream has it; exactly one current run per document."""
+    newest = current.select("extraction_run_id").withColumn("__current", F.lit(True))
+    rows = runs.drop("is_current").join(newest, "extraction_run_id", "left")
+    return rows.withColumn("is_current", F.coalesce("__current", F.lit(False))).drop("__current")
+
+
+def documents_after_runs(documents: DataFrame, current: DataFrame) -> DataFrame:
+    """Documents with type and status of their current run: ``extracted`` once there is one."""
+    runs = current.select("document_id", F.col("doc_type").alias("__type"), F.lit(True).alias("__ran"))
+    joined = documents.join(runs, "document_id", "left")
+    return joined.select(
+        *[F.col(c) for c in documents.columns if c not in ("doc_type", "status")],
+        F.when(F.col("__ran"), F.col("__type")).otherwise(F.col("doc_type")).alias("doc_type"),
+        F.when(F.col("__ran"), F.lit("extracted")).otherwise(F.col("status")).alias("status"),
+    )
 
 
 # ---- latest reviews ------------------------------------------------------------------------------
 
 
-def stream_latest_reviews(reviews: DataFrame, root: str, continuous: bool = False) -> StreamingQuery:
-    """Latest edit per (run, field), held in state and emitted whenever it changes."""
-    keys = ["extraction_run_id", "field_path"]
-    rest = [c for c in reviews.columns if c not in keys]
-    latest = (
-        reviews.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct("created_at", "field_review_id")).alias("r"))
-        .select(*keys, "r.*")
+def _latest_edits(rows: DataFrame) -> DataFrame:
+    return latest_per_key(
+        rows, ["extraction_run_id", "field_path"], ["created_at", "field_review_id"]
     )
-    return _start(latest, root, lambda b, n: _save(b, root, n), "update", continuous)
+
+
+def stream_latest_reviews(reviews: DataFrame, root: str, continuous: bool = False) -> StreamingQuery:
+    """Latest edit per (run, field)."""
+    return _start(reviews, root, _latest_edits, continuous)
 
 
 def reviews_from_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    rows = read_back(spark, root, schema)
-    return latest_per_key(rows, ["extraction_run_id", "field_path"], ["batch"]).drop("batch")
+    return Segments(spark, root, _latest_edits).read(schema)
 
 
 # ---- request timing --------------------------------------------------------------------------------
 
-TIMING_DDL = (
-    "window_start timestamp, window_end timestamp, method string, path string, n bigint, "
-    "total_ms double, p95_ms double, errors bigint"
+# Durations are counted in buckets that grow by two per cent, so a percentile is read within one
+# per cent of its value from counts that can be added up.
+GROWTH = 1.02
+PARTS_DDL = (
+    "window_start timestamp, window_end timestamp, method string, path string, bucket int, "
+    "n bigint, total_ms double, errors bigint"
 )
+_KEYS = ["window_start", "window_end", "method", "path"]
+_SUMS = ["n", "total_ms", "errors"]
+
+
+def _add_up(rows: DataFrame) -> DataFrame:
+    sums = [F.sum(c).cast(t).alias(c) for c, t in zip(_SUMS, ("bigint", "double", "bigint"))]
+    return rows.groupBy(*_KEYS, "bucket").agg(*sums)
+
+
+def _merge_sessions(rows: DataFrame) -> DataFrame:
+    """Sessions that overlap become one. A part spans its requests and the gap after the last, so
+    parts belong together exactly if one starts before the other ends."""
+    length = F.make_interval(
+        secs=(F.unix_micros("window_end") - F.unix_micros("window_start")) / F.lit(1000000).cast("decimal(18,6)")
+    )
+    spans = rows.groupBy(F.session_window("window_start", length).alias("w"), "method", "path").agg(
+        F.collect_list(F.struct("bucket", *_SUMS)).alias("parts")
+    )
+    return _add_up(
+        spans.select(
+            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "method", "path", F.inline("parts")
+        )
+    )
+
+
+def _parts(span: Column) -> Fold:
+    """From parsed requests to counts per window, route and bucket of the duration."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        bucket = F.when(F.col("ms") > 0, F.ceil(F.log("ms") / F.log(F.lit(GROWTH)))).cast("int")
+        # A session is cut per bucket here and joined again by the merge, whose parts overlap.
+        parts = rows.groupBy(span.alias("w"), "method", "path", bucket.alias("bucket")).agg(
+            F.count("*").alias("n"), F.sum("ms").alias("total_ms"), F.count_if(F.col("status") >= 500).alias("errors")
+        )
+        return parts.select(
+            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "method", "path", "bucket", *_SUMS
+        )
+
+    return fold
 
 
 def stream_request_timing(
@@ -148,41 +184,39 @@ def stream_request_timing(
     window: str = "10 minutes",
     slide: str | None = None,
     gap: str | None = None,
-    delay: str = "10 minutes",
     continuous: bool = False,
 ) -> StreamingQuery:
     """Timing per route and window of a request log with columns ``line`` and ``ts``.
 
-    Tumbling windows by default, sliding ones with ``slide``, sessions per route with ``gap``. The
-    watermark bounds the state. Tumbling and sliding windows are emitted whenever they change, so
-    that open windows can be read as well; sessions are emitted once they close.
+    Tumbling windows by default, sliding ones with ``slide``, sessions per route with ``gap``. Each
+    micro-batch leaves counts per window, route and duration bucket; they add up when they are
+    read, and sessions of different batches that overlap are joined. Late lines count like others.
     """
-    parsed = parse_request_log(lines, "line", keep=["ts"]).withWatermark("ts", delay)
+    parsed = parse_request_log(lines, "line", keep=["ts"])
     if gap:
         span = F.session_window("ts", gap)
     elif slide:
         span = F.window("ts", window, slide)
     else:
         span = F.window("ts", window)
-    stats = (
-        parsed.groupBy(span.alias("w"), "method", "path")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("ms").alias("total_ms"),
-            F.percentile_approx("ms", F.lit(0.95)).alias("p95_ms"),
-            F.count_if(F.col("status") >= 500).alias("errors"),
-        )
-        .select(
-            F.col("w.start").alias("window_start"),
-            F.col("w.end").alias("window_end"),
-            "method", "path", "n", "total_ms", "p95_ms", "errors",
-        )
+    count, merge = _parts(span), _merge_sessions if gap else _add_up
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return merge(rows if "bucket" in rows.columns else count(rows))
+
+    return _start(parsed, root, fold, continuous)
+
+
+def timing_from_stream(spark: SparkSession, root: str, sessions: bool = False) -> DataFrame:
+    """window_start, window_end, method, path, n, total_ms, errors and ``p95_ms_1pct``: the 95th
+    percentile within one per cent."""
+    parts = Segments(spark, root, _merge_sessions if sessions else _add_up).read(PARTS_DDL)
+    # At most some hundred buckets stand in one window of a route.
+    up_to = W.partitionBy(*_KEYS).orderBy(F.col("bucket").asc_nulls_first())
+    every = W.partitionBy(*_KEYS)
+    ranked = parts.withColumn("below", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(every))
+    middle = F.coalesce(F.pow(F.lit(GROWTH), F.col("bucket") - 0.5), F.lit(0.0))
+    return ranked.groupBy(*_KEYS).agg(
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.min(F.when(F.col("below") >= F.col("all") * 0.95, middle)).alias("p95_ms_1pct"),
     )
-    mode = "append" if gap else "update"
-    return _start(stats, root, lambda b, n: _save(b, root, n), mode, continuous)
-
-
-def timing_from_stream(spark: SparkSession, root: str) -> DataFrame:
-    rows = read_back(spark, root, T.StructType.fromDDL(TIMING_DDL))
-    keys = ["window_start", "window_end", "method", "path"]
-    return latest_per_key(rows, keys, ["batch"]).drop("batch")

@@ -30,7 +30,7 @@ def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
