@@ -1,5 +1,5 @@
 """HTML tables to cells. Spans make a cell's place depend on all cells before it, so one table
-is read sequentially, inside an Arrow-batched function that receives the HTML column only."""
+is read as a whole, in two passes (markup to rows of cells, then their places), inside an Arrow-batched function that receives the HTML column only."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,65 +20,29 @@ CELL_DDL = (
 )
 
 
-class _Grid:
-    """Places cells. ``taken`` holds (first col, end col, first free row) per cell still in reach."""
-
-    def __init__(self) -> None:
-        self.placed: list[tuple] = []
-        self.taken: list[tuple[int, int, int]] = []
-        self.row = -1
-        self.cursor: dict[int, int] = {}
-        self.open_cell: tuple | None = None
-        self.words: list[str] = []
-
-    def start(self, tag: str, attrs: dict) -> None:
-        if tag == "tr":
-            self.row += 1
-        elif tag in ("td", "th"):
-            down, across = int(attrs.get("rowspan") or 1), int(attrs.get("colspan") or 1)
-            self.open_cell, self.words = (tag == "th", down, across), []
-        elif tag == "br" and self.open_cell:
-            self.words.append("\n")
-
-    def text(self, data: str) -> None:
-        if self.open_cell:
-            self.words.append(data)
-
-    def end(self, tag: str) -> None:
-        if tag not in ("td", "th") or not self.open_cell:
-            return
-        header, down, across = self.open_cell
-        col = self._free_column()
-        self.placed.append((self.row, col, down, across, "".join(self.words).strip(), header))
-        self.taken.append((col, col + across, self.row + down))
-        self.cursor[self.row] = col + across
-        self.open_cell = None
-
-    def _free_column(self) -> int:
-        col = self.cursor.get(self.row, 0)
-        live = [t for t in self.taken if t[2] > self.row]
-        self.taken = live
-        hit = True
-        while hit:
-            hit = next((end for start, end, _ in live if start <= col < end), None)
-            if hit is not None:
-                col = hit
-        return col
-
-
-class _AnyHtml(HTMLParser):
-    def __init__(self) -> None:
+# Markup becomes a list of tokens (mark, name, value): an opening tag with its attributes, a closing
+# tag, or text.
+OPEN, CLOSE, TEXT = range(3)
+Token = tuple[int, str, "dict | str | None"]
+CELL_TAGS = ("td", "th")
+
+
+class _Tokens(HTMLParser):
+    """The tokens of any HTML."""
+
+    def __init__(self, html: str) -> None:
         super().__init__()
-        self.grid = _Grid()
+        self.seen: list[Token] = []
+        self.feed(html)
 
     def handle_starttag(self, tag, attrs):
-        self.grid.start(tag, dict(attrs))
+        self.seen.append((OPEN, tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        self.grid.end(tag)
+        self.seen.append((CLOSE, tag, None))
 
     def handle_data(self, data):
-        self.grid.text(data)
+        self.seen.append((TEXT, "", data))
 
 
 # Markup an OCR engine writes: tags with quoted attributes, and text. Anything else (comments,
@@ -92,27 +57,81 @@ _RAW_TEXT = {
 }
 
 
-def _plain_markup(html: str) -> _Grid | None:
-    """Cells of simple markup, or None if the full parser has to look at it."""
-    grid, at = _Grid(), 0
+def simple_tokens(html: str) -> list[Token] | None:
+    """Tokens of simple markup, or None if the full parser has to look at it."""
+    tokens: list[Token] = []
+    at = 0
     for m in _TOKEN.finditer(html):
         if m.start() != at:
             return None
         at = m.end()
         closing, tag, attrs, empty, text = m.groups()
         if text is not None:
-            grid.text(unescape(text) if "&" in text else text)
+            tokens.append((TEXT, "", unescape(text) if "&" in text else text))
             continue
         tag = tag.lower()
         if tag in _RAW_TEXT:
             return None
-        if closing:
-            grid.end(tag)
-        else:
-            grid.start(tag, {k.lower(): v for k, v in _ATTR.findall(attrs)} if attrs else {})
-            if empty:
-                grid.end(tag)
-    return grid if at == len(html) else None
+        if not closing:
+            tokens.append((OPEN, tag, {k.lower(): v for k, v in _ATTR.findall(attrs)}))
+        if closing or empty:
+            tokens.append((CLOSE, tag, None))
+    return tokens if at == len(html) else None
+
+
+def all_tokens(html: str) -> list[Token]:
+    return _Tokens(html).seen
+
+
+def table_rows_of(tokens: list[Token]) -> dict[int, list[tuple]]:
+    """Row number -> its cells (header, rows down, columns across, text), in order.
+
+    Of the tags of cells, an opening one that a closing one follows makes a cell; one that another opening tag
+    follows is lost. The cell lies in the row that is open when it ends; -1 is before any row.
+    """
+    row_at = list(accumulate((mark == OPEN and name == "tr" for mark, name, _ in tokens), initial=-1))
+    tags = [(i, mark) for i, (mark, name, _) in enumerate(tokens) if mark != TEXT and name in CELL_TAGS]
+    spans = {
+        i: tuple(int(tokens[i][2].get(side) or 1) for side in ("rowspan", "colspan"))
+        for i, mark in tags
+        if mark == OPEN
+    }
+    rows: dict[int, list[tuple]] = {}
+    for (i, mark), (j, following) in pairwise(tags):
+        if mark == OPEN and following == CLOSE:
+            inside = "".join(
+                value if kind == TEXT else "\n"
+                for kind, name, value in tokens[i + 1 : j]
+                if kind == TEXT or (kind == OPEN and name == "br")
+            )
+            rows.setdefault(row_at[j], []).append((tokens[i][1] == "th", *spans[i], inside.strip()))
+    return rows
+
+
+def lay_out(rows: dict[int, list[tuple]]) -> list[tuple]:
+    """Cells with their places: (row, column, rows down, columns across, text, header).
+
+    ``reach`` lists the stretches of columns that cells of earlier rows still cover, by their
+    start, so a row is laid out in one walk along it.
+    """
+    out: list[tuple] = []
+    reach: list[tuple[int, int, int]] = []  # first column, end column, first row below
+    for row in sorted(rows):
+        reach = [r for r in reach if r[2] > row]
+        own: list[tuple[int, int, int]] = []
+        col = at = 0
+        for header, down, across, text in rows[row]:
+            while at < len(reach) and reach[at][0] <= col:
+                col = max(col, reach[at][1])
+                at += 1
+            out.append((row, col, down, across, text, header))
+            own.append((col, col + across, row + down))
+            col += across
+            if across < 0:  # back over cells of this row, which stand in the way from here on
+                reach = sorted(reach + [r for r in own if r[2] > row])
+                own, at = [r for r in own if r[2] <= row], 0
+        reach = sorted(reach + own)
+    return out
 
 
 def _plain(html: str) -> str:
@@ -122,23 +141,15 @@ def _plain(html: str) -> str:
     return " ".join(text.split())
 
 
-def parse_any(html: str) -> _Grid:
-    parser = _AnyHtml()
-    parser.feed(html)
-    return parser.grid
-
-
 def read_cells(html: str | None) -> list[tuple]:
     """Cells of one HTML table; unreadable spans give one cell with the stripped text."""
     if not html:
         return []
     try:
-        grid = _plain_markup(html)
-        if grid is None:
-            grid = parse_any(html)
+        tokens = simple_tokens(html)
+        return lay_out(table_rows_of(all_tokens(html) if tokens is None else tokens))
     except Exception:  # any unreadable table keeps its text
         return [(0, 0, 1, 1, _plain(html), None)]
-    return grid.placed
 
 
 def _cell_function() -> Callable[[Column], Column]:

@@ -353,14 +353,21 @@ def compact_fragments(fragments: DataFrame, keys: list[str]) -> DataFrame:
 # ---- block statistics ----------------------------------------------------------------------------
 
 
-def block_type_stats(blocks: DataFrame, doc_key: str, preview: int = 140) -> DataFrame:
-    """Blocks per type, most common first, with the first block of each type as an example."""
+def block_type_stats(blocks: DataFrame, doc_key: str, preview: int | None = None) -> DataFrame:
+    """Blocks per type, most common first, with the first block of each type as an example.
+
+    ``example_keys`` names the fields the example has, in order; ``preview`` cuts its HTML to so many characters.
+    """
+    html = F.coalesce("html", F.lit(""))
+    fields = ["bbox", "block_type", "html", "id", "markdown", "page", "polygon", "section_hierarchy"]
+    present = [F.when(F.col("block_id" if f == "id" else f).isNotNull(), F.lit(f)) for f in fields]
     example = F.struct(
         F.col(doc_key).alias("example_doc"),
         F.col("ord").alias("example_ord"),
         F.col("polygon").isNotNull().alias("has_polygon"),
         F.col("bbox").isNotNull().alias("has_bbox"),
-        F.substring(F.coalesce("html", F.lit("")), 1, preview).alias("html_preview"),
+        (html if preview is None else F.substring(html, 1, preview)).alias("html"),
+        F.array_compact(F.array(*present)).alias("example_keys"),
     )
     stats = blocks.groupBy("block_type").agg(
         F.count("*").alias("n_blocks"),

@@ -113,13 +113,15 @@ WITH {BLOCKS_CTE},
 ex AS (SELECT *, row_number() OVER (PARTITION BY block_type ORDER BY page_id, ord) AS rn FROM blk),
 n AS (SELECT block_type, count(*) AS n_blocks FROM blk GROUP BY 1)
 SELECT block_type, n_blocks, page_id AS example_doc, CAST(ord AS INT) AS example_ord,
-       false AS has_polygon, true AS has_bbox, substr(html, 1, 140) AS html_preview
+       false AS has_polygon, true AS has_bbox, html,
+       'bbox,block_type,html,id,page' || CASE block_type WHEN 'SectionHeader' THEN ',section_hierarchy' ELSE '' END AS example_keys
 FROM n JOIN ex USING (block_type) WHERE rn = 1
 """,
 )
 def block_stats(spark, sf):
     rows = B.explode_blocks(page_blocks(spark, sf), "blocks", ["page_id"])
-    return B.block_type_stats(rows, "page_id")
+    stats = B.block_type_stats(rows, "page_id")
+    return stats.withColumn("example_keys", F.array_join("example_keys", ","))
 
 
 # ---- geometry -------------------------------------------------------------------------------------
@@ -280,15 +282,15 @@ head AS (
               WHEN 'PageFooter' THEN 'page_footer' ELSE 'text' END AS label,
          CASE block_type WHEN 'SectionHeader' THEN 2 END AS level,
          CASE WHEN block_type <> 'ListGroup' THEN {strip_sql('html')} END AS text,
-         CASE WHEN block_type <> 'ListGroup' THEN page + 1 END AS page_no
+         CASE WHEN block_type <> 'ListGroup' THEN page + 1 END AS page_no, length(html) AS width
   FROM blk),
-lx AS (SELECT page_id, ord, page, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS xs
+lx AS (SELECT page_id, ord, page, length(html) AS width, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS xs
        FROM blk WHERE block_type = 'ListGroup'),
-lu AS (SELECT page_id, ord, page, unnest(xs) AS x, generate_subscripts(xs, 1) AS item_ord FROM lx),
+lu AS (SELECT page_id, ord, page, width, unnest(xs) AS x, generate_subscripts(xs, 1) AS item_ord FROM lx),
 items AS (
-  SELECT page_id, ord, item_ord, kind, label, level, text, page_no FROM head
+  SELECT page_id, ord, item_ord, kind, label, level, text, page_no, width FROM head
   UNION ALL
-  SELECT page_id, ord, item_ord, 'list_item', 'list_item', NULL, {strip_sql('x')}, page + 1 FROM lu)
+  SELECT page_id, ord, item_ord, 'list_item', 'list_item', NULL, {strip_sql('x')}, page + 1, width FROM lu)
 """
 
 
@@ -297,12 +299,17 @@ items AS (
     f"""
 WITH {ITEMS_CTE}
 SELECT page_id, CAST(ord AS INT) AS ord, CAST(item_ord AS INT) AS item_ord, kind, label,
-       CAST(level AS INT) AS level, text, CAST(page_no AS INT) AS page_no, CAST(length(text) AS INT) AS chars
+       CAST(level AS INT) AS level, text, CAST(page_no AS INT) AS page_no, CAST(length(text) AS INT) AS chars,
+       CASE WHEN kind <> 'list' THEN CAST(0 AS DOUBLE) END AS l,
+       CASE WHEN kind <> 'list' THEN CAST(ord % {PER_PAGE} * 10 AS DOUBLE) END AS t,
+       CASE WHEN kind <> 'list' THEN CAST(width AS DOUBLE) END AS r,
+       CASE WHEN kind <> 'list' THEN CAST(ord % {PER_PAGE} * 10 + 8 AS DOUBLE) END AS b
 FROM items
 """,
 )
 def document_items(spark, sf):
-    return _items(spark, sf).drop("bbox")
+    items = _items(spark, sf)
+    return items.select(*[c for c in items.columns if c != "bbox"], "bbox.*")
 
 
 def _items(spark, sf):

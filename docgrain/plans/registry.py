@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.barrier import compute_once
+from ..functions.text import strip_html
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -69,20 +72,33 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- pages as OCR payloads: the elements of a web page are its blocks ----------------------------
 
-# Elements in the order in which they are tried at each position.
-ELEMENTS = "(?s)<h1>.*?</h1>|<ul>.*?</ul>|<p>.*?</p>|<footer>.*?</footer>"
+# Not text: scripts, styles, comments and the document type; what is not closed runs to the end.
+HIDDEN = r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)|<!doctype[^>]*>"
+# Elements that start and end a block. What stands between two of them is a block of its own.
+BLOCK_TAGS = "title|h1|ul|p|div|nav|article|footer"
+CUT = "\x01"
 PER_PAGE = 10  # blocks per page of the payload
 
 
+def page_elements(html: Column) -> Column:
+    """The page cut at the tags of its block elements; pieces without text are left out.
+
+    Every character of the page that is not hidden lies in exactly one piece or in one without text.
+    """
+    shown = F.regexp_replace(html, HIDDEN, " ")
+    opened = F.regexp_replace(shown, rf"(?i)(<(?:{BLOCK_TAGS})(?:\s[^>]*)?>)", f"{CUT}$1")
+    closed = F.regexp_replace(opened, f"(?i)(</(?:{BLOCK_TAGS})>)", f"$1{CUT}")
+    return F.filter(F.split(closed, CUT), lambda p: strip_html(p) != "")
+
+
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """(page_id, url, blocks): the payload's block array, built inside each row."""
-    elements = F.regexp_extract_all("html", F.lit(ELEMENTS), F.lit(0))
 
     def block(e, i):
         kind = (
-            F.when(e.startswith("<h1>"), "SectionHeader")
-            .when(e.startswith("<ul>"), "ListGroup")
-            .when(e.startswith("<footer>"), "PageFooter")
+            F.when(e.startswith("<h1"), "SectionHeader")
+            .when(e.startswith("<ul"), "ListGroup")
+            .when(e.startswith("<footer"), "PageFooter")
             .otherwise("Text")
         )
         page = F.floor(i / PER_PAGE).cast("int")
@@ -104,20 +120,9 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     pages = spread(table(spark, sf, "pages"), "page_id")
-    return pages.select("page_id", "url", F.transform(elements, block).alias("blocks"))
-
-
-# The same blocks as a DuckDB common table expression: page_id, ord, html, block_type, page.
-BLOCKS_CTE = f"""
-raw AS (SELECT page_id, url, regexp_extract_all(html, '{ELEMENTS}') AS es FROM pages),
-el AS (SELECT page_id, url, unnest(es) AS html, generate_subscripts(es, 1) - 1 AS ord FROM raw),
-blk AS (
-  SELECT page_id, url, ord, html, ord // {PER_PAGE} AS page,
-         CASE WHEN starts_with(html, '<h1>') THEN 'SectionHeader'
-              WHEN starts_with(html, '<ul>') THEN 'ListGroup'
-              WHEN starts_with(html, '<footer>') THEN 'PageFooter' ELSE 'Text' END AS block_type
-  FROM el)
-"""
+    # The pieces are computed once; the transform reads the finished array.
+    cut = compute_once(pages, ["page_id", "url"], page_elements(F.col("html")), "pieces")
+    return cut.select("page_id", "url", F.transform("pieces", block).alias("blocks"))
 
 
 def strip_sql(c: str) -> str:
@@ -135,6 +140,33 @@ def norm_sql(c: str) -> str:
     return f"regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g')"
 
 
+# The blocks of a page as a DuckDB common table expression: page_id, ord, html, block_type, page.
+# A page is rid of hidden parts, split at its tags of block elements, and what has no text goes.
+BLOCKS_CTE = rf"""
+shown AS (
+  SELECT page_id, url,
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+           '(?is)<script\b.*?(</script>|\z)', ' ', 'g'), '(?is)<style\b.*?(</style>|\z)', ' ', 'g'),
+           '(?s)<!--.*?(-->|\z)', ' ', 'g'), '(?i)<!doctype[^>]*>', ' ', 'g') AS h
+  FROM pages),
+pieces AS (
+  SELECT page_id, url, string_split(
+           regexp_replace(regexp_replace(h, '(?i)(<({BLOCK_TAGS})(\s[^>]*)?>)', chr(1) || '\1', 'g'),
+             '(?i)(</({BLOCK_TAGS})>)', '\1' || chr(1), 'g'), chr(1)) AS ps
+  FROM shown),
+each_piece AS (SELECT page_id, url, unnest(ps) AS html, generate_subscripts(ps, 1) AS no FROM pieces),
+el AS (
+  SELECT page_id, url, html, row_number() OVER (PARTITION BY page_id ORDER BY no) - 1 AS ord
+  FROM each_piece WHERE {strip_sql("html")} <> ''),
+blk AS (
+  SELECT page_id, url, ord, html, ord // {PER_PAGE} AS page,
+         CASE WHEN starts_with(html, '<h1') THEN 'SectionHeader'
+              WHEN starts_with(html, '<ul') THEN 'ListGroup'
+              WHEN starts_with(html, '<footer') THEN 'PageFooter' ELSE 'Text' END AS block_type
+  FROM el)
+"""
+
+
 # ---- documents as text lines ----------------------------------------------------------------------
 
 LINES_CTE = """

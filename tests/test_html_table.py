@@ -1,7 +1,7 @@
 import random
+import time
 
-
-from docgrain.functions.html_table import _plain_markup, parse_any, read_cells
+from docgrain.functions.html_table import all_tokens, lay_out, read_cells, simple_tokens, table_rows_of
 from docgrain.operators.blocks import document_text, html_table_cells
 
 
@@ -53,13 +53,41 @@ def test_both_parsers_agree():
     for _ in range(2000):
         simple = rng.random() < 0.5
         html = "".join(rng.choices(bits[:16] if simple else bits, k=rng.randint(1, 14)))
-        grid = _plain_markup(html)
-        if grid is not None:
+        tokens = simple_tokens(html)
+        if tokens is not None:
             plain += 1
-            assert grid.placed == parse_any(html).placed, html
+            assert table_rows_of(tokens) == table_rows_of(all_tokens(html)), html
     assert plain > 500
 
 
+def test_spans_of_any_sign_match_marked_squares():
+    rng = random.Random(11)
+    for _ in range(500):
+        rows = {
+            r: [(False, rng.randint(-1, 4), rng.randint(-2, 3), "") for _ in range(rng.randint(0, 5))]
+            for r in range(-1, rng.randint(0, 6))
+        }
+        taken, want = set(), []
+        for r in sorted(rows):
+            col = 0
+            for _, down, across, _ in rows[r]:
+                while (r, col) in taken:
+                    col += 1
+                want.append((r, col))
+                taken |= {(i, c) for i in range(r, r + down) for c in range(col, col + across)}
+                col += across
+        assert [c[:2] for c in lay_out(rows)] == want
+
+
+def test_a_long_row_and_long_spans_take_linear_time():
+    first = "".join('<td rowspan="400">a</td><td>b</td>' for _ in range(10_000))
+    html = f"<tr>{first}</tr><tr>{'<td>c</td>' * 10_000}</tr>"
+    start = time.perf_counter()
+    cells = read_cells(html)
+    assert time.perf_counter() - start < 1
+    assert [c[1] for c in cells[20_000:]] == list(range(1, 20_000, 2))
+
+
 def test_edges():
     assert read_cells(None) == [] and read_cells("") == [] and read_cells("<p>x</p>") == []
     assert read_cells('<tr><td rowspan="x">a &amp; b</td></tr>') == [(0, 0, 1, 1, "a & b", None)]
