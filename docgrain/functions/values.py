@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from typing import Any
 
@@ -120,23 +119,39 @@ def contains_pattern(v: Column, pattern: Any) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+# White space and line ends that a browser trims before it reads a number.
+JS_SPACE = "[\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+
+
+def _radix_number(text: Column, prefix: str, digits: str, base: int, exact: int) -> Column:
+    """A whole number with a radix prefix as double, correctly rounded; null for other text.
+
+    The first ``exact`` digits fit a long. Digits beyond them only tell on which side of a tie the
+    number lies, so the long is made odd if one of them is not zero, and scaled by a power of two.
+    """
+    number = F.regexp_extract(F.lower(text), f"^{prefix}0*([{digits}]*)$", 1)
+    head, tail = F.substring(number, 1, exact), F.substring(number, exact + 1, 1 << 30)
+    whole = F.coalesce(F.conv(head, base, 10).try_cast("long"), F.lit(0).cast("long"))
+    odd = whole.bitwiseOR(F.when(tail.rlike("[^0]"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    scaled = odd.cast("double") * F.pow(F.lit(float(base)), F.length(tail))
+    return F.when(F.lower(text).rlike(f"^{prefix}[{digits}]+$"), scaled)
+
+
 def coerce_edited(original_kind: Column, raw: Column) -> Column:
     """Edited text typed like the value it replaces, as JSON text.
 
     An empty edit clears the field. A number stays a number when the text is a finite number,
     a boolean stays one when the text says true or false; anything else is kept as text.
     """
-    trimmed = F.trim(raw)
-    prefix = F.lower(F.substring(trimmed, 1, 2))
-    digits = F.substring(trimmed, 3, 64)
-    radix = (
-        F.when((prefix == "0x") & digits.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(digits, 16, 10))
-        .when((prefix == "0b") & digits.rlike("^[01]{1,53}$"), F.conv(digits, 2, 10))
-        .when((prefix == "0o") & digits.rlike("^[0-7]{1,17}$"), F.conv(digits, 8, 10))
+    trimmed = F.regexp_replace(raw, f"^{JS_SPACE}+|{JS_SPACE}+$", "")
+    radix = F.coalesce(
+        _radix_number(trimmed, "0x", "0-9a-f", 16, 15),
+        _radix_number(trimmed, "0o", "0-7", 8, 20),
+        _radix_number(trimmed, "0b", "01", 2, 60),
     )
     decimal = F.when(trimmed.rlike(JS_DECIMAL), trimmed.try_cast("double"))
     number = F.when(trimmed == "", F.lit(0.0)).otherwise(
-        F.coalesce(radix.try_cast("double"), decimal)
+        F.coalesce(radix, decimal)
     )
     # A browser prints whole numbers without the fraction.
     shown = F.when(
@@ -250,6 +265,3 @@ def list_match(expected: Column, actual: Column) -> Column:
     pairs = F.zip_with(keys(expected), keys(actual), lambda a, b: a.eqNullSafe(b))
     return (F.size(expected) == F.size(actual)) & F.forall(pairs, lambda same: same)
 
-
-def dumps(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))

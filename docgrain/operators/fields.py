@@ -28,15 +28,31 @@ def _step(rows: DataFrame) -> DataFrame:
     )
 
 
-def flatten_scalars(df: DataFrame, col: str, keys: list[str], depth: int = 4) -> DataFrame:
+def nesting_depth(v: Column) -> Column:
+    """Levels of containers of a VARIANT: 0 for a plain value."""
+    bare = F.regexp_replace(F.to_json(v), r'"(?:[^"\\]|\\.)*"', "")
+    brackets = F.regexp_replace(bare, r"[^\[\]{}]", "")
+    level = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def walk(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), level, walk, lambda acc: acc["most"])
+
+
+def flatten_scalars(df: DataFrame, col: str, keys: list[str], depth: int | None = None) -> DataFrame:
     """Leaves of a VARIANT column as (keys, ord, path, value).
 
     Paths use ``a.b`` for objects and ``items[0].q`` for lists. Null leaves and empty containers
     give no row. ``ord`` is the position of the leaf on every level; objects are read in key
-    order. ``depth`` is the number of levels the data has (a typed record: 3); the plan is one
-    chain of explodes in the scan's own stage, without shuffle. Data that nests deeper than
-    ``depth`` stops the job instead of losing leaves.
+    order. The plan is one chain of explodes in the scan's own stage, one per level, without shuffle. How many
+    levels the data has is measured first, unless ``depth`` tells it (a typed record: 3); data
+    that nests deeper than a given ``depth`` stops the job instead of losing leaves.
     """
+    measured = depth is None
+    if depth is None:
+        depth = df.agg(F.max(nesting_depth(F.col(col)))).first()[0] or 0
     rows = df.select(
         *keys,
         F.array().cast("array<int>").alias("ord"),
@@ -45,14 +61,16 @@ def flatten_scalars(df: DataFrame, col: str, keys: list[str], depth: int = 4) ->
     )
     for _ in range(depth):
         rows = _step(rows)
-    text = F.try_variant_get("v", "$", "string")
-    deeper = F.substring(text, 1, 1).isin("{", "[") & (F.length(text) > 2) & is_container(F.col("v"))
-    message = F.concat(F.lit("nested deeper than the given depth: "), "path")
-    value = F.when(deeper, F.raise_error(message)).otherwise(scalar_text(F.col("v")))
+    value = scalar_text(F.col("v"))
+    if not measured:
+        text = F.try_variant_get("v", "$", "string")
+        deeper = F.substring(text, 1, 1).isin("{", "[") & (F.length(text) > 2) & is_container(F.col("v"))
+        message = F.concat(F.lit("nested deeper than the given depth: "), "path")
+        value = F.when(deeper, F.raise_error(message)).otherwise(value)
     return compute_once(rows, [*keys, "ord", "path"], value, "value")
 
 
-def flatten_field_keys(df: DataFrame, col: str, keys: list[str], depth: int = 4) -> DataFrame:
+def flatten_field_keys(df: DataFrame, col: str, keys: list[str], depth: int | None = None) -> DataFrame:
     """Paths of the filled leaves."""
     return flatten_scalars(df, col, keys, depth).drop("value")
 

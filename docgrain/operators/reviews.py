@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import get_at_path
+from ..functions.values import as_variant, get_at_path, is_object_text
+from .anchors import anchors_in_payload, field_pages
+from .fields import flatten_scalars
 
 WHEN = ["created_at", "field_review_id"]
 
@@ -96,24 +98,43 @@ def overlay_fields(runs: DataFrame, reviews: DataFrame, fields: dict[str, str])
     return joined.drop(*[f"__e{i}" for i in range(len(fields))])
 
 
-def _place(view: dict, path: str, value: object) -> None:
-    steps = path.split(".")
-    if not all(steps):
-        raise ValueError(f"invalid field_path: {path!r}")
-    *parents, leaf = steps
-    node = view
-    for step in parents:
-        if not isinstance(node.get(step), dict):
-            node[step] = {}
-        node = node[step]
-    node[leaf] = value
+EMPTY_STEP = r"(^|\.)(\.|$)"
+
+
+def check_edits(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edits that can be applied, and the others with a ``reason``: a dotted path with an empty step, or
+    a value that is not JSON."""
+    path, value = F.col("field_path"), F.col("edited_value")
+    reason = F.when(path.isNull() | path.rlike(EMPTY_STEP), "invalid field path").when(
+        value.isNotNull() & F.try_parse_json(value).isNull(), "value is not JSON"
+    )
+    checked = reviews.withColumn("reason", reason)
+    return checked.filter("reason IS NULL").drop("reason"), checked.filter("reason IS NOT NULL")
+
+
+def _merged(base: object, edits: list[tuple[list[str], object]]) -> dict:
+    """An object under edits (steps, value) in their order.
+
+    The edits are grouped by their first step. Of a group, the last edit of the member itself
+    sets it, and the deeper ones after that are merged into it; without one they are merged into what was there.
+    """
+    groups: dict[str, list[tuple[list[str], object]]] = {}
+    for (first, *deeper), value in edits:
+        groups.setdefault(first, []).append((deeper, value))
+    out = dict(base) if isinstance(base, dict) else {}
+    for name, group in groups.items():
+        whole = max((i for i, (deeper, _) in enumerate(group) if not deeper), default=-1)
+        member = group[whole][1] if whole >= 0 else out.get(name)
+        later = group[whole + 1 :]
+        out[name] = _merged(member, later) if later else member
+    return out
 
 
 def overlay_json(payload: Column, edits: Column) -> Column:
-    """JSON record with edits set at their dotted paths.
+    """JSON record with edits merged in at their dotted paths.
 
-    ``edits`` is array<struct<path,value>> in the order to apply, ``value`` JSON text. Parents that
-    are not objects are replaced by objects; a path with an empty step is an error.
+    ``edits`` is array<struct<path,value>> in the order to apply, ``value`` JSON text, checked by
+    :func:`check_edits`. Members on a path that are not objects are replaced by objects.
     """
 
     @F.arrow_udf("string")
@@ -123,10 +144,11 @@ def overlay_json(payload: Column, edits: Column) -> Column:
             if not steps:
                 out.append(text)
                 continue
-            view = json.loads(text) if text else {}
-            for step in steps:
-                raw = step["value"]
-                _place(view, step["path"], None if raw is None else json.loads(raw))
+            parsed = [
+                (s["path"].split("."), None if s["value"] is None else json.loads(s["value"]))
+                for s in steps
+            ]
+            view = _merged(json.loads(text) if text else {}, parsed)
             out.append(json.dumps(view, ensure_ascii=False, separators=(",", ":")))
         return pa.array(out, pa.string())
 
@@ -134,36 +156,46 @@ def overlay_json(payload: Column, edits: Column) -> Column:
 
 
 def extracted_view(runs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Runs with ``view``: the extracted record under its latest edits.
+    """Runs with ``view``, the extracted record under its latest edits, and ``reviews``, these edits.
 
     Edits of one run are applied in the order in which their fields were first reviewed. At most
-    one edit per field reaches the run's row, where the result is one record as well. Runs
-    without edits do not go through Python.
+    one edit per field reaches the run's row, where the result is one record as well. Edits that
+    fail :func:`check_edits` are left out, as are records that are not JSON objects: their view
+    is the record as it is. One join; the record of a run without edits does not go through Python.
     """
-    per_run = (
-        latest_reviews(reviews)
-        .groupBy("extraction_run_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "first_seen",
-                        F.col("field_path").alias("path"),
-                        F.col("edited_value").alias("value"),
-                    )
-                )
-            ).alias("edits")
-        )
-    )
+    latest = latest_reviews(check_edits(reviews)[0])
+    shown = ["field_review_id", "field_path", "edited_value", "original_value", "remark", "created_at"]
+    entry = F.struct("first_seen", *[c for c in shown if c in latest.columns])
+    per_run = latest.groupBy("extraction_run_id").agg(F.array_sort(F.collect_list(entry)).alias("reviews"))
+    joined = runs.join(per_run, "extraction_run_id", "left")
     steps = F.transform(
-        "edits", lambda e: F.struct(e["path"].alias("path"), e["value"].alias("value"))
+        "reviews", lambda e: F.struct(e["field_path"].alias("path"), e["edited_value"].alias("value"))
     )
-    edited = runs.join(per_run, "extraction_run_id").withColumn(
-        "view", overlay_json(F.col("extracted"), steps)
+    record = F.when(
+        F.col("reviews").isNotNull()
+        & (F.col("extracted").isNull() | (is_object_text(F.col("extracted")) & F.try_parse_json("extracted").isNotNull())),
+        F.coalesce("extracted", F.lit("{}")),
     )
-    touched = reviews.select("extraction_run_id").distinct()
-    untouched = runs.join(touched, "extraction_run_id", "left_anti")
-    return edited.drop("edits").unionByName(untouched.withColumn("view", F.col("extracted")))
+    edited = joined.withColumn("__record", record).withColumn(
+        "view", F.coalesce(overlay_json(F.col("__record"), F.when(F.col("__record").isNotNull(), steps)), "extracted")
+    )
+    listed = F.transform("reviews", lambda e: e.dropFields("first_seen"))
+    return edited.withColumn("reviews", listed).drop("__record")
+
+
+def view_field_pages(view: DataFrame, blocks: str, depth: int | None = None) -> DataFrame:
+    """(extraction_run_id, path, page_no): page of each value of the overlaid record.
+
+    ``view`` has extraction_run_id, view and the payload's block array. Values are anchored as
+    they stand after the edits; values that are found nowhere have no page.
+    """
+    keys = ["extraction_run_id"]
+    leaves = flatten_scalars(view.select(*keys, as_variant(F.col("view")).alias("v")), "v", keys, depth)
+    field = F.struct(F.col("ord").alias("ord"), "path", "value")
+    fields = leaves.groupBy(*keys).agg(F.array_sort(F.collect_list(field)).alias("__f"))
+    numbered = F.transform("__f", lambda f, i: F.struct(i.cast("long").alias("ord"), f["path"].alias("path"), f["value"].alias("value")))
+    rows = view.select(*keys, blocks).join(fields, keys).withColumn("__f", numbered)
+    return field_pages(anchors_in_payload(rows, "__f", blocks, keys)).select(*keys, "path", "page_no")
 
 
 def delete_review(reviews: DataFrame, runs: DataFrame, requests: DataFrame) -> DataFrame:
@@ -212,6 +244,8 @@ def open_queue(documents: DataFrame) -> DataFrame:
     return documents.filter(F.col("status") != "reviewed")
 
 
-def edit_summary(accepted: DataFrame) -> DataFrame:
-    """Edits applied per run."""
-    return accepted.groupBy("extraction_run_id").agg(F.count("*").alias("applied"))
+def edit_summary(accepted: DataFrame, view: DataFrame) -> DataFrame:
+    """Edits applied per run, with the record and the reviews that result (:func:`extracted_view`
+    over all reviews, the accepted ones included)."""
+    counts = accepted.groupBy("extraction_run_id").agg(F.count("*").alias("applied"))
+    return counts.join(view.select("extraction_run_id", "view", "reviews"), "extraction_run_id")

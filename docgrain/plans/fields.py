@@ -56,18 +56,18 @@ UNION ALL SELECT o_orderkey, 'party.open', CASE WHEN o_orderstatus = 'F' THEN 'T
 )
 def flatten_props(spark, sf):
     rows = table(spark, sf, "events").select("event_id", V.as_variant(F.col("props")).alias("v"))
-    return O.flatten_scalars(rows, "v", ["event_id"], depth=1).drop("ord")
+    return O.flatten_scalars(rows, "v", ["event_id"]).drop("ord")
 
 
 @query("flatten_nested", LEAVES_SQL)
 def flatten_nested(spark, sf):
-    return O.flatten_scalars(order_records(spark, sf), "extracted", ["o_orderkey"], depth=3).drop("ord")
+    return O.flatten_scalars(order_records(spark, sf), "extracted", ["o_orderkey"]).drop("ord")
 
 
 @query("flatten_keys", f"SELECT o_orderkey, path FROM ({LEAVES_SQL})")
 def flatten_keys(spark, sf):
     return O.flatten_field_keys(
-        order_records(spark, sf), "extracted", ["o_orderkey"], depth=3
+        order_records(spark, sf), "extracted", ["o_orderkey"]
     ).drop("ord")
 
 

@@ -155,13 +155,99 @@ def rejected_edits(spark, sf):
 @query(
     "edit_summary",
     f"""
-WITH {CURRENT_CTE}
-SELECT run_id AS extraction_run_id, count(*) AS applied
-FROM events JOIN live ON user_id = o_custkey WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY 1
+WITH {CURRENT_CTE},
+e AS (SELECT run_id, o_orderstatus AS status, CASE WHEN event_type = 'view' THEN 'status' ELSE 'total' END AS path,
+             value, ts, event_id
+      FROM events JOIN live ON user_id = o_custkey WHERE user_id IN (SELECT c_custkey FROM customer)),
+last AS (SELECT run_id, status, path, arg_max(value, (ts, event_id)) AS v, count(*) AS n FROM e GROUP BY ALL),
+per AS (SELECT run_id, status, sum(n)::BIGINT AS applied, count(*)::INTEGER AS n_reviews,
+               max(CASE WHEN path = 'status' THEN v END) AS s, max(CASE WHEN path = 'total' THEN v END) AS t
+        FROM last GROUP BY ALL)
+SELECT run_id AS extraction_run_id, applied, n_reviews,
+       '{{"status":' || coalesce(CAST(s AS VARCHAR), '"' || status || '"') || coalesce(',"total":' || CAST(t AS VARCHAR), '') || '}}' AS "view"
+FROM per
 """,
 )
 def edit_summary(spark, sf):
-    return R.edit_summary(_append(spark, sf)[0])
+    """Edits placed on the current runs, with the records that result from them."""
+    accepted = _append(spark, sf)[0]
+    clock = table(spark, sf, "events").select(F.col("event_id").alias("field_review_id"), F.col("ts").alias("created_at"))
+    log = accepted.withColumnRenamed("edit_id", "field_review_id").join(clock, "field_review_id")
+    view = R.extracted_view(_order_runs(spark, sf), log)
+    return R.edit_summary(accepted, view).select(
+        "extraction_run_id", "applied", F.size("reviews").alias("n_reviews"), "view"
+    )
+
+
+@query(
+    "view_reviews",
+    """
+WITH r AS (SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS id, arg_max(value, (ts, event_id)) AS v,
+                  min((ts, event_id)) AS seen FROM events GROUP BY ALL)
+SELECT o_orderkey AS extraction_run_id, (row_number() OVER (PARTITION BY user_id ORDER BY seen) - 1)::INTEGER AS pos,
+       id AS field_review_id, event_type AS field_path, CAST(v AS VARCHAR) AS edited_value
+FROM r JOIN orders ON o_orderkey = user_id
+""",
+)
+def view_reviews(spark, sf):
+    """The list of reviews that goes with each view, in the order in which they apply."""
+    view = R.extracted_view(_payload_runs(spark, sf), reviews(spark, sf))
+    rows = view.select("extraction_run_id", F.posexplode("reviews").alias("pos", "r"))
+    return rows.select("extraction_run_id", "pos", "r.field_review_id", "r.field_path", "r.edited_value")
+
+
+@query(
+    "bad_edits",
+    """
+SELECT event_id AS field_review_id, CASE event_type WHEN 'error' THEN 'invalid field path' ELSE 'value is not JSON' END AS reason
+FROM events WHERE event_type IN ('error', 'signup')
+""",
+)
+def bad_edits(spark, sf):
+    """Edits of errors name a path with an empty step, sign-ups a value without quotes."""
+    rows = reviews(spark, sf)
+    rows = rows.withColumn(
+        "field_path", F.when(F.col("field_path") == "error", "a..b").otherwise(F.col("field_path"))
+    ).withColumn(
+        "edited_value", F.when(F.col("field_path") == "signup", "no quotes").otherwise(F.col("edited_value"))
+    )
+    return R.check_edits(rows)[1].select("field_review_id", "reason")
+
+
+@query(
+    "view_field_pages",
+    """
+WITH last AS (SELECT user_id, arg_max(value, (ts, event_id)) AS v FROM events WHERE event_type = 'click' GROUP BY 1),
+x AS (SELECT o_orderkey, 'ord' || o_orderkey AS ref,
+             coalesce(regexp_replace(CAST(v AS VARCHAR), '[^0-9a-z]', '', 'g'), CAST(o_custkey AS VARCHAR)) AS click,
+             CAST(o_custkey AS VARCHAR) AS cust
+      FROM orders LEFT JOIN last ON user_id = o_orderkey)
+SELECT o_orderkey AS extraction_run_id, 'ref' AS path, 1 AS page_no FROM x
+UNION ALL
+SELECT o_orderkey, 'click', 3 FROM x WHERE length(click) >= 2 AND (contains('c' || cust || 'z', click) OR contains(click, 'c' || cust || 'z'))
+""",
+)
+def view_field_pages(spark, sf):
+    """Pages of the values after the edits: an edited click is no longer found where the old one was."""
+    o = F.col("o_orderkey").cast("string")
+    cust = F.col("o_custkey").cast("string")
+
+    def block(id_, text):
+        return F.struct(
+            F.lit(id_).alias("id"), F.lit("Text").alias("block_type"), text.alias("html"),
+            F.lit(None).cast("string").alias("markdown"), F.lit(0).alias("page"),
+        )
+
+    runs_ = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("extraction_run_id"),
+        F.to_json(F.struct(F.concat(F.lit("ORD-"), o).alias("ref"), F.col("o_custkey").alias("click"))).alias("extracted"),
+        F.array(
+            block("/page/0/Text/0", F.concat(F.lit("ord "), o)),
+            block("/page/2/Text/1", F.concat(F.lit("c"), cust, F.lit("z"))),
+        ).alias("blocks"),
+    )
+    edits = reviews(spark, sf).filter("field_path = 'click'")
+    return R.view_field_pages(R.extracted_view(runs_, edits), "blocks")
 
 
 @query(

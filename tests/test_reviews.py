@@ -1,6 +1,6 @@
 import json
 
-import pytest
+from pyspark.sql import functions as F
 
 from docgrain.operators import reviews as R
 
@@ -39,8 +39,39 @@ def test_overlay(spark):
     # The later edit of a field wins; fields are applied in the order of their first edit.
     rows = [(1, "o", {"z": 1}, 0), (1, "o.x", 9, 1), (1, "o", {"w": 2}, 2)]
     assert view(spark, base, rows)["o"] == {"w": 2, "x": 9}
-    with pytest.raises(Exception, match="invalid field_path"):
-        view(spark, base, [(1, "a..b", 1, 0)])
+    # Bad edits are put aside and stop nothing.
+    assert view(spark, base, [(1, "a..b", 1, 0), (1, "", 2, 1), (1, "a.", 3, 2), (1, "a", 4, 3)])["a"] == 4
+
+
+def test_bad_edits_and_records(spark):
+    rows = [(0, 1, "a", None, "1", None, at(0)), (1, 1, ".a", None, "1", None, at(0)), (2, 1, "a", None, "{x", None, at(1))]
+    rows += [(3, 2, "a", None, "2", None, at(0)), (4, 3, "a", None, None, None, at(0)), (5, 1, None, None, "1", None, at(0))]
+    log = spark.createDataFrame(rows, DDL)
+    good, bad = R.check_edits(log)
+    assert {r.field_review_id for r in good.collect()} == {0, 3, 4}
+    assert {r.field_review_id: r.reason for r in bad.collect()} == {1: "invalid field path", 2: "value is not JSON", 5: "invalid field path"}
+    runs = spark.createDataFrame([(1, '{"a":0}'), (2, "[broken"), (3, None), (4, "{}")], "extraction_run_id long, extracted string")
+    out = {r.extraction_run_id: (r.view, r.reviews and [x.field_review_id for x in r.reviews]) for r in R.extracted_view(runs, log).collect()}
+    assert out == {1: ('{"a":1}', [0]), 2: ("[broken", [3]), 3: ('{"a":null}', [4]), 4: ("{}", None)}
+
+
+def test_merge_equals_one_edit_after_the_other():
+    import copy
+    import random
+
+    def set_at(node, steps, value):
+        for s in steps[:-1]:
+            node = node[s] if isinstance(node.get(s), dict) else node.setdefault(s, {}) if s not in node else node.update({s: {}}) or node[s]
+        node[steps[-1]] = value
+
+    rng = random.Random(3)
+    for _ in range(500):
+        base = {"a": {"b": {"c": 1}, "d": 2}, "b": 3}
+        edits = [([rng.choice("abcd") for _ in range(rng.randint(1, 4))], rng.choice([1, None, {"a": 1}, [2]])) for _ in range(6)]
+        want = copy.deepcopy(base)
+        for steps, value in edits:
+            set_at(want, steps, copy.deepcopy(value))
+        assert R._merged(base, edits) == want
 
 
 def test_ties_and_typed_overlay(spark):
@@ -67,7 +98,9 @@ def test_append_and_delete(spark):
     row = ok.first()
     assert (row.extraction_run_id, row.original_value) == (2, "4")
     assert {r.edit_id: r.reason for r in bad.collect()} == {2: "no current extraction", 3: "document not found"}
-    assert R.edit_summary(ok).first().applied == 1
+    log = ok.select(F.col("edit_id").cast("long").alias("field_review_id"), "extraction_run_id", "field_path", "original_value", "edited_value", F.lit(None).cast("string").alias("remark"), F.lit(at(0)).alias("created_at"))
+    summary = R.edit_summary(ok, R.extracted_view(runs, log)).collect()
+    assert [(r.extraction_run_id, r.applied, r.view, len(r.reviews)) for r in summary] == [(2, 1, '{"a":{"b":5}}', 1)]
     log = edits(spark, [(1, "a", 1, 0), (1, "a", 2, 1), (3, "a", 3, 2)])
     gone = spark.createDataFrame([("d1", 1), ("d1", 2)], "document_id string, field_review_id long")
     left = R.delete_review(log, runs, gone)

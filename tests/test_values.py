@@ -156,3 +156,30 @@ def test_geometry(spark):
     )
     quad = df.select(G.block_quad(F.col("polygon"), F.col("bbox")).alias("q")).first().q
     assert quad == [[1.0, 2.0], [3.0, 2.0], [3.0, 4.0], [1.0, 4.0]]
+
+
+def test_any_depth_is_flattened(spark):
+    deep = 1
+    for i in range(40):
+        deep = {"k": deep} if i % 2 else [None, deep]
+    text = json.dumps({"deep": deep, "s": 'a"]}[{\\', "e": {}})
+    df = spark.createDataFrame([(1, text), (2, "7"), (3, None)], "id int, j string").selectExpr("id", "parse_json(j) AS v")
+    rows = {(r.id, r.path): r.value for r in O.flatten_scalars(df, "v", ["id"]).collect()}
+    path = "deep" + ".k[1]" * 20
+    assert rows == {(1, path): "1", (1, "s"): 'a"]}[{\\', (2, ""): "7"}
+
+
+def test_radix_numbers_of_any_length(spark):
+    import random
+
+    rng = random.Random(1)
+    cases = ["0x" + "f" * 13, "0X" + "f" * 20, "0b" + "1" * 70, "0o" + "7" * 30, "0x0000000000000000000001", "0b" + "1" * 54]
+    cases += ["0x" + "".join(rng.choices("0123456789abcdef", k=rng.randint(1, 40))) for _ in range(100)]
+    cases += ["0x2000000000000" + "10000001", "0x2000000000000" + "10000000", "0x2000000000000" + "30000000"]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    from docgrain.functions.values import coerce_edited
+
+    got = [float(r[0]) for r in df.select(coerce_edited(F.lit("number"), F.concat(F.lit("\t "), "c", F.lit("\n")))).collect()]
+    assert got == [float(int(c, 0)) for c in cases]
+    text = df.limit(1).select(coerce_edited(F.lit("number"), F.lit("0x" + "f" * 300)), coerce_edited(F.lit("number"), F.lit("0xg"))).first()
+    assert (text[0], text[1]) == ('"0x' + "f" * 300 + '"', '"0xg"')
