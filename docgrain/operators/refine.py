@@ -143,6 +143,9 @@ def contract_violations(
     return judged.filter("outcome = 'violation'").select("run_id", "patch_ord", "op")
 
 
+AUDITS = ["low", "orphans", "rejected", "added", "moved"]
+
+
 def apply_patches(
     fragments: DataFrame,
     patches: DataFrame,
@@ -150,35 +153,46 @@ def apply_patches(
     floor: float = CONFIDENCE_FLOOR,
     mode: str = "quarantine",
     prior_assignments: DataFrame | None = None,
+    prior_trail: dict[str, DataFrame] | None = None,
+    staged: bool = True,
 ) -> Patched:
     """Apply all patches of all runs at once, with the full audit trail.
 
-    The judged patches feed every output, so they are computed once and staged.
+    The judged patches feed every output, so they are computed once and staged; leave ``staged``
+    off where only one output is read. Nothing else is written, and everything is lazy.
 
     The order inside a run is carried by ``patch_ord``: the last assignment of a field wins,
     moves of one fragment chain, additions are numbered in order. A run with a patch that breaks
     the contract gives no output in ``quarantine`` mode; ``fail`` mode raises at the first one.
+
+    A further pass takes the ``fragments``, ``runs``, ``assignments`` and ``trail()`` of the pass before it.
     """
-    judged = stage(_judge(patches, fragment_index(fragments), runs, floor), "judged-patches")
+    judged = _judge(patches, fragment_index(fragments), runs, floor)
+    if staged:
+        judged = stage(judged, "judged-patches")
     broken = judged.filter("outcome = 'violation'")
-    first = broken.select("run_id", "patch_ord", "op").head(1)
-    if first and mode == "fail":
-        row = first[0]
-        raise ValueError(
-            f"patch contract violated: run {row.run_id}, patch {row.patch_ord} ({row.op})"
-        )
-    if first:
-        bad_runs = broken.select("run_id").distinct()
-        judged = stage(judged.join(bad_runs, "run_id", "left_anti"), "kept-patches")
-        fragments = fragments.join(bad_runs, "run_id", "left_anti")
-    return Patched(judged, broken.select(*patches.columns), fragments, runs, prior_assignments)
+    if mode == "fail":
+        for row in broken.select("run_id", "patch_ord", "op").head(1):
+            raise ValueError(
+                f"patch contract violated: run {row.run_id}, patch {row.patch_ord} ({row.op})"
+            )
+    bad_runs = broken.select("run_id").distinct()
+
+    def good(df: DataFrame | None) -> DataFrame | None:
+        return None if df is None else df.join(bad_runs, "run_id", "left_anti")
+
+    return Patched(
+        good(judged),
+        broken.select(*patches.columns),
+        good(fragments),
+        runs,
+        good(prior_assignments),
+        {name: good(df) for name, df in (prior_trail or {}).items()},
+    )
 
 
 class Patched:
-    """Everything one refinement pass leaves behind, as long tables computed on demand.
-
-    Additions and moves feed other outputs as well, so they are staged when first asked for.
-    """
+    """Everything one refinement pass leaves behind, as long tables computed on demand."""
 
     def __init__(
         self,
@@ -187,10 +201,12 @@ class Patched:
         fragments: DataFrame,
         runs: DataFrame,
         prior: DataFrame | None,
+        prior_trail: dict[str, DataFrame],
     ) -> None:
         self.violations = violations
         self._raw = violations.columns
-        self._judged, self._base, self._runs, self._prior = judged, fragments, runs, prior
+        self._judged, self._base, self._given, self._prior = judged, fragments, runs, prior
+        self._prior_trail = prior_trail
 
     def _applied(self, op: str) -> DataFrame:
         return self._judged.filter((F.col("outcome") == "applied") & (F.col("op") == op))
@@ -225,9 +241,9 @@ class Patched:
             name="add_no",
             bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
         )
-        prior = self._runs.select("run_id", F.col("n_refined").cast("long").alias("__prior"))
+        prior = self._given.select("run_id", F.col("n_refined").cast("long").alias("__prior"))
         number = F.coalesce("__prior", F.lit(0)) + F.col("add_no") - 1
-        rows = numbered.join(prior, "run_id", "left").select(
+        return numbered.join(prior, "run_id", "left").select(
             "run_id",
             "patch_ord",
             "add_no",
@@ -239,28 +255,24 @@ class Patched:
             "confidence",
             "reason",
         )
-        return stage(rows, "added-fragments")
 
     @cached_property
     def moved(self) -> DataFrame:
         """Moves with the box before and after. A fragment's next move starts where the last one
         ended: moves are numbered per fragment and each looks up its predecessor by number."""
         keys = ["run_id", "frag_ord"]
-        numbered = stage(
-            split_row_number(
-                self._applied("move"),
-                keys,
-                [F.col("patch_ord").asc()],
-                name="move_no",
-                bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
-            ).select(*keys, "move_no", "patch_ord", "fragment_id", "bbox", "confidence", "reason"),
-            "numbered-moves",
-        )
+        numbered = split_row_number(
+            self._applied("move"),
+            keys,
+            [F.col("patch_ord").asc()],
+            name="move_no",
+            bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
+        ).select(*keys, "move_no", "patch_ord", "fragment_id", "bbox", "confidence", "reason")
         earlier = numbered.select(
             *keys, (F.col("move_no") + 1).alias("move_no"), F.col("bbox").alias("__prev")
         )
         origin = self._base.select(*keys, F.col("bbox").alias("__origin"))
-        rows = (
+        return (
             numbered.join(earlier, [*keys, "move_no"], "left")
             .join(origin, keys, "left")
             .select(
@@ -276,7 +288,6 @@ class Patched:
                 "reason",
             )
         )
-        return stage(rows, "moved-fragments")
 
     @cached_property
     def assignments(self) -> DataFrame:
@@ -297,10 +308,10 @@ class Patched:
 
     @cached_property
     def fragments(self) -> DataFrame:
-        """Fragments after the pass: moved boxes in place, additions after the last position."""
-        columns = ["run_id", "frag_ord", "self_ref", "text", "bbox", "source", "confidence"]
-        last = self.moved.groupBy("run_id", "frag_ord").agg(
-            F.max_by("after", "move_no").alias("__after")
+        """Fragments after the pass, in the columns they came in: moved boxes in place, additions
+        after the last position. Of the moves of a fragment only the last one counts here."""
+        last = self._applied("move").groupBy("run_id", "frag_ord").agg(
+            F.max_by("bbox", "patch_ord").alias("__after")
         )
         kept = self._base.join(last, ["run_id", "frag_ord"], "left").withColumn(
             "bbox", F.coalesce("__after", "bbox")
@@ -312,10 +323,38 @@ class Patched:
             F.col("fragment_id").alias("self_ref"),
             "text",
             "bbox",
+            "page_no",
             F.lit("vlm").alias("source"),
             "confidence",
         )
-        return kept.select(*columns).unionByName(fresh)
+        columns = self._base.columns
+        fresh = fresh.select(*[c for c in fresh.columns if c in columns])
+        return kept.select(*columns).unionByName(fresh, allowMissingColumns=True)
+
+    @cached_property
+    def visible(self) -> DataFrame:
+        """The given fragments without those that this pass rejects; none of quarantined runs."""
+        return visible_fragments(self._base, self.rejected)
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """The runs with ``n_refined`` counting the additions of this pass, for the next one."""
+        counts = self._applied("add").groupBy("run_id").agg(F.count("*").alias("__added"))
+        total = F.coalesce(F.col("n_refined").cast("long"), F.lit(0)) + F.coalesce("__added", F.lit(0))
+        return self._given.join(counts, "run_id", "left").withColumn("n_refined", total).drop("__added")
+
+    def trail(self) -> dict[str, DataFrame]:
+        """The audit tables of this pass and all before it, with ``pass_no`` from 0."""
+        out = {}
+        for name in AUDITS:
+            own, before = getattr(self, name), self._prior_trail.get(name)
+            if before is None:
+                out[name] = own.withColumn("pass_no", F.lit(0))
+                continue
+            passes = before.groupBy("run_id").agg((F.max("pass_no") + 1).alias("__pass"))
+            numbered = own.join(passes, "run_id", "left").withColumn("pass_no", F.coalesce("__pass", F.lit(0)))
+            out[name] = before.unionByName(numbered.drop("__pass"), allowMissingColumns=True)
+        return out
 
 
 def visible_fragments(fragments: DataFrame, rejected: DataFrame) -> DataFrame:

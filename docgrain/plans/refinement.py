@@ -230,12 +230,63 @@ def apply_patches_fragments(spark, sf):
     f"""
 WITH {PATCH_CTE}, rj AS (SELECT DISTINCT run_id, frag_ord FROM ap WHERE op = 'reject')
 SELECT fr.run_id, fr.frag_ord, text FROM fr LEFT JOIN rj ON rj.run_id = fr.run_id AND rj.frag_ord = fr.frag_ord
-WHERE rj.run_id IS NULL
+WHERE rj.run_id IS NULL AND fr.run_id NOT IN (SELECT run_id FROM bad)
 """,
 )
 def visible_fragments(spark, sf):
-    rejected = patched(spark, sf).rejected
-    return P.visible_fragments(fragments(spark, sf), rejected).select("run_id", "frag_ord", "text")
+    return patched(spark, sf).visible.select("run_id", "frag_ord", "text")
+
+
+@query(
+    "apply_patches_twice",
+    f"""
+WITH {PATCH_CTE},
+lm AS (SELECT run_id, frag_ord, arg_max(l, move_no) AS l FROM mv GROUP BY ALL),
+cnt AS (SELECT run_id, max(frag_ord) + 1 AS n_frag FROM fr GROUP BY 1),
+na AS (SELECT run_id, count(*) AS n_added FROM ad GROUP BY 1),
+doc AS (SELECT sz.run_id, prior, coalesce(n_added, 0) AS n_added, n_frag, sz.run_id IN (SELECT run_id FROM bad) AS gone
+        FROM sz LEFT JOIN cnt USING (run_id) LEFT JOIN na USING (run_id))
+SELECT doc.run_id, '#/refined-texts/' || (prior + n_added) AS fragment_id,
+       CASE WHEN gone THEN 0 ELSE n_frag + n_added END AS frag_ord,
+       round(CASE WHEN gone THEN NULL ELSE coalesce(lm.l, fr.l) END, 6) AS before_l,
+       n_added + 1 AS n_added_in_all, CASE WHEN gone THEN 0::BIGINT ELSE 1 END AS n_moved_now
+FROM doc LEFT JOIN lm ON lm.run_id = doc.run_id AND lm.frag_ord = 0 LEFT JOIN fr ON fr.run_id = doc.run_id AND fr.frag_ord = 0
+""",
+)
+def apply_patches_twice(spark, sf):
+    """A second pass over the result of the first: a fragment is added and the first one moved."""
+    first = patched(spark, sf)
+    ids = run_sizes(spark, sf).select("run_id")
+    place = G.box(F.lit(1), F.lit(2), F.lit(3), F.lit(4))
+    none = F.lit(None).cast("string")
+    again = [("add", none, F.lit("k2"), F.lit("second")), ("move", F.lit("f0"), none, none)]
+    rows = [
+        F.struct(
+            F.lit(i).cast("long").alias("patch_ord"), F.lit(op).alias("op"), target.alias("fragment_id"),
+            key.alias("field_key"), place.alias("new_bbox"), F.lit(None).cast("array<int>").alias("box_2d"),
+            text.alias("new_text"), F.lit("seen").alias("reason"), F.lit(0.9).alias("confidence"),
+        )
+        for i, (op, target, key, text) in enumerate(again)
+    ]
+    second = P.apply_patches(
+        first.fragments,
+        ids.select("run_id", F.inline(F.array(*rows))),
+        first.runs,
+        prior_assignments=first.assignments,
+        prior_trail=first.trail(),
+    )
+    fresh = second.fragments.filter("text = 'second' AND source = 'vlm'").select(
+        "run_id", F.col("self_ref").alias("fragment_id"), "frag_ord"
+    )
+    moves = second.moved.groupBy("run_id").agg(
+        F.round(F.max("before.l"), 6).alias("before_l"), F.count("*").alias("n_moved_now")
+    )
+    added = second.trail()["added"].groupBy("run_id").agg(F.count("*").alias("n_added_in_all"))
+    return (
+        fresh.join(moves, "run_id", "left")
+        .join(added, "run_id", "left")
+        .withColumn("n_moved_now", F.coalesce("n_moved_now", F.lit(0).cast("long")))
+    )
 
 
 @query(
