@@ -19,6 +19,20 @@ def _at(values: Column, i: int) -> Column:
     return F.get(values, F.lit(i))
 
 
+def box_readable(bbox: Column) -> Column:
+    """False for a box of four entries of which one is no number."""
+    return ~F.coalesce((F.size(bbox) == 4) & F.exists(bbox, lambda v: v.isNull()), F.lit(False))
+
+
+def polygon_readable(polygon: Column, bbox: Column) -> Column:
+    """False for a polygon with a point of less than two numbers, where the box does not serve."""
+    broken = F.exists(
+        polygon, lambda p: F.coalesce(F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull(), F.lit(True))
+    )
+    needed = ~F.coalesce(F.size(bbox) == 4, F.lit(False))
+    return ~F.coalesce(needed & broken, F.lit(False))
+
+
 def block_box(bbox: Column, polygon: Column) -> Column:
     """The four-number box, else the extent of the polygon, else null."""
     xs = F.transform(polygon, lambda p: F.get(p, F.lit(0)))

@@ -207,7 +207,8 @@ def _provenance(text: Column) -> Column:
 
 
 def document_items(blocks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Exploded blocks to ordered document items, and the blocks that cannot become one.
+    """Exploded blocks to ordered document items, and the blocks that cannot become one: those
+    with a heading level below 1, a box or a polygon that holds no number where one belongs.
 
     Items: keys, ord, item_ord, kind (heading, table, picture, list, list_item, text), label,
     level, text, page_no, bbox, chars. A list gives one row for itself and one per entry.
@@ -217,10 +218,14 @@ def document_items(blocks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataF
     typed = blocks.withColumn("text", text).withColumn(
         "level", F.when(F.col("block_type") == "SectionHeader", level)
     )
-    bad = F.coalesce(F.col("level") < 1, F.lit(False))
-    rejects = typed.filter(bad).select(
-        *keys, "ord", "block_id", "block_type", F.lit("heading level below 1").alias("reason")
+    reason = (
+        F.when(~G.box_readable(F.col("bbox")), "unreadable box")
+        .when(~G.polygon_readable(F.col("polygon"), F.col("bbox")), "unreadable polygon")
+        .when(F.coalesce(F.col("level") < 1, F.lit(False)), "heading level below 1")
     )
+    typed = typed.withColumn("reason", reason)
+    bad = F.col("reason").isNotNull()
+    rejects = typed.filter(bad).select(*keys, "ord", "block_id", "block_type", "reason")
     # List entries inherit page and box of their list; without a box they sit at page 1.
     prov = _provenance(F.col("text"))
     zero = G.box(*[F.lit(0.0)] * 4)
@@ -350,6 +355,24 @@ def compact_fragments(fragments: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def compact_scaffold(
+    scaffolds: DataFrame, fragments: DataFrame, keys: list[str], pages: str = "pages"
+) -> DataFrame:
+    """The whole view of the refinement model per scaffold: its pages as they are, and its texts.
+
+    ``texts`` is array<struct<id,text,bbox>> in the order of the fragments; a scaffold without
+    fragments has none. Fragments are gathered per scaffold, which is one model input.
+    """
+    entry = F.struct("frag_ord", "id", "text", "bbox")
+    texts = compact_fragments(fragments, keys).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda f: f.dropFields("frag_ord")).alias("texts")
+    )
+    empty = F.array().cast(f"array<struct<id:string,text:string,bbox:{_BOX}>>")
+    return scaffolds.select(*keys, pages).join(texts, keys, "left").withColumn(
+        "texts", F.coalesce("texts", empty)
+    )
+
+
 # ---- block statistics ----------------------------------------------------------------------------
 
 

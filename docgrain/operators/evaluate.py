@@ -65,10 +65,11 @@ def field_accuracy(
 
 
 def field_accuracy_long(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
-    """The same rules over long field tables (keys, field, value), one row per field."""
+    """The same rules over long field tables (keys, field, value), one row per field of either
+    side; a field that only one side has matches only if its value is null."""
     x = expected.select(*keys, "field", F.col("value").alias("x"))
     y = actual.select(*keys, "field", F.col("value").alias("y"))
-    return x.join(y, [*keys, "field"], "left").select(
+    return x.join(y, [*keys, "field"], "full_outer").select(
         *keys, "field", normalized_match(F.col("x"), F.col("y")).alias("is_match")
     )
 

@@ -14,7 +14,8 @@ def ingest_by_hash(uploads: DataFrame, documents: DataFrame) -> tuple[DataFrame,
     ``uploads``: upload_ord, filename, mime_type, size_bytes, uploaded_by, content, created_at.
     Returns the documents after the upload and, per upload, the document it resolved to and
     ``is_new``. The first upload of a hash wins and keeps its file name; re-uploads write
-    nothing. Contents take no part in any shuffle: only the hash and the metadata travel.
+    nothing. A new document is named after its content, so loads that number their uploads anew
+    cannot give two documents one id. Contents take no part in any shuffle: only the hash and the metadata travel.
     """
     hashed = uploads.withColumn("sha256", F.sha2("content", 256)).drop("content")
     meta = [c for c in hashed.columns if c not in ("sha256", "upload_ord")]
@@ -25,7 +26,7 @@ def ingest_by_hash(uploads: DataFrame, documents: DataFrame) -> tuple[DataFrame,
     )
     known = documents.select("sha256", F.col("document_id").alias("known_id"))
     resolved = first.join(known, "sha256", "left").withColumn(
-        "document_id", F.coalesce("known_id", F.col("upload_ord").cast("string"))
+        "document_id", F.coalesce("known_id", F.substring("sha256", 1, 32))
     )
     fresh = resolved.filter("known_id IS NULL").select(
         "document_id",

@@ -5,36 +5,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.barrier import compute_once
+from .ranking import split_running_sum
+
 LOG_LINE = r"^(\S+) (\S+) -> (\d+) in (\d+(?:\.\d+)?)ms$"
 
 
 def parse_request_log(lines: DataFrame, col: str, keep: list[str] | None = None) -> DataFrame:
     """``METHOD path -> status in N.NNms`` to columns; other lines are left out."""
-    line = F.col(col)
-    return lines.filter(line.rlike(LOG_LINE)).select(
+    # One match tells a request; a request has no other blanks than those between its words.
+    requests = lines.filter(F.col(col).rlike(LOG_LINE))
+    words = compute_once(requests, keep or [], F.split(col, " "), "__w")
+    word = [F.get("__w", F.lit(i)) for i in range(6)]
+    return words.select(
         *(keep or []),
-        F.regexp_extract(line, LOG_LINE, 1).alias("method"),
-        F.regexp_extract(line, LOG_LINE, 2).alias("path"),
-        F.regexp_extract(line, LOG_LINE, 3).cast("int").alias("status"),
-        F.regexp_extract(line, LOG_LINE, 4).cast("double").alias("ms"),
+        word[0].alias("method"),
+        word[1].alias("path"),
+        word[3].cast("int").alias("status"),
+        F.regexp_replace(word[5], "ms$", "").cast("double").alias("ms"),
     )
 
 
-def timing_columns(exact: bool = False) -> list[Column]:
-    """Aggregates of parsed requests. Percentiles are sketches unless ``exact``: a sketch is
-    merged map-side, an exact percentile keeps every distinct duration of a route."""
-    pick = F.percentile if exact else F.percentile_approx
-    return [
-        F.count("*").alias("n"),
-        F.avg("ms").alias("mean_ms"),
-        *[pick("ms", F.lit(p / 100)).alias(f"p{p}_ms") for p in (50, 95, 99)],
-        (F.count_if(F.col("status") >= 500) / F.count("*")).alias("error_share"),
-    ]
+PERCENTS = (50, 95, 99)
+
 
+def request_timing(
+    lines: DataFrame, col: str, exact: bool = False, accuracy: int = 10_000
+) -> DataFrame:
+    """Counts, mean, percentiles and share of server errors per route.
 
-def request_timing(lines: DataFrame, col: str, exact: bool = False) -> DataFrame:
-    """Counts, mean, percentiles and share of server errors per route."""
-    return parse_request_log(lines, col).groupBy("method", "path").agg(*timing_columns(exact))
+    By default percentiles come from sketches, right within one rank of ``accuracy``, and are named
+    ``p95_ms_approx``. With ``exact`` they are interpolated from the counts of all durations and named ``p95_ms``.
+    """
+    requests = parse_request_log(lines, col)
+    route = ["method", "path"]
+    sums = [F.count("*").alias("n"), F.avg("ms").alias("mean_ms")]
+    errors = (F.count_if(F.col("status") >= 500) / F.count("*")).alias("error_share")
+    if not exact:
+        sketches = [
+            F.percentile_approx("ms", F.lit(p / 100), F.lit(accuracy)).alias(f"p{p}_ms_approx")
+            for p in PERCENTS
+        ]
+        return requests.groupBy(*route).agg(*sums, *sketches, errors)
+    return requests.groupBy(*route).agg(*sums, errors).join(_percentiles(requests, route, "ms"), route)
+
+
+def _percentiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Interpolated percentiles per key. Values are counted first and the counts are summed up in
+    range partitions, so a key with very many values is spread over tasks."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    running = split_running_sum(counts, keys, [F.col(value).asc()], "__n", "__upto")
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    placed = running.join(totals, keys)
+
+    def at(place: Column) -> Column:
+        """The value of the given rank, from 0."""
+        return F.min(F.when(F.col("__upto") > place, F.col(value)))
+
+    places = {p: (F.col("__all") - 1) * p / 100 for p in PERCENTS}
+    ends = [
+        x
+        for p, place in places.items()
+        for x in (at(F.floor(place)).alias(f"__lo{p}"), at(F.ceil(place)).alias(f"__hi{p}"))
+    ]
+    found = placed.groupBy(*keys, "__all").agg(*ends)
+    return found.select(
+        *keys,
+        *[
+            (
+                F.col(f"__lo{p}")
+                + (F.col(f"__hi{p}") - F.col(f"__lo{p}")) * (place - F.floor(place))
+            ).alias(f"p{p}_ms")
+            for p, place in places.items()
+        ],
+    )
 
 
 def stage_timing(traces: DataFrame, stages: dict[str, str]) -> DataFrame:
@@ -87,7 +131,8 @@ def cost_and_margin(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
     ``usage``: model, created_at, pages, input_units, output_units. ``prices``: model, in_price,
     out_price (per unit), page_price (revenue per page). Usage is reduced to one row per model
-    and month before it meets the prices, so the join is small on both sides. Money is DECIMAL,
+    and month before it meets the prices, so the join is small on both sides. Usage of a model without a
+    price stays, with null amounts and ``is_priced`` false. Money is DECIMAL,
     ratios are DOUBLE.
     """
     monthly = usage.groupBy("model", F.date_trunc("month", "created_at").alias("month")).agg(
@@ -100,17 +145,20 @@ def cost_and_margin(usage: DataFrame, prices: DataFrame) -> DataFrame:
         F.col("input_units") * F.col("in_price") + F.col("output_units") * F.col("out_price")
     ).cast(money)
     revenue = (F.col("pages") * F.col("page_price")).cast(money)
-    priced = monthly.join(prices, "model").select(
-        "model", "month", "pages", cost.alias("cost"), revenue.alias("revenue")
+    known = prices.withColumn("__priced", F.lit(True))
+    priced = monthly.join(known, "model", "left").select(
+        "model", "month", "pages", cost.alias("cost"), revenue.alias("revenue"),
+        F.coalesce("__priced", F.lit(False)).alias("is_priced"),
     )
     margin = F.col("revenue") - F.col("cost")
     return priced.select(
-        "*",
+        *[c for c in priced.columns if c != "is_priced"],
         (F.col("cost").cast("double") / F.nullif(F.col("pages"), F.lit(0))).alias("cost_per_page"),
         margin.alias("margin"),
         (
             margin.cast("double") * 100 / F.nullif(F.col("revenue").cast("double"), F.lit(0.0))
         ).alias("margin_pct"),
+        "is_priced",
     )
 
 

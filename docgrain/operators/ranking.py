@@ -16,10 +16,23 @@ def split_row_number(
     name: str = "rn",
     bucket: Column | None = None,
 ) -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` without one task per key.
+    """``row_number() over (partition by keys order by order)`` without one task per key."""
+    ones = df.withColumn("__one", F.lit(1).cast("long"))
+    return split_running_sum(ones, keys, order, "__one", name, bucket).drop("__one")
 
-    Rows are numbered inside (keys, bucket); the rows of earlier buckets are added from a table of
-    bucket sizes, which is all that is ever gathered per key. Keys must not be null.
+
+def split_running_sum(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    value: str,
+    name: str,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """``sum(value) over (partition by keys order by order rows up to here)`` without one task per key.
+
+    Rows are summed up inside (keys, bucket); the sums of earlier buckets are added from a table of
+    bucket totals, which is all that is ever gathered per key. Keys must not be null.
 
     Buckets follow the order. Without ``bucket`` they are the partitions of a range shuffle over
     keys and order: sampled from the data, so even, and as many per key at most as there are
@@ -32,9 +45,9 @@ def split_row_number(
         tagged = stage(ranged.withColumn(part, F.spark_partition_id()), "ranked")
     else:
         tagged = df.withColumn(part, bucket)
-    sizes = tagged.groupBy(*keys, part).agg(F.count("*").alias("__n"))
+    totals = tagged.groupBy(*keys, part).agg(F.sum(value).alias("__n"))
     earlier = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
+    offsets = totals.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         F.col(part).alias("__part"),
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
@@ -42,9 +55,9 @@ def split_row_number(
     same = F.col(part) == F.col("__part")
     for k in keys:
         same = same & (F.col(k) == F.col(f"__{k}"))
-    inside = F.row_number().over(W.partitionBy(*keys, part).orderBy(*order))
+    up_to = W.partitionBy(*keys, part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        tagged.withColumn("__inside", inside)
+        tagged.withColumn("__inside", F.sum(value).over(up_to))
         .join(offsets, same)
         .withColumn(name, (F.col("__before") + F.col("__inside")).cast("long"))
         .drop(part, "__inside", "__before", "__part", *[f"__{k}" for k in keys])
@@ -58,18 +71,20 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*keys).agg(row).select(*keys, "__row.*").select(*df.columns)
 
 
-def mark_latest(df: DataFrame, key: str, row_id: str, flag: str = "is_current") -> DataFrame:
+def mark_latest(
+    df: DataFrame, key: str, row_id: str | list[str], flag: str = "is_current"
+) -> DataFrame:
     """Set ``flag`` on the row with the highest ``row_id`` of each key.
 
-    The winners are found with a pre-combined ``max`` and joined back on the row id, which is
-    unique, so no task ever sees all rows of a hot key.
+    ``row_id`` is a column, or several that name a row together. The winners are found with a
+    pre-combined ``max`` and joined back on the row id, which is unique, so no task ever sees all
+    rows of a hot key.
     """
-    winners = (
-        df.groupBy(key).agg(F.max(row_id).alias(row_id)).select(row_id).withColumn("__top", F.lit(True))
-    )
+    ids = [row_id] if isinstance(row_id, str) else row_id
+    top = df.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*ids)).alias("__r"))
+    winners = top.select("__r.*").withColumn("__top", F.lit(True))
     rows = df.drop(flag) if flag in df.columns else df
     return (
-        rows.join(winners, row_id, "left")
-        .withColumn(flag, F.coalesce("__top", F.lit(False)))
-        .drop("__top")
+        rows.join(winners, ids, "left")
+        .select(*rows.columns, F.coalesce("__top", F.lit(False)).alias(flag))
     )

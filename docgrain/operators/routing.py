@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null
 from ..functions.values import kind
 from ..schemas import DOC_TYPES, KEYWORDS, MAX_IMAGES, VISION_PREFIX
+from .ranking import split_row_number
+
+PAGE_BUCKET = 100_000  # pages of one document that one task numbers
 
 
 def keyword_count(text: Column, words: list[str]) -> Column:
@@ -85,29 +87,38 @@ def route_schema(docs: DataFrame, prompts: dict[str, str]) -> DataFrame:
 def build_requests(
     docs: DataFrame, pages: DataFrame, model: str, cap: int = MAX_IMAGES
 ) -> DataFrame:
-    """One model request per document: prompt, text and the first page images.
+    """Model requests: prompt, text and page images, at most ``cap`` to a request.
 
     ``docs``: document_id, doc_type, prompt, text. ``pages``: document_id, page_no, blob_key.
-    Images go along only for vision models, at most ``cap`` in page order. The rank is pushed into
-    the map side, so at most ``cap`` pages per document and task are shuffled for the images.
+    Images go along only for vision models, in page order; a document of more pages gives
+    further requests, numbered by ``request_no``, so that every page is in exactly one. Pages are
+    numbered in buckets, so a very long document is not one task, and only ``cap`` of them meet in a row.
     """
-    from pyspark.sql import Window as W
-
     counts = pages.groupBy("document_id").agg(F.count("*").alias("n_pages"))
     requests = docs.join(counts, "document_id", "left").withColumn(
         "n_pages", F.coalesce("n_pages", F.lit(0))
     )
     if not model.startswith(VISION_PREFIX):
-        return requests.withColumn("images", F.array().cast("array<string>"))
-    in_order = W.partitionBy("document_id").orderBy("page_no")
-    first = pages.withColumn("__rn", F.row_number().over(in_order)).filter(F.col("__rn") <= cap)
-    images = first.groupBy("document_id").agg(
+        return requests.withColumn("request_no", F.lit(0)).withColumn(
+            "images", F.array().cast("array<string>")
+        )
+    numbered = split_row_number(
+        pages.filter("document_id IS NOT NULL"),
+        ["document_id"],
+        [F.col("page_no").asc()],
+        name="__rn",
+        bucket=F.coalesce(F.floor(F.col("page_no") / PAGE_BUCKET), F.lit(-1)),
+    )
+    chunk = F.expr(f"cast((__rn - 1) div {cap} as int)")
+    images = numbered.groupBy("document_id", chunk.alias("request_no")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("page_no", "blob_key"))), lambda p: p["blob_key"]
         ).alias("images")
     )
-    return requests.join(images, "document_id", "left").withColumn(
-        "images", F.coalesce("images", F.array().cast("array<string>"))
+    return requests.join(images, "document_id", "left").select(
+        *requests.columns,
+        F.coalesce("request_no", F.lit(0)).alias("request_no"),
+        F.coalesce("images", F.array().cast("array<string>")).alias("images"),
     )
 
 
@@ -120,47 +131,30 @@ def run_model_batch(
     """Add the answer of a model client to each request.
 
     ``open_client`` runs once per partition and returns a function from a batch of requests to a
-    series of JSON answers. A failing batch marks its rows in ``error`` and does not stop the job.
+    series of JSON answers. The requests of a failing batch are asked
+    one by one; those that fail again carry the reason in ``error`` and stop nothing.
     """
     schema = requests.schema.simpleString()[len("struct<") : -1]
 
+    def ask(client: Client, row: pd.DataFrame) -> tuple[str | None, str | None]:
+        try:
+            return client(row).iloc[0], None
+        except Exception as exc:
+            return None, f"{type(exc).__name__}: {exc}"
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = open_client()
         for batch in batches:
             try:
                 answers, errors = client(batch), None
-            except Exception as exc:  # the service is external; its failure is data here
-                answers, errors = None, f"{type(exc).__name__}: {exc}"
+            except Exception:  # the service is external; its failure is data here
+                one_by_one = [ask(client, batch.iloc[i : i + 1]) for i in range(len(batch))]
+                answers, errors = ([x[k] for x in one_by_one] for k in (0, 1))
             yield batch.assign(**{name: answers, "error": errors})
 
     return requests.mapInPandas(call, f"{schema},{name}:string,error:string")
 
 
-def keyword_client(
-    text: str = "text", keywords: dict[str, list[str]] = KEYWORDS
-) -> Callable[[], Client]:
-    """Offline stand-in for a classifier: the keyword rules, answered per batch."""
-
-    def open_client() -> Client:
-        def count(t: str, name: str) -> int:
-            return sum(w in t for w in keywords[name])
-
-        def label(t: Any) -> str:
-            low = (t or "").lower()
-            inv, tax = count(low, "invoice"), count(low, "tax_id")
-            scores = {
-                "delivery_order": count(low, "delivery_order"),
-                "invoice": inv + tax if inv and tax else 0,
-                "weighing_bill": count(low, "weighing_bill"),
-            }
-            best = max(scores, key=scores.get)
-            return best if scores[best] else "delivery_order"
-
-        return lambda batch: batch[text].map(label)
-
-    return open_client
-
-
 def refine_eligibility(runs: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests (extraction_run_id, page_no) with the reason they cannot run, or null.
 

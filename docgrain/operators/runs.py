@@ -9,7 +9,12 @@ from ..schemas import DEFAULT_PAGE_SIZE, DOC_STATUSES, DOC_TYPES, PAGE_SIZES, PA
 from .ranking import latest_per_key, mark_latest, split_row_number
 
 
-def append_runs(runs: DataFrame, new: DataFrame, key: str, row_id: str) -> DataFrame:
+DEEP = 10_000  # rows of a listing that may be gathered to skip them
+
+
+def append_runs(
+    runs: DataFrame, new: DataFrame, key: str, row_id: str | list[str]
+) -> DataFrame:
     """Insert runs; per touched key the last inserted one becomes the only current run.
 
     Old history passes through untouched: only the rows that are current today meet the keys of
@@ -52,9 +57,14 @@ def append_extraction_run(
     return out, docs
 
 
-def append_refinement_run(runs: DataFrame, new: DataFrame) -> DataFrame:
-    """Append refinement runs; per extraction run the last inserted one becomes current."""
-    return append_runs(runs, new, "extraction_run_id", "refinement_run_id")
+def append_refinement_run(
+    runs: DataFrame, new: DataFrame, row_id: str | list[str] = "refinement_run_id"
+) -> DataFrame:
+    """Append refinement runs; per extraction run the last inserted one becomes current.
+
+    Where refinement ids start anew in each extraction run, ``row_id`` names both columns.
+    """
+    return append_runs(runs, new, "extraction_run_id", row_id)
 
 
 def current_runs(runs: DataFrame) -> DataFrame:
@@ -84,19 +94,36 @@ def page_request(page: int, size: int) -> tuple[int, int]:
 
 
 def list_documents(documents: DataFrame, page: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """One page of the listing, newest first, each row with the total and the page count."""
+    """One page of the listing, newest first, each row with the total and the page count.
+
+    A page beyond the first ``DEEP`` rows is cut out by row numbers of range partitions, so the
+    rows before it never meet in one place. Readers that turn page after page use :func:`documents_after`.
+    """
     page, size = page_request(page, size)
-    rows = (
-        documents.orderBy(F.col("created_at").desc(), F.col("document_id").desc())
-        .offset((page - 1) * size)
-        .limit(size)
-    )
+    newest = [F.col("created_at").desc(), F.col("document_id").desc()]
+    start = (page - 1) * size
+    if start <= DEEP:
+        rows = documents.orderBy(*newest).offset(start).limit(size)
+    else:
+        all_rows = documents.withColumn("__all", F.lit(0))
+        numbered = split_row_number(all_rows, ["__all"], newest, name="__rn")
+        rows = numbered.filter(F.col("__rn").between(start + 1, start + size)).drop("__all", "__rn")
     total = documents.agg(F.count("*").alias("n")).scalar()
     return rows.withColumn("total", total).withColumn(
         "pages", F.ceil(F.col("total") / size).cast("long")
     )
 
 
+def documents_after(
+    documents: DataFrame, created_at: object, document_id: object, size: int = DEFAULT_PAGE_SIZE
+) -> DataFrame:
+    """The page after the document last seen: a filter and a top-n, at any depth."""
+    when, name = F.col("created_at"), F.col("document_id")
+    seen = F.lit(created_at)
+    older = (when < seen) | ((when == seen) & (name < F.lit(document_id)))
+    return documents.filter(older).orderBy(when.desc(), name.desc()).limit(size)
+
+
 def document_detail(documents: DataFrame, runs: DataFrame, pages: DataFrame) -> DataFrame:
     """Documents with their current run and pages, one row per page in page order.
 

@@ -335,12 +335,14 @@ def doc_item_counts(spark, sf):
     "rejected_blocks",
     """
 SELECT p_partkey, 0 AS ord, '/page/0/SectionHeader/0' AS block_id, 'SectionHeader' AS block_type,
-       'heading level below 1' AS reason
-FROM part WHERE p_type = 'ECONOMY'
+       CASE WHEN p_size % 5 = 0 THEN 'unreadable box' WHEN p_size % 5 = 1 THEN 'unreadable polygon'
+            ELSE 'heading level below 1' END AS reason
+FROM part WHERE p_type = 'ECONOMY' OR p_size % 5 < 2
 """,
 )
 def rejected_blocks(spark, sf):
-    """Part headings; those of the economy line claim level 0 and cannot become an item."""
+    """Part headings; those of the economy line claim level 0, some sizes come with a box or a
+    polygon that lacks a number, and none of these can become an item."""
     level = F.when(F.col("p_type") == "ECONOMY", F.lit("0")).otherwise(F.lit("3"))
     block = F.struct(
         F.lit("/page/0/SectionHeader/0").alias("id"),
@@ -348,8 +350,10 @@ def rejected_blocks(spark, sf):
         F.col("p_name").alias("html"),
         F.lit(None).cast("string").alias("markdown"),
         F.lit(0).alias("page"),
-        F.lit(None).cast("array<array<double>>").alias("polygon"),
-        F.lit(None).cast("array<double>").alias("bbox"),
+        F.when(F.col("p_size") % 5 == 1, F.expr("array(array(1D, 2D), array(3D))"))
+        .otherwise(F.expr("array(array(1D, 2D), array(3D, 4D))"))
+        .alias("polygon"),
+        F.when(F.col("p_size") % 5 == 0, F.expr("array(1D, null, 2D, 3D)")).alias("bbox"),
         F.create_map(level, F.lit("s")).alias("section_hierarchy"),
     )
     runs = table(spark, sf, "part").select("p_partkey", F.array(block).alias("blocks"))
@@ -420,6 +424,30 @@ def compact_fragments(spark, sf):
     return out.withColumn("l", F.col("bbox.l")).drop("bbox")
 
 
+@query(
+    "compact_scaffold",
+    """
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n, min(l_linenumber) AS lo FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CAST(1 AS INT) AS n_pages, CAST(o_custkey AS DOUBLE) AS width, CAST(coalesce(n, 0) AS INT) AS n_texts,
+       'f' || lo AS first_id
+FROM orders LEFT JOIN l ON k = o_orderkey
+""",
+)
+def compact_scaffold(spark, sf):
+    page = F.struct(F.lit(1).alias("page"), F.col("o_custkey").cast("double").alias("width"), F.lit(792.0).alias("height"))
+    scaffolds = table(spark, sf, "orders").select("o_orderkey", F.array(page).alias("pages"))
+    n = F.col("l_linenumber")
+    frags = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), n.alias("frag_ord"), F.lit(None).cast("string").alias("self_ref"),
+        F.col("l_returnflag").alias("text"), G.box(n, n, n, n).alias("bbox"),
+    )
+    out = B.compact_scaffold(scaffolds, frags, ["o_orderkey"])
+    return out.select(
+        "o_orderkey", F.size("pages").alias("n_pages"), F.get("pages", F.lit(0))["width"].alias("width"),
+        F.size("texts").alias("n_texts"), F.get("texts", F.lit(0))["id"].alias("first_id"),
+    )
+
+
 # ---- term search -------------------------------------------------------------------------------------
 
 # Words looked for in every line of every document.

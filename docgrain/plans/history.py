@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import runs as H
@@ -83,19 +85,12 @@ def append_refinements(spark, sf):
         F.col("turn").alias("refinement_run_id"),
         "role",
     )
-    unique = turns.withColumn(
-        "row_id", F.col("extraction_run_id") * 100000 + F.col("refinement_run_id")
-    )
-    stored = stage(
-        mark_latest(unique.filter("role <> 'assistant'"), "extraction_run_id", "row_id"), "history"
-    )
-    new = unique.filter("role = 'assistant'")
-    # The turn number restarts in every conversation, so the id has to name both.
-    out = H.append_refinement_run(
-        stored.withColumn("turn", F.col("refinement_run_id")).withColumn("refinement_run_id", F.col("row_id")),
-        new.withColumn("turn", F.col("refinement_run_id")).withColumn("refinement_run_id", F.col("row_id")),
-    )
-    return out.select("extraction_run_id", F.col("turn").alias("refinement_run_id"), "is_current")
+    # The turn number restarts in every conversation, so a row is named by both.
+    row_id = ["extraction_run_id", "refinement_run_id"]
+    asked = turns.filter("role <> 'assistant'").drop("role")
+    stored = stage(mark_latest(asked, "extraction_run_id", row_id), "history")
+    new = turns.filter("role = 'assistant'").drop("role")
+    return H.append_refinement_run(stored, new, row_id)
 
 
 @query(
@@ -137,6 +132,20 @@ def list_documents_page(spark, sf):
     return H.list_documents(docs, page=3, size=7)
 
 
+@query(
+    "list_documents_after",
+    """
+SELECT o_orderkey AS document_id, o_orderdate AS created_at FROM orders
+WHERE o_orderdate < TIMESTAMP '1998-01-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20
+""",
+)
+def list_documents_after(spark, sf):
+    docs = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").alias("created_at")
+    )
+    return H.documents_after(docs, dt.datetime(1998, 1, 1), 0)
+
+
 PAGES_SQL = """
 pg AS (SELECT l_orderkey AS document_id, l_linenumber AS page_no, CAST(max(l_quantity) AS INT) AS width_px
        FROM lineitem GROUP BY ALL)

@@ -39,7 +39,7 @@ WITH h AS (SELECT doc_id, lang, sha256(text) AS sha FROM documents),
 known AS (SELECT sha, min(doc_id) AS kid FROM h WHERE lang = 'de' GROUP BY sha),
 fst AS (SELECT sha, min(doc_id) AS fid FROM h GROUP BY sha)
 SELECT h.doc_id AS upload_ord, h.sha AS sha256,
-       CAST(coalesce(kid, fid) AS VARCHAR) AS document_id,
+       coalesce(CAST(kid AS VARCHAR), substr(h.sha, 1, 32)) AS document_id,
        (kid IS NULL AND h.doc_id = fid) AS is_new
 FROM h JOIN fst USING (sha) LEFT JOIN known USING (sha)
 """,
@@ -54,7 +54,7 @@ def ingest_dedupe(spark, sf):
 WITH h AS (SELECT doc_id, lang, source, strlen(text) AS n, sha256(text) AS sha FROM documents),
 known AS (SELECT DISTINCT sha FROM h WHERE lang = 'de'),
 fst AS (SELECT sha, min(doc_id) AS fid FROM h WHERE sha NOT IN (SELECT sha FROM known) GROUP BY sha)
-SELECT CAST(fid AS VARCHAR) AS document_id, source || '/' || fid AS filename, n AS size_bytes,
+SELECT substr(sha, 1, 32) AS document_id, source || '/' || fid AS filename, n AS size_bytes,
        'documents/' || substr(sha, 1, 2) || '/' || sha || '.pdf' AS blob_key, 'uploaded' AS status
 FROM fst JOIN h USING (sha) WHERE h.doc_id = fid
 """,
@@ -66,6 +66,27 @@ def ingested_documents(spark, sf):
     )
 
 
+@query(
+    "ingest_two_batches",
+    """
+WITH h AS (SELECT doc_id, source, lang IN ('en', 'fr') AS early, sha256(text) AS sha FROM documents),
+a AS (SELECT sha, min(doc_id) AS id FROM h WHERE early GROUP BY 1),
+b AS (SELECT sha, min(doc_id) AS id FROM h WHERE NOT early AND sha NOT IN (SELECT sha FROM a) GROUP BY 1),
+w AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+SELECT substr(w.sha, 1, 32) AS document_id, source || '/' || id AS filename, w.sha AS sha256 FROM w JOIN h ON doc_id = id
+""",
+)
+def ingest_two_batches(spark, sf):
+    """Two loads whose upload numbers overlap; every content ends up under one id of its own."""
+    rows = _uploads(spark, sf)
+    none = rows.limit(0).select(F.lit("").alias("sha256"), F.lit("").alias("document_id"))
+    early = F.col("lang").isin("en", "fr")
+    first, _ = ingest.ingest_by_hash(rows.filter(early).drop("lang"), none)
+    later = rows.filter(~early).drop("lang").withColumn("upload_ord", F.col("upload_ord") - 1)
+    both, _ = ingest.ingest_by_hash(later, first)
+    return both.select("document_id", "filename", "sha256")
+
+
 @query(
     "page_key_format",
     """
@@ -153,6 +174,38 @@ def keyed_put_delete(spark, sf):
     )
 
 
+@query(
+    "keyed_update_in_place",
+    """
+WITH d AS (SELECT doc_id, 'documents/' || source || '/' || doc_id AS key, source, lang, text FROM documents),
+put AS (SELECT key, source || ':' || lang AS text FROM labels JOIN d USING (doc_id) WHERE toxic = 1),
+del AS (SELECT key FROM labels JOIN d USING (doc_id) WHERE quality = 0),
+merged AS (SELECT key, text FROM d WHERE key NOT IN (SELECT key FROM put) UNION ALL SELECT key, text FROM put)
+SELECT key, sha256(text) AS sha256 FROM merged WHERE key NOT IN (SELECT key FROM del)
+""",
+)
+def keyed_update_in_place(spark, sf):
+    """The same puts and deletes on a stored table, shard by shard."""
+    path = work_path(spark, "blobs")
+    uploads.write_blobs(_blob_store(spark, sf), path)
+    labelled = _labelled(spark, sf)
+    puts = labelled.filter("toxic = 1").select(
+        "key", F.concat("source", F.lit(":"), "lang").cast("binary").alias("content")
+    )
+    uploads.update_blobs(spark, path, puts, labelled.filter("quality = 0"))
+    return uploads.read_blobs(spark, path).select("key", F.sha2("content", 256).alias("sha256"))
+
+
+@query(
+    "keyed_missing",
+    """
+SELECT 'documents/' || source || '/' || doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+""",
+)
+def keyed_missing(spark, sf):
+    return uploads.blob_missing(_labelled(spark, sf), _blob_store(spark, sf))
+
+
 @query(
     "keyed_exists",
     """
@@ -267,12 +320,6 @@ def invoice_json(spark, sf):
     )
 
 
-@query("scan_uploads")
-def scan_uploads(spark, sf):
-    """The table files themselves as uploads: name, type and size, without reading a byte."""
-    return uploads.scan_uploads(spark, sf, "*.parquet").select("filename", "mime_type", "size_bytes")
-
-
 @query(
     "blob_table",
     "SELECT source || '/' || doc_id AS key, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents",

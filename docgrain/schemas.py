@@ -57,7 +57,7 @@ KEYWORDS = {
     "weighing_bill": ["weighing", "tare weight", "gross weight", "net weight", "weighing no"],
 }
 
-# ---- typed records, one per document type ------------------------------------------------
+# ---- fixed values: typed records, one per document type ------------------------------------------------
 _TEXT = T.StringType()
 
 
@@ -134,7 +134,7 @@ TRUTH_DDL = (
     "bbox:struct<l:double,t:double,r:double,b:double>>>"
 )
 
-# ---- the five stored tables ---------------------------------------------------------------
+# ---- fixed values: the five stored tables ---------------------------------------------------------------
 TABLES: dict[str, str] = {
     "document": (
         "document_id string, uploaded_by string, filename string, mime_type string, "

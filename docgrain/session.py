@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,22 +19,30 @@ RUNTIME_CONF = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Set the runtime SQL options and return the session."""
+_staged: list[str] = []
+
+
+def tune(spark: SparkSession, local_folder: bool = False) -> SparkSession:
+    """Set the runtime SQL options and return the session.
+
+    With ``local_folder``, a session in local mode that names no shared folder gets one of its own,
+    which goes when the process ends. A cluster has to name one that every machine reaches.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    if local_folder and one_machine and not spark.conf.get("spark.checkpoint.dir", None):
+        root = tempfile.mkdtemp(prefix="docgrain-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a session without that setting (tests, a laptop) gets a local folder, and keeps it.
-    """
+    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="docgrain-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return root.rstrip("/")
 
 
@@ -49,4 +59,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = work_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what :func:`stage` has written so far. Call it when no result of the job is read any
+    more; results are lazy and read staged data until then."""
+    jvm = spark.sparkContext._jvm
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

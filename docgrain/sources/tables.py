@@ -43,7 +43,8 @@ def write_table(df: DataFrame, root: str, table: str) -> str:
     spark = df.sparkSession
     stamp = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
     path = f"{root}/{table}/v={stamp:020d}-{uuid.uuid4().hex[:8]}"
-    out = conform(df, table).sortWithinPartitions(*folders, *order)
+    # Ranges of the sort key, so that a file covers few keys and a lookup skips the others.
+    out = conform(df, table).repartitionByRange(*folders, *order).sortWithinPartitions(*folders, *order)
     writer = out.write.mode("errorifexists")
     if folders:
         writer = writer.partitionBy(*folders)

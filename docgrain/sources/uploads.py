@@ -109,23 +109,63 @@ def shard(key: Column) -> Column:
     return F.substring(F.sha2(key, 256), 1, 2)
 
 
-def write_blobs(store: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """Cluster on the shard, so that a shard folder is written by ``files_per_shard`` tasks.
+def blob_missing(store: DataFrame, keys: DataFrame) -> DataFrame:
+    """Asked keys that the store does not hold."""
+    return keys.select("key").distinct().join(store.select("key"), "key", "left_anti")
 
-    256 shards: raise ``files_per_shard`` until one file of one shard is a size to handle.
-    """
-    (
-        store.withColumn("shard", shard(F.col("key")))
-        .repartition("shard", F.pmod(F.xxhash64("key"), F.lit(files_per_shard)))
-        .write.mode("errorifexists")
-        .partitionBy("shard")
-        .parquet(path)
+
+SHARDS = 256
+FILE_BYTES = 128 << 20
+
+
+def _by_shard(store: DataFrame, files: int) -> DataFrame:
+    return store.withColumn("shard", shard(F.col("key"))).repartition(
+        "shard", F.pmod(F.xxhash64("key"), F.lit(files))
     )
 
 
+def write_blobs(store: DataFrame, path: str, files_per_shard: int | None = None) -> None:
+    """Cluster on the shard; a shard folder gets as many files as its share of the bytes needs."""
+    if files_per_shard is None:
+        size = store.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
+        files_per_shard = max(1, -(-size // (SHARDS * FILE_BYTES)))
+    _by_shard(store, files_per_shard).write.mode("errorifexists").partitionBy("shard").parquet(path)
+
+
+def update_blobs(
+    spark: SparkSession,
+    path: str,
+    puts: DataFrame | None = None,
+    deletes: DataFrame | None = None,
+    files_per_shard: int = 1,
+) -> DataFrame:
+    """Write ``puts`` over the stored table, then delete; only the shards of the named keys are
+    read and written. Returns the refused puts.
+
+    The shards are replaced when all of them are written. A row without key keeps the folder of a
+    shard that runs empty, which would not be replaced otherwise; readers leave it out.
+    """
+    none = spark.createDataFrame([], "key string, content binary")
+    puts, deletes = none if puts is None else puts, none if deletes is None else deletes
+    named = puts.select("key").union(deletes.select("key"))
+    touched = [r[0] for r in named.select(shard(F.col("key"))).distinct().collect()]  # 256 at most
+    rows = spark.read.schema(STORED).parquet(path).filter(F.col("shard").isin(touched))
+    kept, refused = blob_put(rows.filter("key IS NOT NULL").select("key", "content"), puts)
+    after = blob_delete(kept, deletes)
+    marks = spark.createDataFrame([(None, None, t) for t in touched], STORED)
+    out = _by_shard(after, files_per_shard).unionByName(marks)
+    if touched:
+        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("shard").parquet(path)
+    return refused
+
+
+STORED = "key string, content binary, shard string"
+
+
 def read_blobs(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """The whole table, or one key with only its shard folder read."""
-    table = spark.read.schema("key string, content binary, shard string").parquet(path)
+    table = spark.read.schema(STORED).parquet(path).filter("key IS NOT NULL")
     if key is not None:
         wanted = F.lit(key)
         table = table.filter((F.col("shard") == shard(wanted)) & (F.col("key") == wanted))

@@ -1,5 +1,4 @@
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from docgrain.operators import routing as C
@@ -31,26 +30,23 @@ def test_detect_types(spark):
         assert r.is_mixed == (len(want) > 1)
     # Plain substrings: the short tax word hits inside "existing" too.
     assert rows[11].detected_types == ["invoice"]
-    answers = C.run_model_batch(df, C.keyword_client()).orderBy("i").collect()
-    assert [a.answer for a in answers] == [r.detected_types[0] for r in rows]
 
 
-@pytest.mark.xfail(reason="no keywords for petrol receipts", strict=True)
-def test_petrol(spark):
-    df = spark.createDataFrame([("Petrol receipt. Diesel 40L.",)], "text string")
-    assert "petrol_bill" in C.detect_types(df, "text").first().detected_types
-
-
-def test_failing_client(spark):
+def test_client_is_opened_once_per_partition_and_failures_stay_with_their_request(spark):
     def open_client():
         def call(batch: pd.DataFrame) -> pd.Series:
-            raise TimeoutError("no answer")
+            if batch.x.str.contains("bad").any():
+                raise TimeoutError("no answer")
+            return batch.x.str.upper()
 
         return call
 
-    df = spark.createDataFrame([(1, "x")], "i int, text string")
-    row = C.run_model_batch(df, open_client).first()
-    assert row.answer is None and row.error == "TimeoutError: no answer"
+    rows = [(i, "bad" if i == 41 else f"x{i}") for i in range(100)]
+    out = C.run_model_batch(spark.createDataFrame(rows, "i int, x string").coalesce(1), open_client).collect()
+    assert len(out) == 100
+    for r in out:
+        want = (None, "TimeoutError: no answer") if r.i == 41 else (f"X{r.i}", None)
+        assert (r.answer, r.error) == want
 
 
 def test_routing(spark):
@@ -65,7 +61,18 @@ def test_routing(spark):
 def test_requests(spark):
     docs = spark.createDataFrame([(1, "p"), (2, "p")], "document_id int, prompt string")
     pages = spark.range(1, 8).select(F.lit(1).alias("document_id"), F.col("id").alias("page_no"), F.concat(F.lit("p"), F.col("id")).alias("blob_key"))
-    seen = {r.document_id: r for r in C.build_requests(docs, pages, "vision-x").collect()}
-    assert seen[1].images == ["p1", "p2", "p3", "p4", "p5"] and seen[1].n_pages == 7
-    assert seen[2].images == [] and seen[2].n_pages == 0
+    seen = {(r.document_id, r.request_no): r for r in C.build_requests(docs, pages, "vision-x").collect()}
+    assert set(seen) == {(1, 0), (1, 1), (2, 0)}
+    assert seen[1, 0].images == ["p1", "p2", "p3", "p4", "p5"] and seen[1, 0].n_pages == 7
+    assert seen[1, 1].images == ["p6", "p7"] and seen[1, 1].prompt == "p"
+    assert seen[2, 0].images == [] and seen[2, 0].n_pages == 0
     assert all(r.images == [] for r in C.build_requests(docs, pages, "text-only").collect())
+
+
+def test_every_page_of_a_long_document_is_in_one_request(spark, monkeypatch):
+    monkeypatch.setattr(C, "PAGE_BUCKET", 100)
+    docs = spark.createDataFrame([(1, "p")], "document_id long, prompt string")
+    pages = spark.range(1, 1234).select(F.lit(1).cast("long").alias("document_id"), F.col("id").alias("page_no"), F.col("id").cast("string").alias("blob_key"))
+    out = C.build_requests(docs, pages, "vision-x").orderBy("request_no").collect()
+    assert [r.request_no for r in out] == list(range(247))
+    assert [int(x) for r in out for x in r.images] == list(range(1, 1234))

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,13 +92,18 @@ def test_lookups(spark):
     assert H.runs_for(runs, runs.filter("document_id = 'a'")).count() == 1
 
 
-def test_listing(spark):
+def test_listing(spark, monkeypatch):
     day = dt.datetime(2024, 1, 1)
     docs = spark.createDataFrame([(i, day + dt.timedelta(days=i // 2)) for i in range(25)], "document_id long, created_at timestamp")
     page = H.list_documents(docs, page=2, size=10).collect()
     assert [r.document_id for r in page] == list(range(14, 4, -1))
     assert {(r.total, r.pages) for r in page} == {(25, 3)}
     assert H.page_request(0, 11) == (1, 20)
+    monkeypatch.setattr(H, "DEEP", 5)
+    deep = H.list_documents(docs, page=2, size=10).collect()
+    assert sorted(map(repr, deep)) == sorted(map(repr, page))
+    after = H.documents_after(docs, page[-1].created_at, page[-1].document_id, 10).collect()
+    assert [r.document_id for r in after] == [4, 3, 2, 1, 0]
 
 
 def test_constraints(spark):
@@ -117,6 +123,9 @@ def test_constraints(spark):
 
 
 def test_ingest(spark):
+    def name(content):
+        return hashlib.sha256(content).hexdigest()[:32]
+
     ups = spark.createDataFrame(
         [(1, "a.pdf", "m", 1, b"x"), (2, "b.pdf", "m", 1, b"y"), (3, "c.pdf", "m", 1, b"x"), (4, "d.pdf", "m", 1, b"z")],
         "upload_ord long, filename string, mime_type string, size_bytes long, content binary",
@@ -126,10 +135,10 @@ def test_ingest(spark):
     )
     docs, outcome = ingest_by_hash(ups, known)
     assert {r.upload_ord: (r.document_id, r.is_new) for r in outcome.collect()} == {
-        1: ("1", True), 2: ("2", True), 3: ("1", False), 4: ("old", False),
+        1: (name(b"x"), True), 2: (name(b"y"), True), 3: (name(b"x"), False), 4: ("old", False),
     }
     names = {r.document_id: r.filename for r in docs.collect()}
-    assert names == {"old": None, "1": "a.pdf", "2": "b.pdf"}
+    assert names == {"old": None, name(b"x"): "a.pdf", name(b"y"): "b.pdf"}
     again, second = ingest_by_hash(ups, docs)
     assert again.count() == 3 and second.filter("is_new").count() == 0
 
@@ -143,3 +152,14 @@ def test_record_pages(spark):
         1: (9, "pages/d/001.png"), 3: (3, "k"), 1002: (2, "pages/d/1002.png"),
     }
     assert counts.first().page_count == 2
+
+
+def test_rows_named_by_two_columns(spark):
+    """Turn numbers start anew in every conversation, however long the conversations are."""
+    rows = [(1, 100_001), (1, 5), (2, 1), (2, 0)]
+    runs = spark.createDataFrame([(*r, True) for r in rows[1:]], "extraction_run_id long, refinement_run_id long, is_current boolean")
+    new = spark.createDataFrame(rows[:1], "extraction_run_id long, refinement_run_id long")
+    stored = mark_latest(runs, "extraction_run_id", ["extraction_run_id", "refinement_run_id"])
+    out = H.append_refinement_run(stored, new, ["extraction_run_id", "refinement_run_id"])
+    assert {(r[0], r[1]) for r in out.filter("is_current").collect()} == {(1, 100_001), (2, 1)}
+    assert out.count() == 4

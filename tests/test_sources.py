@@ -1,11 +1,16 @@
 import datetime as dt
 import json
+import pathlib
 
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docgrain.functions.values import as_variant
 from docgrain.operators import blocks as B
 from docgrain.operators.evaluate import fixture_health
+from docgrain.schemas import TABLES
 from docgrain.sources import tables as S
 from docgrain.sources import uploads as U
 
@@ -45,6 +50,36 @@ def test_blobs(spark, tmp_path):
     asked = spark.createDataFrame([("a/2",), ("no",)], "key string")
     assert {r.key: r.exists for r in U.blob_exists(gone, asked).collect()} == {"a/2": True, "no": False}
     assert U.blob_get(gone, asked).count() == 1
+    assert [r.key for r in U.blob_missing(gone, asked).collect()] == ["no"]
+
+
+def test_blobs_are_replaced_shard_by_shard(spark, tmp_path):
+    path = str(tmp_path / "blobs")
+    rows = [(f"k{i}", str(i).encode()) for i in range(600)]
+    U.write_blobs(spark.createDataFrame(rows, "key string, content binary"), path)
+    want = dict(rows)
+
+    def state():
+        return {r.key: bytes(r.content) for r in U.read_blobs(spark, path).collect()}
+
+    def files():
+        return {f.name for f in (tmp_path / "blobs").glob("shard=*/*.parquet")}
+
+    before = files()
+    puts = spark.createDataFrame([("k1", b"new"), ("fresh", b"f"), ("../x", b"no")], "key string, content binary")
+    refused = U.update_blobs(spark, path, puts, spark.createDataFrame([("k2",), ("nope",)], "key string"))
+    want |= {"k1": b"new", "fresh": b"f"}
+    del want["k2"]
+    assert [r.key for r in refused.collect()] == ["../x"]
+    assert state() == want
+    assert len(before - files()) <= 5  # the shards of five keys, of 200 and more
+    # A shard that runs empty is empty afterwards.
+    shards = {r.key: r.s for r in U.read_blobs(spark, path).select("key", U.shard(F.col("key")).alias("s")).collect()}
+    gone = [k for k, s in shards.items() if s == shards["k7"]]
+    U.update_blobs(spark, path, deletes=spark.createDataFrame([(k,) for k in gone], "key string"))
+    assert state() == {k: v for k, v in want.items() if k not in gone}
+    U.update_blobs(spark, path)
+    assert len(state()) == len(want) - len(gone)
 
 
 def test_table_versions(spark, tmp_path):
@@ -59,6 +94,51 @@ def test_table_versions(spark, tmp_path):
     assert back.filter("is_current").count() == 1
 
 
+@pytest.mark.parametrize("name", sorted(TABLES))
+def test_every_table_round_trips(spark, tmp_path, name):
+    schema = T.StructType.fromDDL(TABLES[name])
+
+    def value(kind, i):
+        if isinstance(kind, T.StringType):
+            return f"s{i % 7}"
+        if isinstance(kind, T.BooleanType):
+            return i % 2 == 0
+        if isinstance(kind, T.TimestampType):
+            return dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)
+        if isinstance(kind, (T.IntegerType, T.LongType, T.ShortType)):
+            return i
+        if isinstance(kind, T.DoubleType):
+            return i / 2
+        return None
+
+    rows = [tuple(None if i == 3 and f.nullable else value(f.dataType, i) for f in schema.fields) for i in range(50)]
+    df = spark.createDataFrame(rows, schema)
+    S.write_table(df, str(tmp_path), name)
+    back = S.read_table(spark, str(tmp_path), name)
+    assert back.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+
+
+def test_a_lookup_reads_one_file(spark, tmp_path):
+    rows = spark.range(0, 100_000, 1, 8).select(
+        F.col("id").alias("field_review_id"), F.pmod(F.xxhash64("id"), F.lit(5000)).alias("extraction_run_id"), F.lit("f").alias("field_path")
+    )
+    # Small partitions would be joined into one file otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    path = S.write_table(rows, str(tmp_path), "field_review")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    column = [f.name for f in T.StructType.fromDDL(TABLES["field_review"]).fields].index("extraction_run_id")
+    spans = []
+    for f in pathlib.Path(path).glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            s = meta.row_group(g).column(column).statistics
+            spans.append((s.min, s.max))
+    assert len(spans) > 1
+    for key in (17, 2500, 4999):
+        assert sum(lo <= key <= hi for lo, hi in spans) <= 2
+
+
 def test_evaluation_files(spark, tmp_path):
     case = {
         "dataset": "weighing", "case": "one", "inputs": {"pdf_path": "p.pdf"},
