@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import html_table as H
 from ..functions import text as X
-from ..functions.barrier import unroll
+from ..functions.barrier import compute_once, unroll
 from ..functions.values import kind
 from ..schemas import LETTER_PAGE
 
@@ -112,14 +112,18 @@ def page_sizes(df: DataFrame, page_info: str, pages: str, keys: list[str]) -> Da
             e,
         ),
     )
-    known = df.select(
-        *keys,
-        F.col(pages).alias("__n"),
-        F.filter(
-            F.coalesce(from_map, from_list, F.array().cast(_SIZES)),
-            lambda p: p["page_no"].isNotNull() & p["width"].isNotNull() & p["height"].isNotNull(),
-        ).alias("__known"),
+    listed_sizes = F.filter(
+        F.coalesce(from_map, from_list, F.array().cast(_SIZES)),
+        lambda p: p["page_no"].isNotNull() & p["width"].isNotNull() & p["height"].isNotNull(),
+    )
+    # A list may name a page twice; the later entry counts, which is the last of its run here.
+    in_order = F.array_sort(
+        F.transform(
+            listed_sizes,
+            lambda p, i: F.struct(p["page_no"].alias("page_no"), i.alias("at"), p["width"].alias("width"), p["height"].alias("height")),
+        )
     )
+    known = compute_once(df, [*keys, F.col(pages).alias("__n")], in_order, "__known")
     default_w, default_h = LETTER_PAGE
     missing = F.transform(
         F.array_except(
@@ -132,17 +136,11 @@ def page_sizes(df: DataFrame, page_info: str, pages: str, keys: list[str]) -> Da
             F.lit(default_h).alias("height"),
         ),
     )
-    # A list may name a page twice; the later entry counts, so later ones are found first.
-    numbers = F.transform("__known", lambda p: p["page_no"])
-    repeated = F.size(F.array_distinct(numbers)) < F.size(numbers)
     last = F.filter(
         "__known",
-        lambda p, i: ~F.exists(
-            F.slice(F.col("__known"), i + 2, F.size("__known")),
-            lambda q: q["page_no"] == p["page_no"],
-        ),
+        lambda p, i: ~p["page_no"].eqNullSafe(F.get(F.col("__known"), i + 1)["page_no"]),
     )
-    sizes = F.concat(F.when(repeated, last).otherwise(F.col("__known")), missing)
+    sizes = F.concat(F.transform(last, lambda p: p.dropFields("at")), missing)
     return known.select(*keys, F.inline(sizes))
 
 
