@@ -45,10 +45,16 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_sample(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, **options) -> Gru:
     """Fit the recurrent model on a bounded sample: the ``sample`` training documents of up to
-    ``SAMPLE_BYTES`` that come first by a hash of their id. Only these come to the driver."""
+    ``SAMPLE_BYTES`` that come first by a hash of their id. Only these come to the driver; rows far down that order are
+    left out before the sort, so that no task holds more than a small multiple of the sample."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.filter(~held_out(id_col)).select(F.xxhash64(F.col(id_col).cast("long"), F.lit("lm sample")).alias("o"), text.alias("t"))
-    rows = rows.filter(F.octet_length("t") <= SAMPLE_BYTES).orderBy("o", "t").limit(sample).toArrow()
+    order = F.xxhash64(F.col(id_col).cast("long"), F.lit("lm sample"))
+    learned = docs.filter(~held_out(id_col))
+    part = 4 * sample / max(1, learned.count())
+    rows = learned.select(order.alias("o"), text.alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES)
+    if part < 1:
+        rows = rows.filter(F.col("o") < int(part * 2**64) - 2**63)
+    rows = rows.orderBy("o", "t").limit(sample).toArrow()
     return gru.fit(*tokens(rows.column("t")), **options)
 
 
