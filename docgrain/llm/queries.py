@@ -55,12 +55,53 @@ def op2_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf, "embeddings"))
 
 
-@query("op3_substrings")
+SUBSTRINGS_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+each_word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+starts AS (
+  SELECT doc_id, i, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS win FROM each_word
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM starts WHERE n = 20),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM ranked WHERE nth > 1),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM each_word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op3_substrings", SUBSTRINGS_SQL)
 def op3_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.kept_digest(substrings.remove_repeats(table(spark, sf, "documents")))
 
 
-@query("op4_contamination")
+def _alnum_sql(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"coalesce(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_alnum_sql('text')} AS ws FROM documents),
+b AS (SELECT item_id, {_alnum_sql('text')} AS ws FROM benchmark),
+items AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0),
+tests AS (SELECT item_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS spot FROM items),
+sizes AS (SELECT DISTINCT n FROM items),
+places AS (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes),
+hits AS (
+  SELECT doc_id, item_id, places.n, i, spot
+  FROM places JOIN tests ON places.n = tests.n AND array_to_string(places.ws[i:i + places.n - 1], ' ') = array_to_string(tests.ws[spot:spot + tests.n - 1], ' ')),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM hits) GROUP BY 1),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, n, i - spot ORDER BY i) AS run FROM hits),
+longest AS (
+  SELECT doc_id, max(k) AS longest FROM (SELECT doc_id, count(*) + any_value(n) - 1 AS k FROM runs GROUP BY doc_id, item_id, n, i - spot, run) GROUP BY 1),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits WHERE item_id IS NOT NULL GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       coalesce(longest, 0)::BIGINT AS longest
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
+
+
+@query("op4_contamination", CONTAMINATION_SQL)
 def op4_contamination(spark: SparkSession, sf: str) -> DataFrame:
     found = contamination.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return contamination.contamination_digest(found)
@@ -110,7 +151,20 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf, "documents"))
 
 
-@query("op7_warc")
+# Five hexadecimal digits of the SHA-1 are four base-32 digits.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT page_id, payload, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS keep FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (1 + ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to, 'ok' AS status
+FROM h
+"""
+
+
+@query("op7_warc", WARC_SQL)
 def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = work_path(spark, "warc")
     warc.write_archives(table(spark, sf, "pages"), path)
