@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 
-def with_prefix(df: DataFrame, order: list[str], size: str | None = None) -> DataFrame:
+def with_prefix(
+    df: DataFrame, order: list[str], size: str | None = None, keep_part: bool = False
+) -> DataFrame:
     """Add ``row_no`` (from 0) and, with ``size``, ``before``: the sum of that column over earlier rows.
 
     One range shuffle over ``order``; only the partitions' totals, one row each, are summed
     across partitions. The rows are written to the shared folder with their partition's number,
     which freezes the sampled bounds, so a recomputed task cannot move rows between partitions.
     ``order`` should tell rows apart: rows equal in all of it share a partition. ``df`` should
-    hold short rows only (ids and sizes, no texts).
+    hold short rows only (ids and sizes, no texts). ``keep_part`` leaves the number of the range
+    partition in ``part``; rows are clustered by it.
     """
     tagged = stage(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "prefix")
     sums = [F.count("*").alias("rows")] + ([F.sum(size).alias("total")] if size else [])
@@ -36,4 +39,5 @@ def with_prefix(df: DataFrame, order: list[str], size: str | None = None) -> Dat
     out = out.withColumn("row_no", F.col("row_no") + F.col("rows_before"))
     if size:
         out = out.withColumn("before", F.col("before") + F.col("total_before"))
-    return out.drop("part", "at", "rows_before", "total_before")
+    out = out.drop("at", "rows_before", "total_before")
+    return out if keep_part else out.drop("part")

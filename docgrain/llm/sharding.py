@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from .prefix import with_prefix
@@ -44,18 +45,12 @@ def balanced_shards(
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         *[k.alias(n) for k, n in zip(keys, names, strict=True)],
     )
-    placed = with_prefix(rows, [*names, "doc_id", "text_crc32"], "size")
+    placed = with_prefix(rows, [*names, "doc_id", "text_crc32"], "size", keep_part=True)
     total, most = rows.agg(F.sum("size"), F.max("size")).first()
+    middle = 2 * F.col("before") + F.col("size")
     if order is None:
-        groups = placed.groupBy(F.col("k0").alias("g")).agg(
-            F.min("before").alias("low"),
-            F.max(F.col("before") + F.col("size")).alias("high"),
-        )
-        groups = groups.filter(F.col("high") - F.col("low") <= (most or 0))
-        placed = placed.join(groups, F.col("k0") == F.col("g"), "left")
-        middle = F.coalesce(F.col("low") + F.col("high"), 2 * F.col("before") + F.col("size"))
-    else:
-        middle = 2 * F.col("before") + F.col("size")
+        placed = _with_group_bounds(placed)
+        middle = F.when(F.col("high") - F.col("low") <= (most or 0), F.col("low") + F.col("high")).otherwise(middle)
     placed = placed.withColumn("middle", middle).withColumn("shard", F.expr(f"(middle * {shards}) div {2 * (total or 1)}"))
     first = placed.groupBy(F.col("shard").alias("s")).agg(F.min("row_no").alias("first"))
     return placed.join(F.broadcast(first), F.col("shard") == F.col("s")).select(  # a row per shard
@@ -67,3 +62,25 @@ def balanced_shards(
         (F.col("row_no") - F.col("first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _with_group_bounds(placed: DataFrame) -> DataFrame:
+    """Add ``low`` and ``high``, the bytes between which the row's group of equal texts lies.
+
+    A group is a stretch of the order, so its bounds are found inside the range partition,
+    without dealing rows by group. Groups that cross partitions, fewer than there are partitions,
+    are summed up by themselves and sent to all tasks.
+    """
+    end = F.col("before") + F.col("size")
+    inside = Win.partitionBy("part", "k0")
+    across = placed.groupBy(F.col("k0").alias("g")).agg(
+        F.min("part").alias("first"), F.max("part").alias("last"), F.min("before").alias("from"), F.max(end).alias("to")
+    )
+    across = across.filter("first < last").select("g", "from", "to")
+    bounded = placed.withColumn("low", F.min("before").over(inside)).withColumn("high", F.max(end).over(inside))
+    return (
+        bounded.join(F.broadcast(across), F.col("k0") == F.col("g"), "left")
+        .withColumn("low", F.coalesce("from", "low"))
+        .withColumn("high", F.coalesce("to", "high"))
+        .drop("g", "from", "to")
+    )

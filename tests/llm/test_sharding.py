@@ -57,3 +57,17 @@ def test_a_given_order_is_kept(spark):
     ordered = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     assert ordered == list(range(999, -1, -1))
     check(docs, got, 7, 1)
+
+
+def test_groups_that_cross_range_partitions(spark):
+    """Eight range partitions, and three groups of copies that no partition holds alone."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, f"group {i % 3}" if i % 10 else f"own {i}") for i in range(3000)]
+        rows += [(5000 + i, "x" * 30_000) for i in range(2)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        by = check(docs, sharding.balanced_shards(docs, shards=5).collect(), 5)
+        homes = {s for s, rs in by.items() for r in rs if r.doc_id < 5000 and r.doc_id % 10 and r.doc_id % 3 == 0}
+        assert len(homes) == 1  # 900 copies, smaller together than the largest document
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
