@@ -8,7 +8,7 @@ the words in it are told apart by corpus counts, outside this module.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -120,32 +120,21 @@ def _softmax_grad(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return g
 
 
-def fit(
-    hashes: np.ndarray,
-    tails: np.ndarray,
-    first: np.ndarray,
-    head_words: int = 2000,
+def start(
+    head: np.ndarray,
+    counts: np.ndarray,
+    tail_counts: np.ndarray,
     hidden: int = 24,
     embed: int = 24,
-    streams: int = 64,
-    window: int = 32,
-    epochs: int = 2,
-    rate: float = 0.01,
     seed: int = 7,
 ) -> Gru:
-    """Train on texts given as token hashes (each text ends in END) by truncated backpropagation.
+    """An untrained model of the head words, the most frequent first, and of the tail classes.
 
-    The texts are laid out in ``streams`` parallel streams and cut into windows; the state is carried
-    from window to window, gradients are not. It starts at zero with every text.
+    ``counts`` and ``tail_counts`` say how often each occurs; the output biases start there.
     """
     rng = np.random.default_rng(seed)
-    kinds, count = np.unique(hashes, return_counts=True)
-    top = np.lexsort((kinds, -count))[:head_words]
-    if END not in kinds[top]:
-        kinds, count = np.append(kinds, END), np.append(count, 0)
-        top = np.append(top, len(kinds) - 1)
-    order = np.argsort(kinds[top])
-    n = len(top)
+    order = np.argsort(head)
+    n = len(head)
     width = max(1, int(np.ceil(np.sqrt(n))))
     groups = -(-n // width)
     p = {
@@ -158,47 +147,89 @@ def fit(
         "Wo": np.zeros((groups, hidden, width)),
         "bo": np.full((groups, width), -1e4),
     }
-    model = Gru(kinds[top][order], np.arange(n)[order], width, {k: v.astype(np.float32) for k, v in p.items()})
-    # Output biases start at the frequencies in the sample.
-    symbols = model.symbols(hashes, tails)
-    share = np.log(np.bincount(symbols, minlength=n + TAILS) + 0.5)
-    model.p["bo"].ravel()[:n] = share[:n]
-    model.p["bc"] += np.log(np.bincount(model.classes(symbols), minlength=groups + TAILS) + 0.5).astype(np.float32)
-    if not len(symbols):
-        return model
-    begins = np.zeros(len(symbols), bool)
-    begins[first[:-1]] = True
-    streams = max(1, min(streams, len(symbols) // window))
-    steps = len(symbols) // streams
-    grid = symbols[: steps * streams].reshape(streams, steps).T
-    fresh = begins[: steps * streams].reshape(streams, steps).T
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
-    done = 0
-    for epoch in range(epochs):
-        h = np.zeros((streams, hidden), np.float32)
+    p["bo"].ravel()[:n] = np.log(counts + 0.5)
+    p["bc"] += np.log(np.r_[np.bincount(np.arange(n) // width, counts, groups), tail_counts] + 0.5)
+    return Gru(head[order], np.arange(n)[order], width, {k: v.astype(np.float32) for k, v in p.items()})
+
+
+class Trainer:
+    """Learns from tokens by truncated backpropagation; works on a copy of the weights."""
+
+    def __init__(self, model: Gru):
+        self.model = replace(model, p={k: v.copy() for k, v in model.p.items()})
+        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
+        self.done = 0
+
+    def learn(self, symbols: np.ndarray, begins: np.ndarray, streams: int, window: int, rate: float) -> None:
+        """One pass over consecutive texts; ``begins`` marks their first tokens.
+
+        The tokens are laid out in ``streams`` parallel streams and cut into windows; the state is carried
+        from window to window, gradients are not. It starts at zero with every text and stream. The
+        last streams are filled up with tokens that count for nothing, so each token counts once.
+        """
+        if not len(symbols):
+            return
+        streams = max(1, min(streams, len(symbols) // window))
+        steps = -(-len(symbols) // streams)
+        fill = steps * streams - len(symbols)
+        grid, fresh, live = (
+            np.append(x, np.zeros(fill, x.dtype)).reshape(streams, steps).T
+            for x in (symbols, begins, np.ones(len(symbols), bool))
+        )
+        h = np.zeros((streams, self.model.hidden), np.float32)
         for t in range(0, steps, window):
-            grads, h = _window_grads(model, grid[t : t + window], fresh[t : t + window], h)
-            done += 1
+            grads, h = _window_grads(self.model, grid[t : t + window], fresh[t : t + window], h, live[t : t + window])
+            self.done += 1
             scale = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            pull = rate / (1 + epoch) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
+            pull = rate * (1 - 0.999**self.done) ** 0.5 / (1 - 0.9**self.done)
             for k, g in grads.items():
-                g = g / max(1.0, scale)
-                a, b = moment[k]
+                g = g / np.float32(max(1.0, scale))
+                a, b = self.moment[k]
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
-                model.p[k] -= (pull * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
-    return model
+                self.model.p[k] -= (pull * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
+
+
+def fit(
+    hashes: np.ndarray,
+    tails: np.ndarray,
+    first: np.ndarray,
+    head_words: int = 2000,
+    hidden: int = 24,
+    embed: int = 24,
+    streams: int = 64,
+    window: int = 32,
+    epochs: int = 2,
+    rate: float = 0.01,
+    seed: int = 7,
+) -> Gru:
+    """Train in one process on texts given as token hashes (each text ends in END)."""
+    kinds, count = np.unique(hashes, return_counts=True)
+    top = np.lexsort((kinds, -count))[:head_words]
+    if END not in kinds[top]:
+        kinds, count = np.append(kinds, END), np.append(count, 0)
+        top = np.append(top, len(kinds) - 1)
+    rest = np.bincount(tails[~np.isin(hashes, kinds[top])], minlength=TAILS)
+    model = start(kinds[top], count[top], rest, hidden, embed, seed)
+    begins = np.zeros(len(hashes), bool)
+    begins[first[:-1]] = True
+    trainer = Trainer(model)
+    for epoch in range(epochs):
+        trainer.learn(model.symbols(hashes, tails), begins, streams, window, rate / (1 + epoch))
+    return trainer.model
 
 
-def _window_grads(m: Gru, symbols: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Gradients of the mean loss over a window (steps x streams), and the state after it."""
+def _window_grads(
+    m: Gru, symbols: np.ndarray, fresh: np.ndarray, h: np.ndarray, live: np.ndarray | None = None
+) -> tuple[dict, np.ndarray]:
+    """Gradients of the mean loss over the live tokens of a window (steps x streams), and the state after it."""
     p, k = m.p, m.hidden
     steps, streams = symbols.shape
-    states, kept = [], []
+    states, kept, table = [], [], m.step_table()
     for t in range(steps):
         h = h * ~fresh[t][:, None]
         states.append(h)
-        x = p["E"][symbols[t]] @ p["W"] + p["b"]
+        x = table[symbols[t]]
         u = h @ p["U"]
         gates = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
         n = np.tanh(x[:, 2 * k :] + gates[:, k:] * u[:, 2 * k :])
@@ -206,30 +237,40 @@ def _window_grads(m: Gru, symbols: np.ndarray, fresh: np.ndarray, h: np.ndarray)
         h = n + gates[:, :k] * (h - n)
     g = {name: np.zeros_like(v) for name, v in p.items()}
     flat, target = np.concatenate(states), symbols.ravel()
-    classes, scale = m.classes(target), np.float32(1 / target.size)
-    d = _softmax_grad(flat @ p["Wc"] + p["bc"], classes) * scale
+    classes = m.classes(target)
+    weight = np.ones(target.size) if live is None else live.ravel()
+    weight = (weight / weight.sum()).astype(np.float32)[:, None]
+    d = _softmax_grad(flat @ p["Wc"] + p["bc"], classes) * weight
     g["Wc"], g["bc"] = flat.T @ d, d.sum(0)
     out = d @ p["Wc"].T
-    for c in np.unique(classes[classes < m.groups]):
-        mine = np.flatnonzero(classes == c)
-        d = _softmax_grad(flat[mine] @ p["Wo"][c] + p["bo"][c], target[mine] - c * m.width) * scale
-        g["Wo"][c], g["bo"][c] = flat[mine].T @ d, d.sum(0)
+    order = np.argsort(classes, kind="stable")
+    edges = np.searchsorted(classes[order], np.arange(m.groups + 1))
+    for c in np.flatnonzero(np.diff(edges)):
+        mine = order[edges[c] : edges[c + 1]]
+        own = flat[mine]
+        d = _softmax_grad(own @ p["Wo"][c] + p["bo"][c], target[mine] - c * m.width) * weight[mine]
+        g["Wo"][c], g["bo"][c] = own.T @ d, d.sum(0)
         out[mine] += d @ p["Wo"][c].T
     out = out.reshape(steps, streams, k)
     back = np.zeros((streams, k), np.float32)
-    dx = np.zeros((steps, streams, 3 * k), np.float32)
+    dx, du = np.zeros((2, steps, streams, 3 * k), back.dtype)
     for t in reversed(range(steps)):
         gates, n, u = kept[t]
         z, r = gates[:, :k], gates[:, k:]
         dn = back * (1 - z) * (1 - n * n)
-        dz = back * (states[t] - n) * z * (1 - z)
         dr = dn * u[:, 2 * k :] * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], 1)
-        du = np.concatenate([dz, dr, dn * r], 1)
-        g["U"] += states[t].T @ du
-        back = (back * z + du @ p["U"].T + out[t]) * ~fresh[t][:, None]
-    flat = dx.reshape(-1, 3 * k)
-    g["W"] = p["E"][target].T @ flat
-    g["b"] = flat.sum(0)
-    np.add.at(g["E"], target, flat @ p["W"].T)
+        dx[t, :, :k] = back * (states[t] - n) * z * (1 - z)
+        dx[t, :, k : 2 * k] = dr
+        dx[t, :, 2 * k :] = dn
+        du[t, :, : 2 * k] = dx[t, :, : 2 * k]
+        du[t, :, 2 * k :] = dn * r
+        back = (back * z + du[t] @ p["U"].T + out[t]) * ~fresh[t][:, None]
+    g["U"] = flat.T @ du.reshape(-1, 3 * k)
+    dx = dx.reshape(-1, 3 * k)
+    g["W"] = p["E"][target].T @ dx
+    g["b"] = dx.sum(0)
+    order = np.argsort(target, kind="stable")
+    found = target[order]
+    starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    g["E"][found[starts]] = np.add.reduceat(dx[order], starts) @ p["W"].T
     return g, h

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import gru
 from . import words as W
 from .gru import END, TAILS, Gru
 from .slices import Layout, by_bucket, layout, sliced
 
-SAMPLE = 1024  # training documents the recurrent model is fitted on
-SAMPLE_BYTES = 1 << 16  # longest text in that sample
+ROUNDS = 4  # parts of the training rows, learned from one after the other
+CHUNK = 1 << 19  # tokens a task lays out at a time
+STREAMS = 256
+WINDOW = 32
+UPDATES = 64  # of the weights in a chunk, at least; a small chunk has fewer streams for it
+HELD_WORDS = 1 << 20  # distinct words a task holds before it sends their counts
+PIECE = 2048  # weights in one message
+LANES = 64  # first sums of the messages of one piece
 
 _COUNTS = "bucket int, slice int, hashes binary, counts binary, tails binary"
+_WEIGHTS = "piece int, lane int, n long, data binary"
 _TOTALS = "slice int, bucket int, counts binary, stats array<long>"
 _SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, model_sum double, "
@@ -43,19 +55,151 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(tails), np.r_[0, np.cumsum(np.concatenate(counts))]
 
 
-def fit_sample(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, **options) -> Gru:
-    """Fit the recurrent model on a bounded sample: the ``sample`` training documents of up to
-    ``SAMPLE_BYTES`` that come first by a hash of their id. Only these come to the driver; rows far down that order are
-    left out before the sort, so that no task holds more than a small multiple of the sample."""
+def learned_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(t, round) of all training rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    order = F.xxhash64(F.col(id_col).cast("long"), F.lit("lm sample"))
-    learned = docs.filter(~held_out(id_col))
-    part = 4 * sample / max(1, learned.count())
-    rows = learned.select(order.alias("o"), text.alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES)
-    if part < 1:
-        rows = rows.filter(F.col("o") < int(part * 2**64) - 2**63)
-    rows = rows.orderBy("o", "t").limit(sample).toArrow()
-    return gru.fit(*tokens(rows.column("t")), **options)
+    order = F.xxhash64(F.lit("lm round"), F.col(id_col).cast("string"), text)
+    return docs.filter(~held_out(id_col)).select(text.alias("t"), F.pmod(order, F.lit(ROUNDS)).alias("round"))
+
+
+def count_words(rows: DataFrame, bits: int, head_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(head, counts, tail_counts): END and the most frequent other words of all texts ``t``, the most
+    frequent first, and the sum of the other words' counts in each tail class.
+
+    A task sends its distinct words with their counts to the words' buckets; a bucket puts out its own
+    most frequent words and sums, so only these are ordered.
+    """
+
+    def merged(h: list, n: list, tail: list):
+        h, n, tail = (np.concatenate(x) for x in (h, n, tail))
+        kinds, first, number = np.unique(h, return_index=True, return_inverse=True)
+        return kinds, np.bincount(number, n, len(kinds)).astype(np.int64), tail[first]
+
+    def send(kinds, n, tail) -> pa.RecordBatch:
+        names, edges = by_bucket((kinds >> np.uint64(64 - bits)).astype(np.int64))
+        parts = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (kinds, n, tail)]
+        arrays = [pa.array(names, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)]
+        return pa.RecordBatch.from_arrays(arrays, names=["bucket", "hashes", "counts", "tails"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            hashes, tails, _ = tokens(batch.column(0))
+            new = merged([hashes], [np.ones(len(hashes))], [tails])
+            held = new if held is None else merged(*zip(held, new, strict=True))
+            if len(held[0]) >= HELD_WORDS:
+                yield send(*held)
+                held = None
+        if held is not None:
+            yield send(*held)
+
+    def most(table: pa.Table) -> pa.Table:
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
+        kinds, n, tail = merged(read("hashes", np.uint64), read("counts", np.int64), read("tails", np.uint8))
+        top = np.lexsort((kinds, -n, kinds != END))[:head_words]
+        sums = np.bincount(tail, n, TAILS).astype(np.int64)
+        h = pa.array([*kinds[top].view(np.int64).tolist(), *[None] * TAILS], pa.int64())
+        return pa.table({"h": h, "n": pa.array(np.r_[n[top], sums]), "tail": pa.array(np.r_[tail[top], np.arange(TAILS)], pa.int32())})
+
+    sent = rows.select("t").mapInArrow(count, "bucket int, hashes binary, counts binary, tails binary")
+    words = stage(sent.groupBy("bucket").applyInArrow(most, "h long, n long, tail int"), "lm-words")
+    end = F.col("h") == int(END.view(np.int64))
+    top = words.filter("h IS NOT NULL").orderBy(end.desc(), F.col("n").desc(), "h").limit(head_words).toArrow()
+    h, n, tail = (top.column(i).to_numpy() for i in range(3))
+    head, n = (h.view(np.uint64), n) if len(h) else (np.array([END]), np.zeros(1, np.int64))
+    sums = np.zeros(TAILS, np.int64)
+    for r in words.filter("h IS NULL").groupBy("tail").agg(F.sum("n").alias("n")).collect():
+        sums[r["tail"]] = r["n"]
+    if len(tail):
+        sums -= np.bincount(tail, n, TAILS).astype(np.int64)
+    order = np.lexsort((head, -n))
+    return head[order], n[order], sums
+
+
+def train_round(rows: DataFrame, model: Gru, rate: float) -> tuple[Gru, int]:
+    """(model, tokens): each task learns from all its texts ``t``, beginning with ``model``; the new weights
+    are the mean of the tasks' weights by their tokens.
+
+    A task holds a few chunks of tokens at a time, so texts of any length are learned from. The mean is
+    summed up by pieces in two steps; one set of weights comes to the driver.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = sorted(model.p)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, seen = gru.Trainer(shared.value), 0
+        symbols, begins = np.zeros(0, np.int32), np.zeros(0, bool)
+
+        def learn(s: np.ndarray, b: np.ndarray) -> None:
+            streams = min(STREAMS, len(s) // (WINDOW * UPDATES))
+            trainer.learn(s, b, streams, WINDOW, rate)
+
+        for batch in batches:
+            hashes, tails, first = tokens(batch.column(0))
+            fresh = np.zeros(len(hashes), bool)
+            fresh[first[:-1]] = True
+            symbols, begins = np.append(symbols, trainer.model.symbols(hashes, tails)), np.append(begins, fresh)
+            seen += len(hashes)
+            at = 0
+            while len(symbols) - at >= 2 * CHUNK:
+                learn(symbols[at : at + CHUNK], begins[at : at + CHUNK])
+                at += CHUNK
+            symbols, begins = symbols[at:], begins[at:]
+        learn(symbols, begins)
+        if seen:
+            flat = np.concatenate([trainer.model.p[k].ravel() for k in names])
+            parts = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
+            lane = TaskContext.get().partitionId() % LANES
+            columns = [range(len(parts)), [lane] * len(parts), [seen] * len(parts), parts]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["piece", "lane", "n", "data"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        n, total = table.column("n").to_numpy(), 0.0
+        for k in np.lexsort((table.column("data").to_pylist(), n)).tolist():
+            total = total + np.frombuffer(table.column("data")[k].as_py(), np.float32).astype(float) * n[k]
+        data = (total / n.sum()).astype(np.float32).tobytes()
+        return table.slice(0, 1).set_column(2, "n", pa.array([int(n.sum())])).set_column(3, "data", pa.array([data], pa.binary()))
+
+    sent = rows.select("t").mapInArrow(train, _WEIGHTS)
+    sums = sent.groupBy("piece", "lane").applyInArrow(mean, _WEIGHTS).groupBy("piece").applyInArrow(mean, _WEIGHTS)
+    found = sums.toArrow().sort_by("piece")
+    shared.destroy()
+    if not found.num_rows:
+        return model, 0
+    flat = np.frombuffer(b"".join(found.column("data").to_pylist()), np.float32)
+    ends = np.cumsum([model.p[k].size for k in names])[:-1]
+    p = {k: x.reshape(model.p[k].shape).copy() for k, x in zip(names, np.split(flat, ends), strict=True)}
+    return replace(model, p=p), found.column("n")[0].as_py()
+
+
+def fit_model(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    head_words: int = 2000,
+    epochs: int = 1,
+    rate: float = 0.01,
+    plan: Layout | None = None,
+    **options,
+) -> Gru:
+    """Fit the recurrent model on all training rows.
+
+    Head words and output biases come from the counts over all of them. The weights are learned in
+    ``ROUNDS`` rounds, each over another part of the rows (by a hash of id and text), so every token is
+    learned from once in an epoch; see :func:`train_round`. The weights depend on how the input is
+    split into tasks, as those of any training in parallel do.
+    """
+    rows = learned_rows(docs, id_col, text_col)
+    plan = plan or layout(docs, text_col)
+    model = gru.start(*count_words(rows, plan.bits, head_words), **options)
+    for k in range(epochs * ROUNDS):
+        model, _ = train_round(rows.filter(F.col("round") == k % ROUNDS), model, rate / (1 + k))
+    return model
+
+
+fit_sample = fit_model  # its name while a sample was all it learned from
 
 
 def score_documents(
@@ -63,7 +207,6 @@ def score_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     model: Gru | None = None,
-    sample: int = SAMPLE,
     plan: Layout | None = None,
     **options,
 ) -> DataFrame:
@@ -77,7 +220,7 @@ def score_documents(
 
     Counts cover every training row. Each slice of texts sends its distinct words with their counts to the
     words' buckets and gets the totals back; the texts are shuffled once, see :mod:`.slices`. The weights
-    are fitted on a bounded sample (:func:`fit_sample`) and sent to the tasks.
+    are learned from all training rows first (:func:`fit_model`) and sent to the tasks.
 
     A null text is empty: one token, the end. Repeated rows count each and score alike; rows
     without id are learned from. With nothing to learn from, N is 0 and all classes are equally
@@ -85,7 +228,7 @@ def score_documents(
     """
     plan = plan or layout(docs, text_col)
     if model is None:
-        model = fit_sample(docs, id_col, text_col, sample, **options)
+        model = fit_model(docs, id_col, text_col, plan=plan, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bits = np.uint64(plan.bits)
     rows = sliced(docs, id_col, text_col, plan, held_out(id_col).alias("held_out"))

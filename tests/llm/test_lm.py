@@ -141,3 +141,41 @@ def test_probabilities_of_all_symbols_sum_to_one():
     for s in states:
         every = np.arange(n)
         assert np.exp(m.log_probs(np.repeat(s[None], n, 0), every)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_words_and_weights_come_from_all_training_rows(spark):
+    """More rows than a sample of 1,024, in several tasks, and a text of over 64 KiB with words of its own."""
+    rows = [(i, f"common word{i % 7} rest{i}") for i in range(3000) if not held_out(i)]
+    long_id = next(i for i in range(3000, 3100) if not held_out(i))
+    rows.append((long_id, "longtextword other " * 10_000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    counts = Counter(w for _, t in rows for w in tokens(t))
+    hashes = {w: int(lm_scoring.tokens(pa.array([w]))[0][0]) for w in counts if w is not None} | {None: int(gru.END)}
+    learned = lm_scoring.learned_rows(docs, "doc_id", "text")
+    head, n, rest = lm_scoring.count_words(learned, 3, 12)
+    want = sorted(((hashes[w], c) for w, c in counts.items()), key=lambda x: -x[1])
+    assert sorted(n.tolist(), reverse=True) == n.tolist() == [c for _, c in want[:12]]
+    assert set(want[:11]) <= set(zip(head.tolist(), n.tolist(), strict=True))
+    assert n.sum() + rest.sum() == sum(counts.values())
+
+    model = gru.start(head, n, rest)
+    seen = 0
+    for k in range(lm_scoring.ROUNDS):
+        new, found = lm_scoring.train_round(learned.filter(learned["round"] == k), model, 0.01)
+        assert found and all((new.p[x] != model.p[x]).any() for x in model.p)
+        model, seen = new, seen + found
+    assert seen == sum(counts.values())
+    score = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, model=model).collect()}
+    before = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, model=gru.start(head, n, rest)).collect()}
+    assert score[long_id] > 0.8 * before[long_id]
+
+
+def test_tokens_that_fill_up_the_streams_count_for_nothing():
+    rng = np.random.default_rng(3)
+    m = gru.start(np.r_[np.arange(1, 6).astype(np.uint64), gru.END], np.full(6, 2), np.zeros(gru.TAILS), 4, 3)
+    m.p = {k: v + rng.normal(0, 0.1, v.shape) for k, v in m.p.items()}
+    symbols, fresh, h = rng.integers(0, 6, (5, 1)), np.zeros((5, 1), bool), np.zeros((1, 4))
+    want, _ = gru._window_grads(m, symbols, fresh, h)
+    more = np.r_[symbols, rng.integers(0, 6, (2, 1))]
+    got, _ = gru._window_grads(m, more, np.zeros((7, 1), bool), h, np.arange(7)[:, None] < 5)
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
