@@ -22,18 +22,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Of rows that repeat an id, the one with the smallest text stays. A group without any id keeps one
-    row of each fingerprint.
+    Of several rows of that id in the group, the one with the smallest text stays; rows that share an id
+    and lie in different groups do not touch each other. A group without any id keeps one row of each
+    fingerprint.
     """
-    found = simhash.simhash_components(docs)
-    firsts = found.filter("doc_id = component_id OR component_id IS NULL").select(
-        F.col("doc_id").alias("first_id")
-    ).distinct()
-    first = _spare(docs, "first_id")
-    firsts = firsts.withColumnRenamed("first_id", first)
-    kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts[first]), "left_semi")
+    first, mark, group = (_spare(docs, x) for x in ("first_id", "first_print", "group"))
+    firsts = (
+        simhash.simhash_groups(docs)
+        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(
+            F.col("doc_id").alias(first),
+            F.col("fp").alias(mark),
+            F.when(F.col("component_id").isNull(), F.col("fp")).otherwise(F.col("place")).alias(group),
+        )
+        .distinct()
+    )
+    rows = simhash.with_fingerprint(docs, own := _spare(docs, "own_print"))
+    kept = rows.join(firsts, rows["doc_id"].eqNullSafe(firsts[first]) & (rows[own] == firsts[mark]))
     row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text").isNull(), "text"))
-    return kept.groupBy(F.col("doc_id").alias(first)).agg(row.alias(_spare(docs, "row"))).select(f"{_spare(docs, 'row')}.*")
+    return kept.groupBy(group).agg(row.alias(_spare(docs, "row"))).select(f"{_spare(docs, 'row')}.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

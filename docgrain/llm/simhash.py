@@ -10,12 +10,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import stage
 from . import words as W
 from .components import components
 
 SEED = 42
+SHINGLE = 4  # words
 BITS = 64
 # Members of one bucket that a task compares with each other; a larger bucket is cut into chunks.
 CHUNK = 4096
@@ -54,20 +56,30 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = W.text_bytes(batch.column(1))
-            raw = data.tobytes()
-            prints = np.array(
-                [fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
-                dtype=np.uint64,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), _prints(batch.column(1), shingle)], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Rows and columns of ``docs`` and the fingerprint in a last column. No shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(name, _prints(batch.column(at), shingle))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def _prints(texts: pa.Array, shingle: int) -> pa.Array:
+    data, offsets = W.text_bytes(texts)
+    raw = data.tobytes()
+    prints = [fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
+
+
 # ---- pairs within a Hamming distance ---------------------------------------------------------------
 
 
@@ -195,7 +207,7 @@ def simhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingle: int = 4,
+    shingle: int = SHINGLE,
     distance: int = 4,
     chunk: int = CHUNK,
 ) -> DataFrame:
@@ -210,6 +222,21 @@ def simhash_components(
     fingerprints. A row without id links like any other but names no component; one that reaches
     no id has a null component. An empty table gives no rows. Only the two named columns are read.
     """
+    return simhash_groups(docs, id_col, text_col, shingle, distance, chunk).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def simhash_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    distance: int = 4,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """(doc_id, fp, place, component_id) per row, as :func:`simhash_components`. ``place`` is one of the
+    fingerprints of the component and names it, also where components have the same smallest id or none."""
     prints = stage(fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     found = components(near_edges(distinct.select("fp"), distance, chunk))
@@ -217,7 +244,5 @@ def simhash_components(
         "fp", "rep", F.coalesce("component", "fp").alias("place")
     )
     names = placed.groupBy("place").agg(F.min("rep").alias("component_id"))
-    named = placed.join(names, "place").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = placed.join(names, "place").select("fp", "place", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "place", "component_id")

@@ -82,3 +82,25 @@ def test_each_stage_takes_rows_that_no_stage_before_it_has_seen(spark, tmp_path,
     if stage < 4:
         assert out.columns == docs.columns
     assert out.count() > 0
+
+
+def test_rows_without_id_and_different_texts_of_one_id_stay(spark, tmp_path):
+    text = lambda k, n=60: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [
+        (None, text(0), "en", "a", 1),  # a copy of the document with id 1
+        (1, text(0), "en", "a", 1),
+        (None, text(1), "en", "a", 1),
+        (None, text(2), "en", "b", 1),
+        (None, text(2), "en", "b", 1),  # copies without id: one stays
+        (None, text(3), None, None, 1),
+        (5, text(4), "en", "a", 1),  # one id, two texts
+        (5, text(5), "en", "a", 1),
+        (6, text(5), "en", "a", 1),
+        (7, text(4), "en", "a", 1),
+        (8, text(6), "en", "a", 1),
+        (8, text(6).upper(), "en", "a", 1),  # one id, one fingerprint
+    ]
+    out = corpus_pipeline.drop_near_duplicates(spark, edge_docs(spark, rows), str(tmp_path))
+    got = sorted((repr(r.doc_id), r.text) for r in out.collect())
+    want = [(None, text(1)), (None, text(2)), (None, text(3)), (1, text(0)), (5, text(4)), (5, text(5)), (8, text(6).upper())]
+    assert got == sorted((repr(i), t) for i, t in want)
