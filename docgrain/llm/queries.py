@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, work_path
-from . import contamination, langid, lm_scoring, mixing, rollups, sharding, simhash, substrings, topk, warc
+from . import (
+    contamination,
+    langid,
+    licenses,
+    lm_scoring,
+    mixing,
+    periodicity,
+    rollups,
+    sharding,
+    simhash,
+    substrings,
+    topk,
+    vector_codes,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -184,3 +198,90 @@ def op9_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_shards")
 def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf, "documents"))
+
+
+def _codes_sql() -> str:
+    """Assignments and rounds spelled out; list components are the columns c1 to cw of a part."""
+    k, parts, rounds = vector_codes.ENTRIES, vector_codes.PARTS, vector_codes.ROUNDS
+    steps = [
+        f"""
+v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT vec_id, label, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS x
+  FROM v, range(0, {parts}) AS r(part)),
+b0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e FROM p
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {k}))"""
+    ]
+    nearest = """
+a{n} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, min(struct_pack(d := list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, entry := entry)) AS near
+  FROM p JOIN b{n} USING (part) GROUP BY ALL)"""
+    update = """
+m{n} AS (
+  SELECT part, near.entry AS entry, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS c
+  FROM a{n}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY ALL),
+b{m} AS (
+  SELECT b.part, b.entry, coalesce(any_value(n.e), any_value(b.e)) AS e
+  FROM b{n} b LEFT JOIN (SELECT part, entry, list(c ORDER BY i) AS e FROM m{n} GROUP BY ALL) n USING (part, entry) GROUP BY ALL)"""
+    for n in range(rounds):
+        steps += [nearest.format(n=n), update.format(n=n, m=n + 1)]
+    steps.append(nearest.format(n=rounds))
+    return f"""
+WITH {",".join(steps)},
+codes AS (
+  SELECT vec_id, label, string_agg(printf('%02x', near.entry), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM codes
+"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.codes_digest(*vector_codes.compress(table(spark, sf, "embeddings")))
+
+
+def _licenses_sql() -> str:
+    """Every block against every template, every phrase at every word."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({listed(licenses.lower_words(p))}, '{label}')" for p, label in licenses.PHRASES.items())
+    rows, halves = [], set()
+    for template in licenses.prepared(licenses.TEMPLATES, dict.fromkeys(licenses.template_words(licenses.TEMPLATES, ()), 0), licenses.THRESHOLD):
+        words = sorted(set(licenses.lower_words(template.text)))
+        rows.append(f"('{template.label}', {template.half}, {template.need}, {listed(words)})")
+        halves.add(template.half)
+    return f"""
+WITH d AS (SELECT doc_id, {_alnum_sql('text')} AS ws FROM documents),
+phrases(parts, label) AS (VALUES {phrases}),
+templates(label, half, need, tokens) AS (VALUES {", ".join(rows)}),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+places AS (SELECT doc_id, i - 1 AS place, label FROM starts JOIN phrases ON ws[i] = parts[1] AND ws[i:i + len(parts) - 1] = parts),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, list(DISTINCT label) AS labels FROM places GROUP BY 1),
+stretches AS (
+  SELECT doc_id, half, ws, unnest(range(0, greatest(1, (len(ws) + half - 1) // half - 1))) AS b
+  FROM d, (VALUES {", ".join(f"({h})" for h in sorted(halves))}) AS s(half)),
+blocks AS (SELECT doc_id, half, list_distinct(ws[b * half + 1:(b + 2) * half]) AS held FROM stretches),
+found AS (
+  SELECT doc_id, label, len(list_intersect(held, tokens)) / len(tokens) AS share FROM blocks JOIN templates USING (half)
+  WHERE len(list_intersect(held, tokens)) >= need),
+own AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a AS first_word, base.b AS last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
+       CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(own.share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
+@query("op12_licenses", _licenses_sql())
+def op12_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan(table(spark, sf, "documents")))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodicity.find_runs(table(spark, sf, "documents"), rewrite=periodicity.repeat_tail)
+    return periodicity.run_digest(found)

@@ -16,6 +16,9 @@ COLUMNS = {
     "op7_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op8_mix": ["doc_id", "source", "block", "slot", "position"],
     "op9_lm_scores": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op11_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op12_licenses": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    "op13_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op10_shards": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
 }
 
