@@ -16,6 +16,7 @@ from ..functions import text as X
 from ..functions.barrier import compute_once, unroll
 from ..functions.values import kind
 from ..schemas import LETTER_PAGE
+from .containment import candidates
 
 def explode_blocks(runs: DataFrame, blocks: str, keys: list[str]) -> DataFrame:
     """One row per block with its position ``ord``; documents without blocks give none."""
@@ -425,9 +426,35 @@ def line_term_hits(lines: DataFrame, terms: list[str], keys: list[str]) -> DataF
     return hits.select(*keys, "line_no", "term", "confidence", "text")
 
 
+def line_term_table_hits(lines: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines that contain a term of a table, case-insensitively: one row per (line, term).
+
+    ``lines``: keys, line_no, text, confidence; ``terms``: term. For lists too long to be an expression. Each term is looked up by
+    its rarest gram among all lines, and the lines that have it are tested. Terms that differ in case are terms of
+    their own; a term that is given twice counts once, null terms are left out, the empty term is in every line.
+    """
+    each = terms.select("term", F.lower("term").alias("__term")).filter("term IS NOT NULL").distinct()
+    rows = lines.withColumn("__low", F.lower(F.coalesce("text", F.lit("")))).withColumn("__id", F.xxhash64("__low"))
+    found = candidates(each.select("__term").distinct(), rows, "__term", "__id", "__low")
+    # Lines of one text share an id, and ids are unique here, so a line that repeats very often is split.
+    tried = rows.join(found, "__id")
+    inside = F.filter("needles", lambda t: F.contains(F.col("__low"), t))
+    rounded = F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence")
+    hits = unroll(tried, inside, [*keys, "line_no", rounded, "text"], "__p", "__term")
+    return hits.join(each, "__term").select(*keys, "line_no", "term", "confidence", "text")
+
+
+def first_of_table_terms(lines: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """First line of each document per term of a table."""
+    return _first_lines(line_term_table_hits(lines, terms, keys), keys)
+
+
 def first_term_lines(lines: DataFrame, terms: list[str], keys: list[str]) -> DataFrame:
     """First line of each document per term."""
-    hits = line_term_hits(lines, terms, keys)
+    return _first_lines(line_term_hits(lines, terms, keys), keys)
+
+
+def _first_lines(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys, "term").agg(
         F.min("line_no").alias("line_no"), F.min_by("text", "line_no").alias("text")
     )

@@ -483,3 +483,49 @@ def first_term_lines(spark, sf):
         "doc_id", "line_no", F.col("line").alias("text"), F.lit(None).cast("double").alias("confidence")
     )
     return B.first_term_lines(rows, TERMS, ["doc_id"])
+
+
+# Every two neighbouring words of the benchmark texts, as a table of terms.
+TERM_TABLE_CTE = r"""
+bw AS (SELECT string_split_regex(text, '[\x20\x09-\x0D]+') AS ws FROM benchmark),
+pairs AS (SELECT DISTINCT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term FROM bw),
+t AS MATERIALIZED (SELECT term, lower(term) AS low_term FROM pairs),
+low AS MATERIALIZED (SELECT doc_id, line_no, line, lower(line) AS low_line FROM ln)
+"""
+
+
+def term_table(spark, sf):
+    words = F.split("text", r"[\x20\x09-\x0D]+")
+    pairs = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+    return table(spark, sf, "benchmark").select(F.explode(pairs).alias("term")).distinct()
+
+
+@query(
+    "term_table_hits",
+    f"""
+WITH {LINES_CTE}, {TERM_TABLE_CTE}
+SELECT doc_id, CAST(line_no AS INT) AS line_no, term, round(length(line) / CAST(n_chars AS DOUBLE), 3) AS confidence, line AS text
+FROM low JOIN t ON contains(low_line, low_term) JOIN documents USING (doc_id)
+""",
+)
+def term_table_hits(spark, sf):
+    rows = lines(spark, sf).select(
+        "doc_id", "line_no", F.col("line").alias("text"),
+        (F.length("line") / F.col("n_chars")).alias("confidence"),
+    )
+    return B.line_term_table_hits(rows, term_table(spark, sf), ["doc_id"])
+
+
+@query(
+    "first_table_term_lines",
+    f"""
+WITH {LINES_CTE}, {TERM_TABLE_CTE}
+SELECT doc_id, term, CAST(min(line_no) AS INT) AS line_no, arg_min(line, line_no) AS text
+FROM low JOIN t ON contains(low_line, low_term) GROUP BY doc_id, term
+""",
+)
+def first_table_term_lines(spark, sf):
+    rows = lines(spark, sf).select(
+        "doc_id", "line_no", F.col("line").alias("text"), F.lit(None).cast("double").alias("confidence")
+    )
+    return B.first_of_table_terms(rows, term_table(spark, sf), ["doc_id"])

@@ -198,6 +198,21 @@ def anchor_tables(spark, sf):
     return A.anchors_over_tables(_records(spark, sf), "fields", _block_table(spark, sf), "doc_id")
 
 
+@query("anchor_long_tables", f"WITH {anchor_cte()} SELECT doc_id, field_ord, path, block_id FROM anc")
+def anchor_long_tables(spark, sf):
+    fields = _records(spark, sf).select("doc_id", F.explode("fields").alias("f")).select("doc_id", "f.*")
+    return A.anchors_in_chunks(fields, _block_table(spark, sf), "doc_id")
+
+
+@query(
+    "anchor_long_tables_page",
+    f"WITH {anchor_cte('page = 0')} SELECT doc_id, field_ord, path, block_id FROM anc",
+)
+def anchor_long_tables_page(spark, sf):
+    fields = _records(spark, sf).select("doc_id", F.explode("fields").alias("f")).select("doc_id", "f.*")
+    return A.anchors_in_chunks(fields, _block_table(spark, sf), "doc_id", page_no=1)
+
+
 @query("field_pages", f"WITH {anchor_cte()} SELECT doc_id, path, CAST(page + 1 AS INT) AS page_no FROM anc")
 def field_pages(spark, sf):
     return A.field_pages(anchor_lines(spark, sf)).select("doc_id", "path", "page_no")
