@@ -9,6 +9,7 @@ from ..functions import values as V
 from ..functions.barrier import unroll
 from ..operators import anchors as A
 from ..operators import fields as O
+from ..operators import patterns as P
 from .registry import LINES_CTE, norm_sql, query, spread, table
 
 # ---- flattening --------------------------------------------------------------------------------------
@@ -328,3 +329,28 @@ def payload_contains(spark, sf):
 def payload_contains_nested(spark, sf):
     pattern = {"party": {"open": True}, "items": [{"qty": 7, "name": "x"}], "single": ["F"]}
     return O.payload_contains(order_records(spark, sf), "extracted", pattern).select("o_orderkey")
+
+
+# One pattern per customer (their finished orders) and one per order (a list entry that joins its name and number).
+@query(
+    "payload_contains_table",
+    """
+SELECT o_orderkey, 'customer ' || c_custkey AS pattern_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'
+UNION ALL SELECT a.o_orderkey, 'order ' || b.o_orderkey FROM orders a JOIN orders b ON a.o_custkey = b.o_orderkey
+""",
+)
+def payload_contains_table(spark, sf):
+    def entry(number):
+        return F.array(F.struct(number.alias("qty"), F.lit("x").alias("name")))
+
+    open_orders = F.struct(
+        F.struct(F.lit(True).alias("open")).alias("party"), entry(F.col("c_custkey")).alias("items"), F.array(F.lit("F")).alias("single")
+    )
+    by_customer = table(spark, sf, "customer").select(
+        F.concat(F.lit("customer "), "c_custkey").alias("pattern_id"), F.to_json(open_orders).alias("p")
+    )
+    by_order = table(spark, sf, "orders").select(
+        F.concat(F.lit("order "), "o_orderkey").alias("pattern_id"), F.to_json(F.struct(entry(F.col("o_orderkey")).alias("items"))).alias("p")
+    )
+    asked = by_customer.unionByName(by_order).select("pattern_id", V.as_variant(F.col("p")).alias("pattern"))
+    return P.payload_contains_many(order_records(spark, sf), "extracted", ["o_orderkey"], asked)
