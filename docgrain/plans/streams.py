@@ -44,14 +44,14 @@ def stream_dedupe(spark, sf):
 
 
 @query(
-    "stream_dedupe_horizon",
+    "stream_dedupe_events",
     """
 SELECT sha256(event_type || props) AS sha256, min(event_id) AS upload_ord, arg_min(ts, event_id) AS created_at
 FROM events GROUP BY 1
 """,
 )
-def stream_dedupe_horizon(spark, sf):
-    root = work_path(spark, "stream-horizon")
+def stream_dedupe_events(spark, sf):
+    root = work_path(spark, "stream-dedupe-events")
     uploads = _stream(spark, sf, "events").select(
         F.col("event_id").alias("upload_ord"),
         F.concat("event_type", "props").cast("binary").alias("content"),
@@ -141,8 +141,23 @@ def stream_latest(spark, sf):
     return out.select("extraction_run_id", "field_path", "field_review_id", "edited_value")
 
 
-ROUTE_SQL = """CASE event_type WHEN 'purchase' THEN 'POST' ELSE 'GET' END AS method, '/' || event_type AS path, count(*) AS n,
-       round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2) AS total_ms, count(*) FILTER (event_type = 'error') AS errors"""
+def _timing_sql(windows: str) -> str:
+    """Counts and the percentile of rows (window_start, window_end, event_type, value), with the durations in the buckets of the job."""
+    return f"""
+{windows},
+b AS (
+  SELECT window_start, window_end, event_type, CASE WHEN value > 0 THEN CAST(ceil(ln(round(value, 2)) / ln({J.GROWTH})) AS INT) END AS bucket,
+         count(*) AS n, sum(CAST(value AS DECIMAL(18,2))) AS total
+  FROM w WHERE event_type <> 'signup' GROUP BY ALL),
+c AS (
+  SELECT *, sum(n) OVER (k ORDER BY bucket NULLS FIRST) AS below, sum(n) OVER k AS every
+  FROM b WINDOW k AS (PARTITION BY window_start, window_end, event_type))
+SELECT window_start, window_end, CASE event_type WHEN 'purchase' THEN 'POST' ELSE 'GET' END AS method, '/' || event_type AS path,
+       CAST(sum(n) AS BIGINT) AS n, round(CAST(sum(total) AS DOUBLE), 2) AS total_ms,
+       CAST(coalesce(sum(n) FILTER (event_type = 'error'), 0) AS BIGINT) AS errors,
+       round(min(coalesce(pow({J.GROWTH}, bucket - 0.5), 0)) FILTER (below >= every * 0.95), 3) AS p95_ms_1pct
+FROM c GROUP BY window_start, window_end, event_type
+"""
 
 
 def _timing(spark, sf, root, **options):
@@ -155,16 +170,16 @@ def _timing(spark, sf, root, **options):
     log = _stream(spark, sf, "events").select(_clock("ts").alias("ts"), line.alias("line"))
     _finish(J.stream_request_timing(log, root, **options))
     return J.timing_from_stream(spark, root, "gap" in options).select(
-        "window_start", "window_end", "method", "path", "n", F.round("total_ms", 2).alias("total_ms"), "errors"
+        "window_start", "window_end", "method", "path", "n", F.round("total_ms", 2).alias("total_ms"), "errors",
+        F.round("p95_ms_1pct", 3).alias("p95_ms_1pct"),
     )
 
 
 @query(
     "stream_timing",
-    f"""
-SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, {ROUTE_SQL}
-FROM events WHERE event_type <> 'signup' GROUP BY ALL
-""",
+    _timing_sql(
+        "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, value FROM events)"
+    ),
 )
 def stream_timing(spark, sf):
     return _timing(spark, sf, work_path(spark, "stream-timing"), window="1 hour")
@@ -172,11 +187,10 @@ def stream_timing(spark, sf):
 
 @query(
     "stream_timing_sliding",
-    f"""
-WITH w AS (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start FROM events)
-SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, {ROUTE_SQL}
-FROM w WHERE event_type <> 'signup' GROUP BY ALL
-""",
+    _timing_sql(
+        """WITH u AS (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS window_start FROM events),
+w AS (SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, value FROM u)"""
+    ),
 )
 def stream_timing_sliding(spark, sf):
     return _timing(
@@ -186,12 +200,12 @@ def stream_timing_sliding(spark, sf):
 
 @query(
     "stream_timing_sessions",
-    f"""
-WITH r AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens
-           FROM events WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
-s AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS no FROM r)
-SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, {ROUTE_SQL} FROM s GROUP BY event_type, no
-""",
+    _timing_sql(
+        """WITH r AS (SELECT *, CASE WHEN ts < lag(ts) OVER v + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens
+           FROM events WHERE event_type <> 'signup' WINDOW v AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS no FROM r),
+w AS (SELECT min(ts) OVER g AS window_start, max(ts) OVER g + INTERVAL 30 MINUTE AS window_end, event_type, value FROM s WINDOW g AS (PARTITION BY event_type, no))"""
+    ),
 )
 def stream_timing_sessions(spark, sf):
     return _timing(spark, sf, work_path(spark, "stream-sessions"), gap="30 minutes")

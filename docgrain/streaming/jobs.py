@@ -2,7 +2,7 @@
 restarted job continues where it stopped and a replayed micro-batch rewrites only its own part.
 
 No job holds state or a watermark: each micro-batch is folded to what its result needs, and the
-folded parts are merged by :class:`.segments.Segments`. The result is that of a batch job over all
+folded parts are merged by :class:`.partials.Partials`. The result is that of a batch job over all
 rows, whatever the number of micro-batches and the order in which rows arrive.
 """
 
@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.metrics import parse_request_log
-from ..operators.ranking import latest_per_key
+from ..operators.ranking import latest_per_key, split_running_sum
 from ..sources.uploads import document_key
-from .segments import Fold, Segments
+from .partials import Fold, Partials
 
 
 def watch(spark: SparkSession, path: str, schema: T.StructType | str, files: int = 1000) -> DataFrame:
@@ -37,7 +37,7 @@ def watch(spark: SparkSession, path: str, schema: T.StructType | str, files: int
 
 def _start(stream: DataFrame, root: str, fold: Fold, continuous: bool) -> StreamingQuery:
     writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(
-        lambda batch, number: Segments(batch.sparkSession, root, fold).append(batch, number)
+        lambda batch, number: Partials(batch.sparkSession, root, fold).append(batch, number)
     )
     if continuous:
         return writer.trigger(processingTime="30 seconds").start()
@@ -68,7 +68,7 @@ def uploads_from_stream(spark: SparkSession, root: str, uploads: T.StructType) -
     """Stored contents: sha256, the metadata of the first upload, blob_key."""
     meta = [f for f in uploads.fields if f.name != "content"]
     schema = T.StructType([T.StructField("sha256", T.StringType()), *meta])
-    rows = Segments(spark, root, _first_uploads).read(schema)
+    rows = Partials(spark, root, _first_uploads).read(schema)
     return rows.withColumn("blob_key", document_key(F.col("sha256")))
 
 
@@ -89,7 +89,7 @@ def stream_current_runs(runs: DataFrame, root: str, continuous: bool = False) ->
 
 def current_from_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """The current run of each document."""
-    return Segments(spark, root, _newest_runs).read(schema)
+    return Partials(spark, root, _newest_runs).read(schema)
 
 
 def flag_current(runs: DataFrame, current: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def stream_latest_reviews(reviews: DataFrame, root: str, continuous: bool = Fals
 
 
 def reviews_from_stream(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    return Segments(spark, root, _latest_edits).read(schema)
+    return Partials(spark, root, _latest_edits).read(schema)
 
 
 # ---- request timing --------------------------------------------------------------------------------
@@ -147,19 +147,35 @@ def _add_up(rows: DataFrame) -> DataFrame:
 
 
 def _merge_sessions(rows: DataFrame) -> DataFrame:
-    """Sessions that overlap become one. A part spans its requests and the gap after the last, so
-    parts belong together exactly if one starts before the other ends."""
-    length = F.make_interval(
-        secs=(F.unix_micros("window_end") - F.unix_micros("window_start")) / F.lit(1000000).cast("decimal(18,6)")
-    )
-    spans = rows.groupBy(F.session_window("window_start", length).alias("w"), "method", "path").agg(
-        F.collect_list(F.struct("bucket", *_SUMS)).alias("parts")
-    )
-    return _add_up(
-        spans.select(
-            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "method", "path", F.inline("parts")
-        )
+    """Sessions that overlap become one, counts added up by bucket.
+
+    A part spans its requests and the gap after the last, so parts belong together exactly if one starts before the other has ended.
+    Starts and ends of all parts are put in order; where the number of open parts rises from nothing a session begins, and the sessions
+    are numbered by counting these places. Both are running sums over range partitions, so a session or a route of any size is spread
+    over tasks, and only sums per session and bucket come together.
+    """
+    route = ["method", "path"]
+    mark = lambda at, step: F.struct(F.col(at).alias("at"), F.lit(step).cast("long").alias("step"))
+    # A part that starts where another ends still joins it.
+    events = rows.withColumn("__e", F.explode(F.array(mark("window_start", 1), mark("window_end", -1)))).select(
+        *[F.when(F.col("__e.step") > 0, F.col(c)).alias(c) for c in ["window_end", "bucket", *_SUMS]],
+        *[F.coalesce(c, F.lit("")).alias(f"__{c}") for c in route],
+        *route,
+        "__e.*",
+        F.xxhash64("window_start", "window_end", "bucket", *_SUMS).alias("__tie"),
     )
+    keys = ["__method", "__path"]
+    order = [F.col("at"), F.col("step").desc(), F.col("__tie")]
+    open_now = split_running_sum(events, keys, order, "step", "__open")
+    starts = open_now.withColumn("__new", ((F.col("step") > 0) & (F.col("__open") == 1)).cast("long"))
+    numbered = split_running_sum(starts, keys, order, "__new", "__session").filter("step > 0")
+    spans = numbered.groupBy(*route, "__session").agg(F.min("at").alias("window_start"), F.max("window_end").alias("window_end"))
+    sums = [F.sum(c).cast(t).alias(c) for c, t in zip(_SUMS, ("bigint", "double", "bigint"))]
+    added = numbered.groupBy(*[F.col(c).alias(f"__{c}") for c in route], F.col("__session").alias("__no"), "bucket").agg(*sums)
+    same = F.col("__session") == F.col("__no")
+    for c in route:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return added.join(spans, same).select(*_KEYS, "bucket", *_SUMS)
 
 
 def _parts(span: Column) -> Fold:
@@ -202,7 +218,7 @@ def stream_request_timing(
     count, merge = _parts(span), _merge_sessions if gap else _add_up
 
     def fold(rows: DataFrame) -> DataFrame:
-        return merge(rows if "bucket" in rows.columns else count(rows))
+        return merge(rows) if "bucket" in rows.columns else count(rows)
 
     return _start(parsed, root, fold, continuous)
 
@@ -210,7 +226,7 @@ def stream_request_timing(
 def timing_from_stream(spark: SparkSession, root: str, sessions: bool = False) -> DataFrame:
     """window_start, window_end, method, path, n, total_ms, errors and ``p95_ms_1pct``: the 95th
     percentile within one per cent."""
-    parts = Segments(spark, root, _merge_sessions if sessions else _add_up).read(PARTS_DDL)
+    parts = Partials(spark, root, _merge_sessions if sessions else _add_up).read(PARTS_DDL)
     # At most some hundred buckets stand in one window of a route.
     up_to = W.partitionBy(*_KEYS).orderBy(F.col("bucket").asc_nulls_first())
     every = W.partitionBy(*_KEYS)

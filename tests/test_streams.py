@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docgrain.plans import QUERIES, streams
 from docgrain.streaming import jobs as J
-from docgrain.streaming.segments import Segments
+from docgrain.streaming.partials import Partials
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,21 +116,62 @@ def test_percentile_is_within_one_per_cent(spark, tmp_path):
     assert abs(J.timing_from_stream(spark, root).first().p95_ms_1pct / (950 * 3.7) - 1) < 0.011
 
 
-def test_segments_fold_into_levels_and_replays_change_nothing(spark, tmp_path):
+def test_replays_and_rewrites_change_nothing(spark, tmp_path):
     fold = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
-    store = Segments(spark, str(tmp_path), fold, fan=3)
-    assert store.read("k string, n long").count() == 0
-    for i in range(20):
-        store.append(spark.createDataFrame([("ab"[i % 2], 10**i if i < 15 else 0)], "k string, n long"), i)
-        if i in (7, 8, 19):
-            store.append(spark.createDataFrame([("ab"[i % 2], 10**i if i < 15 else 0)], "k string, n long"), i)
-    assert store.cover() == [(2, 0), (2, 1), (0, 18), (0, 19)]
-    want = {"a": sum(10**i for i in range(0, 15, 2)), "b": sum(10**i for i in range(1, 15, 2))}
-    assert {r.k: r.n for r in store.read("k string, n long").collect()} == want
-    # A merge that broke off is not read.
-    (tmp_path / "data" / "level=2" / "segment=1" / "_SUCCESS").unlink()
-    assert store.cover() == [(2, 0), (1, 3), (1, 4), (1, 5), (0, 18), (0, 19)]
-    assert {r.k: r.n for r in store.read("k string, n long").collect()} == want
+    ddl = "k string, n long"
+    store = Partials(spark, str(tmp_path), fold)
+    assert store.read(ddl).count() == 0
+    store.rewrite(ddl, 3)
+
+    def append(i):
+        store.append(spark.createDataFrame([("ab"[i % 2], 10**i)], ddl), i)
+
+    def rows():
+        return {r.k: r.n for r in store.read(ddl).collect()}
+
+    for i in range(9):
+        append(i)
+        if i in (2, 6):
+            append(i)
+        if i == 4:
+            store.rewrite(ddl, 3)
+            assert store.last_base() == 3
+    want = {"a": sum(10**i for i in range(0, 9, 2)), "b": sum(10**i for i in range(1, 9, 2))}
+    assert rows() == want
+    append(3)  # a batch that the base holds is replayed
+    assert rows() == want
+    store.rewrite(ddl, 8)
+    store.rewrite(ddl, 5)
+    assert store.last_base() == 8 and rows() == want
+    # A base that broke off is not read.
+    (tmp_path / "base" / "8" / "_SUCCESS").unlink()
+    assert store.last_base() == 3 and rows() == want
+
+
+def test_sessions_of_a_hot_route_merge_without_gathering(spark):
+    """Against one pass over the spans in order."""
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(400):
+        start = rng.randrange(3000)
+        rows.append((minute(start), minute(start + rng.choice([10, 10, 14])), rng.choice(["GET", "GET", None]), "/a", rng.choice([1, 2, None]), rng.randrange(5), 1.0, 0))
+    got = J._merge_sessions(spark.createDataFrame(rows, J.PARTS_DDL).repartition(5))
+    want = {}
+    for method in ("GET", None):
+        start = end = None
+        for s, e, m, p, bucket, n, total, errors in sorted((r for r in rows if r[2] == method), key=lambda r: r[0]):
+            if end is None or s > end:
+                start, end, members = s, e, []
+            end = max(end, e)
+            members.append((bucket, n, total))
+            for b in {x for x, _, _ in members}:
+                want[method, start, b] = (end, sum(x for y, x, _ in members if y == b), sum(x for y, _, x in members if y == b))
+            for key in [k for k in want if k[:2] == (method, start)]:
+                want[key] = (end, *want[key][1:])
+    assert {(r.method, r.window_start, r.bucket): (r.window_end, r.n, r.total_ms) for r in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
 
 
 @pytest.fixture(scope="module")
