@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .prefix import with_prefix
 
 BLOCK = 16  # documents of one source that stand together
@@ -43,8 +44,12 @@ def edf_period(shares: Mapping) -> list[tuple]:
 
 
 def tempered_shares(counts: Mapping, power: float = 0.5, period: int = PERIOD) -> dict:
-    """Integer shares in proportion to a power of the sources' sizes, at least one each."""
+    """Integer shares in proportion to a power of the sources' sizes, at least one each.
+
+    The period grows with the number of sources, twenty slots a source, so that small ones keep shares of their own.
+    """
     whole = sum(n**power for n in counts.values())
+    period = max(period, 20 * len(counts))
     return {s: max(1, round(period * n**power / whole)) for s, n in counts.items()}
 
 
@@ -70,28 +75,47 @@ def mix_order(
 ) -> DataFrame:
     """(doc_id, source, block, slot, position): the place of each document in the mix.
 
-    The documents of a source are shuffled by a hash of the id and cut into blocks of ``block``; block n of a
+    The rows of a source are shuffled by a hash of id and content and cut into blocks of ``block``; block n of a
     source takes the slot that the periodic schedule of :func:`edf_period` gives it. ``shares``
     are integer target weights by source; by default they follow the square root of the sources'
     sizes. Until a source runs out, each source's part of any prefix is its target within less than
-    one block. After that its slots stay empty and the others go on in their proportion: every
-    document has a place, none is dropped or repeated.
+    one block, besides the block in progress. After that its slots stay empty and the others go on in their proportion: every
+    row has a place of its own, none is dropped or repeated.
 
-    ``position`` numbers the documents from 0 in the order of the mix. A null source is a source
-    like any other. A source without a share (or a share below one) comes after all others, one slot per block. Rows that
-    share id and source share one place. An empty table gives no rows.
+    ``position`` numbers the rows from 0 in the order of the mix. A null source is a source
+    like any other. A source without a share (or a share below one) comes after all others, one slot per block. Rows without id and
+    rows that repeat an id are placed like any other. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source")).distinct()
+    return _places(_keyed(docs, id_col, source_col), shares, block).drop("row")
+
+
+def _keyed(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, mixed, row): the hash that orders a source's rows, and a number that tells equal rows apart.
+
+    Written once: a number of a row holds only as long as the input is not split anew.
+    """
+    keyed = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        _mixing_hash(docs, id_col),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return stage(keyed, "mix-rows")
+
+
+def _places(keyed: DataFrame, shares: Mapping | None, block: int) -> DataFrame:
+    """(doc_id, source, block, slot, position, row) of rows of :func:`_keyed`."""
+    spark = keyed.sparkSession
     if shares is None:
-        shares = tempered_shares(source_counts(docs, source_col))
+        shares = tempered_shares(source_counts(keyed, "source"))
     shares = {s: int(n) for s, n in shares.items() if n >= 1}
     period = sum(shares.values())
-    ranked = with_prefix(ids.withColumn("mixed", F.xxhash64("doc_id")), ["source", "mixed", "doc_id"])
+    ranked = with_prefix(keyed, ["source", "mixed", "doc_id", "row"])
     first = ranked.groupBy(F.col("source").alias("s")).agg(F.min("row_no").alias("first"), F.count("*").alias("n"))
     rows = ranked.join(first, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id",
         "source",
+        "row",
         F.expr(f"(row_no - first) div {block}").alias("block"),
         F.expr(f"(row_no - first) % {block}").alias("inside"),
     )
@@ -101,9 +125,9 @@ def mix_order(
     fits = F.col("source").eqNullSafe(F.col("at_source")) & (F.col("block") % F.col("own_share") == F.col("at_block"))
     rows = rows.join(table, fits, "left").withColumn("late", F.col("own_share").isNull())
     slot = F.expr(f"(block div own_share) * {period} + at_slot")
-    rows = rows.select("doc_id", "source", "block", "late", F.coalesce(slot, "block").alias("slot"), "inside")
+    rows = rows.select("doc_id", "source", "row", "block", "late", F.coalesce(slot, "block").alias("slot"), "inside")
     out = with_prefix(rows, ["late", "slot", "source", "inside"])
-    return out.select("doc_id", "source", "block", "slot", F.col("row_no").alias("position"))
+    return out.select("doc_id", "source", "block", "slot", F.col("row_no").alias("position"), "row")
 
 
 def mixed(docs: DataFrame, shares: Mapping | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK) -> DataFrame:
@@ -111,12 +135,19 @@ def mixed(docs: DataFrame, shares: Mapping | None = None, id_col: str = "doc_id"
 
     Written to files, the rows stand in the order of the mix. See :func:`mix_order`.
     """
-    places = mix_order(docs, shares, id_col, source_col, block)
     spare = "place"
-    while spare in docs.columns:
+    while any(f"{spare}_{x}" in docs.columns for x in "rp"):
         spare += "_"
-    i, s, p = (f"{spare}_{x}" for x in "isp")
-    places = places.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("position").alias(p))
-    same = docs[id_col].eqNullSafe(F.col(i)) & docs[source_col].cast("string").eqNullSafe(F.col(s))
-    rows = docs.join(places, same)
-    return rows.repartitionByRange(F.col(p)).sortWithinPartitions(p).drop(i, s, p)
+    r, p = f"{spare}_r", f"{spare}_p"
+    # The rows are written with their numbers, which so hold for both sides of the join.
+    whole = stage(docs.withColumn(r, F.monotonically_increasing_id()), "mix-input")
+    keyed = whole.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _mixing_hash(docs, id_col), F.col(r).alias("row"))
+    places = _places(keyed, shares, block).select(F.col("row").alias(r), F.col("position").alias(p))
+    rows = whole.join(places, r)
+    return rows.repartitionByRange(F.col(p)).sortWithinPartitions(p).drop(r, p)
+
+
+def _mixing_hash(docs: DataFrame, id_col: str):
+    """Hash of the id and of the plain columns of a row."""
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double")]
+    return F.xxhash64(F.col(id_col), *plain).alias("mixed")

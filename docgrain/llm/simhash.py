@@ -246,3 +246,23 @@ def simhash_groups(
     names = placed.groupBy("place").agg(F.min("rep").alias("component_id"))
     named = placed.join(names, "place").select("fp", "place", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "place", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = 4) -> DataFrame:
+    """One row of each group of near duplicates, columns unchanged: of the rows with the group's smallest id the one with the
+    smallest text; of a group without any id, the one with the smallest text.
+
+    Rows that share an id and lie in different groups do not touch each other. See :func:`simhash_components`.
+    """
+    spare = lambda name: next(n for k in range(len(docs.columns) + 1) if (n := name + "_" * k) not in docs.columns)
+    first, mark, group, own, kept = (spare(x) for x in ("first_id", "first_print", "group", "own_print", "row"))
+    firsts = (
+        simhash_groups(docs, id_col, text_col, shingle, distance)
+        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(F.col("doc_id").alias(first), F.col("fp").alias(mark), F.col("place").alias(group))
+        .distinct()
+    )
+    rows = with_fingerprint(docs, own, text_col, shingle)
+    there = rows.join(firsts, rows[id_col].cast("long").eqNullSafe(firsts[first]) & (rows[own] == firsts[mark]))
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(text_col).isNull(), text_col))
+    return there.groupBy(group).agg(row.alias(kept)).select(f"{kept}.*")
