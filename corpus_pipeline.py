@@ -5,42 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docgrain.llm import contamination, langid, mixing, sharding, simhash
 from docgrain.session import work_path
 
 
+MIN_SCORE = 0.5  # posterior of the best language
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those that language identification rejects go.
 
-    Rejected are null texts and texts without a letter.
+    Rejected are null texts, texts without a letter, and texts whose best language is less likely than all others together.
     """
-    return langid.keep_identified(docs)
+    return langid.keep_identified(docs, min_score=MIN_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id.
-
-    Of several rows of that id in the group, the one with the smallest text stays; rows that share an id
-    and lie in different groups do not touch each other. A group without any id keeps one row of each
-    fingerprint.
-    """
-    first, mark, group = (_spare(docs, x) for x in ("first_id", "first_print", "group"))
-    firsts = (
-        simhash.simhash_groups(docs)
-        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(
-            F.col("doc_id").alias(first),
-            F.col("fp").alias(mark),
-            F.when(F.col("component_id").isNull(), F.col("fp")).otherwise(F.col("place")).alias(group),
-        )
-        .distinct()
-    )
-    rows = simhash.with_fingerprint(docs, own := _spare(docs, "own_print"))
-    kept = rows.join(firsts, rows["doc_id"].eqNullSafe(firsts[first]) & (rows[own] == firsts[mark]))
-    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text").isNull(), "text"))
-    return kept.groupBy(group).agg(row.alias(_spare(docs, "row"))).select(f"{_spare(docs, 'row')}.*")
+    """One document of each group of near duplicates: the one with the smallest id, see :func:`simhash.keep_one_of_each`."""
+    return simhash.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,12 +56,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def _spare(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
-
-
 def _read_order(docs: DataFrame) -> list | None:
     """File and row number of rows read from files, None for others."""
     try:
