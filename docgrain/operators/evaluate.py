@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.barrier import unroll
 from ..functions.geometry import iou
-from ..functions.values import list_match, normalized_match
+from ..functions.values import list_match, normalized_match, numeric_tolerance
 from ..schemas import ACCURACY_FLOOR
 
 
@@ -74,6 +77,87 @@ def field_accuracy_long(expected: DataFrame, actual: DataFrame, keys: list[str])
     )
 
 
+# ---- evaluators named by a data set ------------------------------------------------------------------
+# An evaluator turns the JSON text of the expected and the actual output into array<struct<field,is_match>>;
+# ``options`` is a map<string,string> of its settings in the data set.
+
+Evaluator = Callable[[Column, Column, Column], Column]
+
+_FIELDS = "map<string,string>"
+
+
+def _one(field: str, ok: Column) -> Column:
+    return F.array(F.struct(F.lit(field).alias("field"), F.coalesce(ok, F.lit(False)).alias("is_match")))
+
+
+def _plain_text(output: Column) -> Column:
+    """A JSON string without its quotes; any other JSON as it is written; null for JSON null."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(output), "$", "string"), F.when(F.trim(output) != "null", output))
+
+
+def by_text(expected: Column, actual: Column, options: Column) -> Column:
+    """The whole output by the normalised rule."""
+    return _one("output", normalized_match(_plain_text(expected), _plain_text(actual)))
+
+
+def by_number(expected: Column, actual: Column, options: Column) -> Column:
+    """The whole output as a number, within ``tolerance`` (0.01)."""
+    tolerance = F.coalesce(options["tolerance"].try_cast("double"), F.lit(0.01))
+    return _one("output", numeric_tolerance(_plain_text(expected), _plain_text(actual), tolerance))
+
+
+def by_fields(expected: Column, actual: Column, options: Column) -> Column:
+    """Every field of the expected record but those of ``skip_fields`` (comma-separated)."""
+    want, got = (F.from_json(F.when(F.ltrim(c).startswith("{"), c), _FIELDS) for c in (expected, actual))
+    skip = F.split(F.coalesce(options["skip_fields"], F.lit("")), ",")
+    listed = lambda c: F.from_json(F.when(F.ltrim(c).startswith("["), c), "array<string>")
+
+    def field(e: Column) -> Column:
+        x, y = e["value"], F.try_element_at(got, e["key"])
+        same = F.when(listed(x).isNotNull(), F.coalesce(list_match(listed(x), listed(y)), F.lit(False))).otherwise(normalized_match(x, y))
+        ok = F.when(x.isNull() & y.isNull(), True).when(x.isNull() | y.isNull(), False).otherwise(same)
+        return F.struct(e["key"].alias("field"), ok.alias("is_match"))
+
+    fields = F.transform(F.filter(F.map_entries(want), lambda e: ~F.array_contains(skip, e["key"])), field)
+    missing = (_plain_text(expected).isNull()) | (_plain_text(actual).isNull())
+    shapes = want.isNull() | got.isNull() | (F.array_sort(F.map_keys(want)) != F.array_sort(F.map_keys(got)))
+    return F.when(missing, _one("has_output", _plain_text(actual).isNotNull())).when(shapes, _one("type_match", F.lit(False))).otherwise(fields)
+
+
+# The names by which data sets call the evaluators.
+EVALUATORS: dict[str, Evaluator] = {
+    "FieldAccuracy": by_fields,
+    "NormalizedStringMatch": by_text,
+    "NumericTolerance": by_number,
+}
+
+
+def evaluate_datasets(
+    cases: DataFrame, datasets: DataFrame, registry: dict[str, Evaluator] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Every case under the evaluators that its data set names, in one pass, and the names that nobody registered.
+
+    ``cases``: dataset, case, expected, actual (JSON text); ``datasets``: dataset, evaluators as
+    array<struct<name,options>>, one row per data set. Results: dataset, case, evaluator, field, is_match. Rejects: dataset, evaluator,
+    reason. ``registry`` adds evaluators of the caller to :data:`EVALUATORS`. Cases of a data set without a row, or with an
+    empty list, give no rows; a name that is listed twice counts once per listing.
+    """
+    known = EVALUATORS | (registry or {})
+    asked = datasets.select("dataset", F.explode("evaluators").alias("ev"))
+    named = F.col("ev.name").isin(*known)
+    rejects = asked.filter(~F.coalesce(named, F.lit(False))).select(
+        "dataset", F.col("ev.name").alias("evaluator"), F.lit("unknown evaluator").alias("reason")
+    )
+    rows = cases.join(datasets.select("dataset", F.filter("evaluators", lambda e: e["name"].isin(*known)).alias("__evs")), "dataset")
+    rows = rows.select("dataset", "case", "expected", "actual", F.explode("__evs").alias("ev"))
+    result = F.lit(None).cast("array<struct<field:string,is_match:boolean>>")
+    for name, evaluator in known.items():
+        found = evaluator(F.col("expected"), F.col("actual"), F.coalesce(F.col("ev.options"), F.create_map().cast(_FIELDS)))
+        result = F.when(F.col("ev.name") == name, found).otherwise(result)
+    out = unroll(rows, result, ["dataset", "case", F.col("ev.name").alias("evaluator")], "__p", "r")
+    return out.select("dataset", "case", "evaluator", "r.*"), rejects
+
+
 def accuracy_gate(results: DataFrame, group: str, floor: float = ACCURACY_FLOOR) -> DataFrame:
     """Share of matching fields per data set, and whether it reaches the floor."""
     return (

@@ -529,3 +529,86 @@ def first_table_term_lines(spark, sf):
         "doc_id", "line_no", F.col("line").alias("text"), F.lit(None).cast("double").alias("confidence")
     )
     return B.first_of_table_terms(rows, term_table(spark, sf), ["doc_id"])
+
+
+# ---- document items of every kind ----------------------------------------------------------------------
+
+LINE = ["l_orderkey", "l_partkey", "l_suppkey"]
+
+
+def _mixed_items(spark, sf):
+    """Order lines as blocks: heading, Markdown text in a polygon, table, picture, list, text without page, caption."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    kinds = ["SectionHeader", "Text", "Table", "Picture", "ListGroup", "Text", "Caption"]
+    html = (
+        F.when(n == 1, F.concat(F.lit("<h2>Order "), F.col("l_orderkey"), F.lit("</h2>")))
+        .when(n == 3, F.concat(F.lit("<table><tr><td>"), flag, F.lit("</td><td>"), status, F.lit("</td></tr></table>")))
+        .when(n == 4, F.lit('<img src="x.png">'))
+        .when(n == 5, F.concat(F.lit("<ul><li>"), flag, F.lit("</li><li>a &amp; "), status, F.lit("</li></ul>")))
+        .when(n > 5, F.concat(F.lit("<p>"), flag, F.lit("</p>")))
+    )
+    polygon = F.array(F.array(q, F.lit(1.0)), F.array(q + 2, F.lit(1.5)), F.array(q + 1, F.lit(4.0)))
+    blocks = table(spark, sf, "lineitem").select(
+        *LINE,
+        n.alias("ord"),
+        F.concat(F.lit("b"), n).alias("block_id"),
+        F.get(F.array(*map(F.lit, kinds)), n - 1).alias("block_type"),
+        html.alias("html"),
+        F.when(n == 2, F.concat(F.lit("  **"), flag, F.lit("** "))).alias("markdown"),
+        F.when(n != 6, F.floor(n / 3).cast("int")).alias("page"),
+        F.when(n.isin(2, 5), polygon).alias("polygon"),
+        F.when(n.isin(1, 3, 6), F.array(F.lit(0.0), n.cast("double"), q, n + 8.0)).alias("bbox"),
+        F.when(n == 1, F.create_map(F.lit("1"), F.lit("/a"), F.lit("3"), F.lit("/b"))).alias("section_hierarchy"),
+    )
+    return B.document_items(blocks, LINE)[0]
+
+
+MIXED_ITEMS_CTE = """
+li AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber AS n, l_quantity AS q, l_returnflag AS f, l_linestatus AS s FROM lineitem),
+head AS (
+  SELECT *, 0 AS item_ord,
+         CASE n WHEN 1 THEN 'heading' WHEN 3 THEN 'table' WHEN 4 THEN 'picture' WHEN 5 THEN 'list' ELSE 'text' END AS kind,
+         CASE n WHEN 1 THEN 'section_header' WHEN 3 THEN 'table' WHEN 4 THEN 'picture' WHEN 5 THEN 'list' WHEN 7 THEN 'caption' ELSE 'text' END AS label,
+         CASE n WHEN 1 THEN 'Order ' || l_orderkey WHEN 2 THEN '**' || f || '**' WHEN 3 THEN f || ' ' || s ELSE f END AS words
+  FROM li),
+entries AS (SELECT *, unnest([f, 'a & ' || s]) AS words, unnest([1, 2]) AS item_ord FROM li WHERE n = 5),
+items AS (
+  SELECT l_orderkey, l_partkey, l_suppkey, n, q, item_ord, kind, label, CASE n WHEN 1 THEN 3 END AS level,
+         CASE WHEN n NOT IN (3, 4, 5) THEN words END AS text, CASE WHEN n IN (1, 2, 3, 6) THEN length(words) END AS chars, n IN (1, 2, 3, 6) AS placed
+  FROM head
+  UNION ALL
+  SELECT l_orderkey, l_partkey, l_suppkey, n, q, item_ord, 'list_item', 'list_item', NULL, words, length(words), true FROM entries),
+placed AS (
+  SELECT *, CASE WHEN placed THEN CASE WHEN n = 6 THEN 1 ELSE n // 3 + 1 END END AS page_no,
+         CASE WHEN placed THEN CASE WHEN n IN (2, 5) THEN q ELSE 0 END END AS l, CASE WHEN placed THEN CASE WHEN n IN (2, 5) THEN 1 ELSE n END END AS t,
+         CASE WHEN placed THEN CASE WHEN n IN (2, 5) THEN q + 2 ELSE q END END AS r, CASE WHEN placed THEN CASE WHEN n IN (2, 5) THEN 4 ELSE n + 8 END END AS b
+  FROM items)
+"""
+
+
+@query(
+    "document_items_mixed",
+    f"""
+WITH {MIXED_ITEMS_CTE}
+SELECT l_orderkey, l_partkey, l_suppkey, CAST(n AS INT) AS ord, CAST(item_ord AS INT) AS item_ord, kind, label, CAST(level AS INT) AS level, text,
+       CAST(page_no AS INT) AS page_no, CAST(chars AS INT) AS chars, CAST(l AS DOUBLE) AS l, CAST(t AS DOUBLE) AS t, CAST(r AS DOUBLE) AS r, CAST(b AS DOUBLE) AS b
+FROM placed
+""",
+)
+def document_items_mixed(spark, sf):
+    items = _mixed_items(spark, sf)
+    return items.select(*[c for c in items.columns if c != "bbox"], "bbox.*")
+
+
+@query(
+    "doc_item_counts_mixed",
+    f"""
+WITH {MIXED_ITEMS_CTE}
+SELECT l_orderkey, count(*) FILTER (kind IN ('heading', 'text', 'list_item')) AS texts, count(*) FILTER (kind = 'table') AS tables,
+       count(*) FILTER (kind = 'picture') AS pictures, CAST(max(page_no) AS INT) AS last_page, count(*) FILTER (item_ord = 0) AS blocks
+FROM placed GROUP BY l_orderkey
+""",
+)
+def doc_item_counts_mixed(spark, sf):
+    return B.doc_item_counts(_mixed_items(spark, sf), ["l_orderkey"])

@@ -10,6 +10,8 @@ from ..functions.values import as_variant
 from ..operators import evaluate as E
 from ..operators import metrics as M
 from ..operators import routing as C
+from ..session import work_path
+from ..sources import tables
 from .registry import query, spread, table
 
 # ---- document types --------------------------------------------------------------------------------
@@ -512,3 +514,69 @@ def throughput(spark, sf):
         "model", "day", "pages", "duration_ms",
         F.round("pages_per_hour", 6).alias("pages_per_hour"), F.round("headroom", 6).alias("headroom"),
     )
+
+
+# ---- evaluators named by data sets -----------------------------------------------------------------------
+
+# Data sets are the order priorities, each with evaluators of its own.
+DATASET_EVALUATORS = {
+    "1-URGENT": ["FieldAccuracy"],
+    "2-HIGH": ["NormalizedStringMatch", "Fuzzy"],
+    "3-MEDIUM": ["FieldAccuracy", "NormalizedStringMatch"],
+    "4-NOT SPECIFIED": ["Exact"],
+    "5-LOW": ["NumericTolerance"],
+}
+
+
+def _datasets(spark, sf):
+    """The data sets that occur, written as JSON lines and loaded, and their cases with an output."""
+    names = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in DATASET_EVALUATORS.items() for x in pair])
+    orders = table(spark, sf, "orders")
+    listed = F.transform(F.try_element_at(names, "name"), lambda n: F.struct(n.alias("name")))
+    path = work_path(spark, "datasets")
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+
+    def record(number, tags, weight):
+        fields = F.struct(number.alias("number"), F.array(*tags).alias("tags"))
+        return F.when(F.col("o_orderpriority") == "5-LOW", weight).otherwise(F.to_json(fields))
+
+    weight = F.round(F.col("o_totalprice")).cast("long")
+    case = F.struct(
+        key.cast("string").alias("name"),
+        record(key, [status, F.lit("a b")], F.concat(weight.cast("string"), F.lit(".00 t"))).alias("expected_output"),
+    )
+    sets = orders.groupBy(F.col("o_orderpriority").alias("name")).agg(F.collect_list(case).alias("cases"))
+    sets.select("name", listed.alias("evaluators"), "cases").write.json(path)
+    cases, datasets = tables.load_eval_datasets(spark, path)
+    changed = F.when(key % 3 == 0, key + 1).otherwise(key)
+    heavier = F.when(key % 3 == 0, weight + 1).otherwise(weight).cast("string")
+    actual = F.when(key % 7 != 0, record(changed, [F.lower(status), F.lit(" A  b")], heavier))
+    outputs = orders.select(key.cast("string").alias("case"), actual.alias("actual"))
+    return cases.select("dataset", "case", "expected").join(outputs, "case"), datasets
+
+
+@query(
+    "dataset_evaluators",
+    """
+WITH o AS (SELECT o_orderpriority AS dataset, CAST(o_orderkey AS VARCHAR) AS "case", o_orderkey % 7 = 0 AS gone, o_orderkey % 3 <> 0 AS same FROM orders)
+SELECT dataset, "case", 'FieldAccuracy' AS evaluator, 'has_output' AS field, false AS is_match FROM o WHERE dataset IN ('1-URGENT', '3-MEDIUM') AND gone
+UNION ALL SELECT dataset, "case", 'FieldAccuracy', 'number', same FROM o WHERE dataset IN ('1-URGENT', '3-MEDIUM') AND NOT gone
+UNION ALL SELECT dataset, "case", 'FieldAccuracy', 'tags', true FROM o WHERE dataset IN ('1-URGENT', '3-MEDIUM') AND NOT gone
+UNION ALL SELECT dataset, "case", 'NormalizedStringMatch', 'output', false FROM o WHERE dataset IN ('2-HIGH', '3-MEDIUM')
+UNION ALL SELECT dataset, "case", 'NumericTolerance', 'output', same AND NOT gone FROM o WHERE dataset = '5-LOW'
+""",
+)
+def dataset_evaluators(spark, sf):
+    return E.evaluate_datasets(*_datasets(spark, sf))[0]
+
+
+@query(
+    "unknown_evaluators",
+    """
+SELECT DISTINCT o_orderpriority AS dataset, CASE o_orderpriority WHEN '2-HIGH' THEN 'Fuzzy' ELSE 'Exact' END AS evaluator,
+       'unknown evaluator' AS reason
+FROM orders WHERE o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED')
+""",
+)
+def unknown_evaluators(spark, sf):
+    return E.evaluate_datasets(*_datasets(spark, sf))[1]

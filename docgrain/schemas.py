@@ -129,6 +129,11 @@ EVAL_CASE_DDL = (
     "dataset string, case string, inputs struct<pdf_path:string>, expected_output string, "
     "metadata struct<source_pdf:string,status:string,notes:string>"
 )
+EVAL_DATASET_DDL = (
+    "name string, evaluators array<struct<name:string,options:map<string,string>>>, "
+    "cases array<struct<name:string,inputs:struct<pdf_path:string>,expected_output:string,"
+    "metadata:struct<source_pdf:string,status:string,notes:string>>>"
+)
 TRUTH_DDL = (
     "extraction_run_id long, page_no int, fields map<string,struct<fragment_id:string,"
     "bbox:struct<l:double,t:double,r:double,b:double>>>"

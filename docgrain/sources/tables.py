@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import EVAL_CASE_DDL, TABLES, TRUTH_DDL
+from ..schemas import EVAL_CASE_DDL, EVAL_DATASET_DDL, TABLES, TRUTH_DDL
 
 # How each table is laid out: partition folders for the flag every read filters on, and the
 # sort key whose min/max statistics let Parquet skip row groups.
@@ -91,6 +91,25 @@ def load_eval_cases(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def load_eval_datasets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Whole data sets from JSON lines, one a line: cases (as of :func:`load_eval_cases`) and (dataset, evaluators).
+
+    A data set without an evaluator list has an empty one.
+    """
+    sets = spark.read.schema(EVAL_DATASET_DDL).json(path)
+    cases = sets.select(F.col("name").alias("dataset"), F.explode("cases").alias("c")).select(
+        "dataset",
+        F.col("c.name").alias("case"),
+        F.col("c.inputs.pdf_path").alias("pdf_path"),
+        F.col("c.expected_output").alias("expected"),
+        F.col("c.metadata.source_pdf").alias("source_pdf"),
+        F.col("c.metadata.status").alias("status"),
+        F.col("c.metadata.notes").alias("notes"),
+    )
+    none = F.array().cast("array<struct<name:string,options:map<string,string>>>")
+    return cases, sets.select(F.col("name").alias("dataset"), F.coalesce("evaluators", none).alias("evaluators"))
+
+
 def load_refinement_truth(spark: SparkSession, path: str) -> DataFrame:
     """Long truth table (run, page, field, fragment, box); a missing folder is an empty set."""
     try:

@@ -124,11 +124,15 @@ def _by_shard(store: DataFrame, files: int) -> DataFrame:
     )
 
 
+def _files(size: int, shards: int) -> int:
+    return max(1, -(-size // (max(1, shards) * FILE_BYTES)))
+
+
 def write_blobs(store: DataFrame, path: str, files_per_shard: int | None = None) -> None:
     """Cluster on the shard; a shard folder gets as many files as its share of the bytes needs."""
     if files_per_shard is None:
         size = store.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
-        files_per_shard = max(1, -(-size // (SHARDS * FILE_BYTES)))
+        files_per_shard = _files(size, SHARDS)
     _by_shard(store, files_per_shard).write.mode("errorifexists").partitionBy("shard").parquet(path)
 
 
@@ -137,11 +141,13 @@ def update_blobs(
     path: str,
     puts: DataFrame | None = None,
     deletes: DataFrame | None = None,
-    files_per_shard: int = 1,
+    files_per_shard: int | None = None,
 ) -> DataFrame:
     """Write ``puts`` over the stored table, then delete; only the shards of the named keys are
     read and written. Returns the refused puts.
 
+    A shard is written as as many files, by as many tasks, as the bytes of the touched shards and of the puts ask for.
+
     The shards are replaced when all of them are written. A row without key keeps the folder of a
     shard that runs empty, which would not be replaced otherwise; readers leave it out.
     """
@@ -153,6 +159,9 @@ def update_blobs(
     kept, refused = blob_put(rows.filter("key IS NOT NULL").select("key", "content"), puts)
     after = blob_delete(kept, deletes)
     marks = spark.createDataFrame([(None, None, t) for t in touched], STORED)
+    if files_per_shard is None:
+        size = lambda df: df.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
+        files_per_shard = _files(size(rows) + size(puts), len(touched))
     out = _by_shard(after, files_per_shard).unionByName(marks)
     if touched:
         writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from docgrain.operators import evaluate as E
 from docgrain.operators import metrics as M
+from docgrain.sources import tables
 
 REC = "struct<a:string,l:array<string>,items:array<struct<d:string,q:string>>>"
 
@@ -52,3 +53,38 @@ def test_metrics(spark):
     traces = spark.createDataFrame([(1.0, 3.0), (2.0, 2.0)], "o double, m double")
     shares = {r.stage: r.share for r in M.stage_timing(traces, {"ocr": "o", "model": "m"}).collect()}
     assert shares == {"ocr": 3 / 8, "model": 5 / 8}
+
+
+def test_data_sets_name_their_evaluators(spark, tmp_path):
+    import json
+
+    sets = [
+        {"name": "a", "evaluators": [{"name": "FieldAccuracy", "options": {"skip_fields": "id"}}], "cases": [
+            {"name": "1", "inputs": {"pdf_path": "x.pdf"}, "expected_output": {"id": 1, "w": "A  b", "l": ["x", "Y"], "n": None}, "metadata": {"status": "ok"}},
+            {"name": "2", "expected_output": {"id": 2, "w": "c", "l": [], "n": "z"}},
+            {"name": "3", "expected_output": {"id": 3}},
+            {"name": "4", "expected_output": {"id": 4}},
+        ]},
+        {"name": "b", "evaluators": [{"name": "NumericTolerance", "options": {"tolerance": "0.5"}}, {"name": "Mine"}, {"name": "Nobody"}], "cases": [
+            {"name": "1", "expected_output": "12.0 kg"}, {"name": "2", "expected_output": "12.0 kg"},
+        ]},
+        {"name": "c", "cases": [{"name": "1", "expected_output": "x"}]},
+    ]
+    (tmp_path / "sets.json").write_text("\n".join(map(json.dumps, sets)))
+    cases, datasets = tables.load_eval_datasets(spark, str(tmp_path / "sets.json"))
+    assert cases.count() == 7 and cases.filter("pdf_path = 'x.pdf' and status = 'ok'").count() == 1
+    outputs = [("a", "1", '{"id": 9, "w": "a B", "l": ["X", "y"], "n": null}'), ("a", "2", '{"id": 2, "w": null, "l": [], "n": "y"}')]
+    outputs += [("a", "3", '{"other": 3}'), ("a", "4", None), ("b", "1", '"12.4 t"'), ("b", "2", "13")]
+    actual = spark.createDataFrame(outputs, "dataset string, case string, actual string")
+    mine = {"Mine": lambda e, a, o: E._one("mine", F.length(a) > 2)}
+    rows, rejects = E.evaluate_datasets(cases.join(actual, ["dataset", "case"], "left"), datasets, mine)
+    got = {(r.dataset, r.case, r.evaluator, r.field): r.is_match for r in rows.collect()}
+    fields = "FieldAccuracy"
+    assert got == {
+        ("a", "1", fields, "w"): True, ("a", "1", fields, "l"): True, ("a", "1", fields, "n"): True,
+        ("a", "2", fields, "w"): False, ("a", "2", fields, "l"): True, ("a", "2", fields, "n"): False,
+        ("a", "3", fields, "type_match"): False, ("a", "4", fields, "has_output"): False,
+        ("b", "1", "NumericTolerance", "output"): True, ("b", "2", "NumericTolerance", "output"): False,
+        ("b", "1", "Mine", "mine"): True, ("b", "2", "Mine", "mine"): False,
+    }
+    assert [tuple(r) for r in rejects.collect()] == [("b", "Nobody", "unknown evaluator")]
