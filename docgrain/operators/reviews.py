@@ -155,32 +155,37 @@ def overlay_json(payload: Column, edits: Column) -> Column:
     return fold(payload, edits)
 
 
-def extracted_view(runs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Runs with ``view``, the extracted record under its latest edits, and ``reviews``, these edits.
+def extracted_view(runs: DataFrame, reviews: DataFrame, listed: bool = True) -> DataFrame:
+    """Runs with ``view``, the extracted record under its latest edits, and ``reviews``, these edits; without
+    ``listed`` only the view, and only what it needs of the edits is carried along.
 
     Edits of one run are applied in the order in which their fields were first reviewed. At most
     one edit per field reaches the run's row, where the result is one record as well. Edits that
     fail :func:`check_edits` are left out, as are records that are not JSON objects: their view
-    is the record as it is. One join; the record of a run without edits does not go through Python.
+    is the record as it is. Runs with edits are joined and go through Python, the others are told apart by an anti-join and do not.
     """
-    latest = latest_reviews(check_edits(reviews)[0])
     shown = ["field_review_id", "field_path", "edited_value", "original_value", "remark", "created_at"]
+    if not listed:
+        reviews = reviews.select("extraction_run_id", "field_path", "edited_value", *WHEN)
+        shown = ["field_path", "edited_value"]
+    latest = latest_reviews(check_edits(reviews)[0])
     entry = F.struct("first_seen", *[c for c in shown if c in latest.columns])
     per_run = latest.groupBy("extraction_run_id").agg(F.array_sort(F.collect_list(entry)).alias("reviews"))
-    joined = runs.join(per_run, "extraction_run_id", "left")
     steps = F.transform(
         "reviews", lambda e: F.struct(e["field_path"].alias("path"), e["edited_value"].alias("value"))
     )
     record = F.when(
-        F.col("reviews").isNotNull()
-        & (F.col("extracted").isNull() | (is_object_text(F.col("extracted")) & F.try_parse_json("extracted").isNotNull())),
+        F.col("extracted").isNull() | (is_object_text(F.col("extracted")) & F.try_parse_json("extracted").isNotNull()),
         F.coalesce("extracted", F.lit("{}")),
     )
-    edited = joined.withColumn("__record", record).withColumn(
-        "view", F.coalesce(overlay_json(F.col("__record"), F.when(F.col("__record").isNotNull(), steps)), "extracted")
-    )
-    listed = F.transform("reviews", lambda e: e.dropFields("first_seen"))
-    return edited.withColumn("reviews", listed).drop("__record")
+    edited = runs.join(per_run, "extraction_run_id").withColumn("__record", record)
+    view = F.coalesce(overlay_json(F.col("__record"), F.when(F.col("__record").isNotNull(), steps)), "extracted")
+    edited = edited.withColumn("view", view).drop("__record")
+    same = runs.join(per_run.select("extraction_run_id"), "extraction_run_id", "left_anti").withColumn("view", F.col("extracted"))
+    if not listed:
+        return edited.drop("reviews").unionByName(same)
+    edited = edited.withColumn("reviews", F.transform("reviews", lambda e: e.dropFields("first_seen")))
+    return edited.unionByName(same, allowMissingColumns=True)
 
 
 def view_field_pages(view: DataFrame, blocks: str, depth: int | None = None) -> DataFrame:

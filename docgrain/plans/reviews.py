@@ -86,7 +86,7 @@ FROM orders LEFT JOIN x ON user_id = o_orderkey
 """,
 )
 def extracted_view(spark, sf):
-    return R.extracted_view(_payload_runs(spark, sf), reviews(spark, sf)).select(
+    return R.extracted_view(_payload_runs(spark, sf), reviews(spark, sf), listed=False).select(
         "extraction_run_id", "view"
     )
 
