@@ -88,3 +88,24 @@ def test_data_sets_name_their_evaluators(spark, tmp_path):
         ("b", "1", "Mine", "mine"): True, ("b", "2", "Mine", "mine"): False,
     }
     assert [tuple(r) for r in rejects.collect()] == [("b", "Nobody", "unknown evaluator")]
+
+
+def test_stored_sketches_merge_over_any_days(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(5)
+    rows = [("GET", "/a", 500 if i % 100 == 0 else 200, rng.lognormvariate(3, 1), dt.datetime(2024, 1, 1 + i % 9)) for i in range(20_000)]
+    rows += [("GET", "/b", 200, 7.0, dt.datetime(2024, 1, 3))]
+    stored = M.timing_sketches(spark.createDataFrame(rows, "method string, path string, status int, ms double, ts timestamp").repartition(6))
+    assert stored.count() == 10
+    for days in ([1], [2, 5, 9], list(range(1, 10))):
+        part = stored.filter(F.dayofmonth("period").isin(days))
+        got = {r.path: r for r in M.timing_over(part).collect()}
+        ms = sorted(r[3] for r in rows if r[1] == "/a" and r[4].day in days)
+        assert got["/a"].n == len(ms) and abs(got["/a"].mean_ms - sum(ms) / len(ms)) < 1e-6
+        for p in M.PERCENTS:
+            value = got["/a"][f"p{p}_ms_kll"]
+            assert abs(sum(x <= value for x in ms) / len(ms) - p / 100) < 0.01
+    assert got["/b"].p99_ms_kll == 7.0
+    assert max(len(r.sketch) for r in stored.collect()) < 20_000
