@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as H
 from ..operators.ranking import mark_latest
-from ..session import stage
-from .registry import query, runs, table
+from ..session import stage, work_path
+from ..sources import tables
+from .registry import query, reviews, runs, table
 
 
 def _history(spark, sf):
@@ -385,3 +386,29 @@ def cascade_delete(spark, sf):
             )
         )
     return out
+
+
+# ---- bucketed histories ------------------------------------------------------------------------------------
+
+
+@query(
+    "bucketed_edit_counts",
+    """
+SELECT o_orderkey AS extraction_run_id, count(event_id) AS n_reviews, count(DISTINCT event_type) AS n_fields
+FROM orders LEFT JOIN events ON user_id = o_orderkey GROUP BY o_orderkey
+""",
+)
+def bucketed_edit_counts(spark, sf):
+    """Runs and reviews stored in buckets of the run id and joined bucket by bucket."""
+    path = work_path(spark, "buckets")
+    unique = path.rsplit("-", 1)[1]
+    size = lambda df, row_bytes: tables.bucket_count(df.count() * row_bytes)
+    log, orders = reviews(spark, sf), runs(spark, sf).select("extraction_run_id", "created_at")
+    log = log.select("extraction_run_id", "field_review_id", "field_path", "created_at")
+    stored = tables.write_bucketed(log, f"reviews_{unique}", f"{path}/reviews", "extraction_run_id", ["field_path"], size(log, 100))
+    heads = tables.write_bucketed(orders, f"runs_{unique}", f"{path}/runs", "extraction_run_id", ["created_at"], size(orders, 50))
+    counts = stored.groupBy("extraction_run_id").agg(
+        F.count("*").alias("n_reviews"), F.count_distinct("field_path").alias("n_fields")
+    )
+    zero = {"n_reviews": 0, "n_fields": 0}
+    return heads.join(counts, "extraction_run_id", "left").select("extraction_run_id", *zero).fillna(zero)

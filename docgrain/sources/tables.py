@@ -77,6 +77,42 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(found[-1]).select(*schema.fieldNames())
 
 
+# ---- bucketed layout -----------------------------------------------------------------------------------
+
+# The composite access paths of the histories: rows of one key lie in one bucket, sorted by the rest.
+BUCKETED = {
+    "document_page": ("document_id", ["page_no"]),
+    "extraction_run": ("document_id", ["created_at"]),
+    "field_review": ("extraction_run_id", ["field_path", "created_at"]),
+    "refinement_run": ("extraction_run_id", ["created_at"]),
+}
+BUCKET_BYTES = 512 << 20
+
+
+def bucket_count(size_bytes: int) -> int:
+    """Buckets for a table of a given size: a power of two, so that tables of different sizes still join bucket by bucket."""
+    return 1 << max(3, (-(-size_bytes // BUCKET_BYTES) - 1).bit_length())
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, by: str, order: list[str], buckets: int) -> DataFrame:
+    """Write a catalog table bucketed by ``by`` and sorted inside buckets by ``by`` and ``order``, and return it.
+
+    The rows are dealt out once, by the hash that names the bucket, so each bucket is one file. Lookups, aggregates and
+    joins on ``by`` then read the table without a shuffle; only what is joined to it moves. A key with a very large share of
+    the rows makes its bucket as large: for such tables use :func:`write_table`, whose ranges split a key.
+    """
+    keys = [by, *[c for c in order if c != by]]
+    writer = df.repartition(buckets, by).write.mode("errorifexists").format("parquet").option("path", path)
+    writer.bucketBy(buckets, by).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def write_history(df: DataFrame, table: str, name: str, path: str, buckets: int) -> DataFrame:
+    """One of the histories in the bucketed layout of its access path."""
+    by, order = BUCKETED[table]
+    return write_bucketed(conform(df, table), name, path, by, order, buckets)
+
+
 def load_eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases from JSON lines; ``expected`` stays JSON text until typed."""
     cases = spark.read.schema(EVAL_CASE_DDL).json(path)
