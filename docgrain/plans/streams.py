@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import work_path
 from ..streaming import jobs as J
+from ..streaming import stateful as K
 from .registry import query, table
 
 
@@ -160,15 +161,18 @@ FROM c GROUP BY window_start, window_end, event_type
 """
 
 
-def _timing(spark, sf, root, **options):
+def _request_log(spark, sf):
     status = F.when(F.col("event_type") == "error", 503).otherwise(200)
     verb = F.when(F.col("event_type") == "purchase", "POST").otherwise("GET")
     line = F.when(
         F.col("event_type") != "signup",
         F.format_string("%s /%s -> %d in %.2fms", verb, "event_type", status, "value"),
     ).otherwise("user signed up")
-    log = _stream(spark, sf, "events").select(_clock("ts").alias("ts"), line.alias("line"))
-    _finish(J.stream_request_timing(log, root, **options))
+    return _stream(spark, sf, "events").select(_clock("ts").alias("ts"), line.alias("line"))
+
+
+def _timing(spark, sf, root, **options):
+    _finish(J.stream_request_timing(_request_log(spark, sf), root, **options))
     return J.timing_from_stream(spark, root, "gap" in options).select(
         "window_start", "window_end", "method", "path", "n", F.round("total_ms", 2).alias("total_ms"), "errors",
         F.round("p95_ms_1pct", 3).alias("p95_ms_1pct"),
@@ -209,3 +213,64 @@ w AS (SELECT min(ts) OVER g AS window_start, max(ts) OVER g + INTERVAL 30 MINUTE
 )
 def stream_timing_sessions(spark, sf):
     return _timing(spark, sf, work_path(spark, "stream-sessions"), gap="30 minutes")
+
+
+# ---- jobs with keyed state ------------------------------------------------------------------------
+
+HORIZON_MS = 3_600_000  # results do not depend on it
+
+
+@query(
+    "stream_dedupe_state",
+    """
+WITH f AS (SELECT sha256(text) AS sha256, min(doc_id) AS upload_ord, arg_min(source, doc_id) AS source FROM documents GROUP BY 1)
+SELECT sha256, upload_ord, source, 'documents/' || substr(sha256, 1, 2) || '/' || sha256 || '.pdf' AS blob_key FROM f
+""",
+)
+def stream_dedupe_state(spark, sf):
+    root = work_path(spark, "stream-dedupe-state")
+    uploads = _stream(spark, sf, "documents").select(
+        F.col("doc_id").alias("upload_ord"), "source", F.col("text").cast("binary").alias("content")
+    )
+    _finish(K.stream_ingest_within(uploads, root, HORIZON_MS))
+    return J.uploads_from_stream(spark, root, uploads.schema)
+
+
+@query(
+    "stream_current_feed",
+    """
+SELECT o_custkey AS document_id, o_orderkey AS extraction_run_id,
+       o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS is_current FROM orders
+""",
+)
+def stream_current_feed(spark, sf):
+    root = work_path(spark, "stream-feed")
+    runs = _stream(spark, sf, "orders").select(
+        F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("extraction_run_id")
+    )
+    _finish(K.stream_current_changes(runs, root))
+    history = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("extraction_run_id")
+    )
+    return K.apply_changes(history, K.current_changes(spark, root, "bigint"))
+
+
+@query(
+    "stream_timing_closed",
+    """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, CASE event_type WHEN 'purchase' THEN 'POST' ELSE 'GET' END AS method,
+       '/' || event_type AS path, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2) AS total_ms,
+       count(*) FILTER (event_type = 'error') AS errors
+FROM events WHERE event_type <> 'signup' GROUP BY ALL
+""",
+)
+def stream_timing_closed(spark, sf):
+    """Closed windows, their corrections and the windows still open, added up."""
+    closed, parts = work_path(spark, "stream-closed"), work_path(spark, "stream-closed-parts")
+    log = _request_log(spark, sf)
+    _finish(K.stream_closed_windows(log, closed, window="1 hour", delay="2 hours"))
+    _finish(J.stream_request_timing(log, parts, window="1 hour"))
+    rows = K.closed_windows(spark, closed).unionByName(K.corrections(spark, closed, parts).drop("closed"))
+    return rows.groupBy("window_start", "method", "path").agg(
+        F.sum("n").alias("n"), F.round(F.sum("total_ms"), 2).alias("total_ms"), F.sum("errors").alias("errors")
+    )
