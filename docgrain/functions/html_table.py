@@ -4,22 +4,18 @@ is read as a whole, in two passes (markup to rows of cells, then their places),
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
-from itertools import accumulate, pairwise
+from itertools import accumulate, islice, pairwise
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import ENTITIES
 
-CELL_DDL = (
-    "array<struct<row_no:int,col_no:int,row_span:int,col_span:int,text:string,is_header:boolean>>"
-)
-
-
 # Markup becomes a list of tokens (mark, name, value): an opening tag with its attributes, a closing
 # tag, or text.
 OPEN, CLOSE, TEXT = range(3)
@@ -152,48 +148,52 @@ def read_cells(html: str | None) -> list[tuple]:
         return [(0, 0, 1, 1, _plain(html), None)]
 
 
-def _cell_function() -> Callable[[Column], Column]:
-    """Arrow in, Arrow out: the cells of a batch are laid out as flat columns plus offsets."""
-    columns = [
-        ("row_no", pa.int32()), ("col_no", pa.int32()), ("row_span", pa.int32()),
-        ("col_span", pa.int32()), ("text", pa.string()), ("is_header", pa.bool_()),
-    ]
-
-    @F.arrow_udf(CELL_DDL)
-    def table_cells(html: pa.Array) -> pa.Array:
-        offsets, flat = [0], []
-        for h in html.to_pylist():
-            flat.extend(read_cells(h))
-            offsets.append(len(flat))
-        values = list(zip(*flat)) or [()] * len(columns)
-        cells = pa.StructArray.from_arrays(
-            [pa.array(v, t) for v, (_, t) in zip(values, columns)],
-            names=[name for name, _ in columns],
-        )
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cells)
-
-    return table_cells
+# Cells that leave a task together; a table of any size leaves in pieces.
+CELLS_PER_BATCH = 10_000
+_CELL_COLUMNS = [
+    ("cell_ord", pa.int32()), ("row_no", pa.int32()), ("col_no", pa.int32()), ("row_span", pa.int32()),
+    ("col_span", pa.int32()), ("text", pa.string()), ("is_header", pa.bool_()), ("num_rows", pa.int32()),
+    ("num_cols", pa.int32()),
+]
+CELL_DDL = (
+    "cell_ord int, row_no int, col_no int, row_span int, col_span int, text string, is_header boolean, "
+    "num_rows int, num_cols int"
+)
 
 
-def html_cells(html: Column) -> Column:
-    """Array of placed cells of an HTML table."""
-    return _cell_function()(html)
+def placed_cells(html: str | None) -> Iterator[tuple]:
+    """The cells of one table with their order and the table's size: rows that only a trailing span
+    reaches do not count."""
+    cells = read_cells(html)
+    rows = max((c[0] + 1 for c in cells), default=0)
+    cols = max((c[1] + c[3] for c in cells), default=0)
+    for i, cell in enumerate(cells):
+        yield (i, *cell, rows, cols)
 
 
-def column_header(cell: Column) -> Column:
-    return F.coalesce(cell.getField("is_header") & (cell.getField("row_no") == 0), F.lit(False))
+def cell_rows(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
+    """One row per cell. Only the keys and the HTML go to Python, and cells come back as rows, never as one value per table."""
+    rows = df.select(*keys, F.col(html).alias("__html"))
+    fields = [f for f in rows.schema.fields if f.name != "__html"]
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables = enumerate(batch.column(len(keys)).to_pylist())
+            flat = ((i, *cell) for i, table in tables for cell in placed_cells(table))
+            while piece := list(islice(flat, CELLS_PER_BATCH)):
+                at, *values = zip(*piece)
+                told = batch.select(list(range(len(keys)))).take(pa.array(at, pa.int64()))
+                columns = [pa.array(v, t) for v, (_, t) in zip(values, _CELL_COLUMNS)]
+                yield pa.RecordBatch.from_arrays(
+                    [*told.columns, *columns], names=[*told.schema.names, *[name for name, _ in _CELL_COLUMNS]]
+                )
 
-def row_header(cell: Column) -> Column:
-    return F.coalesce(cell.getField("is_header") & (cell.getField("row_no") > 0), F.lit(False))
+    return rows.mapInArrow(cells, T.StructType([*fields, *T.StructType.fromDDL(CELL_DDL).fields]))
 
 
-def table_rows(cells: Column) -> Column:
-    """Number of rows: rows that only a trailing span reaches do not count."""
-    rows = F.array_max(F.transform(cells, lambda c: c.getField("row_no") + 1))
-    return F.coalesce(rows, F.lit(0))
+def column_header(header: Column, row: Column) -> Column:
+    return F.coalesce(header & (row == 0), F.lit(False))
 
 
-def table_cols(cells: Column) -> Column:
-    ends = F.transform(cells, lambda c: c.getField("col_no") + c.getField("col_span"))
-    return F.coalesce(F.array_max(ends), F.lit(0))
+def row_header(header: Column, row: Column) -> Column:
+    return F.coalesce(header & (row > 0), F.lit(False))

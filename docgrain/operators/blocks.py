@@ -37,29 +37,18 @@ def explode_blocks(runs: DataFrame, blocks: str, keys: list[str]) -> DataFrame:
 
 def html_table_cells(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row per table cell with the size of its table; empty tables give none."""
-    tables = df.select(*keys, H.html_cells(F.col(html)).alias("cells"))
-    sized = unroll(
-        tables,
-        F.col("cells"),
-        [
-            *keys,
-            H.table_rows(F.col("cells")).alias("num_rows"),
-            H.table_cols(F.col("cells")).alias("num_cols"),
-        ],
-        "cell_ord",
-        "c",
-    )
-    c = F.col("c")
-    return sized.select(
+    cells = H.cell_rows(df, html, keys)
+    header, row = F.col("is_header"), F.col("row_no")
+    return cells.select(
         *keys,
         "cell_ord",
-        "c.row_no",
-        "c.col_no",
-        "c.row_span",
-        "c.col_span",
-        "c.text",
-        H.column_header(c).alias("column_header"),
-        H.row_header(c).alias("row_header"),
+        "row_no",
+        "col_no",
+        "row_span",
+        "col_span",
+        "text",
+        H.column_header(header, row).alias("column_header"),
+        H.row_header(header, row).alias("row_header"),
         "num_rows",
         "num_cols",
     )

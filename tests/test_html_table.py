@@ -113,6 +113,21 @@ def test_table_cells(spark):
     assert {(r.num_rows, r.num_cols) for r in out} == {(2, 2)}
 
 
+def test_cells_leave_in_pieces(spark):
+    """Large and small tables in one batch, more cells than leave together; keys of any type go along."""
+    wide = "<table>" + "<tr><th>k</th><td>v</td></tr>" * 12_000 + "</table>"
+    rows = [(1, ["a"], wide), (2, None, None), (None, ["b", None], "<tr><td colspan=\"3\">z</td></tr>"), (4, [], "<p>no table</p>")]
+    df = spark.createDataFrame(rows, "id int, tags array<string>, html string").coalesce(1)
+    out = html_table_cells(df, "html", ["id", "tags"])
+    assert out.groupBy("id", "tags", "num_rows", "num_cols").count().orderBy("id").collect() == [
+        (None, ["b", None], 1, 3, 1), (1, ["a"], 12_000, 2, 24_000)
+    ]
+    assert out.filter("id = 1").selectExpr("min(cell_ord)", "max(cell_ord)", "count(DISTINCT cell_ord)", "count_if(row_header)", "max(col_no)").first() == (
+        0, 23_999, 24_000, 11_999, 1
+    )
+    assert html_table_cells(df.limit(0), "html", ["id"]).count() == 0
+
+
 def test_document_text(spark):
     ddl = (
         "id int, blocks array<struct<id:string,block_type:string,html:string,markdown:string,"
