@@ -199,9 +199,6 @@ def fit_model(
     return model
 
 
-fit_sample = fit_model  # its name while a sample was all it learned from
-
-
 def score_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -231,7 +228,7 @@ def score_documents(
         model = fit_model(docs, id_col, text_col, plan=plan, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bits = np.uint64(plan.bits)
-    rows = sliced(docs, id_col, text_col, plan, held_out(id_col).alias("held_out"))
+    rows = sliced(docs, id_col, text_col, plan, held_out(id_col).alias("held_out"), by_text=True)
 
     def distinct(hashes: np.ndarray):
         """Distinct hashes, sorted by bucket, and each token's number among them."""

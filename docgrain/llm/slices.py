@@ -40,13 +40,17 @@ def layout(docs: DataFrame, text_col: str) -> Layout:
     return Layout(max(8, int(total / SLICE_BYTES / grow) + 1), max(3, int(np.ceil(np.log2(max(buckets, 1))))))
 
 
-def sliced(docs: DataFrame, id_col: str, text_col: str, plan: Layout, *more) -> DataFrame:
-    """(slice, doc_id, t, ...): rows of one id share a slice."""
-    doc_id = F.col(id_col).cast("long")
+def sliced(docs: DataFrame, id_col: str, text_col: str, plan: Layout, *more, by_text: bool = False) -> DataFrame:
+    """(slice, doc_id, t, ...): rows of one id share a slice; rows without id are dealt by their texts.
+
+    With ``by_text`` all rows are dealt by id and text, for work that needs no row of an id beside another.
+    """
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    dealt = F.xxhash64(doc_id, text if by_text else F.when(doc_id.isNull(), text))
     return docs.select(
-        F.pmod(F.xxhash64(doc_id), F.lit(plan.slices)).cast("int").alias("slice"),
+        F.pmod(dealt, F.lit(plan.slices)).cast("int").alias("slice"),
         doc_id.alias("doc_id"),
-        F.col(text_col).cast("string").alias("t"),
+        text.alias("t"),
         *more,
     )
 

@@ -16,7 +16,7 @@ _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 _PROBES = "bucket int, slice int, hashes binary, anchor binary, twice binary"
 _HITS = "slice int, kind int, bucket int, data binary"
-_WINDOWS = "bucket int, slice int, hashes binary, ids binary"
+_WINDOWS = "bucket int, slice int, hashes binary, ids binary, named binary"
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
 
 
@@ -36,13 +36,15 @@ class Slice:
 
     def __init__(self, table: pa.Table, window: int, bits: int, full: bool):
         ids = table.column("doc_id").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
-        if len(set(ids)) < len(ids):  # rows of one id are told apart by their text
+        keys = table.column("key").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, keys[i]))
+        if len(set(keys)) < len(ids):  # rows of one key are told apart by their text
             texts = table.column("t").to_pylist()
-            order.sort(key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] is not None, texts[i] or ""))
+            order.sort(key=lambda i: (ids[i] is not None, keys[i], texts[i] is not None, texts[i] or ""))
         table = table.take(pa.array(order, pa.int64()))
         self.ids = table.column("doc_id").combine_chunks()
-        self.keys = self.ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        self.keys = table.column("key").to_numpy()
+        self.named = self.ids.is_valid().to_numpy(zero_copy_only=False)
         data, offsets = W.text_bytes(table.column("t"))
         self.texts = _Texts(data, offsets)
         self.window, block = window, window // 2
@@ -111,13 +113,15 @@ def remove_repeats(
     Texts are shuffled once, by slice; hashes go to their buckets packed, at most two of a kind from a slice,
     see :mod:`.slices`. The answers come back by slice, and both later passes read the same shuffle of the texts.
 
-    Null, empty and wordless texts have no words and an empty ``kept_text``. A document without id
-    comes before all others. Rows that share an id come in the order of their texts; a repeated row repeats
-    the one before it. An empty table gives no rows. Only the two named columns are read.
+    Null, empty and wordless texts have no words and an empty ``kept_text``. Documents without id
+    come before all others, in the order of a hash of their texts, by which they are also dealt into slices. Rows that
+    share an id come in the order of their texts; a repeated row repeats the one before it. An empty table gives no rows. Only the two named columns are read.
     """
     plan = plan or layout(docs, text_col)
     bits = plan.bits
-    rows = sliced(docs, id_col, text_col, plan)
+    # What rows are ordered by: the id, without one a hash of the text.
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    rows = sliced(docs, id_col, text_col, plan, key.alias("key"))
 
     def probes(table: pa.Table) -> pa.Table:
         s = Slice(table, window, bits, False)
@@ -169,10 +173,12 @@ def remove_repeats(
     def candidates(texts: pa.Table, answers: pa.Table) -> pa.Table:
         s = Slice(texts, window, bits, True) if texts.num_rows else None
         if s is None or not answers.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["bucket", "slice", "hashes", "ids"])
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.table([pa.array([], t) for t in kinds], names=["bucket", "slice", "hashes", "ids", "named"])
         at, bucket, _, first = _unique_windows(s, _read_hits(answers), bits)
         at, bucket = at[first], bucket[first]
-        doc = s.keys[s.doc_of()[at]]
+        doc = s.doc_of()[at]
+        doc, named = s.keys[doc], s.named[doc]
         names, edges = by_bucket(bucket)
         cuts = list(zip(edges[:-1], edges[1:], strict=True))
         return pa.table(
@@ -181,6 +187,8 @@ def remove_repeats(
                 "slice": pa.array([_slice(texts)] * len(names), pa.int32()),
                 "hashes": pa.array([s.hash[at[a:b]].tobytes() for a, b in cuts], pa.binary()),
                 "ids": pa.array([_pack_ids(doc[a:b]) for a, b in cuts], pa.binary()),
+                # Nothing where all rows have ids.
+                "named": pa.array([None if named[a:b].all() else flags(named[a:b]) for a, b in cuts], pa.binary()),
             }
         )
 
@@ -188,8 +196,10 @@ def remove_repeats(
         parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         size = [len(p) for p in parts]
         doc = np.concatenate([_read_ids(x) for x in table.column("ids").to_pylist()])
+        told = zip(table.column("named").to_pylist(), size, strict=True)
+        named = np.concatenate([np.ones(n, bool) if x is None else read_flags(x, n) for x, n in told])
         h = np.concatenate(parts)
-        order = np.lexsort((doc, h))
+        order = np.lexsort((doc, named, h))
         first = np.zeros(len(h), bool)
         first[order[np.r_[True, h[order][1:] != h[order][:-1]]]] = True
         ends = np.cumsum(size)

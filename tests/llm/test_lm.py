@@ -7,9 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from edge_cases import edge_docs
+from pyspark.sql import functions as F
 
 from docgrain.llm import gru, lm_scoring
-from docgrain.llm.slices import Layout
+from docgrain.llm.slices import Layout, sliced
 
 
 def held_out(doc_id):
@@ -65,7 +66,7 @@ def test_equals_brute_force(spark, sf, source):
     docs = spark.read.parquet(f"{sf}/documents.parquet") if source == "table" else edge_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want, counts = brute(rows)
-    model = lm_scoring.fit_sample(docs, "doc_id", "text", head_words=300, epochs=1)
+    model = lm_scoring.fit_model(docs, "doc_id", "text", head_words=300, epochs=1)
     got = lm_scoring.score_documents(docs, model=model, plan=Layout(5, 2)).collect()
     assert base_part(got) == want
     tail = np.zeros(gru.TAILS)
@@ -179,3 +180,9 @@ def test_tokens_that_fill_up_the_streams_count_for_nothing():
     more = np.r_[symbols, rng.integers(0, 6, (2, 1))]
     got, _ = gru._window_grads(m, more, np.zeros((7, 1), bool), h, np.arange(7)[:, None] < 5)
     assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
+def test_rows_without_id_spread_over_slices(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.lit(None).cast("long"))
+    sizes = [r["count"] for r in sliced(docs, "doc_id", "text", Layout(10, 3), by_text=True).groupBy("slice").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 3 * sum(sizes) / len(sizes)

@@ -3,14 +3,16 @@ import re
 
 import pytest
 from edge_cases import edge_docs
+from pyspark.sql import functions as F
 
 from docgrain.llm import substrings
-from docgrain.llm.slices import Layout
+from docgrain.llm.slices import Layout, sliced
 
 
-def brute(rows, window=20):
-    """rows: (id, text) -> (id, words, removed, digest), sorted."""
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+def brute(rows, window=20, order=None):
+    """rows: (id, text) -> (id, words, removed, digest), sorted. ``order``: text -> place among the rows without id."""
+    place = lambda r: r[0] if r[0] is not None else (order or {}).get(r[1], 0)
+    rows = sorted(rows, key=lambda r: (r[0] is not None, place(r), r[1] is not None, r[1] or ""))
     seen, out = set(), []
     for doc, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -62,3 +64,24 @@ def test_other_windows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert result(substrings.remove_repeats(docs, window=6)) == brute(rows, 6)
+
+
+@pytest.mark.parametrize("plan", [None, Layout(1, 1), Layout(40, 4)])
+def test_many_rows_without_id_spread_over_slices(spark, sf, plan):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = result(substrings.remove_repeats(docs, plan=plan))
+    assert got == brute(rows, order=hashed) and sum(g[2] for g in got) > 100
+    sizes = [r["count"] for r in sliced(docs, "doc_id", "text", Layout(10, 3)).filter("doc_id IS NULL").groupBy("slice").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(-(2**63), passage + " a"), (2**63 - 1, passage + " b"), (None, passage + " c"), (0, passage + " d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(substrings.remove_repeats(docs)) == brute(rows)
+    kept = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()}
+    assert kept == {None: 0, -(2**63): 30, 0: 30, 2**63 - 1: 30}
