@@ -1,7 +1,7 @@
 """The four streaming jobs. Each owns a root folder with its checkpoint and its output, so a
 restarted job continues where it stopped and a replayed micro-batch rewrites only its own part.
 
-No job holds state or a watermark: each micro-batch is folded to what its result needs, and the
+No job of this module holds state or a watermark (those of :mod:`.stateful` do): each micro-batch is folded to what its result needs, and the
 folded parts are merged by :class:`.partials.Partials`. The result is that of a batch job over all
 rows, whatever the number of micro-batches and the order in which rows arrive.
 """
