@@ -212,5 +212,6 @@ def corrections(spark: SparkSession, root: str, parts_root: str) -> DataFrame:
     less = out.select(*_KEYS, "bucket", *[(-F.col(c)).alias(c) for c in _SUMS])
     every = Partials(spark, parts_root, _add_up).read(PARTS_DDL)
     missing = _add_up(every.unionByName(less)).filter("n <> 0")
-    last = out.agg(F.max("window_end").alias("__last"))  # one row
-    return missing.crossJoin(F.broadcast(last)).withColumn("closed", F.coalesce(F.col("window_end") <= F.col("__last"), F.lit(False))).drop("__last")
+    last = out.agg(F.max(F.unix_micros("window_end"))).first()[0]  # one number
+    late = F.lit(False) if last is None else F.unix_micros("window_end") <= last
+    return missing.withColumn("closed", late)
