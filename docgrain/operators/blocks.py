@@ -422,20 +422,38 @@ def line_term_table_hits(lines: DataFrame, terms: DataFrame, keys: list[str]) ->
     its rarest gram among all lines, and the lines that have it are tested. Terms that differ in case are terms of
     their own; a term that is given twice counts once, null terms are left out, the empty term is in every line.
     """
-    each = terms.select("term", F.lower("term").alias("__term")).filter("term IS NOT NULL").distinct()
-    rows = lines.withColumn("__low", F.lower(F.coalesce("text", F.lit("")))).withColumn("__id", F.xxhash64("__low"))
-    found = candidates(each.select("__term").distinct(), rows, "__term", "__id", "__low")
-    # Lines of one text share an id, and ids are unique here, so a line that repeats very often is split.
-    tried = rows.join(found, "__id")
-    inside = F.filter("needles", lambda t: F.contains(F.col("__low"), t))
     rounded = F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence")
-    hits = unroll(tried, inside, [*keys, "line_no", rounded, "text"], "__p", "__term")
-    return hits.join(each, "__term").select(*keys, "line_no", "term", "confidence", "text")
+    held = _terms_of_lines(lines, terms, [*keys, "line_no", rounded, "text"])
+    return held.select(*keys, "line_no", "term", "confidence", "text")
+
+
+def _terms_of_lines(lines: DataFrame, terms: DataFrame, keep: list) -> DataFrame:
+    """(keep..., term): one row per line and term in it. A line meets its terms as one row, so no row is shuffled per hit."""
+    each = terms.filter("term IS NOT NULL").groupBy(F.lower("term").alias("low")).agg(F.collect_set("term").alias("spelled"))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    texts = lines.select(low.alias("__low")).withColumn("__id", F.xxhash64("__low"))
+    found = candidates(each, texts, "low", "spelled", "__id", "__low")
+    # Lines of one text share an id, and ids are unique here, so a line that repeats very often is split.
+    tried = lines.select(*keep, low.alias("__low")).withColumn("__id", F.xxhash64("__low")).join(found, "__id")
+    inside = F.filter("needles", lambda t: F.contains(F.col("__low"), F.lower(t[0])))
+    kept = tried.drop("__low", "__id", "needles").columns
+    return unroll(tried, F.flatten(inside), kept, "__p", "term").drop("__p")
 
 
 def first_of_table_terms(lines: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """First line of each document per term of a table."""
-    return _first_lines(line_term_table_hits(lines, terms, keys), keys)
+    """First line of each document per term of a table.
+
+    The first lines are found by number and by a hash of their text; the texts meet them afterwards, each line once with
+    all its terms, so a long line is not shuffled once per term. Of lines that share a number one is taken.
+    """
+    place = [*keys, "line_no", "__text"]
+    named = lines.withColumn("__text", F.xxhash64("text"))
+    hits = _terms_of_lines(named, terms, place)
+    first = hits.groupBy(*keys, "term").agg(F.min(F.struct("line_no", "__text")).alias("__at"))
+    wanted = first.select(*keys, "__at.*", "term").groupBy(*place).agg(F.collect_list("term").alias("__terms"))
+    both = named.select(*place, "text").unionByName(wanted, allowMissingColumns=True)
+    met = both.groupBy(*place).agg(F.first("text", True).alias("text"), F.first("__terms", True).alias("__terms"))
+    return met.select(*keys, "line_no", "text", F.explode("__terms").alias("term")).select(*keys, "term", "line_no", "text")
 
 
 def first_term_lines(lines: DataFrame, terms: list[str], keys: list[str]) -> DataFrame:

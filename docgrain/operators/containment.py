@@ -175,10 +175,10 @@ def gram_filter(grams: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def candidates(needles: DataFrame, hays: DataFrame, needle: str, hay_id: str, hay: str) -> DataFrame:
-    """(hay_id, needles): for each long text the short texts that may stand in it.
+def candidates(needles: DataFrame, hays: DataFrame, needle: str, carried: str, hay_id: str, hay: str) -> DataFrame:
+    """(hay_id, needles): for each long text the values ``carried`` by the short texts that may stand in it.
 
-    ``needles``: the text, no row twice; ``hays``: an id and the text. A pair is named if the long text has the rarest gram of
+    ``needles``: the text, none twice, and a value for each; ``hays``: an id and the text. A pair is named if the long text has the rarest gram of
     the short one, so every true pair is among them; the caller tests the text itself. Rows of one id are taken together, so
     ids may be hashes. Short texts are told apart by their SHA-256, so that no text travels with each of its grams.
 
@@ -195,6 +195,6 @@ def candidates(needles: DataFrame, hays: DataFrame, needle: str, hay_id: str, ha
     # A gram that no long text has ends the search for its short text: it is not in ``often`` and its count is zero.
     rarest = asked.join(often, "gram", "left").groupBy("__key").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "gram")).alias("__g"))
     choice = rarest.filter("__g.n > 0").select("__key", F.col("__g.gram").alias("gram"))
-    choice = stage(choice.join(keyed, "__key").select(needle, "gram"), "gram-choices")
+    choice = stage(choice.join(keyed, "__key").select(carried, "gram"), "gram-choices")
     pairs = gram_rows(hays, [hay_id], hay, sizes, gram_filter(choice)).join(choice, "gram")
-    return pairs.groupBy(hay_id).agg(F.collect_set(needle).alias("needles"))
+    return pairs.groupBy(hay_id).agg(F.collect_set(carried).alias("needles"))

@@ -57,6 +57,38 @@ def test_hundred_thousand_terms_need_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def shuffled(spark):
+    """Bytes shuffled so far in this session."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    summaries = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(summaries.apply(i).totalShuffleWrite() for i in range(summaries.size()))
+
+
+@pytest.mark.parametrize("search", [B.first_of_table_terms, B.line_term_table_hits])
+def test_a_line_is_not_shuffled_once_per_term(spark, search):
+    rng = random.Random(5)
+    vocabulary = words(rng, 400, "abcdefghijklmnopqrstuvwxyz")
+    texts = [" ".join(f"{rng.choice(vocabulary)} {rng.random()}" for _ in range(500)) for _ in range(30)]
+    rows = [(i // 3, i % 3, t, 1.0) for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "doc int, line_no int, text string, confidence double")
+    table = spark.createDataFrame([(w,) for w in set(vocabulary)] + [(w.upper(),) for w in vocabulary], "term string")
+    before = shuffled(spark)
+    assert search(lines, table, ["doc"]).toArrow().num_rows > 3000
+    assert shuffled(spark) - before < 4 * sum(map(len, texts))
+
+
+def test_first_lines_of_odd_tables(spark):
+    rows = [(1, 1, "b", 1.0), (1, 1, "ab", 1.0), (1, 1, "ab", 1.0), (1, 0, "A", 1.0), (None, 2, "b", 1.0), (3, None, None, 1.0)]
+    lines = spark.createDataFrame(rows, "doc int, line_no int, text string, confidence double")
+    table = spark.createDataFrame([("a",), ("B",), ("b",), ("",), (None,)], "term string")
+    found = {(r.doc, r.term, r.line_no): r.text for r in B.first_of_table_terms(lines, table, ["doc"]).collect()}
+    both = found.pop((1, "b", 1)), found.pop((1, "B", 1))
+    assert set(both) <= {"b", "ab"}
+    assert found == {
+        (1, "a", 0): "A", (1, "", 0): "A", (None, "b", 2): "b", (None, "B", 2): "b", (None, "", 2): "b", (3, "", None): None,
+    }
+
+
 def anchored(df):
     return sorted((r.run, r.field_ord, r.path, r.block_id) for r in df.collect())
 
