@@ -54,12 +54,16 @@ def is_object_text(c: Column) -> Column:
 def scalar_text(v: Column) -> Column:
     """Leaf value as text, booleans capitalised; null for containers and JSON null.
 
-    The costly look at the type is only taken where the text could be a container or a boolean.
+    A number that was written with a fraction keeps one: 18.0 is "18.0", though a VARIANT gives it without.
+    The costly look at the type is only taken where the text could be a container, a boolean or such a number.
     """
     text = F.try_variant_get(v, "$", "string")
+    # A whole number that fits a long is a BIGINT unless it was written with a fraction.
+    whole = text.rlike("^-?[0-9]+$") & text.try_cast("long").isNotNull() & F.schema_of_variant(v).startswith("DECIMAL")
     return (
         F.when(F.substring(text, 1, 1).isin("{", "[") & is_container(v), None)
         .when(text.isin("true", "false") & (kind(v) == "boolean"), F.initcap(text))
+        .when(whole, F.concat(text, F.lit(".0")))
         .otherwise(text)
     )
 

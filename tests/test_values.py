@@ -183,3 +183,10 @@ def test_radix_numbers_of_any_length(spark):
     assert got == [float(int(c, 0)) for c in cases]
     text = df.limit(1).select(coerce_edited(F.lit("number"), F.lit("0x" + "f" * 300)), coerce_edited(F.lit("number"), F.lit("0xg"))).first()
     assert (text[0], text[1]) == ('"0x' + "f" * 300 + '"', '"0xg"')
+
+
+def test_whole_numbers_keep_their_fraction(spark):
+    texts = ["18.0", "18", "-7.00", "0.0", "1.50", "1e3", '"18"', "123456789012345678901"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string").withColumn("v", F.try_parse_json("j"))
+    got = [r.value for r in O.flatten_scalars(df, "v", ["id"], depth=0).orderBy("id").collect()]
+    assert got == ["18.0", "18", "-7.0", "0.0", "1.5", "1000.0", "18", "123456789012345678901"]
