@@ -54,72 +54,110 @@ class Gru:
         k = self.hidden
         u = h @ self.p["U"]
         gates = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
-        z, r = gates[:, :k], gates[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :])
-        return n + z * (h - n)
+        n = gates[:, k:] * u[:, 2 * k :]
+        n += x[:, 2 * k :]
+        np.tanh(n, n)
+        h = h - n
+        h *= gates[:, :k]
+        h += n
+        return h
 
     def log_probs(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log probability of the next symbol in each state."""
         classes = self.classes(symbols)
         out = _log_pick(states @ self.p["Wc"] + self.p["bc"], classes)
         head = np.flatnonzero(symbols < len(self.head))
-        order = head[np.argsort(classes[head], kind="stable")]
+        order = head[_order(classes[head])]
         edges = np.searchsorted(classes[order], np.arange(self.groups + 1))
         for c in np.flatnonzero(np.diff(edges)):
             mine = order[edges[c] : edges[c + 1]]
             out[mine] += _log_pick(states[mine] @ self.p["Wo"][c] + self.p["bo"][c], symbols[mine] - c * self.width)
         return out
 
-    def text_scores(self, symbols: np.ndarray, first: np.ndarray, cells: int = 32768) -> np.ndarray:
+    def text_scores(self, symbols: np.ndarray, first: np.ndarray, cells: int = 16384) -> np.ndarray:
         """Natural log probability of whole texts; text d owns ``symbols[first[d]:first[d + 1]]``.
 
-        All texts advance together, the longest first, so those still running are a prefix.
-        Outputs are computed a window of steps at a time; the state goes on from window to window.
+        All texts advance together, the longest first, so those still running are a prefix. Tokens are
+        laid out step by step. Outputs are computed a window of steps at a time; the state goes on from window to window.
         """
         length = np.diff(first)
         order = np.argsort(-length, kind="stable")
-        start, length = first[:-1][order], length[order]
-        table = self.step_table()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        longest = int(length.max(initial=0))
+        alive = len(length) - np.searchsorted(np.sort(length), np.arange(longest), "right")
+        base = np.r_[0, np.cumsum(alive)]
+        step = np.arange(len(symbols)) - np.repeat(first[:-1], length)
+        at = base[step] + np.repeat(place, length)
+        laid, owner = np.empty(len(symbols), symbols.dtype), np.empty(len(symbols), np.int64)
+        laid[at], owner[at] = symbols, np.repeat(np.arange(len(length)), length)
+        table, cut = self.step_table(), base.tolist()
         h = np.zeros((len(order), self.hidden), np.float32)
         out = np.zeros(len(order))
-        t, end = 0, int(length[0]) if len(length) else 0
-        alive = len(length) - np.searchsorted(length[::-1], np.arange(end), "right")
-        while t < end:
-            states, targets, texts, used = [], [], [], 0
-            while t < end and used < cells:
-                n = int(alive[t])
-                h = h[:n]
-                s = symbols[start[:n] + t]
-                states.append(h)
-                targets.append(s)
-                texts.append(n)
-                h = self.advance(h, table[s])
-                used += n
-                t += 1
-            found = self.log_probs(np.concatenate(states), np.concatenate(targets))
-            owner = np.concatenate([np.arange(n) for n in texts])
-            out += np.bincount(owner, found, len(out))
-        scores = np.empty(len(out))
-        scores[order] = out
-        return scores
+        t = 0
+        while t < longest:
+            end = max(t + 1, int(np.searchsorted(base, cut[t] + cells, "right")) - 1)
+            start = cut[t]
+            states = np.empty((cut[end] - start, self.hidden), np.float32)
+            for i in range(t, end):
+                lo, hi = cut[i], cut[i + 1]
+                if hi - lo < len(h):
+                    h = h[: hi - lo]
+                states[lo - start : hi - start] = h
+                h = self.advance(h, table[laid[lo:hi]])
+            found = self.log_probs(states, laid[start : cut[end]])
+            out += np.bincount(owner[start : cut[end]], found, len(out))
+            t = end
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In the place of ``x``."""
+    np.negative(x, x)
+    np.exp(x, x)
+    x += 1
+    return np.reciprocal(x, x)
+
+
+BLOCK = 2048  # rows whose logits are worked on at a time, so that they stay in the cache
+LEAST = 1e-20  # sums of exponentials below this ask for the largest logit of each row
+
+
+def _exp_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exponentials, their sums by row, what was taken off the logits before).
+
+    All rows are lowered by one number; by their own largest logits only if a row would vanish.
+    """
+    ones = np.ones(logits.shape[1], logits.dtype)
+    top = logits.max(initial=-np.inf)
+    e = logits - top
+    np.exp(e, e)
+    sums = e @ ones
+    if len(sums) and not sums.min() > LEAST:
+        top = logits.max(1, keepdims=True)
+        e = np.exp(logits - top)
+        sums, top = e @ ones, top[:, 0]
+    return e, sums, top
 
 
 def _log_pick(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logits.max(1, keepdims=True)
-    return logits[np.arange(len(at)), at] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
+    _, sums, top = _exp_sums(logits)
+    return logits[np.arange(len(at)), at] - top - np.log(sums)
 
 
-def _softmax_grad(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    g = np.exp(logits - logits.max(1, keepdims=True))
-    g /= g.sum(1, keepdims=True)
-    g[np.arange(len(at)), at] -= 1
+def _softmax_grad(logits: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient of the weighted loss by the logits."""
+    g, sums, _ = _exp_sums(logits)
+    g *= (weight / sums)[:, None]
+    g[np.arange(len(at)), at] -= weight
     return g
 
 
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers; numbers of two bytes are sorted by radix."""
+    return np.argsort(values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values, kind="stable")
+
+
 def start(
     head: np.ndarray,
     counts: np.ndarray,
@@ -225,52 +263,69 @@ def _window_grads(
     """Gradients of the mean loss over the live tokens of a window (steps x streams), and the state after it."""
     p, k = m.p, m.hidden
     steps, streams = symbols.shape
-    states, kept, table = [], [], m.step_table()
+    states, gates, fresh_n, part = (np.empty((steps, streams, w), np.float32) for w in (k, 2 * k, k, k))
+    table, restart = m.step_table(), fresh.any(1)
     for t in range(steps):
-        h = h * ~fresh[t][:, None]
-        states.append(h)
-        x = table[symbols[t]]
-        u = h @ p["U"]
-        gates = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
-        n = np.tanh(x[:, 2 * k :] + gates[:, k:] * u[:, 2 * k :])
-        kept.append((gates, n, u))
-        h = n + gates[:, :k] * (h - n)
+        if restart[t]:
+            h = h * ~fresh[t][:, None]
+        states[t] = h
+        x, u = table[symbols[t]], h @ p["U"]
+        part[t] = u[:, 2 * k :]
+        g = _sigmoid(np.add(x[:, : 2 * k], u[:, : 2 * k], gates[t]))
+        n = np.multiply(g[:, k:], part[t], fresh_n[t])
+        n += x[:, 2 * k :]
+        np.tanh(n, n)
+        h = h - n
+        h *= g[:, :k]
+        h += n
     g = {name: np.zeros_like(v) for name, v in p.items()}
-    flat, target = np.concatenate(states), symbols.ravel()
+    flat, target = states.reshape(-1, k), symbols.ravel()
     classes = m.classes(target)
     weight = np.ones(target.size) if live is None else live.ravel()
-    weight = (weight / weight.sum()).astype(np.float32)[:, None]
-    d = _softmax_grad(flat @ p["Wc"] + p["bc"], classes) * weight
-    g["Wc"], g["bc"] = flat.T @ d, d.sum(0)
-    out = d @ p["Wc"].T
-    order = np.argsort(classes, kind="stable")
+    weight = (weight / weight.sum()).astype(np.float32)
+    out = np.empty_like(flat)
+    for a in range(0, len(flat), BLOCK):
+        own, here = flat[a : a + BLOCK], slice(a, a + BLOCK)
+        d = _softmax_grad(own @ p["Wc"] + p["bc"], classes[here], weight[here])
+        g["Wc"] += own.T @ d
+        g["bc"] += d.sum(0)
+        np.matmul(d, p["Wc"].T, out[here])
+    order = _order(classes)
     edges = np.searchsorted(classes[order], np.arange(m.groups + 1))
     for c in np.flatnonzero(np.diff(edges)):
         mine = order[edges[c] : edges[c + 1]]
         own = flat[mine]
-        d = _softmax_grad(own @ p["Wo"][c] + p["bo"][c], target[mine] - c * m.width) * weight[mine]
+        d = _softmax_grad(own @ p["Wo"][c] + p["bo"][c], target[mine] - c * m.width, weight[mine])
         g["Wo"][c], g["bo"][c] = own.T @ d, d.sum(0)
         out[mine] += d @ p["Wo"][c].T
     out = out.reshape(steps, streams, k)
+    # What the way back multiplies with is known for all steps beforehand.
+    z, r, n = gates[:, :, :k], gates[:, :, k:], fresh_n
+    by_n = (1 - z) * (1 - n * n)
+    by_r = part * r * (1 - r)
+    by_z = (states - n) * z * (1 - z)
     back = np.zeros((streams, k), np.float32)
-    dx, du = np.zeros((2, steps, streams, 3 * k), back.dtype)
+    dx = np.empty((steps, streams, 3 * k), back.dtype)
+    du = np.empty((steps, streams, 3 * k), back.dtype)
+    turned = np.ascontiguousarray(p["U"].T)
     for t in reversed(range(steps)):
-        gates, n, u = kept[t]
-        z, r = gates[:, :k], gates[:, k:]
-        dn = back * (1 - z) * (1 - n * n)
-        dr = dn * u[:, 2 * k :] * r * (1 - r)
-        dx[t, :, :k] = back * (states[t] - n) * z * (1 - z)
-        dx[t, :, k : 2 * k] = dr
-        dx[t, :, 2 * k :] = dn
-        du[t, :, : 2 * k] = dx[t, :, : 2 * k]
-        du[t, :, 2 * k :] = dn * r
-        back = (back * z + du[t] @ p["U"].T + out[t]) * ~fresh[t][:, None]
+        dn = np.multiply(back, by_n[t], dx[t, :, 2 * k :])
+        np.multiply(dn, by_r[t], du[t, :, k : 2 * k])
+        np.multiply(back, by_z[t], du[t, :, :k])
+        np.multiply(dn, r[t], du[t, :, 2 * k :])
+        back *= z[t]
+        back += du[t] @ turned
+        back += out[t]
+        if restart[t]:
+            back *= ~fresh[t][:, None]
+    dx[:, :, : 2 * k] = du[:, :, : 2 * k]
     g["U"] = flat.T @ du.reshape(-1, 3 * k)
     dx = dx.reshape(-1, 3 * k)
-    g["W"] = p["E"][target].T @ dx
     g["b"] = dx.sum(0)
-    order = np.argsort(target, kind="stable")
+    order = _order(target)
     found = target[order]
     starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-    g["E"][found[starts]] = np.add.reduceat(dx[order], starts) @ p["W"].T
+    sums = np.add.reduceat(dx[order], starts)  # by symbol
+    g["W"] = p["E"][found[starts]].T @ sums
+    g["E"][found[starts]] = sums @ p["W"].T
     return g, h

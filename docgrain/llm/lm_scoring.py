@@ -55,6 +55,23 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(tails), np.r_[0, np.cumsum(np.concatenate(counts))]
 
 
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, sorted; the number of each hash among them); only the distinct ones are sorted."""
+    coded = pa.array(hashes).dictionary_encode()
+    kinds = coded.dictionary.to_numpy()
+    order = np.argsort(kinds)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return kinds[order], rank[coded.indices.to_numpy()]
+
+
+def of_kinds(number: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The value of each of ``n`` distinct hashes, where equal hashes have equal values."""
+    out = np.empty(n, values.dtype)
+    out[number] = values
+    return out
+
+
 def learned_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(t, round) of all training rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -72,8 +89,8 @@ def count_words(rows: DataFrame, bits: int, head_words: int) -> tuple[np.ndarray
 
     def merged(h: list, n: list, tail: list):
         h, n, tail = (np.concatenate(x) for x in (h, n, tail))
-        kinds, first, number = np.unique(h, return_index=True, return_inverse=True)
-        return kinds, np.bincount(number, n, len(kinds)).astype(np.int64), tail[first]
+        kinds, number = numbered(h)
+        return kinds, np.bincount(number, n, len(kinds)).astype(np.int64), of_kinds(number, tail, len(kinds))
 
     def send(kinds, n, tail) -> pa.RecordBatch:
         names, edges = by_bucket((kinds >> np.uint64(64 - bits)).astype(np.int64))
@@ -230,16 +247,16 @@ def score_documents(
     bits = np.uint64(plan.bits)
     rows = sliced(docs, id_col, text_col, plan, held_out(id_col).alias("held_out"), by_text=True)
 
-    def distinct(hashes: np.ndarray):
-        """Distinct hashes, sorted by bucket, and each token's number among them."""
-        kinds, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    def distinct(hashes: np.ndarray, tails: np.ndarray):
+        """Distinct hashes, sorted by bucket, with their tail classes, and each token's number among them."""
+        kinds, number = numbered(hashes)
         names, edges = by_bucket((kinds >> (np.uint64(64) - bits)).astype(np.int64))
-        return kinds, first, number, names, list(zip(edges[:-1], edges[1:], strict=True))
+        return kinds, of_kinds(number, tails, len(kinds)), number, names, list(zip(edges[:-1], edges[1:], strict=True))
 
     def count(table: pa.Table) -> pa.Table:
         hashes, tails, first = tokens(table.column("t"))
         learn = np.repeat(~table.column("held_out").to_numpy(), np.diff(first))
-        kinds, at, number, names, cuts = distinct(hashes)
+        kinds, tail, number, names, cuts = distinct(hashes, tails)
         n = np.bincount(number[learn], minlength=len(kinds)).astype(np.uint32)
         part = lambda x: pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())
         return pa.table(
@@ -248,7 +265,7 @@ def score_documents(
                 "slice": pa.array([table.column("slice")[0].as_py()] * len(names), pa.int32()),
                 "hashes": part(kinds),
                 "counts": part(n),
-                "tails": part(tails[at]),
+                "tails": part(tail),
             }
         )
 
@@ -282,10 +299,10 @@ def score_documents(
             return pa.table([pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
         m = shared.value
         hashes, tails, first = tokens(texts.column("t"))
-        kinds, at, number, names, _ = distinct(hashes)
+        kinds, tail, number, names, _ = distinct(hashes, tails)
         said = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), strict=True))
         c = np.concatenate([np.frombuffer(said[b], np.int64) for b in names.tolist()])
-        symbol = m.symbols(kinds, tails[at])
+        symbol = m.symbols(kinds, tail)
         text, docs = np.repeat(np.arange(len(first) - 1), np.diff(first)), len(first) - 1
         log_c = np.log10(c + 1.0)
         tail = symbol - len(m.head)

@@ -186,3 +186,21 @@ def test_rows_without_id_spread_over_slices(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.lit(None).cast("long"))
     sizes = [r["count"] for r in sliced(docs, "doc_id", "text", Layout(10, 3), by_text=True).groupBy("slice").count().collect()]
     assert len(sizes) == 10 and max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
+def test_rows_far_below_the_others_keep_their_probability():
+    logits = np.array([[300.0, 299.0, -50.0], [-300.0, -301.0, -299.5]], np.float32)
+    at = np.array([1, 2])
+    want = logits.astype(float) - np.log(np.exp(logits.astype(float) - logits.max(1, keepdims=True)).sum(1, keepdims=True)) - logits.max(1, keepdims=True)
+    assert np.allclose(gru._log_pick(logits, at), want[[0, 1], at], atol=1e-4)
+    grad = np.exp(want)
+    grad[[0, 1], at] -= 1
+    assert np.allclose(gru._softmax_grad(logits, at, np.array([0.5, 0.25], np.float32)), grad * [[0.5], [0.25]], atol=1e-5)
+
+
+def test_hashes_are_numbered_as_by_sorting():
+    hashes = np.random.default_rng(1).choice(np.array([7, 1 << 63, 3, (1 << 64) - 1], np.uint64), 50)
+    kinds, number = lm_scoring.numbered(hashes)
+    assert (kinds[number] == hashes).all() and (np.diff(kinds.astype(float)) > 0).all()
+    assert len(lm_scoring.numbered(hashes[:0])[0]) == 0
+    assert (lm_scoring.of_kinds(number, hashes, len(kinds)) == kinds).all()
