@@ -42,6 +42,12 @@ def _slots(gram: np.ndarray) -> np.ndarray:
     return ((gram.astype(np.uint64) * _SPREAD) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def filter_passes(gram: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """Which grams pass a filter made by :func:`gram_filter`."""
+    slot = _slots(gram)
+    return (only[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
 
@@ -104,8 +110,7 @@ def _distinct_grams(data: np.ndarray, offsets: np.ndarray, sizes: list[int], onl
         else:
             row, _, gram = _positions(data, offsets, size)
         if only is not None:
-            slot = _slots(gram)
-            passed = (only[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+            passed = filter_passes(gram, only)
             row, gram = row[passed], gram[passed]
         order = np.lexsort((gram, row))
         row, gram = row[order], gram[order]

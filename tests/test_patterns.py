@@ -72,3 +72,21 @@ def test_equals_the_filter_of_one_pattern(spark):
     got = {(r.k, r.pattern_id) for r in payload_contains_many(rows, "v", ["k"], pats).collect()}
     assert got == {(r.k, j) for j, p in enumerate(asked) for r in O.payload_contains(rows, "v", p).collect()}
     assert {k for k, j in got if j == 0} == {0, 2} and {k for k, j in got if j == 1} == {0, 1, 2}
+
+
+def shuffled(spark):
+    """Bytes shuffled so far in this session."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    summaries = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(summaries.apply(i).totalShuffleWrite() for i in range(summaries.size()))
+
+
+def test_values_that_no_pattern_names_are_not_shuffled(spark):
+    rng = random.Random(12)
+    values = [{"id": i, "items": [{"q": i % 50, "n": "x"}] * 3, "rest": {f"k{rng.random()}": rng.random() for _ in range(40)}} for i in range(1500)]
+    asked = [{"items": [{"q": q, "n": "x"}, {"n": "x"}]} for q in range(1000)]
+    rows, pats = tables(spark, values, asked)
+    rows = rows.select("k", F.col("v")).localCheckpoint()
+    before = shuffled(spark)
+    assert payload_contains_many(rows, "v", ["k"], pats).count() == len(values)
+    assert shuffled(spark) - before < 2 * sum(len(json.dumps(v)) for v in values)
