@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,10 +17,11 @@ def split_row_number(
     order: list[Column],
     name: str = "rn",
     bucket: Column | None = None,
+    offsets_with: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without one task per key."""
     ones = df.withColumn("__one", F.lit(1).cast("long"))
-    return split_running_sum(ones, keys, order, "__one", name, bucket).drop("__one")
+    return split_running_sum(ones, keys, order, "__one", name, bucket, offsets_with).drop("__one")
 
 
 def split_running_sum(
@@ -28,6 +31,7 @@ def split_running_sum(
     value: str,
     name: str,
     bucket: Column | None = None,
+    offsets_with: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``sum(value) over (partition by keys order by order rows up to here)`` without one task per key.
 
@@ -38,6 +42,9 @@ def split_running_sum(
     keys and order: sampled from the data, so even, and as many per key at most as there are
     partitions. Their numbers are frozen by staging the rows. ``bucket`` names a cheaper split
     where the order column itself has one, such as the hundred-thousands of a position.
+
+    ``offsets_with`` is given the small table of bucket offsets, which has ``keys``: columns it adds reach
+    the rows of the bucket, and rows of the buckets it leaves out are dropped, without a shuffle of the rows.
     """
     part = "__bucket"
     if bucket is None:
@@ -48,10 +55,11 @@ def split_running_sum(
     totals = tagged.groupBy(*keys, part).agg(F.sum(value).alias("__n"))
     earlier = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"__{k}") for k in keys],
-        F.col(part).alias("__part"),
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+        *keys, F.col(part).alias("__part"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
     )
+    if offsets_with is not None:
+        offsets = offsets_with(offsets)
+    offsets = offsets.withColumnsRenamed({k: f"__{k}" for k in keys})
     same = F.col(part) == F.col("__part")
     for k in keys:
         same = same & (F.col(k) == F.col(f"__{k}"))

@@ -10,6 +10,7 @@ runs       run_id, page_w, page_h, n_refined  (one row per run; sizes and count
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -104,23 +105,21 @@ def first_page_dims(scaffolds: DataFrame, pages: str, key: str = "run_id") -> Da
     return scaffolds.select(key, w.alias("page_w"), h.alias("page_h"))
 
 
-def _judge(patches: DataFrame, index: DataFrame, runs: DataFrame, floor: float) -> DataFrame:
-    """Add ``bbox``, ``frag_ord`` and ``outcome`` (low, violation, orphan, applied)."""
-    sizes = runs.select(
-        "run_id", F.col("page_w").alias("__w"), F.col("page_h").alias("__h")
-    )
-    w, h = page_dims_or_default(F.col("__w"), F.col("__h"))
-    boxed = (
-        patches.join(sizes, "run_id", "left")
-        .withColumn("bbox", resolve_bbox(w, h))
-        .drop("__w", "__h")
-        .withColumn("alias", blank_to_null(F.col("fragment_id")))
-    )
-    found = boxed.join(index, ["run_id", "alias"], "left")
+def _judge(patches: DataFrame, index: DataFrame, floor: float) -> DataFrame:
+    """Add ``frag_ord`` and ``outcome`` (low, violation, orphan, applied).
+
+    Only patches that a fragment decides on meet the index; additions, which hold texts, stay where they are.
+    """
+    named = patches.withColumn("alias", blank_to_null(F.col("fragment_id")))
+    asks = (F.col("op") != "add") & ~(F.col("confidence") < floor) & F.col("alias").isNotNull()
+    asks = F.coalesce(asks, F.lit(False))
+    found = named.filter(asks).join(index, ["run_id", "alias"], "left")
+    found = found.unionByName(named.filter(~asks).withColumn("frag_ord", F.lit(None).cast("long")))
     op = F.col("op")
     no_frag = F.col("alias").isNull()
     no_key = blank_to_null(F.col("field_key")).isNull()
-    no_box = F.col("bbox").isNull()
+    # Whether there is a box does not depend on the page.
+    no_box = resolve_bbox(*[F.lit(x) for x in A4_PAGE]).isNull()
     broken = (
         ((op == "assign") & (no_frag | no_key))
         | (op.isin("reject", "move") & no_frag)
@@ -139,7 +138,7 @@ def _judge(patches: DataFrame, index: DataFrame, runs: DataFrame, floor: float)
 def contract_violations(
     patches: DataFrame, fragments: DataFrame, runs: DataFrame, floor: float = CONFIDENCE_FLOOR
 ) -> DataFrame:
-    judged = _judge(patches, fragment_index(fragments), runs, floor)
+    judged = _judge(patches, fragment_index(fragments), floor)
     return judged.filter("outcome = 'violation'").select("run_id", "patch_ord", "op")
 
 
@@ -167,7 +166,7 @@ def apply_patches(
 
     A further pass takes the ``fragments``, ``runs``, ``assignments`` and ``trail()`` of the pass before it.
     """
-    judged = _judge(patches, fragment_index(fragments), runs, floor)
+    judged = _judge(patches, fragment_index(fragments), floor)
     if staged:
         judged = stage(judged, "judged-patches")
     broken = judged.filter("outcome = 'violation'")
@@ -182,9 +181,10 @@ def apply_patches(
         return None if df is None else df.join(bad_runs, "run_id", "left_anti")
 
     return Patched(
-        good(judged),
+        judged,
         broken.select(*patches.columns),
-        good(fragments),
+        bad_runs,
+        fragments,
         runs,
         good(prior_assignments),
         {name: good(df) for name, df in (prior_trail or {}).items()},
@@ -198,6 +198,7 @@ class Patched:
         self,
         judged: DataFrame,
         violations: DataFrame,
+        bad_runs: DataFrame,
         fragments: DataFrame,
         runs: DataFrame,
         prior: DataFrame | None,
@@ -206,13 +207,44 @@ class Patched:
         self.violations = violations
         self._raw = violations.columns
         self._judged, self._base, self._given, self._prior = judged, fragments, runs, prior
-        self._prior_trail = prior_trail
+        self._bad_runs, self._prior_trail = bad_runs, prior_trail
 
-    def _applied(self, op: str) -> DataFrame:
+    def _good(self, df: DataFrame) -> DataFrame:
+        return df.join(self._bad_runs, "run_id", "left_anti")
+
+    def _all_applied(self, op: str) -> DataFrame:
+        """Quarantined runs included."""
         return self._judged.filter((F.col("outcome") == "applied") & (F.col("op") == op))
 
+    def _applied(self, op: str) -> DataFrame:
+        return self._good(self._all_applied(op))
+
     def _set_aside(self, outcome: str) -> DataFrame:
-        return self._judged.filter(F.col("outcome") == outcome).select(*self._raw)
+        return self._good(self._judged.filter(F.col("outcome") == outcome)).select(*self._raw)
+
+    def _with_run(self, df: DataFrame) -> DataFrame:
+        """Rows of the runs that are not quarantined, with page size and count of the run."""
+        given = self._given.select(
+            "run_id",
+            F.col("page_w").alias("__w"),
+            F.col("page_h").alias("__h"),
+            F.col("n_refined").cast("long").alias("__prior"),
+        )
+        facts = given.join(self._bad_runs.withColumn("__bad", F.lit(True)), "run_id", "full")
+        return df.join(facts, "run_id", "left").filter("__bad IS NULL").drop("__bad")
+
+    @cached_property
+    def _moves(self) -> DataFrame:
+        """Applied moves with their boxes in points."""
+        box = resolve_bbox(*page_dims_or_default(F.col("__w"), F.col("__h")))
+        rows = self._with_run(self._all_applied("move")).withColumn("bbox", box)
+        return rows.select("run_id", "frag_ord", "patch_ord", "fragment_id", "bbox", "confidence", "reason")
+
+    @cached_property
+    def _quarantined(self) -> DataFrame:
+        """Keys of the fragments of quarantined runs. Fragments meet them by key, as they meet moves and
+        rejections, so their texts are shuffled once and evenly."""
+        return self._base.select("run_id", "frag_ord").join(self._bad_runs, "run_id", "left_semi")
 
     @cached_property
     def low(self) -> DataFrame:
@@ -231,23 +263,31 @@ class Patched:
             "run_id", "patch_ord", "fragment_id", "frag_ord", "confidence", "reason"
         )
 
-    @cached_property
-    def added(self) -> DataFrame:
-        """New fragments, numbered after those the run already had."""
+    def _numbered_adds(self, more: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Applied additions with ``add_no``, ``fragment_id`` and box. What they need to know of their run, and
+        what ``more`` adds, comes with the totals by which they are numbered; the texts are shuffled once."""
         numbered = split_row_number(
-            self._applied("add"),
+            self._all_applied("add"),
             ["run_id"],
             [F.col("patch_ord").asc()],
             name="add_no",
             bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
+            offsets_with=lambda totals: more(self._with_run(totals)),
         )
-        prior = self._given.select("run_id", F.col("n_refined").cast("long").alias("__prior"))
         number = F.coalesce("__prior", F.lit(0)) + F.col("add_no") - 1
-        return numbered.join(prior, "run_id", "left").select(
+        box = resolve_bbox(*page_dims_or_default(F.col("__w"), F.col("__h")))
+        return numbered.withColumn("bbox", box).withColumn(
+            "fragment_id", F.concat(F.lit("#/refined-texts/"), number.cast("string"))
+        )
+
+    @cached_property
+    def added(self) -> DataFrame:
+        """New fragments, numbered after those the run already had."""
+        return self._numbered_adds(lambda totals: totals).select(
             "run_id",
             "patch_ord",
             "add_no",
-            F.concat(F.lit("#/refined-texts/"), number.cast("string")).alias("fragment_id"),
+            "fragment_id",
             "field_key",
             F.col("new_text").alias("text"),
             "bbox",
@@ -262,12 +302,12 @@ class Patched:
         ended: moves are numbered per fragment and each looks up its predecessor by number."""
         keys = ["run_id", "frag_ord"]
         numbered = split_row_number(
-            self._applied("move"),
+            self._moves,
             keys,
             [F.col("patch_ord").asc()],
             name="move_no",
             bucket=F.floor(F.col("patch_ord") / ORD_BUCKET),
-        ).select(*keys, "move_no", "patch_ord", "fragment_id", "bbox", "confidence", "reason")
+        )
         earlier = numbered.select(
             *keys, (F.col("move_no") + 1).alias("move_no"), F.col("bbox").alias("__prev")
         )
@@ -310,20 +350,26 @@ class Patched:
     def fragments(self) -> DataFrame:
         """Fragments after the pass, in the columns they came in: moved boxes in place, additions
         after the last position. Of the moves of a fragment only the last one counts here."""
-        last = self._applied("move").groupBy("run_id", "frag_ord").agg(
-            F.max_by("bbox", "patch_ord").alias("__after")
+        keys = ["run_id", "frag_ord"]
+        gone = self._quarantined.withColumn("__gone", F.lit(True))
+        marks = self._moves.select(*keys, "patch_ord", "bbox").unionByName(gone, allowMissingColumns=True)
+        # By key before the grouping, so that no task gets all fragments of a run.
+        marks = marks.repartition(*keys).groupBy(*keys).agg(
+            F.max_by("bbox", "patch_ord").alias("__after"), F.max("__gone").alias("__gone")
         )
-        kept = self._base.join(last, ["run_id", "frag_ord"], "left").withColumn(
-            "bbox", F.coalesce("__after", "bbox")
+        kept = (
+            self._base.join(marks, keys, "left")
+            .filter("__gone IS NULL")
+            .withColumn("bbox", F.coalesce("__after", "bbox"))
         )
         sizes = self._base.groupBy("run_id").agg((F.max("frag_ord") + 1).alias("__n"))
-        fresh = self.added.join(sizes, "run_id", "left").select(
+        fresh = self._numbered_adds(lambda totals: totals.join(sizes, "run_id", "left")).select(
             "run_id",
             (F.coalesce("__n", F.lit(0)) + F.col("add_no") - 1).alias("frag_ord"),
             F.col("fragment_id").alias("self_ref"),
-            "text",
+            F.col("new_text").alias("text"),
             "bbox",
-            "page_no",
+            F.lit(1).alias("page_no"),
             F.lit("vlm").alias("source"),
             "confidence",
         )
@@ -334,7 +380,8 @@ class Patched:
     @cached_property
     def visible(self) -> DataFrame:
         """The given fragments without those that this pass rejects; none of quarantined runs."""
-        return visible_fragments(self._base, self.rejected)
+        hidden = self.rejected.select("run_id", "frag_ord").unionByName(self._quarantined)
+        return visible_fragments(self._base, hidden.repartition("run_id", "frag_ord"))
 
     @cached_property
     def runs(self) -> DataFrame:

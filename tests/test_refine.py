@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +212,34 @@ def test_traces_and_usage(spark):
     a, b = df.collect()
     assert (a.t.visual_audit, a.t.scaffold_match, a.t.discrepancies) == ("v", '{"a":[1]}', "True")
     assert a.u.total_tokens == 7 and a.u.prompt_tokens is None and b.u is None
+
+
+def test_texts_are_shuffled_once(spark):
+    """Joins by run and position take the keys to the texts: one shuffle of each table that holds texts."""
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        out = apply(spark, [patch(0, "add", new_bbox=BOX, new_text="x")])
+        for df, most in ((out.fragments, 2), (out.added, 1), (out.visible, 1)):
+            plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            steps = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: (.*)$", plan, re.M)
+            assert steps and len([s for s in steps if re.search(r"\b(new_)?text#", s)]) <= most
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_quarantined_runs_and_runs_without_id(spark):
+    """A quarantined run shows no fragment, moved or added; fragments without run or position stay."""
+    frags = [(r, i, None, None, "t", BOX, "ocr", None) for r, i in ((1, 0), (2, 0), (2, None), (None, 0), (3, 0))]
+    bad = patch(2, "add", new_bbox=BOX)
+    moves = [patch(0, "move", fragment_id="f0", new_bbox=(5.0, 5.0, 6.0, 6.0)), patch(1, "add", new_bbox=BOX, new_text="x")]
+    patches = [*moves, bad, *[(2, *p[1:]) for p in moves], (2, *patch(2, "reject", fragment_id="f0")[1:])]
+    out = P.apply_patches(
+        spark.createDataFrame(frags, FRAG), spark.createDataFrame(patches, PATCH), spark.createDataFrame([(1, None, None, 4)], RUNS)
+    )
+    got = sorted(((r.run_id, r.frag_ord, r.text, r.bbox.l) for r in out.fragments.collect()), key=repr)
+    want = [(2, 0, "t", 5.0), (2, 1, "x", 1.0), (2, None, "t", 1.0), (3, 0, "t", 1.0), (None, 0, "t", 1.0)]
+    assert got == sorted(want, key=repr)
+    assert sorted(((r.run_id, r.frag_ord) for r in out.visible.collect()), key=repr) == [(2, None), (3, 0), (None, 0)]
+    assert [r.fragment_id for r in out.added.collect()] == ["#/refined-texts/0"]
