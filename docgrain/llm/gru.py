@@ -51,29 +51,39 @@ class Gru:
 
     def advance(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
         """States after one token each."""
-        k = self.hidden
-        u = h @ self.p["U"]
-        gates = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
-        n = gates[:, k:] * u[:, 2 * k :]
-        n += x[:, 2 * k :]
-        np.tanh(n, n)
-        h = h - n
-        h *= gates[:, :k]
-        h += n
-        return h
+        return _advance(self.p["U"].T, h.T, x.T).T
 
     def log_probs(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log probability of the next symbol in each state."""
-        classes = self.classes(symbols)
-        out = _log_pick(states @ self.p["Wc"] + self.p["bc"], classes)
-        head = np.flatnonzero(symbols < len(self.head))
-        order = head[_order(classes[head])]
-        edges = np.searchsorted(classes[order], np.arange(self.groups + 1))
+        return self._log_probs(np.hstack([states, np.ones((len(states), 1), states.dtype)]), symbols)
+
+    def _log_probs(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The same for states that end in a one."""
+        classes, over_classes, inside = self.classes(symbols), *self.outputs()
+        out = np.empty(len(symbols), states.dtype)
+        for a in range(0, len(symbols), BLOCK):
+            here = slice(a, a + BLOCK)
+            out[here] = _log_pick(states[here] @ over_classes, classes[here])
+        order, edges, picks = self.by_class(symbols, classes)
+        own, found = states[order], np.empty(len(order), out.dtype)
         for c in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[c] : edges[c + 1]]
-            out[mine] += _log_pick(states[mine] @ self.p["Wo"][c] + self.p["bo"][c], symbols[mine] - c * self.width)
+            here = slice(edges[c], edges[c + 1])
+            found[here] = _log_pick(own[here] @ inside[c], picks[here])
+        out[order] += found
         return out
 
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and of the members of each class, with the biases as the last row."""
+        p = self.p
+        return np.vstack([p["Wc"], p["bc"]]), np.concatenate([p["Wo"], p["bo"][:, None]], 1)
+
+    def by_class(self, symbols: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the head words ordered by class, edges of the classes, members they are of their classes)."""
+        order = _order(classes)
+        edges = np.searchsorted(classes[order], np.arange(self.groups + 1))
+        order = order[: edges[-1]]
+        return order, edges, symbols[order] - classes[order] * self.width
+
     def text_scores(self, symbols: np.ndarray, first: np.ndarray, cells: int = 16384) -> np.ndarray:
         """Natural log probability of whole texts; text d owns ``symbols[first[d]:first[d + 1]]``.
 
@@ -91,26 +101,39 @@ class Gru:
         at = base[step] + np.repeat(place, length)
         laid, owner = np.empty(len(symbols), symbols.dtype), np.empty(len(symbols), np.int64)
         laid[at], owner[at] = symbols, np.repeat(np.arange(len(length)), length)
-        table, cut = self.step_table(), base.tolist()
-        h = np.zeros((len(order), self.hidden), np.float32)
+        table, turned, cut = self.step_table(), np.ascontiguousarray(self.p["U"].T), base.tolist()
+        h = np.zeros((self.hidden, len(order)), np.float32)
         out = np.zeros(len(order))
         t = 0
         while t < longest:
             end = max(t + 1, int(np.searchsorted(base, cut[t] + cells, "right")) - 1)
             start = cut[t]
-            states = np.empty((cut[end] - start, self.hidden), np.float32)
+            states = np.ones((cut[end] - start, self.hidden + 1), np.float32)
             for i in range(t, end):
                 lo, hi = cut[i], cut[i + 1]
-                if hi - lo < len(h):
-                    h = h[: hi - lo]
-                states[lo - start : hi - start] = h
-                h = self.advance(h, table[laid[lo:hi]])
-            found = self.log_probs(states, laid[start : cut[end]])
+                h = h[:, : hi - lo]
+                states[lo - start : hi - start, :-1] = h.T
+                h = _advance(turned, h, np.ascontiguousarray(table[laid[lo:hi]].T))
+            found = self._log_probs(states, laid[start : cut[end]])
             out += np.bincount(owner[start : cut[end]], found, len(out))
             t = end
         return out
 
 
+def _advance(turned: np.ndarray, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """States after one token each; states and inputs are columns."""
+    k = len(h)
+    u = turned @ h
+    gates = _sigmoid(x[: 2 * k] + u[: 2 * k])
+    n = gates[k:] * u[2 * k :]
+    n += x[2 * k :]
+    np.tanh(n, n)
+    h = h - n
+    h *= gates[:k]
+    h += n
+    return h
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In the place of ``x``."""
     np.negative(x, x)
@@ -260,72 +283,74 @@ def fit(
 def _window_grads(
     m: Gru, symbols: np.ndarray, fresh: np.ndarray, h: np.ndarray, live: np.ndarray | None = None
 ) -> tuple[dict, np.ndarray]:
-    """Gradients of the mean loss over the live tokens of a window (steps x streams), and the state after it."""
+    """Gradients of the mean loss over the live tokens of a window (steps x streams), and the state after it.
+
+    The recurrence holds what is known of a token as a column, step by step, so that all its arrays are of one piece.
+    """
     p, k = m.p, m.hidden
     steps, streams = symbols.shape
-    states, gates, fresh_n, part = (np.empty((steps, streams, w), np.float32) for w in (k, 2 * k, k, k))
+    states, gates, fresh_n, part = (np.empty((steps, w, streams), np.float32) for w in (k, 2 * k, k, k))
     table, restart = m.step_table(), fresh.any(1)
+    turned, h = np.ascontiguousarray(p["U"].T), np.ascontiguousarray(h.T)
     for t in range(steps):
         if restart[t]:
-            h = h * ~fresh[t][:, None]
+            h = h * ~fresh[t]
         states[t] = h
-        x, u = table[symbols[t]], h @ p["U"]
-        part[t] = u[:, 2 * k :]
-        g = _sigmoid(np.add(x[:, : 2 * k], u[:, : 2 * k], gates[t]))
-        n = np.multiply(g[:, k:], part[t], fresh_n[t])
-        n += x[:, 2 * k :]
+        x, u = np.ascontiguousarray(table[symbols[t]].T), turned @ h
+        part[t] = u[2 * k :]
+        g = _sigmoid(np.add(x[: 2 * k], u[: 2 * k], gates[t]))
+        n = np.multiply(g[k:], part[t], fresh_n[t])
+        n += x[2 * k :]
         np.tanh(n, n)
         h = h - n
-        h *= g[:, :k]
+        h *= g[:k]
         h += n
     g = {name: np.zeros_like(v) for name, v in p.items()}
-    flat, target = states.reshape(-1, k), symbols.ravel()
+    flat = np.ones((steps, streams, k + 1), np.float32)
+    flat[:, :, :k] = states.transpose(0, 2, 1)
+    flat, target = flat.reshape(-1, k + 1), symbols.ravel().astype(np.int64)
     classes = m.classes(target)
     weight = np.ones(target.size) if live is None else live.ravel()
     weight = (weight / weight.sum()).astype(np.float32)
-    out = np.empty_like(flat)
+    over_classes, inside = m.outputs()
+    out, total = np.empty((len(flat), k), np.float32), np.zeros_like(over_classes)
     for a in range(0, len(flat), BLOCK):
-        own, here = flat[a : a + BLOCK], slice(a, a + BLOCK)
-        d = _softmax_grad(own @ p["Wc"] + p["bc"], classes[here], weight[here])
-        g["Wc"] += own.T @ d
-        g["bc"] += d.sum(0)
+        here = slice(a, a + BLOCK)
+        d = _softmax_grad(flat[here] @ over_classes, classes[here], weight[here])
+        total += flat[here].T @ d
         np.matmul(d, p["Wc"].T, out[here])
-    order = _order(classes)
-    edges = np.searchsorted(classes[order], np.arange(m.groups + 1))
+    g["Wc"], g["bc"] = total[:k], total[k]
+    order, edges, picks = m.by_class(target, classes)
+    own, weight, back = flat[order], weight[order], np.empty((len(order), k), np.float32)
     for c in np.flatnonzero(np.diff(edges)):
-        mine = order[edges[c] : edges[c + 1]]
-        own = flat[mine]
-        d = _softmax_grad(own @ p["Wo"][c] + p["bo"][c], target[mine] - c * m.width, weight[mine])
-        g["Wo"][c], g["bo"][c] = own.T @ d, d.sum(0)
-        out[mine] += d @ p["Wo"][c].T
-    out = out.reshape(steps, streams, k)
+        here = slice(edges[c], edges[c + 1])
+        d = _softmax_grad(own[here] @ inside[c], picks[here], weight[here])
+        total = own[here].T @ d
+        g["Wo"][c], g["bo"][c] = total[:k], total[k]
+        np.matmul(d, p["Wo"][c].T, back[here])
+    out[order] += back
+    out = np.ascontiguousarray(out.reshape(steps, streams, k).transpose(0, 2, 1))
     # What the way back multiplies with is known for all steps beforehand.
-    z, r, n = gates[:, :, :k], gates[:, :, k:], fresh_n
+    z, r, n = gates[:, :k], gates[:, k:], fresh_n
     by_n = (1 - z) * (1 - n * n)
     by_r = part * r * (1 - r)
     by_z = (states - n) * z * (1 - z)
-    back = np.zeros((streams, k), np.float32)
-    dx = np.empty((steps, streams, 3 * k), back.dtype)
-    du = np.empty((steps, streams, 3 * k), back.dtype)
-    turned = np.ascontiguousarray(p["U"].T)
+    back = np.zeros((k, streams), np.float32)
+    dx, du = (np.empty((steps, 3 * k, streams), np.float32) for _ in range(2))
     for t in reversed(range(steps)):
-        dn = np.multiply(back, by_n[t], dx[t, :, 2 * k :])
-        np.multiply(dn, by_r[t], du[t, :, k : 2 * k])
-        np.multiply(back, by_z[t], du[t, :, :k])
-        np.multiply(dn, r[t], du[t, :, 2 * k :])
+        dn = np.multiply(back, by_n[t], dx[t, 2 * k :])
+        np.multiply(dn, by_r[t], du[t, k : 2 * k])
+        np.multiply(back, by_z[t], du[t, :k])
+        np.multiply(dn, r[t], du[t, 2 * k :])
         back *= z[t]
-        back += du[t] @ turned
+        back += p["U"] @ du[t]
         back += out[t]
         if restart[t]:
-            back *= ~fresh[t][:, None]
-    dx[:, :, : 2 * k] = du[:, :, : 2 * k]
-    g["U"] = flat.T @ du.reshape(-1, 3 * k)
-    dx = dx.reshape(-1, 3 * k)
-    g["b"] = dx.sum(0)
-    order = _order(target)
-    found = target[order]
-    starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-    sums = np.add.reduceat(dx[order], starts)  # by symbol
-    g["W"] = p["E"][found[starts]].T @ sums
-    g["E"][found[starts]] = sums @ p["W"].T
-    return g, h
+            back *= ~fresh[t]
+    dx[:, : 2 * k] = du[:, : 2 * k]
+    g["U"] = (states @ du.transpose(0, 2, 1)).sum(0)
+    sums = np.array([np.bincount(target, dx[:, i].ravel(), len(p["E"])) for i in range(3 * k)])  # by symbol
+    g["b"], sums = sums.sum(1).astype(dx.dtype), sums.astype(dx.dtype)
+    g["W"] = np.ascontiguousarray((sums @ p["E"]).T)
+    g["E"] = sums.T @ p["W"].T
+    return g, h.T

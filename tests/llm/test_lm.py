@@ -204,3 +204,26 @@ def test_hashes_are_numbered_as_by_sorting():
     assert (kinds[number] == hashes).all() and (np.diff(kinds.astype(float)) > 0).all()
     assert len(lm_scoring.numbered(hashes[:0])[0]) == 0
     assert (lm_scoring.of_kinds(number, hashes, len(kinds)) == kinds).all()
+
+
+def test_texts_together_score_as_one_by_one():
+    """Streams, blocks of logits and shrinking sets of running texts change nothing but roundings."""
+    rng = np.random.default_rng(5)
+    lengths = np.r_[1, 3, 700, rng.integers(1, 60, 90)]
+    hashes = rng.integers(1, 90, lengths.sum()).astype(np.uint64)
+    first = np.r_[0, np.cumsum(lengths)]
+    hashes[first[1:] - 1] = gru.END
+    tails = (hashes % np.uint64(16)).astype(np.uint8)
+    m = gru.fit(hashes, tails, first, head_words=40, epochs=1)
+    symbols = m.symbols(hashes, tails)
+    for cells in (64, 16384):
+        got = m.text_scores(symbols, first, cells)
+        for d, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            h, want = np.zeros((1, m.hidden)), 0.0
+            for t in range(a, b):
+                want += float(m.log_probs(h, symbols[t : t + 1])[0])
+                h = m.advance(h, m.step_table()[symbols[t : t + 1]])
+            assert got[d] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    assert len(m.text_scores(symbols[:0], np.zeros(1, np.int64))) == 0
+    empty = np.zeros((0, m.hidden), np.float32)
+    assert len(m.log_probs(empty, symbols[:0])) == 0
