@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..functions.barrier import compute_once, unroll
 from ..functions.values import kind
 from ..schemas import LETTER_PAGE
-from .containment import candidates
+from .containment import candidates, choices, lookup
 
 def explode_blocks(runs: DataFrame, blocks: str, keys: list[str]) -> DataFrame:
     """One row per block with its position ``ord``; documents without blocks give none."""
@@ -428,16 +428,27 @@ def line_term_table_hits(lines: DataFrame, terms: DataFrame, keys: list[str]) ->
 
 
 def _terms_of_lines(lines: DataFrame, terms: DataFrame, keep: list) -> DataFrame:
-    """(keep..., term): one row per line and term in it. A line meets its terms as one row, so no row is shuffled per hit."""
+    """(keep..., term): one row per line and term in it.
+
+    Terms of some megabytes go to every task, and a line is searched where it stands. For more, a line meets its terms as
+    one row, so no row is shuffled per hit.
+    """
     each = terms.filter("term IS NOT NULL").groupBy(F.lower("term").alias("low")).agg(F.collect_set("term").alias("spelled"))
     low = F.lower(F.coalesce("text", F.lit("")))
-    texts = lines.select(low.alias("__low")).withColumn("__id", F.xxhash64("__low"))
-    found = candidates(each, texts, "low", "spelled", "__id", "__low")
-    # Lines of one text share an id, and ids are unique here, so a line that repeats very often is split.
-    tried = lines.select(*keep, low.alias("__low")).withColumn("__id", F.xxhash64("__low")).join(found, "__id")
-    inside = F.filter("needles", lambda t: F.contains(F.col("__low"), F.lower(t[0])))
-    kept = tried.drop("__low", "__id", "needles").columns
-    return unroll(tried, F.flatten(inside), kept, "__p", "term").drop("__p")
+    texts = lines.select(low.alias("__low"))
+    choice, sizes = choices(each, texts, "low", "spelled", "__low")
+    held = [*keep, low.alias("__low")]
+    near = lookup(choice, sizes, "spelled")
+    if near is not None:
+        tried = lines.select(*held).withColumn("__found", near(F.col("__low")))
+        inside = F.filter("__found", lambda t: F.contains(F.col("__low"), F.lower(t)))
+    else:
+        # Lines of one text share an id, and ids are unique in what is found, so a line that repeats very often is split.
+        found = candidates(choice, sizes, texts.withColumn("__id", F.xxhash64("__low")), "spelled", "__id", "__low")
+        tried = lines.select(*held).withColumn("__id", F.xxhash64("__low")).join(found, "__id")
+        inside = F.flatten(F.filter("needles", lambda t: F.contains(F.col("__low"), F.lower(t[0]))))
+    kept = tried.drop("__low", "__id", "needles", "__found").columns
+    return unroll(tried, inside, kept, "__p", "term").drop("__p")
 
 
 def first_of_table_terms(lines: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,19 +10,20 @@ cost: higher-order functions and regular expressions make an object for every ch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
 
 GRAM = 6  # bytes
-PIECE = 1 << 20  # bytes worked on at a time
+PIECE = 1 << 18  # bytes worked on at a time
+SENT = 16 << 20  # bytes of short texts that go to every task
 FILTER_BITS = 24  # a gram filter has 2**24 bits: 2 MB, whatever it is made of
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,27 +92,47 @@ def occurrences(small: list[bytes], large: list[bytes]) -> tuple[np.ndarray, np.
 
 
 def _pieces(text: pa.Array, kept: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """(bytes, offsets, rows) of stretches of about a megabyte; nulls are out."""
+    """(bytes, offsets, rows) of stretches of about PIECE bytes; nulls are out."""
     there = text.is_valid()
     text, kept = text.filter(there).cast(pa.large_binary()), kept.filter(there)
-    ends, at = np.cumsum(np.asarray(pc.binary_length(text), np.int64)), 0
+    ends, at = np.r_[0, np.cumsum(np.asarray(pc.binary_length(text), np.int64))], 0
+    data = np.zeros(0, np.uint8)
+    if ends[-1]:
+        _, starts, raw = text.buffers()
+        data = np.frombuffer(raw, np.uint8)[np.frombuffer(starts, np.int64)[text.offset] :]
     while at < len(text):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
-        yield *_joined(text.slice(at, to - at).to_pylist()), kept.slice(at, to - at)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1)
+        yield data[ends[at] : ends[to]], ends[at : to + 1] - ends[at], kept.slice(at, to - at)
         at = to
 
 
-def _distinct_grams(data: np.ndarray, offsets: np.ndarray, sizes: list[int], only: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, gram) of the distinct grams of each row that pass the filter, one size after another."""
-    for size in sizes:
+def _spots(data: np.ndarray, offsets: np.ndarray, sizes: list[int], only: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, gram) of every place of a gram that passes the filter, one size after another.
+
+    The bytes are read as one text, each size from the one before; a gram that reaches into the next row goes afterwards,
+    when few are left.
+    """
+    value = np.zeros(len(data), np.int64)
+    for size in range(max(sizes, default=0) + 1):
+        if size:
+            value = value[: max(len(data) - size + 1, 0)]
+            value <<= 8
+            value |= data[size - 1 :]
+        if size not in sizes:
+            continue
         if size == 0:
-            row = np.arange(len(offsets) - 1)
-            gram = np.zeros(len(row), np.int64)
+            yield np.arange(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
         else:
-            row, _, gram = _positions(data, offsets, size)
-        if only is not None:
-            passed = filter_passes(gram, only)
-            row, gram = row[passed], gram[passed]
+            gram = value | size << 8 * size
+            at = np.arange(len(gram)) if only is None else np.flatnonzero(filter_passes(gram, only))
+            row = np.searchsorted(offsets, at, "right") - 1
+            inside = at + size <= offsets[row + 1]
+            yield row[inside], gram[at[inside]]
+
+
+def _distinct_grams(data: np.ndarray, offsets: np.ndarray, sizes: list[int], only: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, gram) of the distinct grams of each row that pass the filter, one size after another."""
+    for row, gram in _spots(data, offsets, sizes, only):
         order = np.lexsort((gram, row))
         row, gram = row[order], gram[order]
         first = np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])][: len(row)]
@@ -141,7 +162,7 @@ def gram_rows(
 
 
 def gram_counts(rows: DataFrame, text: str, sizes: list[int], only: np.ndarray) -> DataFrame:
-    """(gram, n): in how many texts each gram stands that passes the filter, added up per task before the shuffle."""
+    """(gram, n): how often each gram stands in the texts that passes the filter, added up per task before the shuffle."""
     sent = rows.sparkSession.sparkContext.broadcast(only)
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +173,7 @@ def gram_counts(rows: DataFrame, text: str, sizes: list[int], only: np.ndarray)
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for batch in batches:
             for data, offsets, _ in _pieces(batch.column(0), batch):
-                for _, gram in _distinct_grams(data, offsets, sizes, sent.value):
+                for _, gram in _spots(data, offsets, sizes, sent.value):
                     parts.append(np.unique(gram, return_counts=True))
                 if len(parts) > 16:
                     parts = [merged(parts)]
@@ -180,26 +201,66 @@ def gram_filter(grams: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def candidates(needles: DataFrame, hays: DataFrame, needle: str, carried: str, hay_id: str, hay: str) -> DataFrame:
-    """(hay_id, needles): for each long text the values ``carried`` by the short texts that may stand in it.
-
-    ``needles``: the text, none twice, and a value for each; ``hays``: an id and the text. A pair is named if the long text has the rarest gram of
-    the short one, so every true pair is among them; the caller tests the text itself. Rows of one id are taken together, so
-    ids may be hashes. Short texts are told apart by their SHA-256, so that no text travels with each of its grams.
+def choices(needles: DataFrame, hays: DataFrame, needle: str, carried: str, hay: str) -> tuple[DataFrame, list[int]]:
+    """(carried, gram): the rarest gram of each short text that may stand in a long one, staged, and the sizes of grams.
 
-    The long texts are read twice, once to count the grams of the short texts and once for the grams chosen. A filter of
-    2 MB lets only such grams leave a task, so what is shuffled follows the matches and not the length of the texts. Whether the
-    choices are small enough to be sent to all tasks is left to the optimizer's size check; beyond, they meet
-    in a join on the gram, which the adaptive plan splits.
+    ``needles``: the text, none twice, and a value for each; ``hays``: the long texts, read once to count the grams of the
+    short ones. A filter of 2 MB lets only such grams leave a task. Short texts are told apart by their SHA-256, so that
+    no text travels with each of its grams.
     """
-    keyed = needles.withColumn("__key", F.unhex(F.sha2(F.col(needle).cast("binary"), 256)))
+    keyed = stage(needles.withColumn("__key", F.unhex(F.sha2(F.col(needle).cast("binary"), 256))), "gram-needles")
     own = F.least(F.octet_length(needle), F.lit(GRAM))
-    sizes = sorted(r[0] for r in needles.select(own.alias("n")).distinct().collect() if r[0] is not None)
+    sizes = sorted(r[0] for r in keyed.select(own.alias("n")).distinct().collect() if r[0] is not None)
     asked = gram_rows(keyed, ["__key"], needle, sizes, whole=True)
-    often = gram_counts(hays, hay, sizes, gram_filter(asked))
+    # Staged, so that the joins below are planned by the size of the counts and not by that of the long texts.
+    often = stage(gram_counts(hays, hay, sizes, gram_filter(asked)), "gram-counts")
     # A gram that no long text has ends the search for its short text: it is not in ``often`` and its count is zero.
     rarest = asked.join(often, "gram", "left").groupBy("__key").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "gram")).alias("__g"))
     choice = rarest.filter("__g.n > 0").select("__key", F.col("__g.gram").alias("gram"))
-    choice = stage(choice.join(keyed, "__key").select(carried, "gram"), "gram-choices")
+    return stage(choice.join(keyed, "__key").select(carried, "gram"), "gram-choices"), sizes
+
+
+def candidates(choice: DataFrame, sizes: list[int], hays: DataFrame, carried: str, hay_id: str, hay: str) -> DataFrame:
+    """(hay_id, needles): for each long text the values ``carried`` by the short texts that may stand in it.
+
+    ``hays``: an id and the text. A pair is named if the long text has the gram chosen by :func:`choices`, so every true pair
+    is among them; the caller tests the text itself. Rows of one id are taken together, so ids may be hashes.
+
+    What is shuffled follows the matches and not the length of the texts. Whether the
+    choices are small enough to be sent to all tasks is left to the optimizer's size check; beyond, they meet
+    in a join on the gram, which the adaptive plan splits.
+    """
     pairs = gram_rows(hays, [hay_id], hay, sizes, gram_filter(choice)).join(choice, "gram")
     return pairs.groupBy(hay_id).agg(F.collect_set(carried).alias("needles"))
+
+
+def lookup(choice: DataFrame, sizes: list[int], carried: str) -> Callable[[Column], Column] | None:
+    """The same as a function of the text, for choices of up to 16 MB, which go to every task; None beyond.
+
+    ``carried`` is an array of strings; the function gives one array of all that may stand in its text, which is not null. Rows
+    stay where they are.
+    """
+    size = choice.agg(F.sum(F.aggregate(carried, F.lit(32), lambda n, t: n + F.octet_length(t) + 16).cast("long"))).first()[0] or 0
+    if size > SENT:
+        return None
+    table = choice.orderBy("gram").toArrow()
+    values = pa.concat_arrays([c.cast(pa.list_(pa.string())) for c in table.column(carried).chunks] or [pa.array([], pa.list_(pa.string()))])
+    sent = choice.sparkSession.sparkContext.broadcast((gram_filter(choice), table.column("gram").to_numpy(), values))
+
+    @F.arrow_udf("array<string>")
+    def run(text: pa.Array) -> pa.Array:
+        only, grams, values = sent.value
+        at, pairs = 0, [np.zeros(0, np.int64)]
+        for data, offsets, _ in _pieces(text, pa.RecordBatch.from_arrays([text], names=["text"])):
+            for row, gram in _spots(data, offsets, sizes, only):
+                first = np.searchsorted(grams, gram)
+                n = np.searchsorted(grams, gram, "right") - first
+                each = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                pairs.append(np.unique((np.repeat(row, n) + at) * len(grams) + each))
+            at += len(offsets) - 1
+        row, each = np.divmod(np.sort(np.concatenate(pairs)), max(len(grams), 1))
+        found = values.take(pa.array(each))
+        lengths = np.bincount(row, np.asarray(pc.list_value_length(found)), len(text)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), found.flatten())
+
+    return run

@@ -465,7 +465,7 @@ FROM ln JOIN documents USING (doc_id) JOIN t ON contains(lower(line), lower(term
 def term_hits(spark, sf):
     rows = lines(spark, sf).select(
         "doc_id", "line_no", F.col("line").alias("text"),
-        (F.length("line") / F.col("n_chars")).alias("confidence"),
+        F.try_divide(F.length("line"), "n_chars").alias("confidence"),
     )
     return B.line_term_hits(rows, TERMS, ["doc_id"])
 
@@ -511,7 +511,7 @@ FROM low JOIN t ON contains(low_line, low_term) JOIN documents USING (doc_id)
 def term_table_hits(spark, sf):
     rows = lines(spark, sf).select(
         "doc_id", "line_no", F.col("line").alias("text"),
-        (F.length("line") / F.col("n_chars")).alias("confidence"),
+        F.try_divide(F.length("line"), "n_chars").alias("confidence"),
     )
     return B.line_term_table_hits(rows, term_table(spark, sf), ["doc_id"])
 

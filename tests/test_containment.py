@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docgrain.operators import anchors as A
 from docgrain.operators import blocks as B
 from docgrain.operators import containment as C
+from docgrain.plans import QUERIES
 
 
 def words(rng, n, letters="abcé"):
@@ -77,6 +78,43 @@ def test_a_line_is_not_shuffled_once_per_term(spark, search):
     assert shuffled(spark) - before < 4 * sum(map(len, texts))
 
 
+@pytest.mark.parametrize("search", [B.first_of_table_terms, B.line_term_table_hits])
+def test_lines_stay_where_they_are_for_some_terms(spark, search):
+    rng = random.Random(6)
+    vocabulary = words(rng, 300, "abcdefghijklmnopqrstuvwxyz")
+    texts = [" ".join(f"{rng.choice(vocabulary)} {rng.random()}" for _ in range(300)) for _ in range(300)]
+    lines = spark.createDataFrame([(i, 0, t, 1.0) for i, t in enumerate(texts)], "doc int, line_no int, text string, confidence double")
+    rare = [f" {t.split()[1]} " for t in texts[:20]]
+    before = shuffled(spark)
+    found = search(lines, spark.createDataFrame([(w,) for w in rare], "term string"), ["doc"]).select("doc", "term")
+    assert sorted(map(tuple, found.collect())) == sorted(enumerate(rare))
+    # First lines meet their texts once; otherwise only terms and counts move.
+    assert shuffled(spark) - before < sum(map(len, texts)) * (1.0 if search is B.first_of_table_terms else 0.1)
+
+
+def test_terms_beyond_what_is_sent_equal_those_sent(spark, monkeypatch):
+    rng = random.Random(7)
+    lines = spark.createDataFrame(
+        [(i // 5, i % 5, " ".join(words(rng, rng.randrange(9), "abÉé")), 1.0) for i in range(200)],
+        "doc int, line_no int, text string, confidence double",
+    )
+    table = spark.createDataFrame([(w,) for w in [*words(rng, 80, "abÉ"), "", "a b", "A B"]], "term string")
+    sent = sorted(map(tuple, B.line_term_table_hits(lines, table, ["doc"]).collect()))
+    monkeypatch.setattr(C, "SENT", 0)
+    assert sorted(map(tuple, B.line_term_table_hits(lines, table, ["doc"]).collect())) == sent
+    assert len(sent) > 1000
+
+
+@pytest.mark.parametrize("query", ["term_table_hits", "term_hits"])
+def test_documents_of_no_characters(spark, tmp_path, query):
+    docs = [(1, "x outre y\nnone", 14), (2, "", 0), (3, None, None), (4, "Outre y", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i", "Outre y"), ("j", None), ("k", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    term = "Outre y" if query == "term_table_hits" else "Outre"
+    want = [(1, 0, term, 0.643, "x outre y"), (4, 0, term, 0.0, "Outre y")]
+    assert sorted(map(tuple, QUERIES[query](spark, str(tmp_path)).collect())) == want
+
+
 def test_first_lines_of_odd_tables(spark):
     rows = [(1, 1, "b", 1.0), (1, 1, "ab", 1.0), (1, 1, "ab", 1.0), (1, 0, "A", 1.0), (None, 2, "b", 1.0), (3, None, None, 1.0)]
     lines = spark.createDataFrame(rows, "doc int, line_no int, text string, confidence double")
